@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, source_mix, url_filter
+from . import byte_bpe, exact_dedup, language_id, source_mix, token_counts, url_filter
 from .common import table
 
 
+def op1_language_id(spark, sf_dir):
+    return language_id.identify_table(table(spark, sf_dir, "documents"))
+
+
+def op3_byte_bpe(spark, sf_dir):
+    return byte_bpe.digests(byte_bpe.encode(table(spark, sf_dir, "documents")))
+
+
+def op4_token_counts(spark, sf_dir):
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -19,7 +31,7 @@ def op10_url_filter(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op6_exact_dedup, op8_source_mix, op10_url_filter)}
+    return {f.__name__: f for f in (op1_language_id, op3_byte_bpe, op4_token_counts, op6_exact_dedup, op8_source_mix, op10_url_filter)}
 
 
 def oracle_sql():
