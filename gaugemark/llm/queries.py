@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, language_id, source_mix, token_counts, url_filter
+from . import bsi_topk, byte_bpe, exact_dedup, language_id, license_scan, source_mix, token_counts, url_filter
 from .common import table
 
 
@@ -18,10 +18,18 @@ def op4_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op5_bit_sliced_topk(spark, sf_dir):
+    return bsi_topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op6_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark, sf_dir):
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op8_source_mix(spark, sf_dir):
     return source_mix.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -31,8 +39,8 @@ def op10_url_filter(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_language_id, op3_byte_bpe, op4_token_counts, op6_exact_dedup, op8_source_mix, op10_url_filter)}
+    return {f.__name__: f for f in (op1_language_id, op3_byte_bpe, op4_token_counts, op5_bit_sliced_topk, op6_exact_dedup, op7_license_scan, op8_source_mix, op10_url_filter)}
 
 
 def oracle_sql():
-    return {"op6_exact_dedup": exact_dedup.ORACLE, "op8_source_mix": source_mix.ORACLE, "op10_url_filter": url_filter.oracle()}
+    return {"op5_bit_sliced_topk": bsi_topk.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op8_source_mix": source_mix.ORACLE, "op10_url_filter": url_filter.oracle()}
