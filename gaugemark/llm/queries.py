@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bsi_topk, byte_bpe, exact_dedup, language_id, license_scan, source_mix, token_counts, url_filter
+from . import bsi_topk, byte_bpe, exact_dedup, language_id, license_scan, ngram_join, source_mix, token_counts, url_filter
 from .common import table
 
 
@@ -34,13 +34,17 @@ def op8_source_mix(spark, sf_dir):
     return source_mix.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_ngram_jaccard_join(spark, sf_dir):
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_url_filter(spark, sf_dir):
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
 def queries():
-    return {f.__name__: f for f in (op1_language_id, op3_byte_bpe, op4_token_counts, op5_bit_sliced_topk, op6_exact_dedup, op7_license_scan, op8_source_mix, op10_url_filter)}
+    return {f.__name__: f for f in (op1_language_id, op3_byte_bpe, op4_token_counts, op5_bit_sliced_topk, op6_exact_dedup, op7_license_scan, op8_source_mix, op9_ngram_jaccard_join, op10_url_filter)}
 
 
 def oracle_sql():
-    return {"op5_bit_sliced_topk": bsi_topk.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op8_source_mix": source_mix.ORACLE, "op10_url_filter": url_filter.oracle()}
+    return {"op5_bit_sliced_topk": bsi_topk.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op8_source_mix": source_mix.ORACLE, "op9_ngram_jaccard_join": ngram_join.ORACLE, "op10_url_filter": url_filter.oracle()}
