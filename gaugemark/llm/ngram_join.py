@@ -6,7 +6,10 @@ reachable by links.
 
 1. Documents with equal sets form a class; a class is represented by its smallest id.
 2. A shuffle by shingle counts in how many classes each shingle stands. Shingles of one class only go
-   no further. The rest return to their classes with their frequency.
+   no further. The rest return to their classes with their frequency. Before the shuffle a block
+   keeps one row for a class, and of a shingle that is hot in the block it sends a single notice
+   to the shingle's partition and the uses straight to their classes, so that no partition collects
+   a shingle's uses by all documents; hot anywhere counts as the highest frequency everywhere.
 3. Shingles are ordered by rising frequency. A class of n shingles can only have a partner if they
    share one of its first p = n - ceil(t n) + 1; as shingles of a single class come first, a class with
    p of them has no partner at all. What is left of the prefix is indexed: rare shingles singly,
@@ -32,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,7 +105,9 @@ def _part(values: np.ndarray, bits: int, parts: int) -> np.ndarray:
 
 _ROW = pa.schema([("part", pa.int32()), ("kind", pa.int8()), ("data", pa.binary())])
 _ROW_SQL = "part int, kind byte, data binary"
-_TOKENS, _MEMBERS, _SHARED = 0, 1, 2
+#: Frequencies stop at ``_TOP``; a shingle in ``HOT`` classes of one block has it.
+HOT, _TOP = 32, 65535
+_TOKENS, _MEMBERS, _SHARED, _DOCUMENTS, _NOTICE = 0, 1, 2, 3, 4
 
 
 def _blob(*arrays: bytes) -> bytes:
@@ -138,62 +144,79 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _shingled(n: int):
-    """Documents -> their shingles by range, once for each class of the block, and the classes' members."""
+    """Documents -> by block: their ids, one row for a class, its shingles by range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in text_blocks(batches, "text", BLOCK_BYTES):
+        partition = TaskContext.get().partitionId()
+        for nth, table in enumerate(text_blocks(batches, "text", BLOCK_BYTES)):
             ids = np.array([_NO_ID if x is None else x for x in table.column("id").to_pylist()], np.int64)
             sets = shingle_sets(table.column("text").to_pylist())
             sizes = np.fromiter(map(len, sets), np.int64, len(sets))
             signs = np.fromiter(map(_signature, sets), np.uint64, len(sets))
-            rows = []
-            home = _part(signs, 64, n)
-            order = np.argsort(home, kind="stable")
-            for p, s in _sliced(home[order], n):
-                i = order[s]
-                rows.append((p, _MEMBERS, _blob(ids[i].tobytes(), sizes[i].tobytes(), signs[i].tobytes())))
-            _, first = np.unique(np.where((sizes > 0) & (ids != _NO_ID), signs, np.uint64(0)), return_index=True)
-            first = first[(sizes[first] > 0) & (ids[first] != _NO_ID)]
-            if len(first):
-                tokens = np.concatenate([sets[i] for i in first.tolist()])
+            rows = [((partition + nth) % n, _DOCUMENTS, _blob(ids.tobytes(), sizes.tobytes(), signs.tobytes()))]
+            order = np.lexsort((ids, signs))
+            order = order[(sizes[order] > 0) & (ids[order] != _NO_ID)]
+            if len(order):
+                new = np.concatenate([[True], signs[order][1:] != signs[order][:-1]])
+                first = order[new]
+                copies = np.diff(np.concatenate([np.flatnonzero(new), [len(order)]]))
+                for p, s in _sliced(_part(signs[first], 64, n), n):
+                    i = first[s]
+                    rows.append((p, _MEMBERS, _blob(ids[i].tobytes(), sizes[i].tobytes(), signs[i].tobytes(), copies[s].tobytes())))
+                token = np.concatenate([sets[i] for i in first.tolist()])
                 owner = np.repeat(np.arange(len(first)), sizes[first])
-                part = _part(tokens, 48, n)
+                distinct, of, count = np.unique(token, return_inverse=True, return_counts=True)
+                hot = count[of] >= HOT
+                for p, s in _sliced(_part(noticed := distinct[count >= HOT], 48, n), n):
+                    rows.append((p, _NOTICE, _six(noticed[s])))
+                rows += _by_class(signs[first][owner[hot]], token[hot], np.full(int(hot.sum()), _TOP), n)
+                token, owner = token[~hot], owner[~hot]
+                part = _part(token, 48, n)
                 order = np.argsort(part.astype(np.uint16) if n < 1 << 16 else part, kind="stable")
                 for p, s in _sliced(part[order], n):
                     i = order[s]
                     counts = np.bincount(owner[i], minlength=len(first))
                     has = np.flatnonzero(counts)
-                    rows.append((p, _TOKENS, _blob(_six(tokens[i]), signs[first[has]].tobytes(), varints(counts[has]))))
+                    rows.append((p, _TOKENS, _blob(_six(token[i]), signs[first[has]].tobytes(), varints(counts[has]))))
             yield _rows(rows)
 
     return run
 
 
+def _by_class(sign: np.ndarray, token: np.ndarray, often: np.ndarray, n: int) -> list[tuple]:
+    """Rows of shared shingles, sorted by class (``sign`` in ascending order) for the classes' partitions."""
+    rows = []
+    for p, s in _sliced(_part(sign, 64, n), n):
+        own, counts = np.unique(sign[s], return_counts=True)
+        rows.append((p, _SHARED, _blob(own.tobytes(), varints(counts), _six(token[s]), often[s].astype("<u2").tobytes())))
+    return rows
+
+
 def _counted(n: int):
-    """One range of shingles -> those of several classes, with their frequency, by class; members pass."""
+    """One range of shingles -> those of several classes, with their frequency, by class; other rows pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, signs = [], []
+        tokens, signs, notices = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
         for batch in batches:
             passing = []
             for part, kind, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if kind == _MEMBERS:
-                    passing.append((part, kind, data))
-                else:
+                if kind == _TOKENS:
                     t, s, c = _unblob(data)
                     tokens.append(_unsix(t))
                     signs.append(np.repeat(np.frombuffer(s, np.uint64), unvarints(c)))
+                elif kind == _NOTICE:
+                    notices.append(_unsix(data))
+                else:
+                    passing.append((part, kind, data))
             if passing:
                 yield _rows(passing)
-        if not tokens:
-            return
-        token, sign = np.concatenate(tokens), np.concatenate(signs)
+        token, sign, noticed = np.concatenate(tokens), np.concatenate(signs), np.unique(np.concatenate(notices))
         del tokens, signs
         order = np.argsort(token)
         sorted_ = token[order]
         same = sorted_[1:] == sorted_[:-1]
-        several = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        at = order[several]
+        several = np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(token) else np.zeros(0, bool)
+        at = order[several | np.isin(sorted_, noticed)]
         token, sign = token[at], sign[at]
         del order, sorted_, same, several, at
         order = np.lexsort((sign, token))
@@ -201,16 +224,11 @@ def _counted(n: int):
         new = np.concatenate([[True], (token[1:] != token[:-1]) | (sign[1:] != sign[:-1])]) if len(token) else np.zeros(0, bool)
         token, sign = token[new], sign[new]
         _, of, count = np.unique(token, return_inverse=True, return_counts=True)
-        often = np.minimum(count[of], 65535).astype("<u2")
+        often = np.where(np.isin(token, noticed), _TOP, np.minimum(count[of], _TOP)) if len(token) else np.zeros(0, np.int64)
         keep = often > 1
         token, sign, often = token[keep], sign[keep], often[keep]
         order = np.argsort(sign, kind="stable")
-        token, sign, often = token[order], sign[order], often[order]
-        rows = []
-        for p, s in _sliced(_part(sign, 64, n), n):
-            own, counts = np.unique(sign[s], return_counts=True)
-            rows.append((p, _SHARED, _blob(own.tobytes(), varints(counts), _six(token[s]), often[s].tobytes())))
-        if rows:
+        if rows := _by_class(sign[order], token[order], often[order], n):
             yield _rows(rows)
 
     return run
@@ -221,16 +239,29 @@ def prefix_length(n: np.ndarray, threshold: tuple[int, int] = THRESHOLD) -> np.n
     return n + 1 + (-(threshold[0] * n) // threshold[1])
 
 
-_CLASSES_SQL = "doc_id long, rep long, n long, tokens array<long>, often array<int>, prefix int"
+_CLASSES_SQL = "kind int, doc_id long, sign long, n long, tokens array<long>, often array<int>, prefix int"
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One range of classes -> every document with its class, and the classes that can have partners."""
-    members, shared = [[], [], []], [[], [], []]
+    """One range of classes -> the smallest id of those with several documents, and those that can have partners.
+
+    Documents pass as (doc_id, sign, n).
+    """
+    names = ["kind", "doc_id", "sign", "n", "tokens", "often", "prefix"]
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32()]
+
+    def made(kind: int, ids: np.ndarray, signs: np.ndarray, sizes: np.ndarray, *more: list) -> pa.RecordBatch:
+        more = [pa.array(x, t) for x, t in zip(more, types[4:], strict=True)] if more else [pa.nulls(len(ids), t) for t in types[4:]]
+        return pa.record_batch([pa.array(np.full(len(ids), kind, np.int32)), pa.array(ids, mask=ids == _NO_ID), pa.array(signs.view(np.int64)), pa.array(sizes), *more], names=names)
+
+    members, shared = [[], [], [], []], [[], [], []]
     for batch in batches:
         for kind, data in zip(batch.column("kind").to_pylist(), batch.column("data").to_pylist(), strict=True):
-            if kind == _MEMBERS:
-                for to, x, t in zip(members, _unblob(data), (np.int64, np.int64, np.uint64), strict=True):
+            if kind == _DOCUMENTS:
+                ids, sizes, signs = (np.frombuffer(x, t) for x, t in zip(_unblob(data), (np.int64, np.int64, np.uint64), strict=True))
+                yield made(_DOCUMENTS, ids, signs, sizes)
+            elif kind == _MEMBERS:
+                for to, x, t in zip(members, _unblob(data), (np.int64, np.int64, np.uint64, np.int64), strict=True):
                     to.append(np.frombuffer(x, t))
             else:
                 own, counts, tokens, often = _unblob(data)
@@ -239,37 +270,30 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 shared[2].append(np.frombuffer(often, "<u2"))
     if not members[0]:
         return
-    names = ["doc_id", "rep", "n", "tokens", "often", "prefix"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32()]
-    ids, sizes, signs = map(np.concatenate, members)
-    linkable = (sizes > 0) & (ids != _NO_ID)
-    order = np.lexsort((ids, ~linkable, signs))
-    first = order[np.concatenate([[True], signs[order][1:] != signs[order][:-1]])]
-    known = signs[first]  # sorted; of an empty set's class no shingle asks
-    rep = np.where(linkable, ids[first[np.searchsorted(known, signs)]], ids)
-    for i in range(0, len(ids), 10_000):
-        s = slice(i, i + 10_000)
-        doc = pa.array(ids[s], mask=ids[s] == _NO_ID)
-        nothing = [pa.nulls(len(doc), t) for t in types[3:]]
-        yield pa.record_batch([doc, pa.array(rep[s], mask=ids[s] == _NO_ID), pa.array(sizes[s]), *nothing], names=names)
+    ids, sizes, signs, copies = map(np.concatenate, members)
+    order = np.lexsort((ids, signs))
+    ids, sizes, signs, copies = ids[order], sizes[order], signs[order], copies[order]
+    starts = np.flatnonzero(np.concatenate([[True], signs[1:] != signs[:-1]]))
+    several = np.add.reduceat(copies, starts) > 1
+    ids, sizes, signs = ids[starts], sizes[starts], signs[starts]
+    yield made(_MEMBERS, ids[several], signs[several], sizes[several])
     if not shared[0]:
         return
     sign, token, often = map(np.concatenate, shared)
     order = np.lexsort((token, often, sign))
     sign, token, often = sign[order], token[order], often[order]
+    new = np.concatenate([[True], (sign[1:] != sign[:-1]) | (token[1:] != token[:-1])])
+    sign, token, often = sign[new], token[new], often[new]
     starts = np.flatnonzero(np.concatenate([[True], sign[1:] != sign[:-1]]))
     counts = np.diff(np.concatenate([starts, [len(sign)]]))
-    cls = first[np.searchsorted(known, sign[starts])]
+    cls = np.searchsorted(signs, sign[starts])
     left = prefix_length(sizes[cls]) - (sizes[cls] - counts)
-    rows = []
-    for a, c, k, p in zip(starts.tolist(), counts.tolist(), cls.tolist(), left.tolist(), strict=True):
-        if p > 0:
-            rows.append((None, int(ids[k]), int(sizes[k]), token[a : a + c].astype(np.int64), often[a : a + min(c, p + 1)].astype(np.int32), p))
-        if len(rows) >= 500:
-            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-            rows = []
-    if rows:
-        yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+    open_ = np.flatnonzero(left > 0)
+    for i in range(0, len(open_), 500):
+        at = open_[i : i + 500]
+        spans = [(a, a + c, a + min(c, p + 1)) for a, c, p in zip(starts[at].tolist(), counts[at].tolist(), left[at].tolist(), strict=True)]
+        k = cls[at]
+        yield made(_SHARED, ids[k], signs[k], sizes[k], [token[a:b].astype(np.int64) for a, b, _ in spans], [often[a:c].astype(np.int32) for a, _, c in spans], left[at].tolist())
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, threshold: tuple[int, int]) -> DataFrame:
@@ -341,14 +365,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     rows = only.mapInArrow(_shingled(n), _ROW_SQL).repartitionById(n, F.col("part"))
     rows = rows.mapInArrow(_counted(n), _ROW_SQL).repartitionById(n, F.col("part"))
     done = materialise(rows.mapInArrow(_classes, _CLASSES_SQL))
-    members = done.where("tokens is null").select("doc_id", "rep", "n")
-    classes = done.where("tokens is not null").select("rep", "n", "tokens", "often", "prefix")
-    if not classes.isEmpty():
-        component = materialise(linked_components(classes, threshold, frequent, rounds).where("rep <> c"))
-        members = members.join(component, "rep", "left")
+    classes = done.where(F.col("kind") == _SHARED).select(F.col("doc_id").alias("rep"), "n", "tokens", "often", "prefix")
+    if classes.isEmpty():
+        component = spark.createDataFrame([], "rep long, c long")
     else:
-        members = members.withColumn("c", F.col("rep"))
-    return members.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("rep").alias("class_id"), F.coalesce("c", "rep").alias("component_id"))
+        component = linked_components(classes, threshold, frequent, rounds).where("rep <> c")
+    # A class of one document is known by that document's id; only classes of several need a name.
+    names = materialise(done.where(F.col("kind") == _MEMBERS).select("sign", F.col("doc_id").alias("rep")).join(materialise(component), "rep", "left"))
+    singles = materialise(component.withColumnsRenamed({"rep": "doc_id", "c": "own"}))
+    out = done.where(F.col("kind") == _DOCUMENTS).select("doc_id", "sign", "n").join(names, "sign", "left").join(singles, "doc_id", "left")
+    linkable = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    rep = F.when(linkable, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id"))
+    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), rep.alias("class_id"), F.when(linkable, F.coalesce("c", "rep", "own", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 ORACLE = r"""
