@@ -36,11 +36,14 @@ def chunks_of(text: Column, min_chars: int = MIN_CHARS, max_chars: int = MAX_CHA
 def colliding_chunks(chunks: DataFrame, hashed: Column) -> DataFrame:
     """Distinct texts of column ``chunk`` whose hash another text has too: (chunk, h, nth).
 
-    Each distinct chunk moves once after a map-side aggregation. Nearly always no row comes out.
+    Each distinct chunk moves once, after a map-side aggregation; then hashes alone are counted.
+    Only if two texts share a hash, which is rare, are those texts gathered in a second pass.
     """
     distinct = chunks.groupBy("chunk").agg(F.count(F.lit(1)).alias("n")).select("chunk", hashed.alias("h"))
-    shared = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    return distinct.join(shared, "h", "left_semi").withColumn("nth", F.row_number().over(W.partitionBy("h").orderBy("chunk")))
+    shared = materialise(distinct.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))
+    if shared.isEmpty():
+        return chunks.sparkSession.createDataFrame([], "chunk string, h long, nth int")
+    return materialise(distinct.join(shared, "h", "left_semi").withColumn("nth", F.row_number().over(W.partitionBy("h").orderBy("chunk"))))
 
 
 def recipes(docs: DataFrame, text: str = "text", hashed=F.xxhash64) -> DataFrame:
@@ -50,7 +53,7 @@ def recipes(docs: DataFrame, text: str = "text", hashed=F.xxhash64) -> DataFrame
     """
     body = normalised(F.col(text))
     with_chunks = docs.withColumn("chunks", chunks_of(body))
-    collided = materialise(colliding_chunks(with_chunks.select(F.explode("chunks").alias("chunk")), hashed(F.col("chunk"))))
+    collided = colliding_chunks(with_chunks.select(F.explode("chunks").alias("chunk")), hashed(F.col("chunk")))
     made = with_chunks.withColumn("text_sha256", F.sha2(body.cast("binary"), 256)).withColumn("recipe", F.transform("chunks", lambda c: hashed(c)))
     if collided.isEmpty():
         return made.drop("chunks")
