@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bsi_topk, byte_bpe, exact_dedup, language_id, license_scan, ngram_join, source_mix, token_counts, url_filter
+from . import bsi_topk, byte_bpe, exact_dedup, html_extract, language_id, license_scan, ngram_join, source_mix, token_counts, url_filter
 from .common import table
 
 
@@ -10,6 +10,10 @@ def op1_language_id(spark, sf_dir):
     return language_id.identify_table(table(spark, sf_dir, "documents"))
 
 
+def op2_html_extract(spark, sf_dir):
+    return html_extract.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op3_byte_bpe(spark, sf_dir):
     return byte_bpe.digests(byte_bpe.encode(table(spark, sf_dir, "documents")))
 
@@ -43,7 +47,7 @@ def op10_url_filter(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_language_id, op3_byte_bpe, op4_token_counts, op5_bit_sliced_topk, op6_exact_dedup, op7_license_scan, op8_source_mix, op9_ngram_jaccard_join, op10_url_filter)}
+    return {f.__name__: f for f in (op1_language_id, op2_html_extract, op3_byte_bpe, op4_token_counts, op5_bit_sliced_topk, op6_exact_dedup, op7_license_scan, op8_source_mix, op9_ngram_jaccard_join, op10_url_filter)}
 
 
 def oracle_sql():
