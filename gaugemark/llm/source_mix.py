@@ -44,9 +44,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
         .withColumn("goal", F.sum("source_size").over(everything) * F.lit(float(share)))
     )
     level = (F.col("goal") - F.col("caps_below")) / F.col("weight_from")
-    # The first source (by cap per weight) that the level does not fill sets the level for all.
+    # The first source (by cap per weight) that its level does not fill sets the level for all; later ones only have lower levels.
     ranked = ranked.withColumn("level", level).withColumn("open", F.col("level") <= F.col("cap") / F.col("weight"))
-    final = F.min(F.when(F.col("open"), F.col("level"))).over(everything)
+    final = F.max(F.when(F.col("open"), F.col("level"))).over(everything)
     return ranked.withColumn("target", F.least(F.col("cap"), F.coalesce(final * F.col("weight"), F.col("cap")))).select("source", "source_size", "target")
 
 
@@ -90,7 +90,7 @@ r AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST
       sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS weight_from,
       sum(source_size) OVER () * 1.5::DOUBLE AS goal FROM w),
 l AS (SELECT *, (goal - caps_below) / weight_from::DOUBLE AS level FROM r),
-g AS (SELECT source, source_size, least(cap, coalesce(min(CASE WHEN level <= cap / weight THEN level END) OVER () * weight, cap)) AS target FROM l),
+g AS (SELECT source, source_size, least(cap, coalesce(max(CASE WHEN level <= cap / weight THEN level END) OVER () * weight, cap)) AS target FROM l),
 k AS (SELECT d2.*, g.source_size, g.target, row_number() OVER (PARTITION BY d2.source ORDER BY class, h, doc_id)::DOUBLE AS place,
       ('0x' || substr(md5('20240/' || coalesce(d2.source, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u,
       CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0 END AS e
