@@ -88,6 +88,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", has
     )
 
 
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns.
+
+    Texts move once, to meet the small table of (id, digest) of the rows that stay. Only if rows
+    repeat an id and a text are they reduced to one in a further step.
+    """
+    flags = materialise(exact_dedup(docs, id_col, text).select(F.col(id_col).alias("id_"), F.col("text_sha256").alias("sha_"), "kept"))
+    repeats = not flags.groupBy("id_", "sha_").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    sha = own_name("sha", docs.columns)
+    hashed = docs.withColumn(sha, F.sha2(normalised(F.col(text)).cast("binary"), 256))
+    stay = flags.where("kept").select("id_", "sha_")
+    out = hashed.join(stay, hashed[id_col].eqNullSafe(stay["id_"]) & (hashed[sha] == stay["sha_"]), "left_semi")
+    return (out.dropDuplicates([id_col, sha]) if repeats else out).select(docs.columns)
+
+
 ORACLE = r"""
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
