@@ -36,8 +36,9 @@ from .blocks import Vocabulary, ragged, text_blocks, unvarints, varints
 from .common import partitions, ship
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-BLOCK_BYTES, MOST_WORDS, OUT_IDS = 8 << 20, 1 << 20, 1 << 21
-_WORDS, _LAYOUT, _DOCUMENT = 0, 1, 2
+BLOCK_BYTES, MOST_WORDS, OUT_IDS = 8 << 20, 1 << 19, 1 << 20
+GROUP_DOCS = 64
+_WORDS, _LAYOUT, _DOCUMENTS = 0, 1, 2
 
 
 @lru_cache(maxsize=4)
@@ -83,8 +84,8 @@ def _unpack(data: bytes) -> list[bytes]:
 
 
 def _split(buckets: int, id_type: pa.DataType):
-    """Documents -> rows of words by bucket, of each block's layout, and of documents by position."""
-    schema = pa.schema([("part", pa.int32()), ("home", pa.int32()), ("block", pa.int64()), ("kind", pa.int8()), ("bucket", pa.int32()), ("id", id_type), ("data", pa.binary())])
+    """Documents -> rows of words by bucket, of each block's layout, and of a few documents each by position."""
+    schema = pa.schema([("part", pa.int32()), ("home", pa.int32()), ("block", pa.int64()), ("kind", pa.int8()), ("bucket", pa.int32()), ("ids", pa.list_(id_type)), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, partition = pre_tokens(), TaskContext.get().partitionId()
@@ -108,8 +109,13 @@ def _split(buckets: int, id_type: pa.DataType):
             rows = [(home, home, block, _LAYOUT, -1, None, zlib.compress(bucket.astype("<u4").tobytes(), 1))]
             for b in np.flatnonzero(np.diff(cuts)).tolist():
                 rows.append((b, home, block, _WORDS, b, None, _pack([spelled[i] for i in by_bucket[cuts[b] : cuts[b + 1]].tolist()])))
-            for key, c in zip(table.column("id"), codes, strict=True):
-                rows.append((home, home, block, _DOCUMENT, -1, key.as_py(), varints(rank[c])))
+            keys = table.column("id").to_pylist()
+            for i in range(0, len(codes), GROUP_DOCS):
+                group = codes[i : i + GROUP_DOCS]
+                lengths = varints(np.fromiter(map(len, group), np.int64, len(group)))
+                positions = varints(rank[np.concatenate(group)])
+                data = zlib.compress(len(lengths).to_bytes(4, "little") + lengths + positions, 1)
+                rows.append(((home + i) % buckets, home, block, _DOCUMENTS, -1, keys[i : i + GROUP_DOCS], data))
             yield _batch(rows, schema)
 
     return run
@@ -163,7 +169,7 @@ def _join(path: str, id_type: pa.DataType, id_col: str):
             return pa.record_batch([pa.array(keys, id_type), values], names=[id_col, "ids"])
 
         for batch in batches:
-            for block, what, key, data in zip(*(batch.column(c).to_pylist() for c in ("block", "kind", "id", "data")), strict=True):
+            for block, what, keys, data in zip(*(batch.column(c).to_pylist() for c in ("block", "kind", "ids", "data")), strict=True):
                 if block != now:
                     now, counts, ids, starts = block, [], [], None
                 if what == _WORDS:
@@ -180,13 +186,16 @@ def _join(path: str, id_type: pa.DataType, id_col: str):
                         lengths[order] = each = np.concatenate(counts)
                         starts[order] = np.cumsum(each) - each
                 else:
-                    codes = unvarints(data)
-                    found = ragged(flat, starts[codes], lengths[codes]) if len(codes) else np.zeros(0, np.int32)
-                    out.append((key, found))
-                    size += len(found)
-                    if size >= OUT_IDS or len(out) >= 10_000:
-                        yield made()
-                        out, size = [], 0
+                    raw = zlib.decompress(data)
+                    n = int.from_bytes(raw[:4], "little")
+                    ends = np.cumsum(unvarints(raw[4 : 4 + n]))
+                    for key, codes in zip(keys, np.split(unvarints(raw[4 + n :]), ends[:-1]), strict=True):
+                        found = ragged(flat, starts[codes], lengths[codes]) if len(codes) else np.zeros(0, np.int32)
+                        out.append((key, found))
+                        size += len(found)
+                        if size >= OUT_IDS or len(out) >= 10_000:
+                            yield made()
+                            out, size = [], 0
         if out:
             yield made()
 
@@ -204,7 +213,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: st
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow_id = to_arrow_type(id_type)
-    schema = T.StructType([T.StructField(x, t) for x, t in (("part", T.IntegerType()), ("home", T.IntegerType()), ("block", T.LongType()), ("kind", T.ByteType()), ("bucket", T.IntegerType()), ("id", id_type), ("data", T.BinaryType()))])
+    schema = T.StructType([T.StructField(x, t) for x, t in (("part", T.IntegerType()), ("home", T.IntegerType()), ("block", T.LongType()), ("kind", T.ByteType()), ("bucket", T.IntegerType()), ("ids", T.ArrayType(id_type)), ("data", T.BinaryType()))])
     rows = only.mapInArrow(_split(n, arrow_id), schema).repartitionById(n, F.col("part"))
     rows = rows.mapInArrow(_encode_words(path), schema)
     # Words sort before their block's layout, the layout before the documents.
