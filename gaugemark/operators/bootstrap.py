@@ -156,7 +156,7 @@ def variance_ratio_bootstrap(df: DataFrame, by: Sequence[str], station: str = "s
     centred = df.join(df.groupBy(*by, station).agg(F.avg("fcst").alias("cf_"), F.avg("obs").alias("co_")), [*by, station])
     f, o = F.col("fcst") - F.col("cf_"), F.col("obs") - F.col("co_")
     sums = centred.groupBy(*by, station, F.col(day).alias("day_")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(f).alias("f"), F.sum(f * f).alias("ff"), F.sum(o).alias("o"), F.sum(o * o).alias("oo"), F.min("obs").alias("lo"), F.max("obs").alias("hi"))
-    joined = sums.join(index, list(by)).withColumn("at_", F.array_position("days_", F.col("day_")).cast("int") - 1).withColumn("days_", F.size("days_"))
+    joined = (sums.join(index, list(by)) if by else sums.join(F.broadcast(index))).withColumn("at_", F.array_position("days_", F.col("day_")).cast("int") - 1).withColumn("days_", F.size("days_"))
     schema = T.StructType([*(joined.schema[b] for b in by), T.StructField("draw", T.IntegerType()), T.StructField("ratio", T.DoubleType()), T.StructField("n_days", T.IntegerType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

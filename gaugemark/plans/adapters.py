@@ -1,6 +1,7 @@
 """The driver's test tables as tables of this domain, in Spark and in DuckDB's SQL.
 
-Both forms round to the same digits, so that results can be compared by value.
+Both forms round to the same digits, so that results can be compared by value; a small offset keeps
+means of few values off the ties of rounding.
 """
 
 from __future__ import annotations
@@ -17,15 +18,15 @@ def obs_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly observations of five stations (event types) and three variables."""
     events = _read(spark, sf_dir, "events").select("event_type", F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("t"), "value")
     mean = events.groupBy(F.col("event_type").alias("station_id"), F.col("t").alias("valid_time")).agg(F.avg("value").alias("v"))
-    forms = F.explode(F.array(*(F.struct(F.lit(n).alias("variable"), x.alias("value")) for n, x in (("t2m", F.round(F.lit(270.0) + F.col("v") / 4, 1)), ("wind10m", F.round(F.col("v") / 5, 0)), ("precip_1h", F.round(F.greatest(F.col("v") - 60, F.lit(0.0)), 1)))))).alias("x")
+    forms = F.explode(F.array(*(F.struct(F.lit(n).alias("variable"), x.alias("value")) for n, x in (("t2m", F.round(F.lit(270.000137) + F.col("v") / 4, 1)), ("wind10m", F.round(F.col("v") / 5 + 0.000137, 0)), ("precip_1h", F.round(F.greatest(F.col("v") - 59.999863, F.lit(0.0)), 1)))))).alias("x")
     return mean.select("station_id", "valid_time", forms).select("station_id", "x.variable", "valid_time", "x.value")
 
 
 OBS = """
 hourly AS (SELECT event_type AS station_id, date_trunc('hour', ts) AS valid_time, avg(value) AS v FROM events GROUP BY 1, 2),
-obs AS (SELECT station_id, 't2m' AS variable, valid_time, round(270.0 + v / 4, 1) AS value FROM hourly
-  UNION ALL SELECT station_id, 'wind10m', valid_time, round(v / 5, 0) FROM hourly
-  UNION ALL SELECT station_id, 'precip_1h', valid_time, round(greatest(v - 60, 0.0), 1) FROM hourly)"""
+obs AS (SELECT station_id, 't2m' AS variable, valid_time, round(270.000137::DOUBLE + v / 4, 1) AS value FROM hourly
+  UNION ALL SELECT station_id, 'wind10m', valid_time, round(v / 5 + 0.000137::DOUBLE, 0) FROM hourly
+  UNION ALL SELECT station_id, 'precip_1h', valid_time, round(greatest(v - 59.999863::DOUBLE, 0.0), 1) FROM hourly)"""
 
 
 def obs_qc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -172,9 +172,9 @@ def elev_adjust(spark, sf_dir):
 
 
 @_query(f"""WITH {A.OBS_MULTI}, i AS (SELECT floor((-30.0 + c) / 0.25)::INT AS cell_lat, floor(-51.1 / 0.25)::INT AS cell_lon, valid_time, var_samp(value) AS v, count(DISTINCT station_id) AS n FROM obs_multi GROUP BY 1, 2, 3 HAVING count(DISTINCT station_id) >= 2)
-SELECT cell_lat, cell_lon, 't2m' AS variable, round(median(v), 4) AS floor_var, max(n) AS n_stations, count(*) AS n_times FROM i GROUP BY 1, 2""")
+SELECT cell_lat, cell_lon, 't2m' AS variable, round(median(v), 8) AS floor_var, max(n) AS n_stations, count(*) AS n_times FROM i GROUP BY 1, 2""")
 def repr_floor(spark, sf_dir):
-    return matching.repr_floor(A.obs_multi(spark, sf_dir), A.multi_stations(spark, sf_dir)).withColumn("floor_var", F.round("floor_var", 4))
+    return matching.repr_floor(A.obs_multi(spark, sf_dir), A.multi_stations(spark, sf_dir)).withColumn("floor_var", F.round("floor_var", 8))
 
 
 @_query(f"""WITH {A.FORECASTS} SELECT station_id, model, variable, {_SQL_TS}, value AS fcst_raw, round({_ADJUSTED}, 6) AS fcst_elev_adj, round(obs, 4) AS obs, delta_z, qc_flags FROM tagged WHERE drop_reason IS NULL""")

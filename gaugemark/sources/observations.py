@@ -76,9 +76,9 @@ def parse_station_files(files: DataFrame, stations: list[str] | None = None) ->
     their lines are split up.
     """
     lines = files.select("path", F.split(F.regexp_replace("text", r"\r\n?", "\n"), "\n").alias("lines"))
-    code_line = F.filter(F.slice("lines", 1, 8), lambda x: _plain(x).startswith("CODIGO (WMO)"))[0]
+    code_line = F.get(F.filter(F.slice("lines", 1, 8), lambda x: _plain(x).startswith("CODIGO (WMO)")), F.lit(0))
     code = F.trim(F.regexp_extract(code_line, r"^[^;]*;(.*)$", 1))
-    header = F.col("lines")[8]
+    header = F.coalesce(F.get("lines", F.lit(8)), F.lit(""))
     fail = lambda text: F.raise_error(F.concat(F.lit(f"{text}: "), F.col("path")))
     heads = F.transform(F.split(header, ";"), _plain)
     found = lines.select("path", "lines", F.when(F.coalesce(F.length(code), F.lit(0)) > 0, code).otherwise(fail("no station code").cast("string")).alias("native_id"), F.when(header.startswith("Data;"), heads).otherwise(fail("no header in line 9").cast("array<string>")).alias("heads"))
@@ -89,7 +89,7 @@ def parse_station_files(files: DataFrame, stations: list[str] | None = None) ->
         at = F.filter(F.transform(F.col("heads"), lambda x, i: F.when(x.contains(title), i)), lambda i: i.isNotNull())
         return F.when(F.size(at) == 1, at[0]).otherwise(fail(f"column {title} not found once").cast("int"))
 
-    places = F.array(*(F.struct(F.lit(v).alias("variable"), place(t).alias("at")) for t, v in BULK_COLUMNS.items()))
+    places = F.array(*(F.named_struct(F.lit("variable"), F.lit(v), F.lit("at"), place(t)) for t, v in BULK_COLUMNS.items()))
     data = found.select("path", "native_id", places.alias("places"), F.explode(F.slice("lines", F.lit(10), F.greatest(F.lit(0), F.size("lines") - 9))).alias("line")).where(F.trim("line") != "")
     cells = data.select("path", "native_id", F.split("line", ";").alias("cells"), F.explode("places").alias("p"))
     day = F.regexp_extract(F.get("cells", F.lit(0)), r"^\s*(\d{1,4}/\d{1,2}/\d{1,2})\s*$", 1)
