@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,6 +29,14 @@ def text_blocks(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int)
         yield pa.Table.from_batches(held)
 
 
+def release() -> None:
+    """Give freed memory back to the system, when a task is done: Python workers are reused by later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _lengths(column: pa.Array) -> list[int]:
     import pyarrow.compute as pc
 

@@ -32,12 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import Vocabulary, ragged, text_blocks, unvarints, varints
+from .blocks import Vocabulary, ragged, release, text_blocks, unvarints, varints
 from .common import partitions, ship
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-BLOCK_BYTES, MOST_WORDS, OUT_IDS = 8 << 20, 1 << 19, 1 << 20
-GROUP_DOCS = 64
+BLOCK_BYTES, MOST_WORDS, OUT_IDS = 8 << 20, 1 << 18, 1 << 20
+GROUP_DOCS = 256
 _WORDS, _LAYOUT, _DOCUMENTS = 0, 1, 2
 
 
@@ -73,7 +73,7 @@ def pre_tokens():
 
 def _pack(words: list[bytes]) -> bytes:
     lengths = varints(np.fromiter(map(len, words), np.int64, len(words)))
-    return zlib.compress(len(lengths).to_bytes(4, "little") + lengths + b"".join(words), 1)
+    return zlib.compress(len(lengths).to_bytes(4, "little") + lengths + b"".join(words), 6)
 
 
 def _unpack(data: bytes) -> list[bytes]:
@@ -114,9 +114,11 @@ def _split(buckets: int, id_type: pa.DataType):
                 group = codes[i : i + GROUP_DOCS]
                 lengths = varints(np.fromiter(map(len, group), np.int64, len(group)))
                 positions = varints(rank[np.concatenate(group)])
-                data = zlib.compress(len(lengths).to_bytes(4, "little") + lengths + positions, 1)
+                data = zlib.compress(len(lengths).to_bytes(4, "little") + lengths + positions, 6)
                 rows.append(((home + i) % buckets, home, block, _DOCUMENTS, -1, keys[i : i + GROUP_DOCS], data))
             yield _batch(rows, schema)
+            del words, number, codes, flat, rank, order, spelled, bucket, by_bucket, rows, table, keys
+        release()
 
     return run
 
@@ -147,9 +149,11 @@ def _encode_words(path: str):
                 if what == _WORDS:
                     ids = [known[w] for w in _unpack(data[i])]
                     lengths = varints(np.fromiter(map(len, ids), np.int64, len(ids)) // width)
-                    data[i] = zlib.compress(len(lengths).to_bytes(4, "little") + lengths + b"".join(ids), 1)
+                    data[i] = zlib.compress(len(lengths).to_bytes(4, "little") + lengths + b"".join(ids), 6)
             at = batch.schema.get_field_index("data")
             yield batch.set_column(at, "data", pa.array(data, pa.binary()))
+        known.clear()
+        release()
 
     return run
 
@@ -198,6 +202,9 @@ def _join(path: str, id_type: pa.DataType, id_col: str):
                             out, size = [], 0
         if out:
             yield made()
+            out.clear()
+        counts, ids, starts, lengths, flat = [], [], None, None, None
+        release()
 
     return run
 

@@ -22,8 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors' Python workers this package, once for each Spark context."""
+    """Give the executors' Python workers this package, once for each Spark context.
+
+    Arrow batches are held to 8 MB, so that a worker's memory follows bytes, not rows.
+    """
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
     if getattr(sc, "_gaugemark_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]

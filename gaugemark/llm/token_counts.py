@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import Vocabulary, text_blocks
+from .blocks import Vocabulary, release, text_blocks
 from .byte_bpe import VOCABULARY, pre_tokens, ranks
 from .common import ship
 
@@ -75,7 +75,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, find = UnigramTrie.of_ranks(path), pre_tokens()
-        words, tokens = Vocabulary(), np.zeros(0, np.int64)
+        words, tokens, number = Vocabulary(), np.zeros(0, np.int64), None
         for table in text_blocks(batches, "text", BLOCK_BYTES):
             if len(words) > MOST_WORDS:
                 words, tokens = Vocabulary(), np.zeros(0, np.int64)
@@ -87,5 +87,8 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", pa
             tokens = np.concatenate([tokens, np.array(trie.counts([w.encode() for w in words.new]), np.int64)])
             words.new = []
             yield pa.record_batch([table.column("id").combine_chunks(), pa.array([len(c) for c in codes], pa.int64()), pa.array([int(tokens[c].sum()) for c in codes], pa.int64())], names=[id_col, "n_words", "n_tokens"])
+            del table, codes
+        del words, tokens, number, trie
+        release()
 
     return only.mapInArrow(run, T.StructType([T.StructField(id_col, only.schema["id"].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_tokens", T.LongType())]))
