@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, ship
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -25,16 +28,40 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+#: Up to so many edges (a few MB) one task finds the components by union-find; beyond, stars do.
+LOCAL_EDGES = 1 << 18
+
+
+def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = up
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            parent[max(a, b)] = min(a, b)
+    nodes = list(parent)
+    yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], names=["node", "component"])
+
+
+def components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(node, component): the smallest node reachable from every node of edges (a, b).
 
-    Ends when a pair of steps changes no edge; then every edge joins a node to its component. The
-    number of steps grows with the logarithm of the largest component.
+    The edges are counted first. Beyond ``local_edges`` star steps run until one changes no edge; then
+    every edge joins a node to its component. Their number grows with the logarithm of the largest one.
     """
-    now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = materialise(edges.where("a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).distinct())
     print_ = (F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
     last = now.agg(*print_).first()
-    while last[0]:
+    if last[0] <= local_edges:
+        ship(edges.sparkSession)
+        return now.coalesce(1).mapInArrow(_union_find, "node long, component long")
+    while True:
         now = materialise(_star(_star(now, True), False))
         mark = now.agg(*print_).first()
         if mark == last:
