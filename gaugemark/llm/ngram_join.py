@@ -12,13 +12,17 @@ reachable by links.
    a shingle's uses by all documents; hot anywhere counts as the highest frequency everywhere.
 3. Shingles are ordered by rising frequency. A class of n shingles can only have a partner if they
    share one of its first p = n - ceil(t n) + 1; as shingles of a single class come first, a class with
-   p of them has no partner at all. What is left of the prefix is indexed: rare shingles singly,
-   frequent ones (in more than ``FREQUENT`` classes) as combinations of k = 2 out of the prefix extended
-   by one, of which linked classes share two if they share no rare one.
+   p of them has no partner at all. What is left of the prefix, extended by one, is indexed; linked
+   classes share two shingles of their extended prefixes.
 4. Candidates are verified by the exact size of the intersection. First the lists of the index are
-   verified against leaders (a few rounds, one leader for each class), so that large groups of near
-   copies become one component by a star of links; members of one component need no further pair.
-   Then every pair of classes of different components that still share an index entry is verified.
+   verified against leaders (a few rounds, one leader for each class, first the ones with the fewest
+   shingles of their own), so that large groups of near copies become one component by a star of
+   links; members of one component need no further pair.
+5. What still shares a list across components is indexed anew: shingles that are rare (up to
+   ``FREQUENT`` components in the list) singly, frequent ones as combinations of k = 2. Two linked
+   classes share a rare shingle or, if not, a combination of frequent ones. Every such pair of classes
+   of different components is verified, once, at the first rare shingle that it shares. Pairs whose
+   sizes and places in the order rule a link out are not verified.
 
 Nothing is capped, sampled or dropped: the leader rounds only save pairs whose link could not change
 a component. Hot lists are joined from plain shuffles, which adaptive execution splits.
@@ -39,12 +43,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import text_blocks, unvarints, varints
+from .blocks import release, text_blocks, unvarints, varints
 from .common import materialise, partitions, ship
 from .components import components
 
-WORDS, THRESHOLD, FREQUENT, LEADER_ROUNDS = 5, (3, 4), 256, 4
-BLOCK_BYTES = 4 << 20
+WORDS, THRESHOLD, FREQUENT, LEADER_ROUNDS = 5, (3, 4), 256, 6
+#: Up to so many rare shingles travel with a class, to tell the first one that a pair shares.
+MOST_CARRIED = 512
+BLOCK_BYTES = 2 << 20
 _NO_ID = -(1 << 63)
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _RNG = np.random.default_rng(9)
@@ -88,7 +94,7 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray
             out.append(np.unique(full[a : b - words + 1]))
         elif b > a:
             short = hashed[a:b] * factors[: b - a]
-            out.append(_mixed(np.array([short.sum(dtype=np.uint64) + _SHORT * np.uint64(b - a)])) >> np.uint64(16))
+            out.append(_mixed(np.array([int(short.sum(dtype=np.uint64)) + int(_SHORT) * (b - a) & (1 << 64) - 1], np.uint64)) >> np.uint64(16))
         else:
             out.append(none)
     return out
@@ -179,6 +185,9 @@ def _shingled(n: int):
                     has = np.flatnonzero(counts)
                     rows.append((p, _TOKENS, _blob(_six(token[i]), signs[first[has]].tobytes(), varints(counts[has]))))
             yield _rows(rows)
+            del table, sets, rows
+        token = owner = distinct = of = None
+        release()
 
     return run
 
@@ -230,6 +239,8 @@ def _counted(n: int):
         order = np.argsort(sign, kind="stable")
         if rows := _by_class(sign[order], token[order], often[order], n):
             yield _rows(rows)
+        del token, sign, often, order, rows
+        release()
 
     return run
 
@@ -294,12 +305,14 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans = [(a, a + c, a + min(c, p + 1)) for a, c, p in zip(starts[at].tolist(), counts[at].tolist(), left[at].tolist(), strict=True)]
         k = cls[at]
         yield made(_SHARED, ids[k], signs[k], sizes[k], [token[a:b].astype(np.int64) for a, b, _ in spans], [often[a:c].astype(np.int32) for a, _, c in spans], left[at].tolist())
+    del sign, token, often, order, new, members, shared
+    release()
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) that link: by the exact size of their intersection."""
     side = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}"))
-    both = materialise(pairs).join(side("a"), "a").join(side("b"), "b")
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("ta", "tb"))
     return both.where(threshold[1] * common >= threshold[0] * (F.col("na") + F.col("nb") - common)).select("a", "b")
 
@@ -310,48 +323,61 @@ def _merged(component: DataFrame, links: DataFrame) -> DataFrame:
     return materialise(component.join(materialise(moved), "c", "left").select("rep", F.coalesce("to", "c").alias("c")))
 
 
-def _fits(threshold: tuple[int, int], a: str, b: str):
-    return threshold[1] * F.least(a, b) >= threshold[0] * F.greatest(a, b)
+def _fits(threshold: tuple[int, int]):
+    """Whether two classes may link that share the shingles at places ``at`` and ``atb`` of s and sb ordered ones.
+
+    Before these places they share no more than the smaller place, behind them no more than the smaller rest.
+    """
+    most = F.least("at", "atb") + 1 + F.least(F.col("s") - F.col("at"), F.col("sb") - F.col("atb")) - 1
+    return (threshold[0] + threshold[1]) * most >= threshold[0] * (F.col("n") + F.col("nb"))
 
 
 def linked_components(classes: DataFrame, threshold: tuple[int, int] = THRESHOLD, frequent: int = FREQUENT, rounds: int = LEADER_ROUNDS) -> DataFrame:
     """(rep, c): the smallest representative that every class which can have partners reaches."""
     zipped = F.arrays_zip(F.slice("tokens", F.lit(1), F.col("prefix") + 1).alias("key"), F.col("often").alias("often"))
-    entries = classes.select("rep", "n", "prefix", F.posexplode(zipped).alias("at", "x")).select("rep", "n", F.col("x.key").alias("key"), F.col("x.often").alias("often"), (F.col("at") < F.col("prefix")).alias("own"))
+    # Shingles that no other class has, out of a thousand: the fewer, the better a class leads.
+    own = ((F.col("n") - F.size("tokens")) * 1000 / F.col("n")).cast("long")
+    entries = classes.select("rep", "n", F.size("tokens").alias("s"), own.alias("alone"), F.posexplode(zipped).alias("at", "x")).select("rep", "n", "s", "alone", "at", F.col("x.key").alias("key"))
     entries = materialise(entries)
     component = materialise(classes.select("rep", F.col("rep").alias("c")))
-    open_ = entries.withColumn("c", F.col("rep"))
+    name = lambda x: component.select(F.col("rep").alias(x), F.col("c").alias(f"c{x}"))
     for r in range(rounds + 1):
-        if r:
-            open_ = entries.join(component, "rep")
-        mixed = open_.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("key")
-        open_ = materialise(open_.join(materialise(mixed), "key", "left_semi"))
-        if open_.isEmpty():
+        open_ = materialise(entries.join(component, "rep")) if r else entries.withColumn("c", F.col("rep"))
+        order = F.col("alone") if r == 0 else F.xxhash64("rep", F.lit(r))
+        leader = F.min(F.struct(order.alias("o"), "rep", "n", "s", "at", "c")).alias("l")
+        lists = open_.groupBy("key").agg(leader, F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("key", F.col("l.rep").alias("b"), F.col("l.n").alias("nb"), F.col("l.s").alias("sb"), F.col("l.at").alias("atb"), F.col("l.c").alias("cb"))
+        lists = materialise(lists)
+        if lists.isEmpty():
             return component
         if r == rounds:
             break
-        order = F.col("rep") if r == 0 else F.xxhash64("rep", F.lit(r))
-        leaders = open_.where("own").groupBy("key").agg(F.min(F.struct(order.alias("o"), "rep", "n", "c")).alias("l")).select("key", F.col("l.rep").alias("b"), F.col("l.n").alias("nb"), F.col("l.c").alias("cb"))
-        meet = open_.where("own").join(materialise(leaders), "key").where((F.col("c") != F.col("cb")) & _fits(threshold, "n", "nb"))
+        meet = open_.join(lists, "key").where((F.col("c") != F.col("cb")) & _fits(threshold))
         votes = meet.groupBy(F.col("rep").alias("a"), "b").agg(F.count(F.lit(1)).alias("v"))
-        pairs = votes.groupBy("a").agg(F.max(F.struct("v", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
+        pairs = materialise(votes.groupBy("a").agg(F.max(F.struct("v", "b")).alias("x")).select("a", F.col("x.b").alias("b")))
         links = _verified(pairs, classes, threshold)
-        name = lambda x: component.select(F.col("rep").alias(x), F.col("c").alias(f"c{x}"))
         links = materialise(links.join(name("a"), "a").join(name("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-        if not links.isEmpty():
+        found = links.count()
+        if found:
             component = _merged(component, links)
-    # What is left: pairs of different components that share a rare shingle or two frequent ones.
-    rare = open_.where(F.col("own") & (F.col("often") <= frequent)).select("rep", "n", "c", "key", F.lit(0).cast("long").alias("key2"))
-    many = open_.where(F.col("often") > frequent)
-    second = many.select("rep", F.col("key").alias("key2"))
-    combined = many.join(second, "rep").where("key < key2").select("rep", "n", "c", "key", "key2")
-    index = materialise(rare.unionByName(combined))
-    lists = index.groupBy("key", "key2").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("key", "key2")
-    index = materialise(index.join(materialise(lists), ["key", "key2"], "left_semi"))
-    other = index.withColumnsRenamed({"rep": "b", "n": "nb", "c": "cb"})
-    pairs = index.join(other, ["key", "key2"]).where((F.col("rep") < F.col("b")) & (F.col("c") != F.col("cb")) & _fits(threshold, "n", "nb")).select(F.col("rep").alias("a"), "b").distinct()
-    links = _verified(pairs, classes, threshold)
-    name = lambda x: component.select(F.col("rep").alias(x), F.col("c").alias(f"c{x}"))
+        if found * 20 < pairs.count():  # leaders settle little more; the rest is verified pair by pair
+            open_ = materialise(entries.join(component, "rep"))
+            break
+    lists = open_.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.approx_count_distinct("c", 0.05).alias("components")).where("least <> most").select("key", (F.col("components") <= frequent).alias("rare"))
+    open_ = materialise(open_.join(materialise(lists), "key"))
+    rare, many = open_.where("rare"), open_.where(~F.col("rare"))
+    carried = rare.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("at", "key"))).alias("k"))  # a prefix at most
+    carried = carried.select("rep", F.when(F.size("k") <= MOST_CARRIED, F.transform("k", lambda x: x["key"])).alias("keys"))
+    rare = materialise(rare.join(carried, "rep").select("rep", "n", "s", "at", "c", "key", "keys"))
+    other = rare.withColumnsRenamed({"rep": "b", "n": "nb", "s": "sb", "at": "atb", "c": "cb", "keys": "keysb"})
+    apart = (F.col("rep") < F.col("b")) & (F.col("c") != F.col("cb")) & _fits(threshold)
+    first = F.coalesce(F.get(F.array_intersect("keys", "keysb"), F.lit(0)) == F.col("key"), F.lit(True))
+    pairs = rare.join(other, "key").where(apart & first).select(F.col("rep").alias("a"), "b")
+    if not many.isEmpty():
+        second = many.select("rep", F.col("key").alias("key2"))
+        combined = materialise(many.join(second, "rep").where("key < key2").select("rep", "n", "s", "at", "c", "key", "key2"))
+        other = combined.withColumnsRenamed({"rep": "b", "n": "nb", "s": "sb", "at": "atb", "c": "cb"})
+        pairs = pairs.unionByName(combined.join(other, ["key", "key2"]).where(apart).select(F.col("rep").alias("a"), "b"))
+    links = _verified(materialise(pairs.distinct()), classes, threshold)
     links = materialise(links.join(name("a"), "a").join(name("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
     return component if links.isEmpty() else _merged(component, links)
 
