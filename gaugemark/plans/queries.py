@@ -11,6 +11,7 @@ from ..functions import contracts as C
 from ..operators import bootstrap, geo, matching, metrics, qc, strata, tests
 from ..sources import gridindex, indices, observations, stations as station_sources
 from . import adapters as A
+from . import registry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -512,3 +513,14 @@ def oni_parse(spark, sf_dir):
     value = F.when(F.col("id") % 9 == 0, "n/a").otherwise(((F.col("id") % 41 - 20) / 10.0).cast("string"))
     lines = ids.select(F.concat_ws("  ", season_name, F.lit("2001"), F.lit("27.1"), value).alias("line"))
     return indices.parse_oni(lines).where("drop_reason is null").groupBy("month").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("oni"), 4).alias("total"))
+
+
+@_query()
+def results_table(spark, sf_dir):
+    df = strata.with_season(A.pairs(spark, sf_dir))
+    return registry.metric_rows(df, ["mae", "bias"], "test", ["season"], n_boot=100)
+
+
+@_query()
+def results_paired(spark, sf_dir):
+    return registry.paired_rows(A.pairs(spark, sf_dir).where("lead_hours <= 48"), ["A", "N", "R"], "test")
