@@ -32,11 +32,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .blocks import Vocabulary, text_blocks
+from .blocks import Vocabulary, release, text_blocks
 from .common import ship
 
 ORDER, PER_LANGUAGE, UNDETERMINED = 4, 1000, "und"
-BLOCK_BYTES, MOST_WORDS = 2 << 20, 1 << 20
+BLOCK_BYTES, MOST_WORDS = 2 << 20, 1 << 18
 _LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -216,6 +216,9 @@ def identify(docs: DataFrame, trees: ContextTrees, text: str = "text", pred: str
             lang, share = scorer.score(block.column(text).to_pylist())
             out = block.append_column(pred, pa.array(lang, pa.string())).append_column(score, pa.array(share, pa.float64()))
             yield from out.combine_chunks().to_batches()
+            del block, out, lang, share
+        del scorer
+        release()
 
     schema = T.StructType([*docs.schema.fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])
     return docs.mapInArrow(run, schema)
