@@ -132,25 +132,28 @@ def _positions(bitmap: np.ndarray) -> np.ndarray:
     return words[word] * 64 + bit
 
 
+_PACKED = (T.LongType(), T.BinaryType(), T.BinaryType(), T.IntegerType(), T.StringType())
+
+
 def _gather(names: list[str]):
-    """A group of (id, values) rows -> one row with its ids and values in the order of the ids."""
+    """A group of (id, values) rows -> one row with its ids and values in the order of the ids, in the narrowest integers."""
 
     def run(group: pa.Table) -> pa.Table:
         ids = group.column("id").to_numpy()
-        lists = group.column("values").to_pylist()
-        values = np.zeros((len(lists), max(map(len, lists))), np.int64)
-        for i, x in enumerate(lists):
-            values[i, : len(x)] = x
+        lists = group.column("values").combine_chunks()
+        lengths = np.diff(lists.offsets.to_numpy())
+        values = np.zeros((len(ids), int(lengths.max())), np.int64)
+        values[np.arange(values.shape[1]) < lengths[:, None]] = lists.flatten().to_numpy()
         order = np.argsort(ids, kind="stable")
-        number = group.column("group")[0].as_py()
-        row = [[number], [ids[order].astype("<i8").tobytes()], [values[order].astype("<i8").tobytes()], [values.shape[1]]]
-        return pa.table([pa.array(x, t) for x, t in zip(row, (pa.int64(), pa.binary(), pa.binary(), pa.int32()), strict=True)], names=names)
+        kind = next(k for k in ("<i1", "<i2", "<i4", "<i8") if np.iinfo(k).min <= values.min() and values.max() <= np.iinfo(k).max)
+        row = [[group.column("group")[0].as_py()], [ids[order].astype("<i8").tobytes()], [values[order].astype(kind).tobytes()], [values.shape[1]], [kind]]
+        return pa.table([pa.array(x, t) for x, t in zip(row, (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.string()), strict=True)], names=names)
 
     return run
 
 
 def _packed(rows: DataFrame, groups: int, names: list[str]) -> DataFrame:
-    schema = T.StructType([T.StructField(n, t) for n, t in zip(names, (T.LongType(), T.BinaryType(), T.BinaryType(), T.IntegerType()), strict=True)])
+    schema = T.StructType([T.StructField(n, t) for n, t in zip(names, _PACKED, strict=True)])
     return rows.withColumn("group", F.pmod(F.xxhash64("id", "values"), F.lit(groups))).groupBy("group").applyInArrow(_gather(names), schema)
 
 
@@ -162,8 +165,8 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding",
     query = F.col("id") % every == 0
     n = rows.agg(F.count(F.lit(1)).alias("rows"), F.count_if(query).alias("queries")).first()
     blocks, chunks = max(1, -(-n["rows"] // block_rows)), max(1, -(-n["queries"] // chunk_queries))
-    index = materialise(_packed(rows, blocks, ["block", "ids", "values", "dims"]))
-    asked = materialise(_packed(rows.where(query), chunks, ["chunk", "query_ids", "queries", "query_dims"]))
+    index = materialise(_packed(rows, blocks, ["block", "ids", "values", "dims", "kind"]))
+    asked = materialise(_packed(rows.where(query), chunks, ["chunk", "query_ids", "queries", "query_dims", "query_kind"]))
     left = index.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
     right = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
@@ -172,9 +175,9 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding",
         for batch in batches:
             for row in batch.to_pylist():
                 if held != row["block"]:
-                    held, block = row["block"], Block(np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["values"], "<i8").reshape(-1, row["dims"]))
+                    held, block = row["block"], Block(np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["values"], row["kind"]).reshape(-1, row["dims"]).astype(np.int64))
                 out = ([], [], [])
-                queries = np.frombuffer(row["queries"], "<i8").reshape(-1, row["query_dims"])
+                queries = np.frombuffer(row["queries"], row["query_kind"]).reshape(-1, row["query_dims"])
                 for q, values in zip(np.frombuffer(row["query_ids"], "<i8").tolist(), queries, strict=True):
                     best, scores = block.top(q, values, k)
                     out[0].extend([q] * len(best))
