@@ -54,13 +54,14 @@ def _keys(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     data = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
     symbols = data[1:]
     ends = np.cumsum(lengths)
-    word = np.repeat(np.arange(len(words)), lengths)
-    place = np.arange(len(symbols)) - np.repeat(ends - lengths, lengths)
+    word = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
+    most = np.arange(1, len(symbols) + 1, dtype=np.int32) - np.repeat((ends - lengths).astype(np.int32), lengths)
+    most = np.minimum(most, ORDER).astype(np.int8)
     packed = np.zeros(len(symbols), np.uint64)
     padded = np.concatenate([np.zeros(ORDER - 1, np.uint8), data])
     for k in range(ORDER):
         packed |= padded[ORDER - 1 - k : ORDER - 1 - k + len(symbols)].astype(np.uint64) << np.uint64(8 * k)
-    return packed, symbols, np.minimum(place + 1, ORDER), word
+    return packed, symbols, most, word
 
 
 def _context(packed: np.ndarray, order: int) -> np.ndarray:
@@ -108,7 +109,7 @@ class ContextTrees:
     def _lower(self, keys: np.ndarray, order: int) -> np.ndarray:
         """Code lengths of (context, symbol) keys of an order in the next lower order's tables."""
         packed, symbols = keys >> np.uint64(8), (keys & np.uint64(255)).astype(np.uint8)
-        return self._code(packed, symbols, np.full(len(keys), order - 1))
+        return self._code(packed, symbols, np.full(len(keys), order - 1, np.int8))
 
     def _code(self, packed: np.ndarray, symbols: np.ndarray, most: np.ndarray) -> np.ndarray:
         """Bits of every symbol after its context in every language, (symbols, languages)."""
@@ -200,7 +201,11 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str =
     words: dict[str, Counter] = {k: Counter() for k in counts}
     for r in rows:
         words[r["lang"]].update(words_of(r["text"]))
-    return ContextTrees({k: v for k, v in words.items() if v})
+    del rows
+    trees = ContextTrees({k: v for k, v in words.items() if v})
+    del words
+    release()
+    return trees
 
 
 
