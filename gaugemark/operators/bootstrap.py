@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -51,6 +52,7 @@ def statistics() -> dict[str, Statistic]:
     }
 
 
+@lru_cache(maxsize=16)  # stations of a group share their draws
 def multiplicities(n: int, length: int, n_boot: int, seed: int, starts: str = "random") -> np.ndarray:
     """(draws, days): how often each day stands in each resample of moving blocks, cut to n days.
 
@@ -63,8 +65,8 @@ def multiplicities(n: int, length: int, n_boot: int, seed: int, starts: str = "r
     else:
         first = np.random.default_rng(seed).integers(0, n - length + 1, size=(n_boot, blocks))
     days = (first[:, :, None] + np.arange(length)).reshape(n_boot, -1)[:, :n]
-    out = np.zeros((n_boot, n))
-    np.add.at(out, (np.repeat(np.arange(n_boot), n), days.ravel()), 1)
+    out = np.bincount((np.arange(n_boot)[:, None] * n + days).ravel(), minlength=n_boot * n).reshape(n_boot, n).astype(float)
+    out.flags.writeable = False
     return out
 
 
