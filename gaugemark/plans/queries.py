@@ -362,7 +362,7 @@ _P = "t AS (SELECT (o_custkey % 7)::VARCHAR AS family_id, o_orderkey AS test_id,
 
 @_query(f"WITH {_P}, r AS (SELECT *, row_number() OVER (PARTITION BY family_id ORDER BY p_raw, test_id) AS k, count(*) OVER (PARTITION BY family_id) AS n_family FROM t), a AS (SELECT *, least(1.0, min(p_raw * n_family / k) OVER (PARTITION BY family_id ORDER BY k DESC)) AS p FROM r) SELECT family_id, test_id, p_raw, n_family, round(p, 6) AS p_adj, p <= 0.3 AS reject FROM a")
 def bh_fdr(spark, sf_dir):
-    t = spark.read.parquet(f"{sf_dir}/orders.parquet").distinct().where("o_orderkey < 3000").select((F.col("o_custkey") % 7).cast("string").alias("family_id"), F.col("o_orderkey").alias("test_id"), F.round((F.col("o_totalprice") % 1000) / 1000, 6).alias("p_raw"))
+    t = spark.read.parquet(f"{sf_dir}/orders.parquet").distinct().select((F.col("o_custkey") % 7).cast("string").alias("family_id"), F.col("o_orderkey").alias("test_id"), F.round((F.col("o_totalprice") % 1000) / 1000, 6).alias("p_raw"))
     return tests.benjamini_hochberg(t, 0.3).select("family_id", "test_id", "p_raw", "n_family", F.round("p_adj", 6).alias("p_adj"), "reject")
 
 
@@ -420,7 +420,7 @@ _IDX = "idx AS (SELECT (o_custkey % 50)::VARCHAR AS file, row_number() OVER (PAR
 def _index_lines(spark, sf_dir):
     from pyspark.sql import Window as W
 
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey < 4000")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     file = (F.col("o_custkey") % 50).cast("string")
     nth = F.row_number().over(W.partitionBy(file).orderBy("o_orderkey", "o_totalprice"))
     var = F.when(F.col("o_orderkey") % 3 == 0, "TMP:2 m above ground").otherwise("RH:surface")

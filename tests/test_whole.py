@@ -38,3 +38,9 @@ def equals_sql_without(spark, duck, name, *caps):
 @pytest.mark.parametrize("name", STATIONS)
 def test_all_customers_are_stations(spark, duck, name):
     equals_sql_without(spark, duck, name, *STATION_CAPS)
+
+
+@pytest.mark.parametrize("name", ["bh_fdr", "idx_ranges", "coalesce_ranges"])
+def test_all_orders_are_read(spark, duck, name):
+    rows = equals_sql_without(spark, duck, name, " WHERE o_orderkey < 3000", " WHERE o_orderkey < 4000")
+    assert len(rows) == 15000 or name == "coalesce_ranges"
