@@ -523,4 +523,4 @@ def results_table(spark, sf_dir):
 
 @_query()
 def results_paired(spark, sf_dir):
-    return registry.paired_rows(A.pairs(spark, sf_dir).where("lead_hours <= 48"), ["A", "N", "R"], "test")
+    return registry.paired_rows(A.pairs(spark, sf_dir), ["A", "N", "R"], "test")

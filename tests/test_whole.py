@@ -44,3 +44,13 @@ def test_all_customers_are_stations(spark, duck, name):
 def test_all_orders_are_read(spark, duck, name):
     rows = equals_sql_without(spark, duck, name, " WHERE o_orderkey < 3000", " WHERE o_orderkey < 4000")
     assert len(rows) == 15000 or name == "coalesce_ranges"
+
+
+def test_paired_results_cover_every_lead(spark):
+    rows = QUERIES["results_paired"](spark, SF).collect()
+    want = {(m, f"{a}-{b}", 24 * k) for m in ("mae", "rmse", "bias") for a, b in ("AN", "AR", "NR") for k in range(1, 8)}
+    assert {(r["metric"], r["model"], r["lead_hours"]) for r in rows} == want and len(rows) == len(want) and all(r["n_family"] == len(want) for r in rows)
+    ranked, p_adj = sorted(rows, key=lambda r: r["p_raw"]), 1.0
+    for k in range(len(ranked), 0, -1):
+        p_adj = min(p_adj, ranked[k - 1]["p_raw"] * len(ranked) / k)
+        assert abs(ranked[k - 1]["p_adj"] - p_adj) < 1e-12
