@@ -461,7 +461,7 @@ def isd_history(spark, sf_dir):
 @_query("""WITH d AS (SELECT event_type AS source, ts::DATE AS day, count(*) AS n FROM events WHERE event_id % 97 < 3 GROUP BY 1, 2), days AS (SELECT unnest(generate_series(DATE '2023-12-15', DATE '2024-01-31', INTERVAL 1 DAY))::DATE AS day), s AS (SELECT DISTINCT source FROM d)
 SELECT source, strftime(day, '%Y-%m') AS month, count(*) AS expected, sum(CASE WHEN n > 0 THEN 1 ELSE 0 END)::BIGINT AS present, CASE WHEN sum(CASE WHEN n > 0 THEN 1 ELSE 0 END) = 0 THEN 'absent' WHEN sum(CASE WHEN n > 0 THEN 1 ELSE 0 END) < count(*) THEN 'partial' ELSE 'complete' END AS cell FROM days CROSS JOIN s LEFT JOIN d USING (source, day) GROUP BY 1, 2""")
 def source_coverage(spark, sf_dir):
-    present = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 97 < 3").select(F.col("event_type").alias("source"), F.to_date("ts").alias("day"))
+    present = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("source"), F.to_date("ts").alias("day"))
     days = spark.range(1).select(F.explode(F.sequence(F.lit("2023-12-15").cast("date"), F.lit("2024-01-31").cast("date"))).alias("day"))
     return gridindex.month_coverage(present, days)
 

@@ -3,10 +3,13 @@
 The SQL stays as it is registered; its cap is cut out here, so that the rest of it judges the whole result.
 """
 
+import datetime as dt
+
 import duckdb
 import pytest
 
 from gaugemark.plans.queries import ORACLES, QUERIES
+from gaugemark.sources import gridindex
 
 SF = "/root/testdata/sf0.01"  # 1,500 customers, 15,000 orders
 STATION_CAPS = (" WHERE c_custkey < 150", " AND so.station_id::INT < 150")
@@ -54,3 +57,30 @@ def test_paired_results_cover_every_lead(spark):
     for k in range(len(ranked), 0, -1):
         p_adj = min(p_adj, ranked[k - 1]["p_raw"] * len(ranked) / k)
         assert abs(ranked[k - 1]["p_adj"] - p_adj) < 1e-12
+
+
+def test_all_events_and_orders_count(spark, duck):
+    days = equals_sql_without(spark, duck, "source_coverage", " WHERE event_id % 97 < 3")
+    assert sum(r[3] for r in days) == duck.sql("SELECT count(*) FROM (SELECT DISTINCT event_type, ts::DATE FROM events WHERE ts >= '2023-12-15' AND ts < '2024-02-01')").fetchall()[0][0]  # columns by name: cell, expected, month, present
+    rain = equals_sql_without(spark, duck, "precip24_fcst", " WHERE o_orderkey % 5 > 0")
+    assert {r[1] for r in rain} == set(range(6, 126, 6))  # every lead, also those of orders divisible by five
+
+
+def test_gaps_of_days(spark):
+    day = lambda m, d: dt.date(2024, m, d)
+    present = spark.createDataFrame([("a", day(1, 30)), ("a", day(1, 31)), ("a", day(1, 31)), ("b", day(1, 31)), ("b", day(2, 1))], "source string, day date")
+    days = spark.createDataFrame([(day(1, 30),), (day(1, 31),), (day(2, 1),)], "day date")
+    got = {(r["source"], r["month"]): (r["expected"], r["present"], r["cell"]) for r in gridindex.month_coverage(present, days).collect()}
+    assert got == {("a", "2024-01"): (2, 2, "complete"), ("a", "2024-02"): (1, 0, "absent"), ("b", "2024-01"): (2, 1, "partial"), ("b", "2024-02"): (1, 1, "complete")}
+
+
+def test_holes_in_leads(spark, tmp_path):
+    """Orders 0..19 of one station and run, without the one of lead 60."""
+    rows = ", ".join(f"({k}, {28 + model}, {1000.0 * (k + 1)}, TIMESTAMP '2024-01-05')" for k in range(20) if k != 9 for model in (0, 1))
+    duckdb.sql(f"COPY (SELECT * FROM (VALUES {rows}) t(o_orderkey, o_custkey, o_totalprice, o_orderdate)) TO '{tmp_path}/orders.parquet'")
+    got = {(r["model"], r["lead_hours"]): r["precip_24h"] for r in QUERIES["precip24_fcst"](spark, str(tmp_path)).collect()}
+    leads = [k for k in range(6, 126, 6) if k != 60]
+    step = {k: k / 6 for k in leads}  # the value at each lead
+    want = {("aifs", k): (None if k < 24 or k - 24 == 60 else step[k] - (step[k - 24] if k > 24 else 0)) for k in leads}
+    want |= {("gfs", k): (None if k < 24 or 60 in range(k - 18, k + 1, 6) else sum(step[x] for x in range(k - 18, k + 1, 6))) for k in leads}
+    assert got == want
