@@ -12,8 +12,10 @@ or cut-off markup. It never sees the tables. Its size and its training are fixed
 worker's memory is bounded by a batch of pages.
 
 Defined cases: null or empty html gives the empty text; scripts, styles, markup comments, the head and
-other unseen elements are never text; unclosed and stray tags are tolerated; a page without main
-blocks gives the empty text; very long pages are read in whole; repeated rows are separate.
+other unseen elements are never text; unclosed and stray tags are tolerated; a head ends before the
+first text or element that cannot stand in one; an svg, math, select, object, canvas or template
+without its end tag ends with its parent or before the next block; a page without main blocks gives
+the empty text; very long pages are read in whole; repeated rows are separate.
 """
 
 from __future__ import annotations
@@ -38,13 +40,17 @@ PATH_BINS, WORD_BINS, FIGURES, HIDDEN = 96, 32, 8, 16
 TRAIN_PAGES, EPOCHS, BATCH, RATE, SEED = 1200, 6, 48, 0.01, 11
 BLOCK_BYTES = 2 << 20
 _UNSEEN = frozenset("script style head title noscript template svg math iframe object select textarea canvas".split())
-_RAW = frozenset("script style noscript template svg math iframe object select textarea canvas title".split())
+_RAW = frozenset("script style noscript iframe textarea title".split())
+_SKIPPED = frozenset("template svg math object select canvas".split())
+_IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+_VOID = frozenset("area base basefont bgsound br col embed hr img input link meta param source track wbr".split())
 _CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+_ENDS_SKIPPED = _CLOSES_P - {"hr"} | frozenset("body caption center dd details dialog dt figcaption figure hgroup li menu summary tbody td tfoot th thead tr".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
+_ANY_SKIPPED = re.compile(rf"<(?:{'|'.join(sorted(_SKIPPED))})\b", re.I)
 _PARTS = re.compile(r"[\s_-]+")
 
 
@@ -55,12 +61,40 @@ class Leaf:
         self.path, self.text, self.linked = path, text, linked
 
 
+def _after(tag: str, html: str, at: int) -> int:
+    """Where a raw element's end tag ends; without one it runs to the end."""
+    close = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
+    return close.end() if close else len(html)
+
+
+def _ends(html: str) -> dict[int, int]:
+    """Start of a skipped element -> end of its end tag, for those that have one. One pass, elements of a name nest."""
+    if not _ANY_SKIPPED.search(html):
+        return {}
+    ends: dict[int, int] = {}
+    opened: dict[str, list[int]] = {t: [] for t in _SKIPPED}
+    at = 0
+    while m := _TOKEN.search(html, at):
+        at = m.end()
+        tag = m[2].lower() if m[2] else ""
+        if tag in _SKIPPED:
+            if not m[1]:
+                if not m[3].endswith("/"):
+                    opened[tag].append(m.start())
+            elif opened[tag]:
+                ends[opened[tag].pop()] = at
+        elif tag in _RAW and not m[1] and not m[3].endswith("/"):
+            at = _after(tag, html, at)
+    return ends
+
+
 def leaves(html: str) -> list[Leaf]:
     """The page's text blocks in order: path of ``tag`` and ``tag.name`` marks, text, characters within links."""
     out: list[Leaf] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     held: list[str] = []
-    linked = in_link = unseen = 0
+    linked = in_link = unseen = loose = 0
+    ends = _ends(html)
 
     def flush():
         nonlocal linked
@@ -72,8 +106,9 @@ def leaves(html: str) -> list[Leaf]:
             linked = 0
 
     def pop() -> str:
-        nonlocal in_link, unseen
+        nonlocal in_link, unseen, loose
         tag = stack.pop()[0]
+        loose -= tag in _SKIPPED
         in_link -= tag == "a"
         unseen -= tag in _UNSEEN
         return tag
@@ -82,6 +117,8 @@ def leaves(html: str) -> list[Leaf]:
     while at < end:
         m = _TOKEN.search(html, at)
         piece = html[at : m.start() if m else end]
+        if stack and stack[-1][0] == "head" and piece.strip():
+            pop()
         if piece and not unseen:
             held.append(piece)
             if in_link:
@@ -100,28 +137,37 @@ def leaves(html: str) -> list[Leaf]:
                 while pop() != tag:
                     pass
             continue
+        while loose and tag in _ENDS_SKIPPED:
+            pop()
+        in_head = bool(stack) and stack[-1][0] == "head"
+        if in_head and tag not in _IN_HEAD:
+            pop()
         if tag == "br":
             held.append(" ")
             continue
         if tag not in _INLINE:
             flush()
             # Inline elements left open end with their block, a paragraph or item with the next one.
-            while stack and stack[-1][0] in _INLINE:
+            left_open = tag in _SKIPPED and m.start() not in ends and not m[3].endswith("/")
+            while not left_open and stack and stack[-1][0] in _INLINE:
                 pop()
-            closing = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "body": ("head",)}.get(tag, ("p",) if tag in _CLOSES_P else ())
+            closing = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, ("p",) if tag in _CLOSES_P else ())
             while stack and stack[-1][0] in closing:
                 pop()
         if tag in _VOID or m[3].endswith("/"):
             continue
         names = " ".join(x for g in _NAMES.findall(m[3]) for x in g).lower() if m[3] else ""
         marks = (tag, *(f".{x}" for x in _PARTS.split(names) if x)) if names else (tag,)
-        if tag in _RAW:
-            close = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
-            at = close.end() if close else end
+        if tag in _RAW or in_head and tag == "noframes":
+            at = _after(tag, html, at)
+            continue
+        if m.start() in ends:
+            at = ends[m.start()]
             continue
         stack.append((tag, marks))
         in_link += tag == "a"
         unseen += tag in _UNSEEN
+        loose += tag in _SKIPPED
     flush()
     return out
 

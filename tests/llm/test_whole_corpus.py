@@ -3,8 +3,9 @@
 import random
 
 import numpy as np
+import pytest
 
-from gaugemark.llm import url_filter
+from gaugemark.llm import html_extract, url_filter
 
 PAGES = "page_id long, url string, html string"
 
@@ -38,3 +39,32 @@ def test_walk_settles_on_cycles(spark):
     assert np.abs(distrust - trust).min() > 1e-6
     want = {h: "block" if d > t else "allow" for h, t, d in zip(hosts, trust, distrust, strict=True)}
     assert got == want | {"good.org": "allow", "bad.com": "block"} and len(set(want.values())) == 2
+
+
+def texts(html):
+    return [b.text for b in html_extract.leaves(html)]
+
+
+@pytest.mark.parametrize("tag", "svg math select object canvas template".split())
+def test_unclosed_skipped_elements_end_with_their_block(tag):
+    assert texts(f"<article><p>One <{tag} id=x><g>icon</p><p>Two</p><p>Three</p></article>") == ["One", "Two", "Three"]
+    assert texts(f"<article><{tag}><g>icon<p>One</p><p>Two</p></article>") == ["One", "Two"]
+    assert texts(f"<div><span><{tag}>icon</span> One</div><div>Two") == ["One", "Two"]
+    assert texts(f"<p>One<{tag}>a<{tag}>b<p>Two<{tag}>c</{tag}> more<p>Three") == ["One", "Two", "more", "Three"]
+    # Closed ones hide all that is in them, blocks, stray end tags and nested ones too.
+    assert texts(f"<div>One<{tag}><p>no</p><{tag}>no</{tag}></div>no<script>'</{tag}>'</script>no</{tag}></div><p>Two</p>") == ["One", "Two"]
+
+
+def test_head_ends_before_the_first_element_of_a_body():
+    assert texts("<head><title>x</title><article><h1>One</h1><p>Two</p></article>") == ["One", "Two"]
+    assert texts("<html><head><meta charset=utf-8><link rel=a href=b><style>p{}</style>\n<p>One</p></html>") == ["One"]
+    assert texts("<head><title>x</title>One<p>Two") == ["One", "Two"]
+    assert texts("<head><title>x</title><noscript><p>no</p></noscript><noframes>no</noframes><template><p>no</p></template><template>no<body><p>One") == ["One"]
+    assert texts("<head><title>no</title><script>no</script></head><body>One</body>") == ["One"]
+
+
+def test_loose_page_keeps_its_text(spark):
+    words = "Rain came over the hills and the wind went down, so the station reported a calm and cool evening."
+    page = f"<head><title>T</title><article><h1>A long title here</h1><p>{words} <svg viewBox=1><path d=x></p><p>{words}</p><p>{words}</p></article>"
+    out = html_extract.extract(spark.createDataFrame([(1, "u", page)], PAGES)).collect()
+    assert out[0]["text"] == "\n".join(["A long title here", words, words, words])
