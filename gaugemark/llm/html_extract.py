@@ -51,6 +51,7 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 _ANY_SKIPPED = re.compile(rf"<(?:{'|'.join(sorted(_SKIPPED))})\b", re.I)
+_WORD = re.compile(r"\w+|[^\w\s]")
 _PARTS = re.compile(r"[\s_-]+")
 
 
@@ -187,10 +188,9 @@ def vectors(blocks: list[Leaf]) -> np.ndarray:
         for mark in b.path:
             if mark not in ("html", "body"):
                 row[_bin(mark, PATH_BINS)] = 1.0
-        words = b.text.split(" ", 64)[:64]  # the words' profile, a feature; the text itself stays whole
-        for w in words:
-            row[PATH_BINS + _bin(w.lower(), WORD_BINS)] += 1.0
-        row[PATH_BINS : PATH_BINS + WORD_BINS] /= len(words)
+        words = [_bin(w, WORD_BINS) for w in _WORD.findall(b.text.lower())]
+        if words:
+            row[PATH_BINS : PATH_BINS + WORD_BINS] = np.bincount(words, minlength=WORD_BINS) / len(words)
         n = len(b.text)
         row[-FIGURES:] = (min(1.5, np.log1p(n) / 8), min(1.0, b.linked / n), sum(b.text.count(c) for c in ".,;:!?") / n * 10, i / len(blocks), done[i], min(1.0, len(b.path) / 12), float(b.text[-1] in ".!?"), 1.0)
     return out
@@ -286,8 +286,24 @@ def _padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
+#: Words of menus, notices, adverts, forms, comments and footers in four languages; main text has none in training.
+CHROME_WORDS = (
+    "accept account advert advertisement advertising agree browser cart click comment comments consent contact cookie cookies copyright discount email follow gdpr home login logout menu newsletter offer partners password policy popular preferences previous next privacy promo register related reply reserved rights sale search settings share shop sidebar sign signup sitemap sponsored subscribe subscription tags terms trending unsubscribe username "
+    "akzeptieren angebot anmelden anzeige datenschutz einstellungen folgen impressum kommentar kommentare kontakt konto passwort rabatt registrieren startseite suche teilen warenkorb weiterlesen werbung zustimmen "
+    "aceptar anuncio boletín buscar compartir comentario comentarios contacto contraseña cuenta derechos inicio oferta patrocinado política privacidad publicidad registrarse reservados suscribirse "
+    "abonnez abonner accepter accueil connexion commentaire commentaires confidentialité droits inscription partager politique publicité recherche réservés sponsorisé"
+).split()
+
+#: Shares of CHROME_WORDS in pieces of chrome.
+OWN_SHARES = (0.0, 0.3, 0.6)
+
+
 class PageMaker:
-    """Seeded composition of training pages; main text carries a mark that tells its label."""
+    """Seeded composition of training pages; main text carries a mark that tells its label.
+
+    A piece of chrome takes a share of its words from CHROME_WORDS, the rest from those of the main text. A piece
+    without telling names takes most of them there, so that it can be told by them and by its place.
+    """
 
     MARK = ""
 
@@ -295,10 +311,14 @@ class PageMaker:
         self.r = random.Random(seed)
         letters = "eaionrtslducmpghbfvkéüñ"
         self.words = ["".join(self.r.choices(letters, k=self.r.randint(1, 9))) for _ in range(600)]
+        self.own = 0.0  # share of CHROME_WORDS
+
+    def word(self) -> str:
+        return self.r.choice(CHROME_WORDS if self.r.random() < self.own else self.words)
 
     def sentence(self, low: int = 1, high: int = 14) -> str:
         r = self.r
-        words = [r.choice(self.words) for _ in range(r.randint(low, high))]
+        words = [self.word() for _ in range(r.randint(low, high))]
         if r.random() < 0.2:
             words[r.randrange(len(words))] += ","
         return (" ".join(words)).capitalize() + r.choice("....!?")
@@ -307,7 +327,7 @@ class PageMaker:
         return " ".join(self.sentence() for _ in range(self.r.choice((1, 1, 2, 4, self.r.randint(1, most)))))
 
     def few(self) -> str:
-        return " ".join(self.r.choice(self.words) for _ in range(self.r.randint(1, 4)))
+        return " ".join(self.word() for _ in range(self.r.randint(1, 4)))
 
     def menu(self) -> str:
         items = [f'<a href="/{self.r.choice(self.words)}">{self.few()}</a>' for _ in range(self.r.randint(2, 9))]
@@ -320,9 +340,15 @@ class PageMaker:
 
     def chrome(self) -> str:
         """One piece that is not main text."""
+        kind = self.r.randrange(12)
+        self.own = 0.7 if kind == 11 else self.r.choice(OWN_SHARES)
+        out = self._chrome(kind)
+        self.own = 0.0
+        return out
+
+    def _chrome(self, kind: int) -> str:
         r = self.r
         text = self.prose(5) if r.random() < 0.7 else f"<p>{self.prose(4)}</p><p>{self.prose(3)}</p>"
-        kind = r.randrange(11)
         if kind == 0:
             return f"<nav>{self.menu()}</nav>"
         if kind == 1:
@@ -344,6 +370,9 @@ class PageMaker:
             return f"<aside>{text}</aside>"
         if kind == 9:
             return f"<header>{r.choice((self.menu(), self.few(), f'<p>{self.few()}</p>', f'<h2>{self.few()}</h2>'))}</header>"
+        if kind == 11:  # told by its words only
+            tag = r.choice(("div", "section", "div"))
+            return f"<{tag}>{text if text[0] == '<' else r.choice((text, f'<p>{text}</p>'))}</{tag}>"
         return self.wrap("header masthead logo site-header topbar", r.choice((self.few(), self.menu(), f"<h2>{self.few()}</h2>")), "div header")
 
     def footer(self) -> str:

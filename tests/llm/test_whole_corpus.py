@@ -68,3 +68,26 @@ def test_loose_page_keeps_its_text(spark):
     page = f"<head><title>T</title><article><h1>A long title here</h1><p>{words} <svg viewBox=1><path d=x></p><p>{words}</p><p>{words}</p></article>"
     out = html_extract.extract(spark.createDataFrame([(1, "u", page)], PAGES)).collect()
     assert out[0]["text"] == "\n".join(["A long title here", words, words, words])
+
+
+def test_all_words_of_a_block_count():
+    first = " ".join(["rain"] * 64)
+    a, b = (html_extract.vectors(html_extract.leaves(f"<p>{first} {tail}</p>"))[0] for tail in (" ".join(["wind"] * 40), " ".join(["snow"] * 40)))
+    at = slice(html_extract.PATH_BINS, html_extract.PATH_BINS + html_extract.WORD_BINS)
+    assert not np.array_equal(a[at], b[at]) and abs(a[at].sum() - 1) < 1e-6 and a[html_extract.PATH_BINS + html_extract._bin("wind", html_extract.WORD_BINS)] == np.float32(40 / 104)
+
+
+def test_notice_without_telling_names():
+    words = "Rain came over the hills and the wind went down, so the station reported a calm and cool evening."
+    notice = "Subscribe to our newsletter and accept all cookies, see the privacy policy and settings."
+    page = f"<body><article><h1>A title</h1><p>{words}</p><p>{words}</p></article><div><p>{notice}</p></div></body>"
+    assert html_extract.extract_pages([page], html_extract.labeller()) == [f"A title\n{words}\n{words}"]
+
+
+def test_chrome_and_main_text_have_words_of_their_own():
+    maker, own = html_extract.PageMaker(5), set(html_extract.CHROME_WORDS)
+    main, other = set(), set()
+    for _ in range(40):
+        for b in html_extract.leaves(maker.page()):
+            (main if maker.MARK in b.text else other).update(w.strip(",.!?" + maker.MARK).lower() for w in b.text.split())
+    assert other & own and not main & (own - set(maker.words))
