@@ -18,6 +18,8 @@ ORACLES: dict[str, str] = {}
 #: Limits that the test tables' values reach.
 QC = qc.PARAMS | {"range": {"t2m": (272.0, 300.0), "wind10m": (0.0, 25.0), "precip_1h": (0.0, 80.0)}, "step": {"t2m": 12.0, "wind10m": 15.0}, "persistence": {"min_repeats_hours": 4, "wind_calm_exempt_below": 3.5, "precip_zero_exempt": True}}
 
+N_BOOT = registry.DEFAULTS["n_boot"]
+
 
 def _query(sql: str | None = None):
     def add(f):
@@ -373,34 +375,34 @@ s AS (SELECT pos.model, d, sum(e) / sum(n) AS b FROM pos JOIN x ON x.model = pos
 
 @_query(f"WITH {A.PAIRS}, {_BOOT} SELECT model, round(any_value(estimate), 6) AS estimate, round(quantile_cont(b, 0.025), 6) AS ci_low, round(quantile_cont(b, 0.975), 6) AS ci_high, any_value(n_pairs)::BIGINT AS n_pairs, any_value(days)::INT AS n_days FROM s JOIN c USING (model) GROUP BY 1")
 def boot_bias_ci(spark, sf_dir):
-    out = bootstrap.block_bootstrap(A.pairs(spark, sf_dir), ["model"], ["bias"], n_boot=100, block_len=10, starts="arithmetic")
+    out = bootstrap.block_bootstrap(A.pairs(spark, sf_dir), ["model"], ["bias"], n_boot=N_BOOT, block_len=10, starts="arithmetic")
     return out.select("model", *(F.round(c, 6).alias(c) for c in ("estimate", "ci_low", "ci_high")), "n_pairs", "n_days")
 
 
 @_query()
 def boot_metrics(spark, sf_dir):
-    return bootstrap.block_bootstrap(A.pairs(spark, sf_dir), ["model", "lead_hours"], ["bias", "mae", "rmse", "weighted_mae"], n_boot=200, seed=20260723)
+    return bootstrap.block_bootstrap(A.pairs(spark, sf_dir), ["model", "lead_hours"], ["bias", "mae", "rmse", "weighted_mae"], n_boot=N_BOOT, seed=20260723)
 
 
 @_query()
 def boot_decomposition(spark, sf_dir):
-    return bootstrap.decomposition_bootstrap(A.pairs(spark, sf_dir), ["model"], n_boot=200, seed=20260723)
+    return bootstrap.decomposition_bootstrap(A.pairs(spark, sf_dir), ["model"], n_boot=N_BOOT, seed=20260723)
 
 
 @_query()
 def boot_seeps(spark, sf_dir):
-    return bootstrap.block_bootstrap(_rain_pairs(spark, sf_dir), ["model"], ["seeps"], n_boot=200, seed=20260723)
+    return bootstrap.block_bootstrap(_rain_pairs(spark, sf_dir), ["model"], ["seeps"], n_boot=N_BOOT, seed=20260723)
 
 
 @_query()
 def boot_variance_ratio(spark, sf_dir):
-    return bootstrap.variance_ratio_bootstrap(A.pairs(spark, sf_dir), ["model"], n_boot=100, seed=20260723)
+    return bootstrap.variance_ratio_bootstrap(A.pairs(spark, sf_dir), ["model"], n_boot=N_BOOT, seed=20260723)
 
 
 @_query()
 def boot_bias_by_bin(spark, sf_dir):
     binned = strata.with_obs_percentile(A.pairs(spark, sf_dir)).withColumn("bin", metrics.percentile_bin(F.col("obs_pct")))
-    return bootstrap.block_bootstrap(binned, ["model", "bin"], ["bias"], n_boot=200, seed=20260723)
+    return bootstrap.block_bootstrap(binned, ["model", "bin"], ["bias"], n_boot=N_BOOT, seed=20260723)
 
 
 _SEASON = "CASE WHEN month(day) IN (12, 1, 2) THEN 'DJF' WHEN month(day) <= 5 THEN 'MAM' WHEN month(day) <= 8 THEN 'JJA' ELSE 'SON' END"
@@ -518,7 +520,7 @@ def oni_parse(spark, sf_dir):
 @_query()
 def results_table(spark, sf_dir):
     df = strata.with_season(A.pairs(spark, sf_dir))
-    return registry.metric_rows(df, ["mae", "bias"], "test", ["season"], n_boot=100)
+    return registry.metric_rows(df, ["mae", "bias"], "test", ["season"], n_boot=N_BOOT)
 
 
 @_query()

@@ -6,8 +6,12 @@ The SQL stays as it is registered; its cap is cut out here, so that the rest of
 import datetime as dt
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from gaugemark.functions import student
+from gaugemark.plans import adapters as A
 from gaugemark.plans.queries import ORACLES, QUERIES
 from gaugemark.sources import gridindex
 
@@ -25,11 +29,12 @@ def duck():
     return con
 
 
-def equals_sql_without(spark, duck, name, *caps):
-    sql = ORACLES[name]
-    assert any(c in sql for c in caps)
-    for c in caps:
-        sql = sql.replace(c, "")
+def equals_sql_without(spark, duck, name, *caps, to=None):
+    """The query's rows, equal to its SQL's with ``caps`` cut out and the keys of ``to`` replaced."""
+    sql, changes = ORACLES[name], dict.fromkeys(caps, "") | (to or {})
+    assert any(c in sql for c in changes)
+    for a, b in changes.items():
+        sql = sql.replace(a, b)
     out = QUERIES[name](spark, SF)
     columns = sorted(out.columns)
     got = sorted((tuple(r) for r in out.select(columns).collect()), key=str)
@@ -84,3 +89,27 @@ def test_holes_in_leads(spark, tmp_path):
     want = {("aifs", k): (None if k < 24 or k - 24 == 60 else step[k] - (step[k - 24] if k > 24 else 0)) for k in leads}
     want |= {("gfs", k): (None if k < 24 or 60 in range(k - 18, k + 1, 6) else sum(step[x] for x in range(k - 18, k + 1, 6))) for k in leads}
     assert got == want
+
+
+@pytest.mark.parametrize("name", "boot_metrics boot_decomposition boot_seeps boot_variance_ratio boot_bias_by_bin".split())
+def test_bootstraps_draw_a_thousand_times(spark, name):
+    assert {r["n_boot"] for r in QUERIES[name](spark, "/root/testdata/sf0.001").select("n_boot").distinct().collect()} == {1000}
+
+
+def test_bias_bootstrap_equals_a_thousand_draws(spark, duck):
+    equals_sql_without(spark, duck, "boot_bias_ci", to={"range(0, 100) d(d)": "range(0, 1000) d(d)"})
+
+
+def test_results_table_equals_a_thousand_draws(spark):
+    """Limits of one group against days resampled one draw at a time."""
+    rows = [r for r in QUERIES["results_table"](spark, SF).collect() if (r["metric"], r["model"], r["lead_hours"], r["stratum_type"]) == ("bias", "A", 24, "global")]
+    days = A.pairs(spark, SF).where("model = 'A' and lead_hours = 24").groupBy("day").agg(F.sum(F.col("fcst") - F.col("obs")).alias("e"), F.count(F.lit(1)).alias("n")).orderBy("day").toPandas()
+    n = len(days)
+    length = min(n, student.clamped_block_length((days["e"] / days["n"]).to_numpy(float)))
+    starts = np.random.default_rng(0).integers(0, n - length + 1, size=(1000, -(-n // length)))
+    draws = []
+    for first in starts:
+        at = np.concatenate([np.arange(s, s + length) for s in first])[:n]
+        draws.append(days["e"].to_numpy()[at].sum() / days["n"].to_numpy()[at].sum())
+    assert len(rows) == 1
+    assert (rows[0]["ci_low"], rows[0]["ci_high"]) == pytest.approx(tuple(np.quantile(draws, [0.025, 0.975])), abs=1e-9)
