@@ -1,28 +1,30 @@
 """N-gram Jaccard join by token-combination prefixes.
 
-Documents are sets of distinct five-word shingles (64-bit hashes, of which 48 bits travel). Two
-link when their Jaccard similarity reaches the threshold; a document's component is the smallest id
-reachable by links.
+Documents are sets of distinct five-word shingles (64-bit hashes). Two link when their Jaccard
+similarity reaches the threshold; a document's component is the smallest id reachable by links.
 
-1. Documents with equal sets form a class; a class is represented by its smallest id.
+1. Documents with equal sets (96-bit digests) form a class, represented by its smallest id.
 2. A shuffle by shingle counts in how many classes each shingle stands. Shingles of one class only go
    no further. The rest return to their classes with their frequency. Before the shuffle a block
    keeps one row for a class, and of a shingle that is hot in the block it sends a single notice
    to the shingle's partition and the uses straight to their classes, so that no partition collects
-   a shingle's uses by all documents; hot anywhere counts as the highest frequency everywhere.
+   a shingle's uses by all documents; hot anywhere counts as the highest frequency everywhere. The more
+   partitions there are, the fewer uses make a shingle hot, so that its share of a partition is bounded.
 3. Shingles are ordered by rising frequency. A class of n shingles can only have a partner if they
    share one of its first p = n - ceil(t n) + 1; as shingles of a single class come first, a class with
-   p of them has no partner at all. What is left of the prefix, extended by one, is indexed; linked
-   classes share two shingles of their extended prefixes.
-4. Candidates are verified by the exact size of the intersection. First the lists of the index are
+   p of them has no partner at all.
+4. The index. A prefix extended by g shingles shares g + 1 with every partner's. Shingles that up to
+   ``FREQUENT`` classes have are indexed singly. Of g + 1 shared frequent ones, two fall into the same of
+   g buckets: so frequent shingles are indexed as combinations of k = 2 within buckets. g is an eighth of
+   a size level; a class indexes its own level and the next, partners have one in common. So combinations
+   stay about as many as the shingles, and every two linked classes share a key of the index.
+5. Candidates are verified by the exact size of the intersection. First the lists of the index are
    verified against leaders (a few rounds, one leader for each class, first the ones with the fewest
    shingles of their own), so that large groups of near copies become one component by a star of
-   links; members of one component need no further pair.
-5. What still shares a list across components is indexed anew: shingles that are rare (up to
-   ``FREQUENT`` components in the list) singly, frequent ones as combinations of k = 2. Two linked
-   classes share a rare shingle or, if not, a combination of frequent ones. Every such pair of classes
-   of different components is verified, once, at the first rare shingle that it shares. Pairs whose
-   sizes and places in the order rule a link out are not verified.
+   links; members of one component need no further pair, and lists within one component go no further.
+6. In the lists that still span components, every class outside a list's largest component is verified
+   against all classes of other components in the list. Pairs whose sizes and places in the order rule a
+   link out are not verified.
 
 Nothing is capped, sampled or dropped: the leader rounds only save pairs whose link could not change
 a component. Hot lists are joined from plain shuffles, which adaptive execution splits.
@@ -36,6 +38,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,13 +46,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import release, text_blocks, unvarints, varints
+from .blocks import ragged, release, text_blocks, unvarints, varints
 from .common import materialise, partitions, ship
 from .components import components
 
-WORDS, THRESHOLD, FREQUENT, LEADER_ROUNDS = 5, (3, 4), 256, 6
-#: Up to so many rare shingles travel with a class, to tell the first one that a pair shares.
-MOST_CARRIED = 512
+WORDS, THRESHOLD, FREQUENT, LEADER_ROUNDS = 5, (3, 4), 16, 6
 BLOCK_BYTES = 2 << 20
 _NO_ID = -(1 << 63)
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -57,6 +58,7 @@ _RNG = np.random.default_rng(9)
 _BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(int(_RNG.integers(0, 1 << 62)) * 4 + 1)
 _SHORT = np.uint64(int(_RNG.integers(1, 1 << 62)))
+_PAIR = _RNG.integers(0, 1 << 63, 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _factors(n: int) -> np.ndarray:
@@ -70,7 +72,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
-    """Sorted distinct 48-bit shingle hashes of each text."""
+    """Sorted distinct 64-bit shingle hashes of each text."""
     parts = [(t or "").encode("utf-8", "replace").translate(_FOLD) for t in texts]
     data = np.frombuffer(b" ".join([*parts, b""]), np.uint8)
     inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
@@ -87,32 +89,35 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray
     bounds = np.cumsum([len(p) + 1 for p in parts])
     cuts = np.concatenate([[0], np.searchsorted(starts, bounds)])
     factors = _factors(words)
-    full = _mixed(sum(hashed[j : len(hashed) - words + 1 + j] * factors[j] for j in range(words))) >> np.uint64(16) if len(hashed) >= words else none
+    full = _mixed(sum(hashed[j : len(hashed) - words + 1 + j] * factors[j] for j in range(words))) if len(hashed) >= words else none
     out = []
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         if b - a >= words:
             out.append(np.unique(full[a : b - words + 1]))
         elif b > a:
             short = hashed[a:b] * factors[: b - a]
-            out.append(_mixed(np.array([int(short.sum(dtype=np.uint64)) + int(_SHORT) * (b - a) & (1 << 64) - 1], np.uint64)) >> np.uint64(16))
+            out.append(_mixed(np.array([int(short.sum(dtype=np.uint64)) + int(_SHORT) * (b - a) & (1 << 64) - 1], np.uint64)))
         else:
             out.append(none)
     return out
 
 
-def _signature(tokens: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little")
+def _signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A 96-bit digest of each set, as 64 and 32 bits."""
+    digests = np.frombuffer(b"".join(hashlib.blake2b(x.tobytes(), digest_size=12).digest() for x in sets), np.uint32).reshape(-1, 3)
+    return np.ascontiguousarray(digests[:, :2]).view(np.uint64).ravel(), digests[:, 2].copy()
 
 
-def _part(values: np.ndarray, bits: int, parts: int) -> np.ndarray:
-    """Range partition of uniformly distributed numbers of so many bits."""
-    return ((values >> np.uint64(bits - 32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+def _part(values: np.ndarray, parts: int) -> np.ndarray:
+    """Range partition of uniformly distributed 64-bit numbers."""
+    return ((values >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
 
 
 _ROW = pa.schema([("part", pa.int32()), ("kind", pa.int8()), ("data", pa.binary())])
 _ROW_SQL = "part int, kind byte, data binary"
-#: Frequencies stop at ``_TOP``; a shingle in ``HOT`` classes of one block has it.
-HOT, _TOP = 32, 65535
+#: Frequencies stop at ``_TOP``; a shingle in ``HOT`` classes of one block has it, or in fewer, where that were
+#: more than ``HOT_SHARE`` of what the block sends to a partition.
+HOT, HOT_SHARE, _TOP = 32, 0.25, 65535
 _TOKENS, _MEMBERS, _SHARED, _DOCUMENTS, _NOTICE = 0, 1, 2, 3, 4
 
 
@@ -129,16 +134,6 @@ def _unblob(data: bytes) -> list[bytes]:
     return out
 
 
-def _six(tokens: np.ndarray) -> bytes:
-    """48-bit numbers in six bytes each."""
-    return (tokens & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (tokens >> np.uint64(32)).astype("<u2").tobytes()
-
-
-def _unsix(data: bytes) -> np.ndarray:
-    n = len(data) // 6
-    return np.frombuffer(data, "<u4", n).astype(np.uint64) | np.frombuffer(data, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(32)
-
-
 def _sliced(parts: np.ndarray, n: int) -> Iterator[tuple[int, slice]]:
     cuts = np.searchsorted(parts, np.arange(n + 1))
     for p in np.flatnonzero(np.diff(cuts)).tolist():
@@ -158,32 +153,35 @@ def _shingled(n: int):
             ids = np.array([_NO_ID if x is None else x for x in table.column("id").to_pylist()], np.int64)
             sets = shingle_sets(table.column("text").to_pylist())
             sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-            signs = np.fromiter(map(_signature, sets), np.uint64, len(sets))
-            rows = [((partition + nth) % n, _DOCUMENTS, _blob(ids.tobytes(), sizes.tobytes(), signs.tobytes()))]
-            order = np.lexsort((ids, signs))
+            signs, more = _signatures(sets)
+            rows = [((partition + nth) % n, _DOCUMENTS, _blob(ids.tobytes(), sizes.tobytes(), signs.tobytes(), more.tobytes()))]
+            order = np.lexsort((ids, more, signs))
             order = order[(sizes[order] > 0) & (ids[order] != _NO_ID)]
             if len(order):
-                new = np.concatenate([[True], signs[order][1:] != signs[order][:-1]])
+                new = _changes(signs[order], more[order])
                 first = order[new]
                 copies = np.diff(np.concatenate([np.flatnonzero(new), [len(order)]]))
-                for p, s in _sliced(_part(signs[first], 64, n), n):
+                sign, more = signs[first], more[first]
+                for p, s in _sliced(_part(sign, n), n):
                     i = first[s]
-                    rows.append((p, _MEMBERS, _blob(ids[i].tobytes(), sizes[i].tobytes(), signs[i].tobytes(), copies[s].tobytes())))
+                    rows.append((p, _MEMBERS, _blob(ids[i].tobytes(), sizes[i].tobytes(), sign[s].tobytes(), more[s].tobytes(), copies[s].tobytes())))
                 token = np.concatenate([sets[i] for i in first.tolist()])
                 owner = np.repeat(np.arange(len(first)), sizes[first])
                 distinct, of, count = np.unique(token, return_inverse=True, return_counts=True)
-                hot = count[of] >= HOT
-                for p, s in _sliced(_part(noticed := distinct[count >= HOT], 48, n), n):
-                    rows.append((p, _NOTICE, _six(noticed[s])))
-                rows += _by_class(signs[first][owner[hot]], token[hot], np.full(int(hot.sum()), _TOP), n)
+                least = max(2, min(HOT, int(len(token) / n * HOT_SHARE)))
+                hot = count[of] >= least
+                for p, s in _sliced(_part(noticed := distinct[count >= least], n), n):
+                    rows.append((p, _NOTICE, noticed[s].tobytes()))
+                at = owner[hot]
+                rows += _by_class(sign[at], more[at], token[hot], np.full(len(at), _TOP), n)
                 token, owner = token[~hot], owner[~hot]
-                part = _part(token, 48, n)
+                part = _part(token, n)
                 order = np.argsort(part.astype(np.uint16) if n < 1 << 16 else part, kind="stable")
                 for p, s in _sliced(part[order], n):
                     i = order[s]
                     counts = np.bincount(owner[i], minlength=len(first))
                     has = np.flatnonzero(counts)
-                    rows.append((p, _TOKENS, _blob(_six(token[i]), signs[first[has]].tobytes(), varints(counts[has]))))
+                    rows.append((p, _TOKENS, _blob(token[i].tobytes(), sign[has].tobytes(), more[has].tobytes(), varints(counts[has]))))
             yield _rows(rows)
             del table, sets, rows
         token = owner = distinct = of = None
@@ -192,12 +190,18 @@ def _shingled(n: int):
     return run
 
 
-def _by_class(sign: np.ndarray, token: np.ndarray, often: np.ndarray, n: int) -> list[tuple]:
-    """Rows of shared shingles, sorted by class (``sign`` in ascending order) for the classes' partitions."""
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row of sorted columns differs from the one before it."""
+    return np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], axis=0)]) if len(columns[0]) else np.zeros(0, bool)
+
+
+def _by_class(sign: np.ndarray, more: np.ndarray, token: np.ndarray, often: np.ndarray, n: int) -> list[tuple]:
+    """Rows of shared shingles, sorted by class (``sign`` and ``more`` in ascending order) for the classes' partitions."""
     rows = []
-    for p, s in _sliced(_part(sign, 64, n), n):
-        own, counts = np.unique(sign[s], return_counts=True)
-        rows.append((p, _SHARED, _blob(own.tobytes(), varints(counts), _six(token[s]), often[s].astype("<u2").tobytes())))
+    for p, s in _sliced(_part(sign, n), n):
+        first = np.flatnonzero(_changes(sign[s], more[s]))
+        counts = np.diff(np.concatenate([first, [s.stop - s.start]]))
+        rows.append((p, _SHARED, _blob(sign[s][first].tobytes(), more[s][first].tobytes(), varints(counts), token[s].tobytes(), often[s].astype("<u2").tobytes())))
     return rows
 
 
@@ -205,41 +209,44 @@ def _counted(n: int):
     """One range of shingles -> those of several classes, with their frequency, by class; other rows pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, signs, notices = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+        none = np.zeros(0, np.uint64)
+        tokens, signs, mores, notices = [none], [none], [np.zeros(0, np.uint32)], [none]
         for batch in batches:
             passing = []
             for part, kind, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if kind == _TOKENS:
-                    t, s, c = _unblob(data)
-                    tokens.append(_unsix(t))
-                    signs.append(np.repeat(np.frombuffer(s, np.uint64), unvarints(c)))
+                    t, s, m, c = _unblob(data)
+                    times = unvarints(c)
+                    tokens.append(np.frombuffer(t, np.uint64))
+                    signs.append(np.repeat(np.frombuffer(s, np.uint64), times))
+                    mores.append(np.repeat(np.frombuffer(m, np.uint32), times))
                 elif kind == _NOTICE:
-                    notices.append(_unsix(data))
+                    notices.append(np.unique(np.frombuffer(data, np.uint64)))
                 else:
                     passing.append((part, kind, data))
             if passing:
                 yield _rows(passing)
-        token, sign, noticed = np.concatenate(tokens), np.concatenate(signs), np.unique(np.concatenate(notices))
-        del tokens, signs
+        token, sign, more, noticed = np.concatenate(tokens), np.concatenate(signs), np.concatenate(mores), np.unique(np.concatenate(notices))
+        del tokens, signs, mores, notices
         order = np.argsort(token)
         sorted_ = token[order]
         same = sorted_[1:] == sorted_[:-1]
         several = np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(token) else np.zeros(0, bool)
         at = order[several | np.isin(sorted_, noticed)]
-        token, sign = token[at], sign[at]
+        token, sign, more = token[at], sign[at], more[at]
         del order, sorted_, same, several, at
-        order = np.lexsort((sign, token))
-        token, sign = token[order], sign[order]
-        new = np.concatenate([[True], (token[1:] != token[:-1]) | (sign[1:] != sign[:-1])]) if len(token) else np.zeros(0, bool)
-        token, sign = token[new], sign[new]
+        order = np.lexsort((more, sign, token))
+        token, sign, more = token[order], sign[order], more[order]
+        new = _changes(token, sign, more)
+        token, sign, more = token[new], sign[new], more[new]
         _, of, count = np.unique(token, return_inverse=True, return_counts=True)
         often = np.where(np.isin(token, noticed), _TOP, np.minimum(count[of], _TOP)) if len(token) else np.zeros(0, np.int64)
         keep = often > 1
-        token, sign, often = token[keep], sign[keep], often[keep]
-        order = np.argsort(sign, kind="stable")
-        if rows := _by_class(sign[order], token[order], often[order], n):
+        token, sign, more, often = token[keep], sign[keep], more[keep], often[keep]
+        order = np.lexsort((more, sign))
+        if rows := _by_class(sign[order], more[order], token[order], often[order], n):
             yield _rows(rows)
-        del token, sign, often, order, rows
+        del token, sign, more, often, order, rows
         release()
 
     return run
@@ -250,63 +257,131 @@ def prefix_length(n: np.ndarray, threshold: tuple[int, int] = THRESHOLD) -> np.n
     return n + 1 + (-(threshold[0] * n) // threshold[1])
 
 
-_CLASSES_SQL = "kind int, doc_id long, sign long, n long, tokens array<long>, often array<int>, prefix int"
+@lru_cache(maxsize=16)
+def size_levels(threshold: tuple[int, int] = THRESHOLD) -> np.ndarray:
+    """Lower bounds of size levels, such that two sizes that allow a link are on one level or on neighbours."""
+    bounds = [1]
+    while bounds[-1] < 1 << 40:
+        bounds.append(max(bounds[-1] + 1, threshold[1] * (bounds[-1] - 1) // threshold[0] + 1))
+    return np.array(bounds)
 
 
-def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def buckets_of(level: np.ndarray, threshold: tuple[int, int] = THRESHOLD) -> np.ndarray:
+    """g of a size level: an eighth of its smallest size, at least 1, but less than the shingles that partners must share."""
+    least = size_levels(threshold)[level]
+    return np.minimum(np.maximum(least // 8, 1), -(-threshold[0] * least // threshold[1]) - 1)
+
+
+def index_keys(token: np.ndarray, often: np.ndarray, counts: np.ndarray, sizes: np.ndarray, frequent: int, threshold: tuple[int, int] = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Index entries of classes: class, key, place of its (first) shingle in the class's order, whether it is a combination.
+
+    ``token`` and ``often`` hold the classes' shared shingles in their order, ``counts`` how many each class has,
+    ``sizes`` the sizes of the whole sets.
+    """
+    starts = np.cumsum(counts) - counts
+    cls = np.repeat(np.arange(len(counts)), counts)
+    at = np.arange(len(token)) - starts[cls]
+    left = prefix_length(sizes, threshold) - (sizes - counts)
+    level = np.searchsorted(size_levels(threshold), sizes, side="right") - 1
+    rare = often <= frequent
+    found = []
+    for step in (0, 1):
+        g = buckets_of(level + step, threshold)
+        inside = at < (left + g)[cls]
+        # Without buckets (sets so small that partners may share one shingle only) every shingle stands singly.
+        single = np.flatnonzero(inside & (rare | (g[cls] == 0)))
+        found.append((cls[single], token[single], at[single], np.zeros(len(single), bool)))
+        i = np.flatnonzero(inside & ~rare & (g[cls] > 0))
+        bucket = _mixed(token[i]) % np.maximum(g[cls[i]], 1).astype(np.uint64)
+        order = np.lexsort((at[i], bucket, cls[i]))
+        i, bucket = i[order], bucket[order]
+        apart = 1
+        while True:
+            a, b = i[:-apart], i[apart:]
+            same = (cls[a] == cls[b]) & (bucket[:-apart] == bucket[apart:])
+            if not same.any():
+                break
+            a, b = a[same], b[same]
+            low, high = np.minimum(token[a], token[b]), np.maximum(token[a], token[b])
+            found.append((cls[a], _mixed(low * _PAIR[0] + high * _PAIR[1]), at[a], np.ones(len(a), bool)))
+            apart += 1
+    cls, key, at, pair = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((at, key, cls))
+    order = order[_changes(cls[order], key[order])]
+    return cls[order], key[order], at[order], pair[order]
+
+
+_CLASSES_SQL = "kind int, doc_id long, sign long, more int, n long, tokens array<long>, keys array<long>, at array<int>"
+
+
+def _classes(frequent: int, threshold: tuple[int, int]):
     """One range of classes -> the smallest id of those with several documents, and those that can have partners.
 
-    Documents pass as (doc_id, sign, n).
+    Documents pass as (doc_id, sign, more, n).
     """
-    names = ["kind", "doc_id", "sign", "n", "tokens", "often", "prefix"]
-    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32()]
-
-    def made(kind: int, ids: np.ndarray, signs: np.ndarray, sizes: np.ndarray, *more: list) -> pa.RecordBatch:
-        more = [pa.array(x, t) for x, t in zip(more, types[4:], strict=True)] if more else [pa.nulls(len(ids), t) for t in types[4:]]
-        return pa.record_batch([pa.array(np.full(len(ids), kind, np.int32)), pa.array(ids, mask=ids == _NO_ID), pa.array(signs.view(np.int64)), pa.array(sizes), *more], names=names)
-
-    members, shared = [[], [], [], []], [[], [], []]
-    for batch in batches:
-        for kind, data in zip(batch.column("kind").to_pylist(), batch.column("data").to_pylist(), strict=True):
-            if kind == _DOCUMENTS:
-                ids, sizes, signs = (np.frombuffer(x, t) for x, t in zip(_unblob(data), (np.int64, np.int64, np.uint64), strict=True))
-                yield made(_DOCUMENTS, ids, signs, sizes)
-            elif kind == _MEMBERS:
-                for to, x, t in zip(members, _unblob(data), (np.int64, np.int64, np.uint64, np.int64), strict=True):
-                    to.append(np.frombuffer(x, t))
-            else:
-                own, counts, tokens, often = _unblob(data)
-                shared[0].append(np.repeat(np.frombuffer(own, np.uint64), unvarints(counts)))
-                shared[1].append(_unsix(tokens))
-                shared[2].append(np.frombuffer(often, "<u2"))
-    if not members[0]:
-        return
-    ids, sizes, signs, copies = map(np.concatenate, members)
-    order = np.lexsort((ids, signs))
-    ids, sizes, signs, copies = ids[order], sizes[order], signs[order], copies[order]
-    starts = np.flatnonzero(np.concatenate([[True], signs[1:] != signs[:-1]]))
-    several = np.add.reduceat(copies, starts) > 1
-    ids, sizes, signs = ids[starts], sizes[starts], signs[starts]
-    yield made(_MEMBERS, ids[several], signs[several], sizes[several])
-    if not shared[0]:
-        return
-    sign, token, often = map(np.concatenate, shared)
-    order = np.lexsort((token, often, sign))
-    sign, token, often = sign[order], token[order], often[order]
-    new = np.concatenate([[True], (sign[1:] != sign[:-1]) | (token[1:] != token[:-1])])
-    sign, token, often = sign[new], token[new], often[new]
-    starts = np.flatnonzero(np.concatenate([[True], sign[1:] != sign[:-1]]))
-    counts = np.diff(np.concatenate([starts, [len(sign)]]))
-    cls = np.searchsorted(signs, sign[starts])
-    left = prefix_length(sizes[cls]) - (sizes[cls] - counts)
-    open_ = np.flatnonzero(left > 0)
-    for i in range(0, len(open_), 500):
-        at = open_[i : i + 500]
-        spans = [(a, a + c, a + min(c, p + 1)) for a, c, p in zip(starts[at].tolist(), counts[at].tolist(), left[at].tolist(), strict=True)]
-        k = cls[at]
-        yield made(_SHARED, ids[k], signs[k], sizes[k], [token[a:b].astype(np.int64) for a, b, _ in spans], [often[a:c].astype(np.int32) for a, _, c in spans], left[at].tolist())
-    del sign, token, often, order, new, members, shared
-    release()
+    names = ["kind", "doc_id", "sign", "more", "n", "tokens", "keys", "at"]
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+
+    def made(kind: int, ids: np.ndarray, signs: np.ndarray, mores: np.ndarray, sizes: np.ndarray, *lists: pa.Array) -> pa.RecordBatch:
+        lists = lists or [pa.nulls(len(ids), t) for t in types[5:]]
+        return pa.record_batch([pa.array(np.full(len(ids), kind, np.int32)), pa.array(ids, mask=ids == _NO_ID), pa.array(signs.view(np.int64)), pa.array(mores.view(np.int32)), pa.array(sizes), *lists], names=names)
+
+    def listed(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values.view(np.int64) if values.dtype == np.uint64 else values).cast(kind))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        members, shared = [[], [], [], [], []], [[], [], [], []]
+        for batch in batches:
+            for kind, data in zip(batch.column("kind").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                if kind == _DOCUMENTS:
+                    ids, sizes, signs, mores = (np.frombuffer(x, t) for x, t in zip(_unblob(data), (np.int64, np.int64, np.uint64, np.uint32), strict=True))
+                    yield made(_DOCUMENTS, ids, signs, mores, sizes)
+                elif kind == _MEMBERS:
+                    for to, x, t in zip(members, _unblob(data), (np.int64, np.int64, np.uint64, np.uint32, np.int64), strict=True):
+                        to.append(np.frombuffer(x, t))
+                else:
+                    sign, more, counts, tokens, often = _unblob(data)
+                    times = unvarints(counts)
+                    shared[0].append(np.repeat(np.frombuffer(sign, np.uint64), times))
+                    shared[1].append(np.repeat(np.frombuffer(more, np.uint32), times))
+                    shared[2].append(np.frombuffer(tokens, np.uint64))
+                    shared[3].append(np.frombuffer(often, "<u2"))
+        if not members[0]:
+            return
+        ids, sizes, signs, mores, copies = map(np.concatenate, members)
+        order = np.lexsort((ids, mores, signs))
+        ids, sizes, signs, mores, copies = (x[order] for x in (ids, sizes, signs, mores, copies))
+        starts = np.flatnonzero(_changes(signs, mores))
+        several = np.add.reduceat(copies, starts) > 1
+        ids, sizes, signs, mores = (x[starts] for x in (ids, sizes, signs, mores))
+        yield made(_MEMBERS, ids[several], signs[several], mores[several], sizes[several])
+        if not shared[0]:
+            return
+        sign, more, token, often = map(np.concatenate, shared)
+        del shared
+        order = np.lexsort((token, often, more, sign))
+        sign, more, token, often = (x[order] for x in (sign, more, token, often))
+        new = _changes(sign, more, token)
+        sign, more, token, often = (x[new] for x in (sign, more, token, often))
+        starts = np.flatnonzero(_changes(sign, more))
+        counts = np.diff(np.concatenate([starts, [len(sign)]]))
+        # Both sides are sorted by (sign, more); classes with shared shingles are among the members.
+        wide = np.dtype([("s", np.uint64), ("m", np.uint32)])
+        pack = lambda s, m: np.array(list(zip(s.tolist(), m.tolist(), strict=True)), wide)
+        cls = np.searchsorted(pack(signs, mores), pack(sign[starts], more[starts]))
+        del sign, more, order, new
+        open_ = np.flatnonzero(prefix_length(sizes[cls], threshold) - (sizes[cls] - counts) > 0)
+        for i in range(0, len(open_), 500):
+            at = open_[i : i + 500]
+            inside = ragged(np.arange(len(token)), starts[at], counts[at])
+            k = cls[at]
+            of, key, place, _ = index_keys(token[inside], often[inside], counts[at], sizes[k], frequent, threshold)
+            keys = np.bincount(of, minlength=len(at))
+            yield made(_SHARED, ids[k], signs[k], mores[k], sizes[k], listed(token[inside], counts[at], pa.int64()), listed(key, keys, pa.int64()), listed(place, keys, pa.int32()))
+        del token, often, members
+        release()
+
+    return run
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, threshold: tuple[int, int]) -> DataFrame:
@@ -332,52 +407,45 @@ def _fits(threshold: tuple[int, int]):
     return (threshold[0] + threshold[1]) * most >= threshold[0] * (F.col("n") + F.col("nb"))
 
 
-def linked_components(classes: DataFrame, threshold: tuple[int, int] = THRESHOLD, frequent: int = FREQUENT, rounds: int = LEADER_ROUNDS) -> DataFrame:
-    """(rep, c): the smallest representative that every class which can have partners reaches."""
-    zipped = F.arrays_zip(F.slice("tokens", F.lit(1), F.col("prefix") + 1).alias("key"), F.col("often").alias("often"))
+def linked_components(classes: DataFrame, threshold: tuple[int, int] = THRESHOLD, rounds: int = LEADER_ROUNDS) -> DataFrame:
+    """(rep, c): the smallest representative that every class which can have partners reaches.
+
+    ``classes``: rep, n, tokens, and the class's index entries as ``keys`` with their places ``at``.
+    """
     # Shingles that no other class has, out of a thousand: the fewer, the better a class leads.
     own = ((F.col("n") - F.size("tokens")) * 1000 / F.col("n")).cast("long")
-    entries = classes.select("rep", "n", F.size("tokens").alias("s"), own.alias("alone"), F.posexplode(zipped).alias("at", "x")).select("rep", "n", "s", "alone", "at", F.col("x.key").alias("key"))
-    entries = materialise(entries)
+    entries = classes.select("rep", "n", F.size("tokens").alias("s"), own.alias("alone"), F.explode(F.arrays_zip("keys", "at")).alias("x")).select("rep", "n", "s", "alone", F.col("x.at").alias("at"), F.col("x.keys").alias("key"))
     component = materialise(classes.select("rep", F.col("rep").alias("c")))
     name = lambda x: component.select(F.col("rep").alias(x), F.col("c").alias(f"c{x}"))
+    live = entries.withColumn("c", F.col("rep"))
     for r in range(rounds + 1):
-        open_ = materialise(entries.join(component, "rep")) if r else entries.withColumn("c", F.col("rep"))
         order = F.col("alone") if r == 0 else F.xxhash64("rep", F.lit(r))
         leader = F.min(F.struct(order.alias("o"), "rep", "n", "s", "at", "c")).alias("l")
-        lists = open_.groupBy("key").agg(leader, F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("key", F.col("l.rep").alias("b"), F.col("l.n").alias("nb"), F.col("l.s").alias("sb"), F.col("l.at").alias("atb"), F.col("l.c").alias("cb"))
-        lists = materialise(lists)
-        if lists.isEmpty():
-            return component
-        if r == rounds:
+        lists = live.groupBy("key").agg(leader, F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("key", F.col("l.rep").alias("b"), F.col("l.n").alias("nb"), F.col("l.s").alias("sb"), F.col("l.at").alias("atb"), F.col("l.c").alias("cb"))
+        # A list within one component stays so: only the others go on.
+        met = materialise(live.join(materialise(lists), "key"))
+        live = met.select("rep", "n", "s", "alone", "at", "key", "c")
+        if r == rounds or met.isEmpty():
             break
-        meet = open_.join(lists, "key").where((F.col("c") != F.col("cb")) & _fits(threshold))
-        votes = meet.groupBy(F.col("rep").alias("a"), "b").agg(F.count(F.lit(1)).alias("v"))
+        votes = met.where((F.col("c") != F.col("cb")) & _fits(threshold)).groupBy(F.col("rep").alias("a"), "b").agg(F.count(F.lit(1)).alias("v"))
         pairs = materialise(votes.groupBy("a").agg(F.max(F.struct("v", "b")).alias("x")).select("a", F.col("x.b").alias("b")))
         links = _verified(pairs, classes, threshold)
         links = materialise(links.join(name("a"), "a").join(name("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
         found = links.count()
         if found:
             component = _merged(component, links)
+            live = live.drop("c").join(component, "rep")
         if found * 20 < pairs.count():  # leaders settle little more; the rest is verified pair by pair
-            open_ = materialise(entries.join(component, "rep"))
             break
-    lists = open_.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.approx_count_distinct("c", 0.05).alias("components")).where("least <> most").select("key", (F.col("components") <= frequent).alias("rare"))
-    open_ = materialise(open_.join(materialise(lists), "key"))
-    rare, many = open_.where("rare"), open_.where(~F.col("rare"))
-    carried = rare.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("at", "key"))).alias("k"))  # a prefix at most
-    carried = carried.select("rep", F.when(F.size("k") <= MOST_CARRIED, F.transform("k", lambda x: x["key"])).alias("keys"))
-    rare = materialise(rare.join(carried, "rep").select("rep", "n", "s", "at", "c", "key", "keys"))
-    other = rare.withColumnsRenamed({"rep": "b", "n": "nb", "s": "sb", "at": "atb", "c": "cb", "keys": "keysb"})
-    apart = (F.col("rep") < F.col("b")) & (F.col("c") != F.col("cb")) & _fits(threshold)
-    first = F.coalesce(F.get(F.array_intersect("keys", "keysb"), F.lit(0)) == F.col("key"), F.lit(True))
-    pairs = rare.join(other, "key").where(apart & first).select(F.col("rep").alias("a"), "b")
-    if not many.isEmpty():
-        second = many.select("rep", F.col("key").alias("key2"))
-        combined = materialise(many.join(second, "rep").where("key < key2").select("rep", "n", "s", "at", "c", "key", "key2"))
-        other = combined.withColumnsRenamed({"rep": "b", "n": "nb", "s": "sb", "at": "atb", "c": "cb"})
-        pairs = pairs.unionByName(combined.join(other, ["key", "key2"]).where(apart).select(F.col("rep").alias("a"), "b"))
-    links = _verified(materialise(pairs.distinct()), classes, threshold)
+    if live.isEmpty():
+        return component
+    parts = live.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
+    lists = materialise(parts.groupBy("key").agg(F.max(F.struct("m", "c")).alias("x"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", F.col("x.c").alias("main")))
+    live = materialise(live.join(lists, "key"))
+    other = live.drop("alone", "main").withColumnsRenamed({"rep": "b", "n": "nb", "s": "sb", "at": "atb", "c": "cb"})
+    pairs = live.where("c <> main").join(other, "key").where((F.col("c") != F.col("cb")) & _fits(threshold))
+    pairs = pairs.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
+    links = _verified(materialise(pairs), classes, threshold)
     links = materialise(links.join(name("a"), "a").join(name("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
     return component if links.isEmpty() else _merged(component, links)
 
@@ -390,16 +458,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     n = partitions(spark, only)
     rows = only.mapInArrow(_shingled(n), _ROW_SQL).repartitionById(n, F.col("part"))
     rows = rows.mapInArrow(_counted(n), _ROW_SQL).repartitionById(n, F.col("part"))
-    done = materialise(rows.mapInArrow(_classes, _CLASSES_SQL))
-    classes = done.where(F.col("kind") == _SHARED).select(F.col("doc_id").alias("rep"), "n", "tokens", "often", "prefix")
+    done = materialise(rows.mapInArrow(_classes(frequent, threshold), _CLASSES_SQL))
+    classes = done.where(F.col("kind") == _SHARED).select(F.col("doc_id").alias("rep"), "n", "tokens", "keys", "at")
     if classes.isEmpty():
         component = spark.createDataFrame([], "rep long, c long")
     else:
-        component = linked_components(classes, threshold, frequent, rounds).where("rep <> c")
+        component = linked_components(classes, threshold, rounds).where("rep <> c")
     # A class of one document is known by that document's id; only classes of several need a name.
-    names = materialise(done.where(F.col("kind") == _MEMBERS).select("sign", F.col("doc_id").alias("rep")).join(materialise(component), "rep", "left"))
+    names = materialise(done.where(F.col("kind") == _MEMBERS).select("sign", "more", F.col("doc_id").alias("rep")).join(materialise(component), "rep", "left"))
     singles = materialise(component.withColumnsRenamed({"rep": "doc_id", "c": "own"}))
-    out = done.where(F.col("kind") == _DOCUMENTS).select("doc_id", "sign", "n").join(names, "sign", "left").join(singles, "doc_id", "left")
+    out = done.where(F.col("kind") == _DOCUMENTS).select("doc_id", "sign", "more", "n").join(names, ["sign", "more"], "left").join(singles, "doc_id", "left")
     linkable = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     rep = F.when(linkable, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id"))
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), rep.alias("class_id"), F.when(linkable, F.coalesce("c", "rep", "own", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
