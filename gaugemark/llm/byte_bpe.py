@@ -2,13 +2,16 @@
 
 1. Texts are split into pre-tokens. A block of documents (about ``BLOCK_BYTES`` of text) numbers its
    distinct pre-tokens by falling frequency; a document becomes the sequence of these numbers, one
-   for each position. The block's distinct words are exploded to the partitions of their hashes.
-2. All blocks' copies of a word meet in one partition, where it is encoded once.
-3. The ids go back to the blocks and the documents are put together again by position.
+   for each position. One exchange sends the block's distinct words to the buckets of their hashes
+   and its documents to the block's own partition.
+2. All blocks' copies of a word meet in one bucket, where it is encoded once. Buckets grow in number
+   with the input, so a bucket's words stay few; beyond ``MOST_WORDS`` of them, which is a guard of the
+   memory only, they are forgotten and encoded anew.
+3. The ids go back to their blocks in a second exchange and meet the documents, which wait in the first
+   one (it is read twice, not computed twice): positions move once. Documents are put together again.
 Decoding looks ids up in the token-byte table, whose size the vocabulary bounds.
 
-The shuffles move each block's distinct words, their ids and about 1.5 bytes for each position. A
-very common word arrives at its partition once for each block, not once for each use.
+A very common word arrives at its bucket once for each block, not once for each use.
 
 Defined cases: a null text counts as empty and has no ids; repeated rows and null ids are rows like
 others; a single very long text is a block of its own; no rows in, no rows out. Special tokens are
@@ -21,6 +24,7 @@ import base64
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import public_tokenizers
@@ -31,34 +35,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .blocks import Vocabulary, ragged, release, text_blocks, unvarints, varints
 from .common import partitions, ship
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-BLOCK_BYTES, MOST_WORDS, OUT_IDS = 8 << 20, 1 << 18, 1 << 20
+BLOCK_BYTES, MOST_WORDS = 4 << 20, 1 << 19
 GROUP_DOCS = 256
 _WORDS, _LAYOUT, _DOCUMENTS = 0, 1, 2
 
 
 @lru_cache(maxsize=4)
 def ranks(path: str) -> dict[bytes, int]:
-    """token bytes -> id, from a rank file."""
+    """token bytes -> id, from a rank file. Read on the driver; tasks get it by broadcast."""
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-@lru_cache(maxsize=4)
-def _core(path: str):
-    import tiktoken
-
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks(path), special_tokens={})._core_bpe
-
-
-@lru_cache(maxsize=4)
-def _bytes_of(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _bytes_of(table: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The token-byte table: all tokens' bytes joined, and the start and length of each id."""
-    table = ranks(path)
     lengths = np.zeros(max(table.values()) + 1, np.int64)
     for token, n in table.items():
         lengths[n] = len(token)
@@ -71,6 +67,43 @@ def pre_tokens():
     return regex.compile(public_tokenizers.PATTERN).findall
 
 
+def merged(word: bytes, table: dict[bytes, int]) -> list[int]:
+    """The ids of one pre-token: of all adjacent pairs the one of lowest rank is joined first, of equal ones the leftmost.
+
+    A queue of pairs keeps the time near n log n for words of any length.
+    """
+    whole = table.get(word)
+    if whole is not None:
+        return [whole]
+    n = len(word)
+    after, before = list(range(1, n + 1)), list(range(-1, n))  # neighbours of the piece that begins at a place
+    alive = [True] * n
+    queue = []
+    for i in range(n - 1):
+        rank = table.get(word[i : i + 2])
+        if rank is not None:
+            queue.append((rank, i, i + 2))
+    heapify(queue)
+    while queue:
+        _, i, end = heappop(queue)
+        j = after[i]
+        if not alive[i] or j >= n or after[j] != end:  # one of its pieces has been joined to another
+            continue
+        alive[j] = False
+        after[i] = end
+        if end < n:
+            before[end] = i
+            rank = table.get(word[i : after[end]])
+            if rank is not None:
+                heappush(queue, (rank, i, after[end]))
+        left = before[i]
+        if left >= 0:
+            rank = table.get(word[left:end])
+            if rank is not None:
+                heappush(queue, (rank, left, end))
+    return [table[word[i : after[i]]] for i in range(n) if alive[i]]
+
+
 def _pack(words: list[bytes]) -> bytes:
     lengths = varints(np.fromiter(map(len, words), np.int64, len(words)))
     return zlib.compress(len(lengths).to_bytes(4, "little") + lengths + b"".join(words), 6)
@@ -84,13 +117,13 @@ def _unpack(data: bytes) -> list[bytes]:
 
 
 def _split(buckets: int, id_type: pa.DataType):
-    """Documents -> rows of words by bucket, of each block's layout, and of a few documents each by position."""
-    schema = pa.schema([("part", pa.int32()), ("home", pa.int32()), ("block", pa.int64()), ("kind", pa.int8()), ("bucket", pa.int32()), ("ids", pa.list_(id_type)), ("data", pa.binary())])
+    """Documents -> rows of words by bucket, and by block its layout and its documents, a few in a row."""
+    schema = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("kind", pa.int8()), ("bucket", pa.int32()), ("ids", pa.list_(id_type)), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, partition = pre_tokens(), TaskContext.get().partitionId()
         for nth, table in enumerate(text_blocks(batches, "text", BLOCK_BYTES)):
-            block, home = (partition << 24) | nth, (partition + nth) % buckets
+            block = (partition << 24) | nth
             words = Vocabulary()
             number = words.__getitem__
             codes = []
@@ -106,149 +139,149 @@ def _split(buckets: int, id_type: pa.DataType):
             bucket = np.fromiter(map(zlib.crc32, spelled), np.int64, len(spelled)) % buckets
             by_bucket = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
-            rows = [(home, home, block, _LAYOUT, -1, None, zlib.compress(bucket.astype("<u4").tobytes(), 1))]
+            rows = [(block, block, _LAYOUT, -1, None, zlib.compress(bucket.astype("<u4").tobytes(), 1))]
             for b in np.flatnonzero(np.diff(cuts)).tolist():
-                rows.append((b, home, block, _WORDS, b, None, _pack([spelled[i] for i in by_bucket[cuts[b] : cuts[b + 1]].tolist()])))
+                rows.append((-1 - b, block, _WORDS, b, None, _pack([spelled[i] for i in by_bucket[cuts[b] : cuts[b + 1]].tolist()])))
             keys = table.column("id").to_pylist()
             for i in range(0, len(codes), GROUP_DOCS):
                 group = codes[i : i + GROUP_DOCS]
                 lengths = varints(np.fromiter(map(len, group), np.int64, len(group)))
                 positions = varints(rank[np.concatenate(group)])
                 data = zlib.compress(len(lengths).to_bytes(4, "little") + lengths + positions, 6)
-                rows.append(((home + i) % buckets, home, block, _DOCUMENTS, -1, keys[i : i + GROUP_DOCS], data))
-            yield _batch(rows, schema)
+                rows.append((block, block, _DOCUMENTS, -1, keys[i : i + GROUP_DOCS], data))
+            yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
             del words, number, codes, flat, rank, order, spelled, bucket, by_bucket, rows, table, keys
         release()
 
     return run
 
 
-def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
-
-def _encode_words(path: str):
-    """Rows of words -> rows of their ids, each distinct word encoded once; other rows pass through."""
+def _encode_words(table):
+    """Rows of words -> (block, bucket, ids of its words in order), each distinct word of a bucket encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = _core(path).encode_single_piece
-        kind = "<u2" if len(ranks(path)) < 1 << 16 else "<u4"
-
-        class Known(dict):
-            def __missing__(self, word: bytes) -> np.ndarray:
-                if len(self) >= MOST_WORDS:
-                    self.clear()
-                self[word] = ids = np.array(piece(word), kind).tobytes()
-                return ids
-
-        known = Known()
-        width = np.dtype(kind).itemsize
+        known: dict[bytes, bytes] = {}
         for batch in batches:
-            data = batch.column("data").to_pylist()
-            for i, what in enumerate(batch.column("kind").to_pylist()):
-                if what == _WORDS:
-                    ids = [known[w] for w in _unpack(data[i])]
-                    lengths = varints(np.fromiter(map(len, ids), np.int64, len(ids)) // width)
-                    data[i] = zlib.compress(len(lengths).to_bytes(4, "little") + lengths + b"".join(ids), 6)
-            at = batch.schema.get_field_index("data")
-            yield batch.set_column(at, "data", pa.array(data, pa.binary()))
-        known.clear()
+            of, at, out = [], [], []
+            for kind, block, bucket, data in zip(*(batch.column(c).to_pylist() for c in ("kind", "block", "bucket", "data")), strict=True):
+                if kind != _WORDS:
+                    continue
+                if len(known) > MOST_WORDS:
+                    known.clear()
+                ids = []
+                for w in _unpack(data):
+                    got = known.get(w)
+                    if got is None:
+                        known[w] = got = np.array(merged(w, table.value), "<u4").tobytes()
+                    ids.append(got)
+                lengths = varints(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)
+                numbers = varints(np.frombuffer(b"".join(ids), "<u4"))
+                of.append(block)
+                at.append(bucket)
+                out.append(zlib.compress(len(lengths).to_bytes(4, "little") + lengths + numbers, 6))
+            yield pa.record_batch([pa.array(of, pa.int64()), pa.array(at, pa.int32()), pa.array(out, pa.binary())], names=["block", "bucket", "data"])
+        del known
         release()
 
     return run
 
 
-def _join(path: str, id_type: pa.DataType, id_col: str):
-    """Sorted rows of blocks -> documents with ids: the block's words come first, then its documents."""
+def _reassembled(id_type: pa.DataType, id_col: str, token_bytes=None, to: str | None = None):
+    """One block's ids and its layout and documents -> its documents with ids, and with decoded bytes if asked."""
+    fields = [pa.field(id_col, id_type), pa.field("ids", pa.list_(pa.int32())), *([pa.field(to, pa.binary())] if to else [])]
+    schema = pa.schema(fields)
+
+    def run(words: pa.Table, rows: pa.Table) -> pa.Table:
+        kinds = rows.column("kind").to_pylist()
+        if _LAYOUT not in kinds:  # the words of a bucket, which the first exchange holds too
+            return schema.empty_table()
+        lengths = starts = flat = np.zeros(0, np.int64)
+        data = rows.column("data").to_pylist()
+        # Words came in order of (bucket, rank); the layout tells each rank's bucket.
+        order = np.argsort(np.frombuffer(zlib.decompress(data[kinds.index(_LAYOUT)]), "<u4"), kind="stable")
+        if len(order):
+            counts, ids = [], []
+            packed = words.column("data").to_pylist()
+            for i in np.argsort(words.column("bucket").to_numpy(), kind="stable").tolist():
+                raw = zlib.decompress(packed[i])
+                n = int.from_bytes(raw[:4], "little")
+                counts.append(unvarints(raw[4 : 4 + n]))
+                ids.append(unvarints(raw[4 + n :]).astype(np.int32))
+            each, flat = np.concatenate(counts), np.concatenate(ids)
+            lengths, starts = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+            lengths[order], starts[order] = each, np.cumsum(each) - each
+        keys, parts = [], []
+        for kind, of, packed in zip(kinds, rows.column("ids").to_pylist(), data, strict=True):
+            if kind == _DOCUMENTS:
+                raw = zlib.decompress(packed)
+                n = int.from_bytes(raw[:4], "little")
+                ends = np.cumsum(unvarints(raw[4 : 4 + n]))
+                for codes in np.split(unvarints(raw[4 + n :]), ends[:-1]):
+                    parts.append(ragged(flat, starts[codes], lengths[codes]).astype(np.int32) if len(codes) else np.zeros(0, np.int32))
+                keys += of
+        offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+        columns = [pa.array(keys, id_type), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts)))]
+        if to:
+            columns.append(_decoded(np.concatenate(parts), offsets, *_table_of(token_bytes)))
+        return pa.table(columns, schema=schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = "<u2" if len(ranks(path)) < 1 << 16 else "<u4"
-        now, counts, ids, starts, lengths, flat = None, [], [], None, None, None
-        out, size = [], 0
+    return run
 
-        def made():
-            keys, parts = zip(*out, strict=True)
-            offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-            values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts).astype(np.int32)))
-            return pa.record_batch([pa.array(keys, id_type), values], names=[id_col, "ids"])
 
-        for batch in batches:
-            for block, what, keys, data in zip(*(batch.column(c).to_pylist() for c in ("block", "kind", "ids", "data")), strict=True):
-                if block != now:
-                    now, counts, ids, starts = block, [], [], None
-                if what == _WORDS:
-                    raw = zlib.decompress(data)
-                    n = int.from_bytes(raw[:4], "little")
-                    counts.append(unvarints(raw[4 : 4 + n]))
-                    ids.append(np.frombuffer(raw[4 + n :], kind))
-                elif what == _LAYOUT:
-                    # Words came in order of (bucket, rank); the layout tells each rank's bucket.
-                    order = np.argsort(np.frombuffer(zlib.decompress(data), "<u4"), kind="stable")
-                    lengths, starts = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
-                    if counts:
-                        flat = np.concatenate(ids)
-                        lengths[order] = each = np.concatenate(counts)
-                        starts[order] = np.cumsum(each) - each
-                else:
-                    raw = zlib.decompress(data)
-                    n = int.from_bytes(raw[:4], "little")
-                    ends = np.cumsum(unvarints(raw[4 : 4 + n]))
-                    for key, codes in zip(keys, np.split(unvarints(raw[4 + n :]), ends[:-1]), strict=True):
-                        found = ragged(flat, starts[codes], lengths[codes]) if len(codes) else np.zeros(0, np.int32)
-                        out.append((key, found))
-                        size += len(found)
-                        if size >= OUT_IDS or len(out) >= 10_000:
-                            yield made()
-                            out, size = [], 0
-        if out:
-            yield made()
-            out.clear()
-        counts, ids, starts, lengths, flat = [], [], None, None, None
-        release()
+_TABLES: dict[int, tuple] = {}
 
-    return run
+
+def _table_of(ranked) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The token-byte table of a broadcast rank table, made once in a worker."""
+    if id(ranked.value) not in _TABLES:
+        _TABLES.clear()
+        _TABLES[id(ranked.value)] = _bytes_of(ranked.value)
+    return _TABLES[id(ranked.value)]
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
-    """One row per document: its id and ``ids``, array<int>, as the rank file at ``path`` encodes its whole text."""
-    path = path or public_tokenizers.path(VOCABULARY)
+def _decoded(ids: np.ndarray, offsets: np.ndarray, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Lists of ids (by offsets) joined with the token-byte table: the bytes of each list."""
+    each = lengths[ids]
+    ends = np.concatenate([[0], np.cumsum(each)])[offsets].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(ragged(flat, starts[ids], each).tobytes() if len(ids) else b"")])
+
+
+def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: str | None = None, decoded: str | None = None) -> DataFrame:
+    """One row per document: its id and ``ids``, array<int>, as the rank file at ``path`` encodes its whole text.
+
+    ``decoded`` names a further binary column, the ids decoded again by the token-byte table in the same task.
+    """
     spark = docs.sparkSession
     ship(spark)
+    table = spark.sparkContext.broadcast(ranks(path or public_tokenizers.path(VOCABULARY)))  # bounded by the vocabulary
     only = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     n = partitions(spark, only)
     id_type = only.schema["id"].dataType
-    from pyspark.sql.pandas.types import to_arrow_type
-
     arrow_id = to_arrow_type(id_type)
-    schema = T.StructType([T.StructField(x, t) for x, t in (("part", T.IntegerType()), ("home", T.IntegerType()), ("block", T.LongType()), ("kind", T.ByteType()), ("bucket", T.IntegerType()), ("ids", T.ArrayType(id_type)), ("data", T.BinaryType()))])
-    rows = only.mapInArrow(_split(n, arrow_id), schema).repartitionById(n, F.col("part"))
-    rows = rows.mapInArrow(_encode_words(path), schema)
-    # Words sort before their block's layout, the layout before the documents.
-    rows = rows.repartitionById(n, F.col("home")).sortWithinPartitions("block", "kind", "bucket")
-    return rows.mapInArrow(_join(path, arrow_id, id_col), T.StructType([T.StructField(id_col, id_type), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    schema = T.StructType([T.StructField(x, t) for x, t in (("part", T.LongType()), ("block", T.LongType()), ("kind", T.ByteType()), ("bucket", T.IntegerType()), ("ids", T.ArrayType(id_type)), ("data", T.BinaryType()))])
+    rows = only.mapInArrow(_split(2 * n, arrow_id), schema).repartition(n, "part")
+    words = rows.mapInArrow(_encode_words(table), "block long, bucket int, data binary").repartition(n, "block")
+    out = T.StructType([T.StructField(id_col, id_type), T.StructField("ids", T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.BinaryType())] if decoded else [])])
+    return words.groupBy("block").cogroup(rows.groupBy("part")).applyInArrow(_reassembled(arrow_id, id_col, table, decoded), out)
 
 
 def decode(encoded: DataFrame, ids: str = "ids", path: str | None = None, to: str = "decoded") -> DataFrame:
     """``encoded`` with a binary column ``to`` added: the bytes of its ids (null for null)."""
-    path = path or public_tokenizers.path(VOCABULARY)
     ship(encoded.sparkSession)
+    table = encoded.sparkSession.sparkContext.broadcast(ranks(path or public_tokenizers.path(VOCABULARY)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, starts, lengths = _bytes_of(path)
         for batch in batches:
             column = batch.column(ids)
-            values = column.flatten().to_numpy(zero_copy_only=False)
-            ends = np.cumsum(np.concatenate([[0], np.fromiter((x or 0 for x in pa.compute.list_value_length(column).to_pylist()), np.int64, len(column))]))
-            out = []
-            for i in range(len(column)):
-                part = values[ends[i] : ends[i + 1]]
-                out.append(ragged(flat, starts[part], lengths[part]).tobytes() if column[i].is_valid else None)
-            yield batch.append_column(to, pa.array(out, pa.binary()))
+            lengths = pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+            made = _decoded(column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lengths)]), *_table_of(table))
+            yield batch.append_column(to, pa.compute.if_else(column.is_valid(), made, pa.scalar(None, pa.binary())))
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(to, T.BinaryType())]))
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """n_tokens, ids_sha256 and decoded_sha256 of encoded documents, beside their other columns but ids."""
+def digests(encoded: DataFrame, decoded: str = "decoded") -> DataFrame:
+    """n_tokens, ids_sha256 and decoded_sha256 of encoded documents, beside their other columns but the ids and bytes."""
+    made = encoded if decoded in encoded.columns else decode(encoded, to=decoded)
     text = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return decode(encoded).withColumns({"n_tokens": F.size("ids").cast("long"), "ids_sha256": F.sha2(text.cast("binary"), 256), "decoded_sha256": F.sha2("decoded", 256)}).drop("ids", "decoded")
+    return made.withColumns({"n_tokens": F.size("ids").cast("long"), "ids_sha256": F.sha2(text.cast("binary"), 256), "decoded_sha256": F.sha2(decoded, 256)}).drop("ids", decoded)

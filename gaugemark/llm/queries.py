@@ -15,7 +15,7 @@ def op2_html_extract(spark, sf_dir):
 
 
 def op3_byte_bpe(spark, sf_dir):
-    return byte_bpe.digests(byte_bpe.encode(table(spark, sf_dir, "documents")))
+    return byte_bpe.digests(byte_bpe.encode(table(spark, sf_dir, "documents"), decoded="decoded"))
 
 
 def op4_token_counts(spark, sf_dir):
