@@ -1,0 +1,50 @@
+"""Defined edge cases of the corpus operators: repeated ids and rows, odd values, clashing columns."""
+
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from gaugemark.llm import bsi_topk, exact_dedup, language_id, license_scan, source_mix, url_filter
+from test_operators import DOC, docs_of, prose
+
+VEC = "vec_id long, embedding array<float>"
+
+
+def brute_topk(rows, k):
+    """Ranked lists of every query row, as a sorted list of rows."""
+    dims = max((len(v) for _, v in rows), default=0)
+    q = [(i, [int(np.floor(64 * float(np.float32(x)))) for x in v] + [0] * (dims - len(v))) for i, v in rows]
+    out = []
+    for a, (i, x) in enumerate(q):
+        if i % 20 == 0:
+            best = sorted((-sum(s * t for s, t in zip(x, y, strict=True)), j) for b, (j, y) in enumerate(q) if a != b)[:k]
+            out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    return sorted(out)
+
+
+def test_topk_of_rows_that_share_an_id(spark):
+    r = random.Random(5)
+    vec = lambda n=4: [r.uniform(-1, 1) for _ in range(n)]
+    same = vec()
+    rows = [(20, vec()), (20, vec()), (20, same), (20, same), (40, []), (60, vec(2)), *((i, vec()) for i in range(1, 50)), (7, same), (7, same)]
+    for block_rows, chunk in ((1 << 16, 128), (10, 2)):
+        out = bsi_topk.top_k(spark.createDataFrame(rows, VEC).repartition(3), k=5, block_rows=block_rows, chunk_queries=chunk)
+        assert sorted(map(tuple, out.collect())) == brute_topk(rows, 5)
+
+
+def test_topk_of_a_vector_that_a_third_of_all_rows_have(spark):
+    same = [0.5, -0.25, 0.125]
+    rows = [(i if i % 3 else 20, same if i % 2 else [0.1 * (i % 7), 0.2, -0.3]) for i in range(150)]
+    out = bsi_topk.top_k(spark.createDataFrame(rows, VEC), k=6, block_rows=16, chunk_queries=4)
+    assert sorted(map(tuple, out.collect())) == brute_topk(rows, 6)
+
+
+def test_topk_of_huge_components_and_clashing_columns(spark):
+    rows = [(20, [3e38, 1.0], 1, 2), (1, [3e38, 0.0], 1, 2), (2, [-3e38, 0.0], 1, 2), (3, [0.0, 5.0], 1, 2)]
+    odd = spark.createDataFrame(rows, "vec_id long, embedding array<float>, block int, score int").selectExpr("*", "5 AS id", "6 AS values", "7 AS home", "8 AS rank", "9 AS query_id")
+    got = [tuple(x) for x in bsi_topk.top_k(odd).orderBy("rank").collect()]
+    assert got == [(20, 1, 1, (1 << 63) - 1), (20, 2, 3, 64 * 320), (20, 3, 2, -(1 << 63))]
+    only_empty = spark.createDataFrame([(20, []), (40, []), (1, [])], VEC)
+    assert sorted(map(tuple, bsi_topk.top_k(only_empty).collect())) == brute_topk([(20, []), (40, []), (1, [])], 20)

@@ -189,7 +189,7 @@ def test_topk_equals_brute_force(spark):
     rows += [(400 + i, rows[7][1]) for i in range(60)]  # ties
     rows += [(900, None), (920, [1.0, None, 0.0]), (940, [float("nan")] * 8), (960, [float("inf")] * 8), (980, []), (None, rows[0][1]), (1000, [0.5, 0.5]), (1001, [2e8] + [0.0] * 7)]
     out = bsi_topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=7, block_rows=100, chunk_queries=5).collect()
-    vec = {i: np.floor(64 * np.float32(v).astype(float)).astype(int) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
+    vec = {i: np.floor(64 * np.float32(v).astype(float)).astype(int) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
     dot = lambda a, b: int(sum(x * y for x, y in zip(a, b, strict=False)))
     want = []
     for q in vec:
