@@ -10,44 +10,57 @@ is taken once for each integer boundary that its interval crosses. The order goe
 first, so that the taken words come near the target as well as the taken documents do.
 
 Scale: a prefix sum never needs a source in one task. A source's size class with n rows is split
-into about sqrt(n) cells by hash range; rows are ranked within cells, and cells within sources.
+into about sqrt(n) cells by hash range; rows are ranked within cells, and cells within sources. The
+sources themselves, which may be many, are ranked and summed by ranges.
 
 Defined cases: a null text has size 0; null is a source of its own; sources of size 0 get target 0
-and nothing is taken from them; repeated ids are separate rows; no rows in, no rows out.
+and nothing is taken from them; repeated ids are separate rows, ordered by size and a digest of the text,
+so that reruns over other partitions agree (rows equal in all of these are alike); no rows in, no rows out;
+further columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WHITE, materialise, md5_uint32
+from .common import WHITE, materialise, md5_uint32, partitions
 
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2
 
 
-def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """``sizes`` (source, source_size): one row per source with ``target`` added.
+def _before(df: DataFrame, order: Column, sums: dict[str, Column]) -> DataFrame:
+    """``df`` with a column for each of ``sums``: the sum over all rows that come before in ``order`` (the source breaks ties).
 
-    One task sorts the table of sources (not of documents).
+    Rows are dealt to ranges of the order, summed within them and shifted by the sums of the ranges before,
+    of which there are as many as partitions.
     """
-    order = W.orderBy(F.col("source").asc_nulls_last())
-    nth = (F.row_number().over(order) - 1) % len(weights)
-    weighed = sizes.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), nth.cast("int") + 1)).withColumn("cap", F.col("source_size") * F.lit(float(cap)))
-    by_cap = W.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    below = by_cap.rowsBetween(W.unboundedPreceding, -1)
-    everything = W.partitionBy()
-    ranked = (
-        weighed.withColumn("caps_below", F.coalesce(F.sum("cap").over(below), F.lit(0.0)))
-        .withColumn("weight_from", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(below), F.lit(0)))
-        .withColumn("goal", F.sum("source_size").over(everything) * F.lit(float(share)))
-    )
-    level = (F.col("goal") - F.col("caps_below")) / F.col("weight_from")
+    spark = df.sparkSession
+    source = F.col("source").asc_nulls_last()
+    dealt = materialise(df.repartitionByRange(partitions(spark), order, source).withColumn("range_", F.spark_partition_id()))
+    earlier = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    whole = dealt.groupBy("range_").agg(*(F.sum(c).alias(f"{n}_of") for n, c in sums.items()))
+    shifts = whole.select("range_", *(F.coalesce(F.sum(f"{n}_of").over(earlier(W.orderBy("range_"))), F.lit(0)).alias(f"{n}_shift") for n in sums))
+    within = earlier(W.partitionBy("range_").orderBy(order, source))
+    out = dealt.select("*", *(F.coalesce(F.sum(c).over(within), F.lit(0)).alias(n) for n, c in sums.items())).join(F.broadcast(shifts), "range_")  # a row for each partition
+    return out.withColumns({n: F.col(n) + F.col(f"{n}_shift") for n in sums}).drop("range_", *(f"{n}_shift" for n in sums))
+
+
+def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """``sizes`` (source, source_size): one row per source with ``target`` added."""
+    spark = sizes.sparkSession
+    placed = _before(sizes.select("source", "source_size"), F.col("source").asc_nulls_last(), {"nth": F.lit(1)})
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("nth") % len(weights)).cast("int") + 1)
+    weighed = placed.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(float(cap))).drop("nth")
+    ranked = materialise(_before(weighed, F.col("cap") / F.col("weight"), {"caps_below": F.col("cap"), "weight_below": F.col("weight")}))
+    total = ranked.agg(F.sum("weight").alias("w"), F.sum("source_size").alias("s")).first()
+    goal, all_weight = float(total["s"] or 0) * share, int(total["w"] or 0)
+    level = (F.lit(goal) - F.col("caps_below")) / (F.lit(all_weight) - F.col("weight_below"))
     # The first source (by cap per weight) that its level does not fill sets the level for all; later ones only have lower levels.
-    ranked = ranked.withColumn("level", level).withColumn("open", F.col("level") <= F.col("cap") / F.col("weight"))
-    final = F.max(F.when(F.col("open"), F.col("level"))).over(everything)
-    return ranked.withColumn("target", F.least(F.col("cap"), F.coalesce(final * F.col("weight"), F.col("cap")))).select("source", "source_size", "target")
+    top = ranked.select(level.alias("level"), F.col("cap"), F.col("weight")).where(F.col("level") <= F.col("cap") / F.col("weight")).agg(F.max("level").alias("level")).first()["level"]
+    target = F.col("cap") if top is None else F.least(F.col("cap"), F.lit(top) * F.col("weight"))
+    return ranked.select("source", "source_size", target.alias("target"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", seed: int = 20240, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -56,7 +69,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     size = F.length(F.regexp_replace(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[^\x20\x09-\x0D]+", "\u0001"), WHITE, ""))
     key = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("id").cast("string"), F.lit("")))
     digits = F.col("size").cast("string")
-    base = docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), size.cast("long").alias("size"))
+    base = docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), size.cast("long").alias("size"), F.xxhash64(text).alias("x"))
     base = materialise(base.withColumn("h", md5_uint32(key)).withColumn("class", F.length(digits) * 100 + F.rpad(F.substring(digits, 1, 2), 2, "0").cast("int")))
     classes = base.groupBy("source", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
     classes = materialise(classes.withColumn("cells", F.ceil(F.sqrt("n")).cast("long")))
@@ -68,7 +81,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     starts = counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     starts = starts.join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     starts = starts.withColumnsRenamed({"source": "s", "class": "c", "cell": "k"})
-    rank = F.row_number().over(W.partitionBy("source", "class", "cell").orderBy("h", "id"))
+    rank = F.row_number().over(W.partitionBy("source", "class", "cell").orderBy("h", "id", "size", "x"))
     ranked = celled.withColumn("nth", rank).join(materialise(starts), F.col("source").eqNullSafe(F.col("s")) & (F.col("class") == F.col("c")) & (F.col("cell") == F.col("k")), "left")
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = md5_uint32(F.concat(F.lit(f"{seed}/"), F.coalesce(F.col("source"), F.lit("")))) / F.lit(4294967296.0)

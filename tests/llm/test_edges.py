@@ -48,3 +48,40 @@ def test_topk_of_huge_components_and_clashing_columns(spark):
     assert got == [(20, 1, 1, (1 << 63) - 1), (20, 2, 3, 64 * 320), (20, 3, 2, -(1 << 63))]
     only_empty = spark.createDataFrame([(20, []), (40, []), (1, [])], VEC)
     assert sorted(map(tuple, bsi_topk.top_k(only_empty).collect())) == brute_topk([(20, []), (40, []), (1, [])], 20)
+
+
+def mixed(spark, rows, parts):
+    out = source_mix.mix(docs_of(spark, rows).repartition(parts, F.rand(parts)))
+    return sorted((tuple(x) for x in out.collect()), key=str)
+
+
+def test_mix_reruns_agree_where_ids_repeat(spark):
+    r = random.Random(4)
+    rows = [(5, prose(r, 100 + i % 9), "a") for i in range(60)] + [(i, prose(r, r.randint(1, 50)), r.choice("ab")) for i in range(200)] + [(None, prose(r, 30), None), (None, prose(r, 31), None)]
+    runs = [mixed(spark, rows, n) for n in (2, 7, 5)]
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) == len(rows)
+
+
+def test_mix_of_many_sources(spark):
+    r = random.Random(8)
+    rows = [(i, prose(r, r.randint(0, 40)), f"site{r.randrange(150)}.net") for i in range(900)]
+    out = source_mix.mix(docs_of(spark, rows)).collect()
+    size = {}
+    for _, t, s in rows:
+        size[s] = size.get(s, 0) + len(t.split())
+    names, open_, want, left = sorted(size), set(size), dict.fromkeys(size, 0.0), 1.5 * sum(size.values())
+    weight = {k: (5, 2, 1)[i % 3] for i, k in enumerate(names)}
+    while left > 1e-6 and open_:
+        unit, spare = left / sum(weight[k] for k in open_), 0.0
+        for k in list(open_):
+            want[k] += unit * weight[k]
+            if want[k] >= 2 * size[k]:
+                spare, want[k] = spare + want[k] - 2 * size[k], 2.0 * size[k]
+                open_.discard(k)
+        left = spare
+    assert all(abs(x["target"] - want[x["source"]]) < 1e-6 and x["source_size"] == size[x["source"]] for x in out)
+
+
+def test_mix_ignores_clashing_columns(spark):
+    rows = docs_of(spark, [(1, "a b c", "s"), (2, None, None)]).selectExpr("*", "1 AS id", "2 AS size", "3 AS h", "4 AS x", "5 AS class", "6 AS target", "7 AS copies", "8 AS nth", "9 AS cell", "1 AS start")
+    assert sorted((x["doc_id"], x["size"]) for x in source_mix.mix(rows).collect()) == [(1, 3), (2, 0)]
