@@ -7,21 +7,23 @@ has not costs its escape, -log2(distinct / (total + distinct)); below order 0 al
 equally likely. The statistics are frozen after training, so a text's code length is exactly the sum
 of its words' code lengths, and a distinct word is scored once for all languages and reused.
 
-Words are runs of letters: ASCII letters in lower case and all bytes from 0x80 on; contexts begin at
-the blank before a word. The language with the shortest code wins (ties: the smaller name), and the
+Words are runs of letters: ASCII letters in lower case and all bytes from 0x80 on; the code covers these
+words, each with the blank behind it, and contexts begin at the blank before a word. The language with the shortest code wins (ties: the smaller name), and the
 score is its share of 2 ** -length over all languages.
 
 Training takes a bounded sample: of each label's training rows the ``per_language`` with the smallest
-id hash, in whole. All else covers whole texts of all rows.
-
-Defined cases: a text that is null, empty or without a letter gives ``und`` with score 0; without
-any labelled training row every text does; rows with null labels are never learned from; repeated
-rows are scored one by one; clashing extra columns are ignored.
+digest of id and text, in whole; of their distinct words the ``MOST_LEARNED`` most frequent ones of each
+label, and the ``MOST_LABELS`` labels with most rows. Words are counted in Spark; only counts reach the
+driver. All else covers whole texts of all rows.
+
+Defined cases: a text that is null, empty or without a letter (a character of Unicode's letter classes)
+gives ``und`` with score 0; without any labelled training row every text does; rows with null labels are
+never learned from; rows that repeat an id or are equal throughout are rows like others, and no label is
+lost by them; repeated rows are scored one by one; clashing extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -36,9 +38,14 @@ from .blocks import Vocabulary, release, text_blocks
 from .common import ship
 
 ORDER, PER_LANGUAGE, UNDETERMINED = 4, 1000, "und"
+MOST_LEARNED, MOST_LABELS = 200_000, 500
 BLOCK_BYTES, MOST_WORDS = 2 << 20, 1 << 18
 _LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether any character is of Unicode's letter classes; the search ends at the first one."""
+    return any(map(str.isalpha, text))
 
 
 def words_of(text: str) -> list[bytes]:
@@ -159,7 +166,7 @@ class Scorer:
             return [UNDETERMINED] * len(texts), [0.0] * len(texts)
         if len(self.words) > MOST_WORDS:
             self.reset()
-        split = [words_of(t) if t and _LETTER.search(t) else [] for t in texts]
+        split = [words_of(t) if t and has_letter(t) else [] for t in texts]
         counts = np.fromiter(map(len, split), np.int64, len(split))
         number = self.words.__getitem__
         ids = np.fromiter((number(w) for ws in split for w in ws), np.int64, int(counts.sum()))
@@ -183,32 +190,59 @@ class Scorer:
         return pred, score
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", per_language: int = PER_LANGUAGE) -> ContextTrees:
-    """Context trees of the labels of ``docs`` from at most ``per_language`` whole rows of each.
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, text) -> (lang, word, n): the words of each batch, counted."""
+    for batch in batches:
+        found: dict[str, Counter] = {}
+        for lang, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "text")), strict=True):
+            found.setdefault(lang, Counter()).update(words_of(text))
+        rows = [(lang, w, n) for lang, words in found.items() for w, n in words.items()]
+        lang, word, n = zip(*rows, strict=True) if rows else ((), (), ())
+        yield pa.record_batch([pa.array(lang, pa.string()), pa.array(word, pa.binary()), pa.array(n, pa.int64())], names=["lang", "word", "n"])
+    release()
+
 
-    The rows with the smallest id hash are taken: a hash threshold from the labels' counts first cuts
-    each label to about the bound, then an exact rank does, so no large group is sorted or moved.
+def _sample(labelled: DataFrame, counts: dict[str, int], per_language: int) -> DataFrame:
+    """(lang, text) of the rows with the smallest digests, up to ``per_language`` of each label of ``counts``.
+
+    A threshold from the labels' counts first cuts each label to about the bound, then an exact rank does, so
+    no large group is sorted or moved.
     """
-    labelled = docs.select(F.col(id_col).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
-        return ContextTrees({})
-    h = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
-    below = F.element_at(F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1 << 30, int((1 << 30) * 1.2 * per_language / n) + (1 << 30) * 30 // n)))), F.col("lang"))
+    full = 1 << 30
+    h = F.pmod(F.xxhash64("id", "text"), F.lit(full))
+    below = F.element_at(F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(full, int(full * 1.2 * per_language / n) + full * 30 // n)))), F.col("lang"))
     near = labelled.withColumn("h", h).where(F.col("h") < below)
     nth = F.row_number().over(W.partitionBy("lang").orderBy("h", "id", F.length("text")))
-    rows = near.withColumn("nth", nth).where(F.col("nth") <= per_language).select("lang", "text").collect()
+    return near.withColumn("nth", nth).where(F.col("nth") <= per_language).select("lang", "text")
+
+
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", per_language: int = PER_LANGUAGE) -> ContextTrees:
+    """Context trees of the labels of ``docs`` from at most ``per_language`` whole rows of each."""
+    ship(docs.sparkSession)
+    labelled = docs.select(F.col(id_col).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
+    most = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(MOST_LABELS)
+    counts = {r["lang"]: r["n"] for r in most.collect()}
     words: dict[str, Counter] = {k: Counter() for k in counts}
-    for r in rows:
-        words[r["lang"]].update(words_of(r["text"]))
-    del rows
+
+    def learn(sample: DataFrame) -> set[str]:
+        found = sample.mapInArrow(_word_counts, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+        nth = F.row_number().over(W.partitionBy("lang").orderBy(F.col("n").desc(), "word"))
+        rows = found.withColumn("nth", nth).where(F.col("nth") <= MOST_LEARNED).drop("nth").toArrow()
+        for k, w, n in zip(*(rows.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True):
+            words[k][w] = n
+        return {k for k, v in words.items() if v}
+
+    if counts:
+        learned = learn(_sample(labelled, counts, per_language))
+        # Rows alike have one digest: a label of few different rows may have none below its threshold, and is ranked as it is.
+        if missing := {k: 1 for k in counts if k not in learned}:
+            learn(_sample(labelled.where(F.col("lang").isin(*missing)), missing, per_language))
     trees = ContextTrees({k: v for k, v in words.items() if v})
     del words
     release()
     return trees
 
 
-
 def identify(docs: DataFrame, trees: ContextTrees, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """``docs`` with the columns ``pred`` and ``score`` added (replaced, where they exist)."""
     docs = docs.drop(pred, score)

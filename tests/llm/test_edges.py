@@ -85,3 +85,41 @@ def test_mix_of_many_sources(spark):
 def test_mix_ignores_clashing_columns(spark):
     rows = docs_of(spark, [(1, "a b c", "s"), (2, None, None)]).selectExpr("*", "1 AS id", "2 AS size", "3 AS h", "4 AS x", "5 AS class", "6 AS target", "7 AS copies", "8 AS nth", "9 AS cell", "1 AS start")
     assert sorted((x["doc_id"], x["size"]) for x in source_mix.mix(rows).collect()) == [(1, 3), (2, 0)]
+
+
+LANGS = {"en": "the rain and the wind over the hills of the north".split(), "de": "der regen und der wind über den hügeln im norden".split()}
+
+
+def spoken(r, lang, n=12):
+    return " ".join(r.choice(LANGS[lang]) for _ in range(n))
+
+
+def test_language_of_texts_without_letters(spark):
+    r = random.Random(1)
+    rows = [(i, spoken(r, k), k) for i in range(60) for k in LANGS]
+    odd = {9001: "½ ² ³", 9002: "Ⅷ ⅷ", 9003: "١٢٣ 四" [:3], 9004: "_ __ 12", 9005: "€ → ☂", 9006: "\U0001f600", 9007: "½ a", 9008: "日本"}
+    docs = spark.createDataFrame([*rows, *((i, t, None) for i, t in odd.items())], "doc_id long, text string, lang string")
+    got = {x["doc_id"]: (x["lang_pred"], x["score"]) for x in language_id.identify_table(docs).collect()}
+    assert all(got[i] == ("und", 0.0) for i in range(9001, 9007)) and all(got[i][0] in LANGS for i in (9007, 9008))
+
+
+@pytest.mark.parametrize("alike", [False, True])
+def test_languages_of_rows_that_share_an_id(spark, alike):
+    """Every label is learned, also where all its rows are one row repeated."""
+    r = random.Random(2)
+    rows = [(7 if k == "en" else 8, spoken(random.Random(3) if alike else r, k), k) for _ in range(4000) for k in LANGS]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trees = language_id.train(docs, per_language=50)
+    assert trees.languages == ["de", "en"]
+    got = language_id.identify(docs.limit(20), trees).collect()
+    assert all(x["lang_pred"] == x["lang"] for x in got)
+
+
+def test_learned_words_are_the_samples_words(spark):
+    """With fewer rows than the bound, the trees are those of all words."""
+    r = random.Random(5)
+    rows = [(i, spoken(r, k), k) for i in range(30) for k in LANGS]
+    got = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5))
+    want = language_id.ContextTrees({k: language_id.Counter(w for _, t, lang in rows if lang == k for w in language_id.words_of(t)) for k in LANGS})
+    words = [b"rain", b"wind", "hügel".encode(), b"zzz"]
+    assert np.allclose(got.word_bits(words), want.word_bits(words))
