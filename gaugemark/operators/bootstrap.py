@@ -19,15 +19,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.student import clamped_block_length
-from .metrics import seeps_in_mask, seeps_penalty
+from ..workers import ship
+from .metrics import BIN_EDGES, percentile_bin, seeps_in_mask, seeps_penalty
 
 
 @dataclass(frozen=True)
 class Statistic:
-    """``sums``: name -> expression of a row, summed by day; ``final`` maps arrays of sums to the statistic."""
+    """``sums``: name -> expression of a row, summed by day; ``final`` maps arrays of sums to the statistic.
+
+    ``pairs`` names the sum that counts the rows which take part, where not all do; a group without any raises.
+    """
 
     sums: dict[str, Column]
     final: Callable[[dict[str, np.ndarray]], np.ndarray]
+    pairs: str | None = None
 
 
 def _ratio(top: str, bottom: str = "n"):
@@ -48,7 +53,7 @@ def statistics() -> dict[str, Statistic]:
         "weighted_mae": Statistic({"a": F.abs(e) * F.col("weight"), "w": F.col("weight")}, _ratio("a", "w")),
         "mse_total": Statistic({"q": e * e, "n": one}, _ratio("q")),
         "repr_floor_mean": Statistic({"f": F.col("repr_floor"), "n": one}, _ratio("f")),
-        "seeps": Statistic({"p": F.when(inside, seeps_penalty()), "m": inside.cast("double")}, _ratio("p", "m")),
+        "seeps": Statistic({"p": F.when(inside, seeps_penalty()), "m": inside.cast("double")}, _ratio("p", "m"), "m"),
     }
 
 
@@ -75,6 +80,9 @@ def _check(df: DataFrame, day: str, n_boot: int, block_len: int | None, alpha: f
         raise ValueError(f"no column {day}")
     if n_boot < 1 or not 0 < alpha < 1 or (block_len is not None and block_len < 1):
         raise ValueError("needs n_boot >= 1, 0 < alpha < 1 and block_len >= 1")
+    if df.isEmpty():
+        raise ValueError("no rows to draw from")
+    ship(df.sparkSession)
 
 
 def _interval(draws: np.ndarray, alpha: float) -> tuple[float, float]:
@@ -103,7 +111,7 @@ def block_bootstrap(df: DataFrame, by: Sequence[str], metrics: Sequence[str], da
     for name, kind in _RESULT:
         schema = schema.add(name, kind)
 
-    finals = {m: s.final for m, s in chosen.items()}
+    finals = {m: (s.final, s.pairs) for m, s in chosen.items()}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("day_")
@@ -111,17 +119,20 @@ def block_bootstrap(df: DataFrame, by: Sequence[str], metrics: Sequence[str], da
         length = min(n, block_len or clamped_block_length(pdf["error_"].to_numpy(float)))
         times = multiplicities(n, length, n_boot, seed, starts)
         rows = []
-        for m, final in finals.items():
+        for m, (final, pairs) in finals.items():
             days = {c[len(m) + 2 :]: np.nan_to_num(pdf[c].to_numpy(float)) for c in pdf.columns if c.startswith(f"{m}__")}
+            used = int(days[pairs].sum() if pairs else pdf["rows_"].sum())
+            if not used:
+                raise ValueError(f"{m}: every row of the group is masked")
             estimate = float(final({k: np.array([x.sum()]) for k, x in days.items()})[0])
             low, high = _interval(final({k: times @ x for k, x in days.items()}), alpha)
-            rows.append([*(pdf[b].iloc[0] for b in by), m, estimate, low, high, alpha, int(pdf["rows_"].sum()), n, length, n_boot])
+            rows.append([*(pdf[b].iloc[0] for b in by), m, estimate, low, high, alpha, used, n, length, n_boot])
         return pd.DataFrame(rows, columns=schema.names)
 
     return daily.groupBy(*by).applyInPandas(run, schema)
 
 
-def decomposition_bootstrap(df: DataFrame, by: Sequence[str], day: str = "day", n_boot: int = 1000, block_len: int | None = None, alpha: float = 0.05, seed: int = 0) -> DataFrame:
+def decomposition_bootstrap(df: DataFrame, by: Sequence[str], day: str = "day", n_boot: int = 1000, block_len: int | None = None, alpha: float = 0.05, seed: int = 0, starts: str = "random") -> DataFrame:
     """mse_total, repr_floor_mean and mse_model_est on the same draws, with the share of draws clipped at zero."""
     _check(df, day, n_boot, block_len, alpha)
     e = F.col("fcst") - F.col("obs")
@@ -134,7 +145,7 @@ def decomposition_bootstrap(df: DataFrame, by: Sequence[str], day: str = "day",
         pdf = pdf.sort_values("day_")
         days = len(pdf)
         length = min(days, block_len or clamped_block_length(pdf["error_"].to_numpy(float)))
-        times = multiplicities(days, length, n_boot, seed)
+        times = multiplicities(days, length, n_boot, seed, starts)
         n, q, f = (pdf[c].to_numpy(float) for c in "nqf")
         total, floor = q.sum() / n.sum(), f.sum() / n.sum()
         draws = times @ n
@@ -147,33 +158,62 @@ def decomposition_bootstrap(df: DataFrame, by: Sequence[str], day: str = "day",
     return daily.groupBy(*by).applyInPandas(run, schema)
 
 
-def variance_ratio_bootstrap(df: DataFrame, by: Sequence[str], station: str = "station_id", day: str = "day", n_boot: int = 1000, block_len: int = 10, alpha: float = 0.05, seed: int = 0) -> DataFrame:
+def variance_ratio_bootstrap(df: DataFrame, by: Sequence[str], station: str = "station_id", day: str = "day", n_boot: int = 1000, block_len: int | None = None, alpha: float = 0.05, seed: int = 0, starts: str = "random") -> DataFrame:
     """Variance ratio with its interval. A station's days are one matrix product; medians go over stations by draw.
 
-    A station is left out of a draw in which its observations are constant, told by their extremes.
+    A station is left out of a draw in which its observations are constant, told by their extremes. Days are
+    numbered once for each group (the calendar bounds them); a station's sums are centred after they are collected,
+    so rows are read and shuffled once.
     """
     _check(df, day, n_boot, block_len, alpha)
-    days = df.select(*by, F.col(day).alias("day_")).distinct()
-    index = days.groupBy(*by).agg(F.array_sort(F.collect_set("day_")).alias("days_"))  # bounded by the calendar
-    centred = df.join(df.groupBy(*by, station).agg(F.avg("fcst").alias("cf_"), F.avg("obs").alias("co_")), [*by, station])
-    f, o = F.col("fcst") - F.col("cf_"), F.col("obs") - F.col("co_")
-    sums = centred.groupBy(*by, station, F.col(day).alias("day_")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(f).alias("f"), F.sum(f * f).alias("ff"), F.sum(o).alias("o"), F.sum(o * o).alias("oo"), F.min("obs").alias("lo"), F.max("obs").alias("hi"))
-    joined = (sums.join(index, list(by)) if by else sums.join(F.broadcast(index))).withColumn("at_", F.array_position("days_", F.col("day_")).cast("int") - 1).withColumn("days_", F.size("days_"))
-    schema = T.StructType([*(joined.schema[b] for b in by), T.StructField("draw", T.IntegerType()), T.StructField("ratio", T.DoubleType()), T.StructField("n_days", T.IntegerType())])
+    e = F.col("fcst") - F.col("obs")
+    daily = df.groupBy(*by, F.col(day).alias("day_")).agg(F.avg(e).alias("error_"), F.count(F.lit(1)).alias("rows_"))
+    numbered = T.StructType([*(daily.schema[b] for b in by), daily.schema["day_"], *(T.StructField(c, T.IntegerType()) for c in ("at_", "days_", "length_")), T.StructField("pairs_", T.LongType())])
+
+    def number(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("day_")
+        n = len(pdf)
+        length = min(n, block_len or clamped_block_length(pdf["error_"].to_numpy(float)))
+        return pdf.assign(at_=np.arange(n, dtype=np.int32), days_=n, length_=length, pairs_=int(pdf["rows_"].sum()))[numbered.names]
+
+    index = daily.groupBy(*by).applyInPandas(number, numbered)
+    moments = [f(c).alias(f"{n}{c[0]}") for c in ("fcst", "obs") for n, f in (("mean_", F.avg), ("spread_", F.var_pop))]
+    sums = df.groupBy(*by, station, F.col(day).alias("day_")).agg(F.count(F.lit(1)).cast("double").alias("n"), *moments, F.min("obs").alias("lo"), F.max("obs").alias("hi"))
+    joined = sums.join(index, [*by, "day_"])
+    schema = T.StructType([*(joined.schema[b] for b in by), *(T.StructField(c, t) for c, t in (("draw", T.IntegerType()), ("ratio", T.DoubleType()), ("n_pairs", T.LongType()), ("n_days", T.IntegerType()), ("block_len_days", T.IntegerType())))])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = int(pdf["days_"].iloc[0])
-        times = np.vstack([np.ones((1, total)), multiplicities(total, min(block_len, total), n_boot, seed)])[:, pdf["at_"].to_numpy()]
-        n = times @ pdf["n"].to_numpy()
+        total, length, n_pairs = (int(pdf[c].iloc[0]) for c in ("days_", "length_", "pairs_"))
+        times = np.vstack([np.ones((1, total)), multiplicities(total, length, n_boot, seed, starts)])[:, pdf["at_"].to_numpy()]
+        each = pdf["n"].to_numpy()
+        n = times @ each
+
+        def variance(c: str) -> np.ndarray:
+            mean = pdf[f"mean_{c}"].to_numpy()
+            off = mean - (each @ mean) / each.sum()
+            return np.maximum((times @ (each * (pdf[f"spread_{c}"].to_numpy() + off * off)) - (times @ (each * off)) ** 2 / n) / (n - 1), 0)
+
         with np.errstate(divide="ignore", invalid="ignore"):
-            var = lambda s, q: np.maximum((times @ pdf[q].to_numpy() - (times @ pdf[s].to_numpy()) ** 2 / n) / (n - 1), 0)
-            ratio = np.sqrt(var("f", "ff") / var("o", "oo"))
+            ratio = np.sqrt(variance("f") / variance("o"))
         present = times > 0
         varies = np.where(present, pdf["lo"].to_numpy(), np.inf).min(axis=1) < np.where(present, pdf["hi"].to_numpy(), -np.inf).max(axis=1)
         good = varies & (n > 1) & np.isfinite(ratio)
         out = pd.DataFrame({b: [pdf[b].iloc[0]] * int(good.sum()) for b in by} | {"draw": np.flatnonzero(good).astype(np.int32) - 1, "ratio": ratio[good]})
-        return out.assign(n_days=total)[schema.names]
+        return out.assign(n_pairs=n_pairs, n_days=total, block_len_days=length)[schema.names]
 
-    draws = joined.groupBy(*by, station).applyInPandas(run, schema).groupBy(*by, "draw").agg(F.median("ratio").alias("r"), F.max("n_days").alias("n_days"))
+    same = [F.max(c).alias(c) for c in ("n_pairs", "n_days", "block_len_days")]
+    draws = joined.groupBy(*by, station).applyInPandas(run, schema).groupBy(*by, "draw").agg(F.median("ratio").alias("r"), *same)
     inner = F.when(F.col("draw") >= 0, F.col("r"))
-    return draws.groupBy(*by).agg(F.max(F.when(F.col("draw") < 0, F.col("r"))).alias("estimate"), F.percentile(inner, F.lit(alpha / 2)).alias("ci_low"), F.percentile(inner, F.lit(1 - alpha / 2)).alias("ci_high"), F.max("n_days").alias("n_days")).withColumn("n_boot", F.lit(n_boot))
+    out = draws.groupBy(*by).agg(F.max(F.when(F.col("draw") < 0, F.col("r"))).alias("estimate"), F.percentile(inner, F.lit(alpha / 2)).alias("ci_low"), F.percentile(inner, F.lit(1 - alpha / 2)).alias("ci_high"), *same)
+    return out.withColumns({"n_boot": F.lit(n_boot), "alpha": F.lit(float(alpha))})
+
+
+def bias_by_bin_bootstrap(df: DataFrame, by: Sequence[str] = (), **options) -> DataFrame:
+    """Bias with its interval in every bin of the observed percentile (column ``obs_pct``); empty bins have no pairs and nulls."""
+    if "obs_pct" not in df.columns:
+        raise ValueError("bias_by_bin_bootstrap needs column obs_pct")
+    binned = df.withColumn("bin", percentile_bin(F.col("obs_pct"))).where("bin is not null")
+    got = block_bootstrap(binned, [*by, "bin"], ["bias"], **options).drop("metric")
+    bins = F.explode(F.array(*(F.lit(f"{a}-{b}") for a, b in zip(BIN_EDGES, BIN_EDGES[1:], strict=False)))).alias("bin")
+    every = df.select(*by).distinct().select(*by, bins) if by else df.sparkSession.range(1).select(bins)
+    return every.join(got, [*by, "bin"], "left").withColumn("n_pairs", F.coalesce("n_pairs", F.lit(0).cast("long")))

@@ -101,7 +101,7 @@ def metadata_check(df: DataFrame, stations: DataFrame, params: Mapping = PARAMS)
 def duplicate_check(df: DataFrame, stations: DataFrame, params: Mapping = PARAMS, secondary: str = "isd") -> DataFrame:
     """Rows of the secondary network that repeat the reading of the station they are crossed with."""
     crossed = stations.where((F.col("network") == secondary) & F.col("cross_ref").isNotNull()).select("station_id", F.col("cross_ref").alias("_ref"))
-    first = df.select(F.col("station_id").alias("_ref"), "variable", "valid_time", F.col("value").alias("_other")).groupBy("_ref", "variable", "valid_time").agg(F.first("_other").alias("_other"))
+    first = df.select(F.col("station_id").alias("_ref"), "variable", "valid_time", F.col("value").alias("_other")).groupBy("_ref", "variable", "valid_time").agg(F.min("_other").alias("_other"))  # of repeated readings the least
     joined = df.join(crossed, "station_id", "left").join(first, ["_ref", "variable", "valid_time"], "left")
     return flagged(joined, F.abs(F.col("value") - F.col("_other")) <= params["duplicate"]["value_tolerance"], C.DUPLICATE).select(df.columns)
 
@@ -115,6 +115,13 @@ def run_qc(obs: DataFrame, stations: DataFrame, neighbours: DataFrame | None = N
     return duplicate_check(metadata_check(df, stations, params), stations, params)
 
 
+def check_qc(obs: DataFrame, flagged_: DataFrame) -> dict:
+    """Reconcile a QC run: it flags rows and never drops or repeats one. With the flag counts of every variable."""
+    n = obs.count()
+    counts = {r["variable"]: r.asDict() for r in C.bit_counts(flagged_).collect()}  # one row a variable
+    return C.reconcile("qc", n, sum(r["n"] for r in counts.values()), {}) | {"flags": counts}
+
+
 def conflicts(obs: DataFrame) -> DataFrame:
     """Keys that hold more than one distinct value, with the count; exact repeats are no conflict."""
     key = ["station_id", "valid_time", "variable"]

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions.student import quantile, two_sided_p
+from ..workers import ship
 
 METHODS = ("iid", "ar2", "hac")
 
@@ -58,6 +59,7 @@ _FIELDS = "estimate double, stderr double, ci_low double, ci_high double, p_raw
 
 def ttest_by(daily: DataFrame, by: Sequence[str], method: str = "hac", value: str = "error", day: str = "day", alpha: float = 0.05) -> DataFrame:
     """A test for every group's series of one value a day; groups hold the calendar's days at most."""
+    ship(daily.sparkSession)
     schema = T.StructType([*(daily.schema[b] for b in by), *T._parse_datatype_string(_FIELDS).fields])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -54,7 +54,7 @@ stations AS (SELECT c_custkey::VARCHAR AS station_id, CASE WHEN c_custkey % 2 =
   -30.0::DOUBLE + (c_custkey * 7919 % 400) / 100.0::DOUBLE AS lat, -55.0::DOUBLE + (c_custkey * 104729 % 500) / 100.0::DOUBLE AS lon,
   c_acctbal / 10 AS elev_station, c_acctbal / 10 + (c_custkey % 7) * 30 - 90 AS elev_dem, ['Af', 'Cfa', 'BSh', 'Cfb', 'Aw'][c_custkey % 5 + 1] AS koppen,
   NULL::VARCHAR AS cross_ref, CASE WHEN c_custkey % 11 = 0 THEN 'review' ELSE 'included' END AS status, NULL::VARCHAR AS exclusion_reason
-  FROM customer WHERE c_custkey < 150)"""
+  FROM customer)"""
 
 #: Great-circle distance in SQL between aliases a and b.
 DISTANCE = "2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))"
@@ -123,7 +123,7 @@ def rain_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RAIN_POINTS = """
 rain AS (SELECT ['aifs', 'gfs', 'hres', 'graphcast'][o_custkey % 4 + 1] AS model, (o_custkey % 7)::VARCHAR AS station_id, date_trunc('month', o_orderdate)::TIMESTAMP AS init_time, (o_orderkey % 20 * 6 + 6)::INT AS lead_hours, min(round(o_totalprice / 1000, 2)) AS value
-  FROM orders WHERE o_orderkey % 5 > 0 GROUP BY 1, 2, 3, 4)"""
+  FROM orders GROUP BY 1, 2, 3, 4)"""
 
 
 def forecast_points(spark: SparkSession, sf_dir: str) -> DataFrame:

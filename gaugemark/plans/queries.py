@@ -93,7 +93,7 @@ def qc_metadata(spark, sf_dir):
     return qc.metadata_check(_station_obs(spark, sf_dir), A.stations(spark, sf_dir), QC | {"metadata": {"max_elev_diff_m": 80.0}}).select(*_FLAG_COLUMNS, _ts())
 
 
-@_query(f"WITH {A.STATIONS}, {_STATION_OBS} " + _FLAG_SQL.format(32) + "(SELECT so.*, CASE WHEN station_id::INT % 2 = 1 AND station_id::INT < 150 THEN abs(so.value - o.value) <= 0.05 END AS bad FROM so LEFT JOIN so o ON o.station_id = (so.station_id::INT - 1)::VARCHAR AND o.valid_time = so.valid_time)".replace("SELECT so.*, CASE WHEN station_id", "SELECT so.*, CASE WHEN so.station_id").replace("AND station_id::INT < 150", "AND so.station_id::INT < 150"))
+@_query(f"WITH {A.STATIONS}, {_STATION_OBS} " + _FLAG_SQL.format(32) + "(SELECT so.*, CASE WHEN so.station_id::INT % 2 = 1 AND so.station_id IN (SELECT station_id FROM stations) THEN abs(so.value - o.value) <= 0.05 END AS bad FROM so LEFT JOIN so o ON o.station_id = (so.station_id::INT - 1)::VARCHAR AND o.valid_time = so.valid_time)")
 def qc_duplicate(spark, sf_dir):
     crossed = A.stations(spark, sf_dir).withColumn("cross_ref", F.when(F.col("network") == "isd", (F.col("station_id").cast("int") - 1).cast("string")))
     return qc.duplicate_check(_station_obs(spark, sf_dir), crossed, QC).select(*_FLAG_COLUMNS, _ts())
@@ -286,8 +286,11 @@ def _rain_pairs(spark, sf_dir):
 _RAIN_PAIRS = "rp AS (SELECT model, greatest(fcst % 10 - 3, 0.0) AS f, greatest(obs % 13 - 4, 0.0) AS o, (station_id::INT % 10) / 10.0::DOUBLE AS p FROM pairs)"
 
 
-@_query(f"""WITH {A.PAIRS}, {_RAIN_PAIRS}, s AS (SELECT model, p BETWEEN 0.1 AND 0.85 AS inm, 0.5 * CASE WHEN f <= 0.25 AND o > 0.25 AND o < 5 THEN 1 / (1 - p) WHEN f <= 0.25 AND o >= 5 THEN 4 / (1 - p) WHEN f > 0.25 AND f < 5 AND o <= 0.25 THEN 1 / p WHEN f > 0.25 AND f < 5 AND o >= 5 THEN 3 / (1 - p)
-WHEN f >= 5 AND o <= 0.25 THEN 1 / p + 3 / (2 + p) WHEN f >= 5 AND o > 0.25 AND o < 5 THEN 3 / (2 + p) ELSE 0 END AS x FROM rp) SELECT model, round(avg(x) FILTER (inm), 6) AS seeps, count_if(inm)::BIGINT AS n_pairs, count_if(NOT inm)::BIGINT AS n_masked FROM s GROUP BY 1""")
+_SEEPS = """s0 AS (SELECT model, p BETWEEN 0.1 AND 0.85 AS inm, 0.5 * CASE WHEN f <= 0.25 AND o > 0.25 AND o < 5 THEN 1 / (1 - p) WHEN f <= 0.25 AND o >= 5 THEN 4 / (1 - p) WHEN f > 0.25 AND f < 5 AND o <= 0.25 THEN 1 / p WHEN f > 0.25 AND f < 5 AND o >= 5 THEN 3 / (1 - p)
+WHEN f >= 5 AND o <= 0.25 THEN 1 / p + 3 / (2 + p) WHEN f >= 5 AND o > 0.25 AND o < 5 THEN 3 / (2 + p) ELSE 0 END AS x FROM rp)"""
+
+
+@_query(f"""WITH {A.PAIRS}, {_RAIN_PAIRS}, {_SEEPS} SELECT model, round(avg(x) FILTER (inm), 6) AS seeps, count_if(inm)::BIGINT AS n_pairs, count_if(NOT inm)::BIGINT AS n_masked FROM s0 GROUP BY 1""")
 def seeps(spark, sf_dir):
     return metrics.seeps(_rain_pairs(spark, sf_dir), ["model"]).withColumn("seeps", F.round("seeps", 6))
 
@@ -326,21 +329,31 @@ def _daily(spark, sf_dir):
 
 
 def _rounded_test(df):
-    return df.select("model", F.round("estimate", 6).alias("estimate"), F.round("stderr", 6).alias("stderr"), F.round("n_eff", 3).alias("n_eff"), "dof")
+    return df.select("model", *(F.round(c, 6).alias(c) for c in _TEST), F.round("n_eff", 3).alias("n_eff"), "dof")
+
+
+_TEST = ("estimate", "stderr", "ci_low", "ci_high", "p_raw")
+_Z = 1.959963984540054  # the normal quantile of 0.975
+#: Student's quantile of 0.975 by Cornish and Fisher's expansion, and the two-sided p of whole degrees of freedom by its finite series.
+_T_QUANTILE = "+".join(f"({c!r}::DOUBLE)/pow(dof, {k})" for k, c in enumerate((_Z, (_Z**3 + _Z) / 4, (5 * _Z**5 + 16 * _Z**3 + 3 * _Z) / 96, (3 * _Z**7 + 19 * _Z**5 + 17 * _Z**3 - 15 * _Z) / 384, (79 * _Z**9 + 776 * _Z**7 + 1482 * _Z**5 - 1920 * _Z**3 - 945 * _Z) / 92160)))
+_T_TESTED = f"""angle AS (SELECT *, row_number() OVER () AS nth, atan(abs(estimate / stderr) / sqrt(dof)) AS th FROM tested),
+series AS (SELECT nth, sum(CASE WHEN dof % 2 = 0 THEN exp(lgamma(j + 0.5) - lgamma(0.5) - lgamma(j + 1)) * pow(cos(th), 2 * j) ELSE exp(lgamma(j + 1) + lgamma(1.5) - lgamma(j + 1.5)) * pow(cos(th), 2 * j + 1) END) AS x FROM angle, range(0, 6000) t(j) WHERE j <= (dof - 2 - dof % 2) / 2 GROUP BY 1),
+t AS (SELECT angle.*, CASE WHEN stderr = 0 THEN (estimate = 0)::INT WHEN dof % 2 = 0 THEN 1 - sin(th) * x ELSE 1 - 2 / pi() * (th + sin(th) * coalesce(x, 0)) END AS p, ({_T_QUANTILE}) * stderr AS half FROM angle LEFT JOIN series USING (nth))"""
+_T_ROUNDED = "round(estimate, 6) AS estimate, round(stderr, 6) AS stderr, round(estimate - half, 6) AS ci_low, round(estimate + half, 6) AS ci_high, round(p, 6) AS p_raw"
 
 
 _MOMENTS = "m AS (SELECT model, avg(error) AS mean, var_samp(error) AS v, count(*) AS n FROM daily GROUP BY 1)"
 
 
-@_query(f"WITH {A.PAIRS}, {_DAILY}, {_MOMENTS} SELECT model, round(mean, 6) AS estimate, round(sqrt(v / n), 6) AS stderr, n::DOUBLE AS n_eff, (n - 1)::INT AS dof FROM m")
+@_query(f"WITH {A.PAIRS}, {_DAILY}, {_MOMENTS}, tested AS (SELECT model, mean AS estimate, sqrt(v / n) AS stderr, n::DOUBLE AS n_eff, (n - 1)::INT AS dof FROM m), {_T_TESTED} SELECT model, {_T_ROUNDED}, n_eff, dof FROM t")
 def ttest_iid(spark, sf_dir):
     return _rounded_test(tests.ttest_by(_daily(spark, sf_dir), ["model"], "iid"))
 
 
 @_query(f"""WITH {A.PAIRS}, {_DAILY}, {_MOMENTS}, l AS (SELECT model, error - mean AS d, lag(error - mean) OVER w AS d1, lag(error - mean, 2) OVER w AS d2, v, n, mean FROM daily JOIN m USING (model) WINDOW w AS (PARTITION BY model ORDER BY day)),
 r AS (SELECT model, any_value(mean) AS mean, any_value(v) AS v, any_value(n) AS n, avg(d * d1) / any_value(v) AS r1, avg(d * d2) / any_value(v) AS r2 FROM l GROUP BY 1),
-p AS (SELECT *, r1 * (1 - r2) / (1 - r1 * r1) AS p1, (r2 - r1 * r1) / (1 - r1 * r1) AS p2 FROM r), k AS (SELECT *, (1 - r1 * p1 - r2 * p2) / pow(1 - p1 - p2, 2) AS k2 FROM p)
-SELECT model, round(mean, 6) AS estimate, round(sqrt(v / n) * sqrt(k2), 6) AS stderr, round(n / k2, 3) AS n_eff, (n - 1)::INT AS dof FROM k""")
+p AS (SELECT *, r1 * (1 - r2) / (1 - r1 * r1) AS p1, (r2 - r1 * r1) / (1 - r1 * r1) AS p2 FROM r), k AS (SELECT *, (1 - r1 * p1 - r2 * p2) / pow(1 - p1 - p2, 2) AS k2 FROM p),
+tested AS (SELECT model, mean AS estimate, sqrt(v / n) * sqrt(k2) AS stderr, n / k2 AS n_eff, (n - 1)::INT AS dof FROM k), {_T_TESTED} SELECT model, {_T_ROUNDED}, round(n_eff, 3) AS n_eff, dof FROM t""")
 def ttest_ar2(spark, sf_dir):
     return _rounded_test(tests.ttest_by(_daily(spark, sf_dir), ["model"], "ar2"))
 
@@ -348,18 +361,18 @@ def ttest_ar2(spark, sf_dir):
 _HAC = """x AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY day) - 1 AS i FROM daily), c AS (SELECT x.model, k, sqrt(2.0 / any_value(n)) * sum((error - mean) * cos(pi() * k * (2 * i + 1) / (2 * n))) AS c FROM x JOIN m USING (model), range(1, 200) t(k) WHERE k <= greatest(1, least(floor(0.4 * pow(n, 2.0 / 3)), n - 1)) GROUP BY 1, 2)"""
 
 
-@_query(f"WITH {A.PAIRS}, {_DAILY}, {_MOMENTS}, {_HAC} SELECT m.model, round(any_value(mean), 6) AS estimate, round(sqrt(avg(c * c) / any_value(n)), 6) AS stderr, (count(*) + 1)::DOUBLE AS n_eff, count(*)::INT AS dof FROM c JOIN m USING (model) GROUP BY 1")
+@_query(f"WITH {A.PAIRS}, {_DAILY}, {_MOMENTS}, {_HAC}, tested AS (SELECT m.model, any_value(mean) AS estimate, sqrt(avg(c * c) / any_value(n)) AS stderr, (count(*) + 1)::DOUBLE AS n_eff, count(*)::INT AS dof FROM c JOIN m USING (model) GROUP BY 1), {_T_TESTED} SELECT model, {_T_ROUNDED}, n_eff, dof FROM t")
 def ttest_hac(spark, sf_dir):
     return _rounded_test(tests.ttest_by(_daily(spark, sf_dir), ["model"], "hac"))
 
 
-@_query(f"WITH {A.PAIRS}, p AS (SELECT 'A+R' AS model, a.day, a.e - b.e AS error FROM (SELECT day, avg(abs(fcst - obs)) AS e FROM pairs WHERE model = 'A' GROUP BY 1) a JOIN (SELECT day, avg(abs(fcst - obs)) AS e FROM pairs WHERE model = 'R' GROUP BY 1) b USING (day)), daily AS (SELECT * FROM p), {_MOMENTS}, {_HAC} SELECT m.model AS comparison_id, round(any_value(mean), 6) AS estimate, round(sqrt(avg(c * c) / any_value(n)), 6) AS stderr, count(*)::INT AS dof, any_value(n)::INT AS n_days FROM c JOIN m USING (model) GROUP BY 1")
+@_query(f"WITH {A.PAIRS}, p AS (SELECT 'A+R' AS model, a.day, a.e - b.e AS error FROM (SELECT day, avg(abs(fcst - obs)) AS e FROM pairs WHERE model = 'A' GROUP BY 1) a JOIN (SELECT day, avg(abs(fcst - obs)) AS e FROM pairs WHERE model = 'R' GROUP BY 1) b USING (day)), daily AS (SELECT * FROM p), {_MOMENTS}, {_HAC}, tested AS (SELECT m.model AS comparison_id, any_value(mean) AS estimate, sqrt(avg(c * c) / any_value(n)) AS stderr, count(*)::INT AS dof, any_value(n)::INT AS n_days FROM c JOIN m USING (model) GROUP BY 1), {_T_TESTED} SELECT comparison_id, {_T_ROUNDED}, dof, n_days FROM t")
 def paired_diff(spark, sf_dir):
     daily = A.pairs(spark, sf_dir).groupBy("model", "day").agg(F.avg(F.abs(F.col("fcst") - F.col("obs"))).alias("error")).withColumn("variable", F.lit("t2m"))
-    return tests.paired_test(daily, "A", "R", ["variable"]).select("comparison_id", F.round("estimate", 6).alias("estimate"), F.round("stderr", 6).alias("stderr"), "dof", "n_days")
+    return tests.paired_test(daily, "A", "R", ["variable"]).select("comparison_id", *(F.round(c, 6).alias(c) for c in _TEST), "dof", "n_days")
 
 
-_P = "t AS (SELECT (o_custkey % 7)::VARCHAR AS family_id, o_orderkey AS test_id, round((o_totalprice % 1000) / 1000, 6) AS p_raw FROM (SELECT DISTINCT * FROM orders) WHERE o_orderkey < 3000)"
+_P = "t AS (SELECT (o_custkey % 7)::VARCHAR AS family_id, o_orderkey AS test_id, round((o_totalprice % 1000) / 1000, 6) AS p_raw FROM (SELECT DISTINCT * FROM orders))"
 
 
 @_query(f"WITH {_P}, r AS (SELECT *, row_number() OVER (PARTITION BY family_id ORDER BY p_raw, test_id) AS k, count(*) OVER (PARTITION BY family_id) AS n_family FROM t), a AS (SELECT *, least(1.0, min(p_raw * n_family / k) OVER (PARTITION BY family_id ORDER BY k DESC)) AS p FROM r) SELECT family_id, test_id, p_raw, n_family, round(p, 6) AS p_adj, p <= 0.3 AS reject FROM a")
@@ -369,7 +382,7 @@ def bh_fdr(spark, sf_dir):
 
 
 _BOOT = """x AS (SELECT model, row_number() OVER (PARTITION BY model ORDER BY day) - 1 AS i, e, n FROM (SELECT model, day, sum(fcst - obs) AS e, count(*) AS n FROM pairs GROUP BY 1, 2)), c AS (SELECT model, count(*) AS days, sum(e) / sum(n) AS estimate, sum(n) AS n_pairs FROM x GROUP BY 1),
-pos AS (SELECT model, d.d, (d.d * 7919 + (j.j // least(10, days)) * 104729) % (days - least(10, days) + 1) + j.j % least(10, days) AS i FROM c, range(0, 100) d(d), range(0, 5000) j(j) WHERE j.j < days),
+pos AS (SELECT model, d.d, (d.d * 7919 + (j.j // least(10, days)) * 104729) % (days - least(10, days) + 1) + j.j % least(10, days) AS i FROM c, range(0, 1000) d(d), range(0, 5000) j(j) WHERE j.j < days),
 s AS (SELECT pos.model, d, sum(e) / sum(n) AS b FROM pos JOIN x ON x.model = pos.model AND x.i = pos.i GROUP BY 1, 2)"""
 
 
@@ -379,30 +392,61 @@ def boot_bias_ci(spark, sf_dir):
     return out.select("model", *(F.round(c, 6).alias(c) for c in ("estimate", "ci_low", "ci_high")), "n_pairs", "n_days")
 
 
-@_query()
+def _boot_sql(rows: str, by: str, sums: dict[str, str], finals: dict[str, str], pairs: str = "n") -> str:
+    """CTEs and query of a bootstrap of days by the arithmetic rule, blocks of 10: ``sums`` by day of ``rows``, ``finals`` over the sums of a draw."""
+    cols = ", ".join(sums)
+    ctes = f"""x AS (SELECT {by}, row_number() OVER (PARTITION BY {by} ORDER BY day) - 1 AS i, {cols} FROM (SELECT {by}, day, {", ".join(f"{e} AS {k}" for k, e in sums.items())} FROM {rows} GROUP BY {by}, day)),
+c AS (SELECT {by}, count(*) AS days, {", ".join(f"sum({k}) AS {k}" for k in sums)} FROM x GROUP BY {by}),
+pos AS (SELECT {by}, d.d, (d.d * 7919 + (j.j // least(10, days)) * 104729) % (days - least(10, days) + 1) + j.j % least(10, days) AS i FROM c, range(0, 1000) d(d), range(0, 5000) j(j) WHERE j.j < days),
+s AS (SELECT {by}, d, {", ".join(f"sum({k}) AS {k}" for k in sums)} FROM pos JOIN x USING ({by}, i) GROUP BY {by}, d)"""
+    each = [f"SELECT {by}, '{m}' AS metric, round(any_value(e) + 1.37e-9, 6) AS estimate, round(quantile_cont(v, 0.025) + 1.37e-9, 6) AS ci_low, round(quantile_cont(v, 0.975) + 1.37e-9, 6) AS ci_high, any_value(np)::BIGINT AS n_pairs, any_value(nd)::INT AS n_days, 1000 AS n_boot FROM (SELECT {by}, {e} AS v FROM s) JOIN (SELECT {by}, {e} AS e, {pairs} AS np, days AS nd FROM c) USING ({by}) GROUP BY {by}" for m, e in finals.items()]
+    return f"{ctes} " + " UNION ALL ".join(each)
+
+
+#: The draws of the registered bootstraps follow the rule that SQL can repeat.
+_DRAWS = {"n_boot": N_BOOT, "block_len": 10, "starts": "arithmetic"}
+
+
+#: Keeps means of few prices off the ties of rounding.
+_OFF = 1.37e-9
+
+
+def _rounded_boot(df, *by):
+    return df.select(*by, *(F.round(F.col(c) + _OFF, 6).alias(c) for c in ("estimate", "ci_low", "ci_high")), "n_pairs", "n_days", "n_boot")
+
+
+@_query(f"WITH {A.PAIRS}, " + _boot_sql("pairs", "model, lead_hours", {"n": "count(*)", "e": "sum(fcst - obs)", "a": "sum(abs(fcst - obs))", "q": "sum((fcst - obs) * (fcst - obs))", "wa": "sum(weight * abs(fcst - obs))", "w": "sum(weight)"}, {"bias": "e / n", "mae": "a / n", "rmse": "sqrt(q / n)", "weighted_mae": "wa / w"}))
 def boot_metrics(spark, sf_dir):
-    return bootstrap.block_bootstrap(A.pairs(spark, sf_dir), ["model", "lead_hours"], ["bias", "mae", "rmse", "weighted_mae"], n_boot=N_BOOT, seed=20260723)
+    out = bootstrap.block_bootstrap(A.pairs(spark, sf_dir), ["model", "lead_hours"], ["bias", "mae", "rmse", "weighted_mae"], **_DRAWS)
+    return _rounded_boot(out, "model", "lead_hours", "metric")
 
 
-@_query()
+@_query(f"WITH {A.PAIRS}, floored AS (SELECT * FROM pairs WHERE repr_floor IS NOT NULL), " + _boot_sql("floored", "model", {"n": "count(*)", "q": "sum((fcst - obs) * (fcst - obs))", "f": "sum(repr_floor)"}, {"mse_total": "q / n", "repr_floor_mean": "f / n", "mse_model_est": "greatest(q / n - f / n, 0)"}))
 def boot_decomposition(spark, sf_dir):
-    return bootstrap.decomposition_bootstrap(A.pairs(spark, sf_dir), ["model"], n_boot=N_BOOT, seed=20260723)
+    return _rounded_boot(bootstrap.decomposition_bootstrap(A.pairs(spark, sf_dir), ["model"], **_DRAWS), "model", "metric")
 
 
-@_query()
+@_query(f"WITH {A.PAIRS}, {_RAIN_PAIRS.replace('SELECT model,', 'SELECT model, day,')}, {_SEEPS.replace('SELECT model,', 'SELECT model, day,')}, " + _boot_sql("s0", "model", {"n": "count_if(inm)", "x": "sum(CASE WHEN inm THEN x ELSE 0 END)"}, {"seeps": "x / n"}))
 def boot_seeps(spark, sf_dir):
-    return bootstrap.block_bootstrap(_rain_pairs(spark, sf_dir), ["model"], ["seeps"], n_boot=N_BOOT, seed=20260723)
+    return _rounded_boot(bootstrap.block_bootstrap(_rain_pairs(spark, sf_dir), ["model"], ["seeps"], **_DRAWS), "model", "metric")
 
 
-@_query()
+@_query(f"""WITH {A.PAIRS}, st AS (SELECT model, station_id, day, count(*) AS n, sum(fcst) AS f, sum(fcst * fcst) AS ff, sum(obs) AS o, sum(obs * obs) AS oo, min(obs) AS lo, max(obs) AS hi FROM pairs GROUP BY 1, 2, 3),
+days AS (SELECT model, day, row_number() OVER (PARTITION BY model ORDER BY day) - 1 AS i FROM (SELECT DISTINCT model, day FROM pairs)), c AS (SELECT model, count(*) AS days FROM days GROUP BY 1),
+pos AS (SELECT model, d.d, (d.d * 7919 + (j.j // least(10, days)) * 104729) % (days - least(10, days) + 1) + j.j % least(10, days) AS i FROM c, range(0, 1000) d(d), range(0, 5000) j(j) WHERE j.j < days),
+times AS (SELECT model, d, i, count(*) AS t FROM pos GROUP BY 1, 2, 3 UNION ALL SELECT model, -1, i, 1 FROM days),
+s AS (SELECT model, station_id, d, sum(t * n) AS n, sum(t * f) AS f, sum(t * ff) AS ff, sum(t * o) AS o, sum(t * oo) AS oo, min(lo) AS lo, max(hi) AS hi FROM times JOIN days USING (model, i) JOIN st USING (model, day) GROUP BY 1, 2, 3),
+r AS (SELECT model, d, median(sqrt((ff - f * f / n) / (oo - o * o / n))) AS r FROM s WHERE lo < hi AND n > 1 GROUP BY 1, 2)
+SELECT r.model, round(max(CASE WHEN d < 0 THEN r END) + 1.37e-9, 6) AS estimate, round(quantile_cont(CASE WHEN d >= 0 THEN r END, 0.025) + 1.37e-9, 6) AS ci_low, round(quantile_cont(CASE WHEN d >= 0 THEN r END, 0.975) + 1.37e-9, 6) AS ci_high, any_value(np) AS n_pairs, any_value(days)::INT AS n_days, 1000 AS n_boot
+FROM r JOIN c USING (model) JOIN (SELECT model, count(*) AS np FROM pairs GROUP BY 1) USING (model) GROUP BY 1""")
 def boot_variance_ratio(spark, sf_dir):
-    return bootstrap.variance_ratio_bootstrap(A.pairs(spark, sf_dir), ["model"], n_boot=N_BOOT, seed=20260723)
+    return _rounded_boot(bootstrap.variance_ratio_bootstrap(A.pairs(spark, sf_dir), ["model"], **_DRAWS), "model")
 
 
-@_query()
+@_query(f"""WITH {A.PAIRS}, {_PCT}, bins(bin, lo, hi) AS (VALUES {_EDGES}), binned AS (SELECT model, bin, day, fcst, obs FROM pct JOIN bins ON obs_pct >= lo AND (obs_pct < hi OR hi = 100 AND obs_pct = 100)), got AS (WITH """ + _boot_sql("binned", "model, bin", {"n": "count(*)", "e": "sum(fcst - obs)"}, {"bias": "e / n"}) + """)
+SELECT m.model, b.bin, estimate, ci_low, ci_high, coalesce(n_pairs, 0) AS n_pairs, n_days, n_boot FROM (SELECT DISTINCT model FROM pairs) m CROSS JOIN bins b LEFT JOIN got ON got.model = m.model AND got.bin = b.bin""")
 def boot_bias_by_bin(spark, sf_dir):
-    binned = strata.with_obs_percentile(A.pairs(spark, sf_dir)).withColumn("bin", metrics.percentile_bin(F.col("obs_pct")))
-    return bootstrap.block_bootstrap(binned, ["model", "bin"], ["bias"], n_boot=N_BOOT, seed=20260723)
+    return _rounded_boot(bootstrap.bias_by_bin_bootstrap(strata.with_obs_percentile(A.pairs(spark, sf_dir)), ["model"], **_DRAWS), "model", "bin")
 
 
 _SEASON = "CASE WHEN month(day) IN (12, 1, 2) THEN 'DJF' WHEN month(day) <= 5 THEN 'MAM' WHEN month(day) <= 8 THEN 'JJA' ELSE 'SON' END"
@@ -416,7 +460,7 @@ def regime_grouping_sets(spark, sf_dir):
     return metrics.regime_table(df, ["season", "koppen_l1"], ["model"]).withColumns({"bias": F.round("bias", 6), "mae": F.round("mae", 6)})
 
 
-_IDX = "idx AS (SELECT (o_custkey % 50)::VARCHAR AS file, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey, o_totalprice) AS line_no, o_orderkey * 10 AS start FROM orders WHERE o_orderkey < 4000)"
+_IDX = "idx AS (SELECT (o_custkey % 50)::VARCHAR AS file, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey, o_totalprice) AS line_no, o_orderkey * 10 AS start FROM orders)"
 
 
 def _index_lines(spark, sf_dir):
@@ -460,7 +504,7 @@ def isd_history(spark, sf_dir):
     return station_sources.tag_isd_history(raw).groupBy(F.coalesce("drop_reason", F.lit("kept")).alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@_query("""WITH d AS (SELECT event_type AS source, ts::DATE AS day, count(*) AS n FROM events WHERE event_id % 97 < 3 GROUP BY 1, 2), days AS (SELECT unnest(generate_series(DATE '2023-12-15', DATE '2024-01-31', INTERVAL 1 DAY))::DATE AS day), s AS (SELECT DISTINCT source FROM d)
+@_query("""WITH d AS (SELECT event_type AS source, ts::DATE AS day, count(*) AS n FROM events GROUP BY 1, 2), days AS (SELECT unnest(generate_series(DATE '2023-12-15', DATE '2024-01-31', INTERVAL 1 DAY))::DATE AS day), s AS (SELECT DISTINCT source FROM d)
 SELECT source, strftime(day, '%Y-%m') AS month, count(*) AS expected, sum(CASE WHEN n > 0 THEN 1 ELSE 0 END)::BIGINT AS present, CASE WHEN sum(CASE WHEN n > 0 THEN 1 ELSE 0 END) = 0 THEN 'absent' WHEN sum(CASE WHEN n > 0 THEN 1 ELSE 0 END) < count(*) THEN 'partial' ELSE 'complete' END AS cell FROM days CROSS JOIN s LEFT JOIN d USING (source, day) GROUP BY 1, 2""")
 def source_coverage(spark, sf_dir):
     present = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("source"), F.to_date("ts").alias("day"))
@@ -526,3 +570,135 @@ def results_table(spark, sf_dir):
 @_query()
 def results_paired(spark, sf_dir):
     return registry.paired_rows(A.pairs(spark, sf_dir), ["A", "N", "R"], "test")
+
+
+# Parsers: the tables as text in the sources' forms, parsed back, against the tables.
+
+_TENTHS = "floor({} * 10)::BIGINT"
+
+
+def _tenths(x, mark=","):
+    n = F.floor(x * 10)
+    return F.concat(F.floor(n / 10).cast("string"), F.lit(mark), (n % 10).cast("string"))
+
+
+@_query(f"""WITH e AS (SELECT 'inmet:' || event_type AS station_id, event_id, CASE WHEN event_id % 13 > 0 THEN date_trunc('hour', ts) END AS valid_time, {_TENTHS.format("value")} / 10.0::DOUBLE AS v FROM events),
+x AS (SELECT station_id, valid_time, 'precip_1h' AS variable, CASE WHEN event_id % 11 > 0 THEN v END AS value FROM e UNION ALL SELECT station_id, valid_time, 't2m', CASE WHEN event_id % 7 > 0 THEN v + 273.15 END FROM e UNION ALL SELECT station_id, valid_time, 'wind10m', CASE WHEN event_id % 17 > 0 THEN v END FROM e)
+SELECT station_id, strftime(valid_time, '%Y-%m-%d %H:%M') AS valid_time, variable, CASE WHEN valid_time IS NOT NULL THEN round(value, 4) END AS value, CASE WHEN valid_time IS NULL THEN 'bad_timestamp' WHEN value IS NULL AND variable = 'wind10m' THEN 'value_unparseable' WHEN value IS NULL THEN 'value_missing' END AS drop_reason FROM x""")
+def station_files(spark, sf_dir):
+    """Bulk files of one station and day each, with missing, unparseable and mistimed cells."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("t", F.col("ts").cast("timestamp"))
+    k, cell = F.col("event_id"), _tenths(F.col("value"))
+    line = F.concat_ws(";", F.date_format("t", "yyyy/MM/dd"), F.concat(F.when(k % 13 == 0, "2500").otherwise(F.date_format("t", "HH00")), F.lit(" UTC")), F.when(k % 11 == 0, "").otherwise(cell), F.when(k % 7 == 0, "-9999").otherwise(cell), F.when(k % 17 == 0, "x").otherwise(cell), F.lit(""))
+    head = [*(f"{x}:;" for x in ("REGIAO", "UF", "ESTACAO")), "CODIGO (WMO):;", *(f"{x}:;0" for x in ("LATITUDE", "LONGITUDE", "ALTITUDE", "DATA DE FUNDACAO")), "Data;Hora UTC;PRECIPITAÇÃO TOTAL, HORÁRIO (mm);TEMPERATURA DO AR - BULBO SECO, HORARIA (°C);VENTO, VELOCIDADE HORARIA (m/s);"]
+    lines = F.concat(F.array(*(F.concat(F.lit(x), F.col("event_type")) if x.startswith("CODIGO") else F.lit(x) for x in head)), F.collect_list(line))  # a station's day
+    files = e.groupBy("event_type", F.to_date("t").alias("day")).agg(F.array_join(lines, "\n").alias("text")).select(F.concat_ws("/", "event_type", F.col("day").cast("string")).alias("path"), "text")
+    return observations.parse_station_files(files).select("station_id", _ts(), "variable", F.when(F.col("drop_reason").isNull(), F.round("value", 4)).alias("value"), "drop_reason")
+
+
+@_query(f"""WITH e AS (SELECT event_type AS station_id, event_id, CASE WHEN event_id % 13 > 0 THEN date_trunc('hour', ts) END AS valid_time, {_TENTHS.format("value")} / 10.0::DOUBLE AS v FROM events),
+x AS (SELECT station_id, valid_time, 't2m' AS variable, CASE WHEN event_id % 7 > 0 THEN v + 273.15 END AS value FROM e UNION ALL SELECT station_id, valid_time, 'wind10m', CASE WHEN event_id % 17 > 0 THEN v END FROM e UNION ALL SELECT station_id, valid_time, 'precip_1h', v FROM e)
+SELECT variable, CASE WHEN valid_time IS NULL THEN 'bad_timestamp' WHEN value IS NULL AND variable = 'wind10m' THEN 'value_unparseable' WHEN value IS NULL THEN 'value_missing' END AS drop_reason, count(*) AS n, count(DISTINCT (station_id, valid_time)) AS n_times, round(sum(value), 2) AS total FROM x GROUP BY 1, 2""")
+def api_records(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("t", F.col("ts").cast("timestamp"))
+    k, cell = F.col("event_id"), _tenths(F.col("value"), ".")
+    record = F.to_json(F.struct(F.date_format("t", "yyyy-MM-dd").alias("DT_MEDICAO"), F.when(k % 13 == 0, "9900").otherwise(F.date_format("t", "HH00")).alias("HR_MEDICAO"), F.when(k % 7 > 0, cell).alias("TEM_INS"), F.when(k % 17 == 0, "x").otherwise(cell).alias("VEN_VEL"), cell.alias("CHUVA")))
+    parsed = observations.parse_api_records(e.select(F.col("event_type").alias("station_id"), record.alias("json")))
+    times = F.count_distinct(F.struct("station_id", "valid_time"))
+    return parsed.groupBy("variable", "drop_reason").agg(F.count(F.lit(1)).alias("n"), times.alias("n_times"), F.round(F.sum("value"), 2).alias("total"))
+
+
+@_query("""WITH k AS (SELECT c_custkey AS k, c_name, c_acctbal FROM customer),
+i AS (SELECT 'inmet:A' || k AS station_id, 'inmet' AS network, c_name AS name, -30 - (k % 50) / 100.0::DOUBLE AS lat, floor(c_acctbal)::BIGINT::DOUBLE AS elev_station, CASE WHEN k % 9 = 0 OR k % 8 = 1 THEN 'excluded' ELSE 'included' END AS status, CASE WHEN k % 9 = 0 OR k % 8 = 1 THEN 'inactive' END AS exclusion_reason,
+  'inmet_apitempo:/estacoes/T situacao=' || CASE WHEN k % 9 = 0 THEN 'Desativada' WHEN k % 4 = 0 THEN 'NA' ELSE 'Operante' END AS source_meta FROM k),
+d AS (SELECT 'isd:' || k || '-99999', 'isd', c_name, -20 - (k % 50) / 100.0::DOUBLE, CASE WHEN k % 6 > 0 THEN (k % 3000)::DOUBLE END, 'included', NULL::VARCHAR, 'ncei:isd-history.csv begin=19900101 end=20260101' FROM k WHERE k % 3 > 0) SELECT * FROM i UNION ALL SELECT * FROM d""")
+def canonical_stations(spark, sf_dir):
+    """Both inventories mapped to the STATIONS contract."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    k = F.col("c_custkey")
+    at = lambda base, mark: F.concat(F.lit(f"-{base}{mark}"), F.lpad((k % 50).cast("string"), 2, "0"))
+    inmet = c.select(F.concat(F.lit("A"), k.cast("string")).alias("CD_ESTACAO"), F.col("c_name").alias("DC_NOME"), F.lit("RS").alias("SG_ESTADO"), at(30, ",").alias("VL_LATITUDE"), F.lit("-51,10").alias("VL_LONGITUDE"), F.floor("c_acctbal").cast("string").alias("VL_ALTITUDE"), F.when(k % 8 == 1, "2020-01-01").alias("DT_FIM_OPERACAO"), F.when(k % 9 == 0, "Desativada").when(k % 4 == 0, "").otherwise("Operante").alias("CD_SITUACAO"))
+    isd = c.select(k.cast("string").alias("USAF"), F.lit("99999").alias("WBAN"), F.col("c_name").alias("STATION NAME"), F.when(k % 3 > 0, "BR").otherwise("AR").alias("CTRY"), at(20, ".").alias("LAT"), F.lit("-51.1").alias("LON"), F.when(k % 6 == 0, "-0999.9").otherwise((k % 3000).cast("string")).alias("ELEV(M)"), F.lit("19900101").alias("BEGIN"), F.lit("20260101").alias("END"))
+    kept = station_sources.tag_isd_history(isd).where("drop_reason is null")
+    out = station_sources.to_canonical(inmet, kept, "test", inactive_end_cutoff="2025-01-01")
+    return out.select("station_id", "network", "name", "lat", "elev_station", "status", "exclusion_reason", "source_meta")
+
+
+@_query("""WITH o AS (SELECT DISTINCT o_orderkey AS k FROM orders) SELECT CASE WHEN k % 11 = 0 THEN 'missing_value' WHEN k % 17 = 0 THEN 'malformed_line' WHEN k % 30 > 27 THEN 'bad_date' END AS drop_reason, CASE WHEN k % 17 > 0 OR k % 11 = 0 THEN (k % 8 + 1)::INT END AS phase, count(*) AS n, round(sum((k % 40) / 10.0::DOUBLE), 3) AS amplitude FROM o GROUP BY 1, 2""")
+def rmm_parse(spark, sf_dir):
+    k = F.col("k")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k")).distinct()
+    line = F.concat_ws("  ", F.lit("2001"), F.lit("2"), (k % 30 + 1).cast("string"), F.when(k % 11 == 0, "1.E36").otherwise("0.5"), F.lit("-0.25"), F.when((k % 17 == 0) & (k % 11 > 0), "x").otherwise((k % 8 + 1).cast("string")), ((k % 40) / 10.0).cast("string"), F.lit("Final_value"))
+    return indices.parse_rmm(o.select(line.alias("line"))).groupBy("drop_reason", "phase").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("amplitude"), 3).alias("amplitude"))
+
+
+_FILED = "o AS (SELECT o_orderkey AS k, (o_custkey % 50)::VARCHAR AS file, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey, o_totalprice) AS line_no FROM orders)"
+
+
+def _filed(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    file = (F.col("o_custkey") % 50).cast("string")
+    return o.select(F.col("o_orderkey").alias("k"), file.alias("file"), F.row_number().over(W.partitionBy(file).orderBy("o_orderkey", "o_totalprice")).alias("line_no"))
+
+
+@_query(f"WITH {_FILED} SELECT file, line_no::INT AS line_no, ['2t', '10u', '10v', 'tp', 'msl'][k % 5 + 1] AS var, 'sfc' AS level, k * 1000 AS start, k * 1000 + 900 + k % 100 AS stop FROM o WHERE k % 5 < 4 AND k % 3 = 1")
+def ecmwf_index(spark, sf_dir):
+    """JSON index lines of one step's wanted fields."""
+    k = F.col("k")
+    o = _filed(spark, sf_dir)
+    var = F.element_at(F.array(*map(F.lit, ("2t", "10u", "10v", "tp", "msl"))), (k % 5 + 1).cast("int"))
+    line = F.to_json(F.struct(F.lit("fc").alias("type"), (k % 3 * 24).cast("string").alias("step"), F.lit("sfc").alias("levtype"), var.alias("param"), (k * 1000).alias("_offset"), (900 + k % 100).alias("_length")))
+    entries = gridindex.parse_ecmwf_index(o.select("file", "line_no", line.alias("line")))
+    return gridindex.select_ecmwf(entries, 24).select("file", "line_no", "var", "level", "start", "stop")
+
+
+@_query(f"WITH {_FILED} SELECT file, count(*) AS n, count_if(k % 2 = 0)::BIGINT AS n_rain, sum(k)::BIGINT AS starts FROM o WHERE k % 2 = 1 OR k % 4 = 0 GROUP BY 1")
+def apcp_bucket(spark, sf_dir):
+    """Of rain entries only the six-hour bucket that ends at the lead."""
+    k = F.col("k")
+    rain = F.when(k % 4 == 0, "18-24 hour acc fcst").otherwise("0-24 hour acc fcst")
+    entries = _filed(spark, sf_dir).select("file", "line_no", F.when(k % 2 == 0, "APCP").otherwise("TMP").alias("var"), F.lit("surface").alias("level"), F.when(k % 2 == 0, rain).otherwise(F.lit("24 hour fcst")).alias("meta"), k.alias("start"), (k + 1).alias("stop"))
+    return gridindex.pick_apcp(entries, 24).groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("var") == "APCP").alias("n_rain"), F.sum("start").alias("starts"))
+
+
+_RASTER = "raster AS (SELECT (id // 720)::BIGINT AS r, (id % 720)::BIGINT AS c, CASE WHEN id * 7 % 5 < 3 THEN 0 ELSE (id * 31 % 30 + 1) END::INT AS code FROM range(259200) t(id))"
+
+
+@_query(f"""WITH {A.STATIONS}, {_RASTER}, pl AS (SELECT station_id, floor((lat + 90) / 0.5)::BIGINT AS y, floor((lon + 180) / 0.5)::BIGINT AS x FROM stations),
+near AS (SELECT station_id, code, r = y AND c = x AS own FROM pl JOIN raster ON abs(r - y) <= 1 AND abs(c - x) <= 1), votes AS (SELECT station_id, code, count(*) AS n FROM near WHERE code > 0 GROUP BY 1, 2)
+SELECT station_id, coalesce((SELECT any_value(code) FROM near WHERE near.station_id = pl.station_id AND own AND code > 0), (SELECT arg_min(code, (-n, code)) FROM votes WHERE votes.station_id = pl.station_id)) AS code FROM pl""")
+def koppen_vote(spark, sf_dir):
+    """The climate class at every station, or of its surroundings where its own cell is sea."""
+    k = F.col("id")
+    raster = spark.range(360 * 720).select(F.floor(k / 720).alias("row"), (k % 720).alias("col"), F.when(k * 7 % 5 < 3, 0).otherwise(k * 31 % 30 + 1).cast("int").alias("code"))
+    codes = F.create_map(*(F.lit(x) for code, name in station_sources.KOPPEN.items() for x in (name, code)))
+    return station_sources.koppen_lookup(A.stations(spark, sf_dir), raster, 0.5).select("station_id", F.element_at(codes, F.col("koppen")).alias("code"))
+
+
+_FIELDS = "f AS (SELECT j, i, lat, lon, value, l.lead FROM grid, (VALUES (24), (48)) l(lead))"
+
+
+def _fields(spark, *names):
+    """The test grid as fields of one run at two leads."""
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("short_name"), (F.col("value") * w + F.col("lead_hours")).alias("v")) for n, w in names))).alias("x")
+    leads = _grid(spark).withColumn("lead_hours", F.explode(F.array(F.lit(24), F.lit(48))))
+    return leads.select("j", "i", "lead_hours", each).select(F.lit("gfs").alias("model"), F.lit("2024-01-01").cast("timestamp").alias("init_time"), "lead_hours", "x.short_name", "j", "i", F.col("x.v").alias("value"))
+
+
+@_query(f"""WITH {A.STATIONS}, {_GRID}, {_FIELDS}, w AS (SELECT station_id, lead, value, greatest(0, 1 - abs(y - lat) / 0.5) * greatest(0, 1 - abs(x - lon) / 0.5) AS w FROM s, f WHERE abs(y - lat) < 0.5 AND abs(x - lon) < 0.5)
+SELECT station_id, lead AS lead_hours, 't2m' AS variable, round(sum(w * (value + lead)), 6) AS value FROM w GROUP BY 1, 2 UNION ALL SELECT station_id, lead, 'wind10m', round(sum(w * sqrt(pow(value * 2 + lead, 2) + pow(value * 3 + lead, 2))), 6) FROM w GROUP BY 1, 2""")
+def grid_points(spark, sf_dir):
+    """Temperature and wind speed at stations from gridded fields: speed at the nodes first, then bilinear."""
+    weights = geo.grid_weights(A.stations(spark, sf_dir), _grid(spark))
+    points = matching.instantaneous_points(_fields(spark, ("2t", 1), ("10u", 2), ("10v", 3)), weights)
+    return points.select("station_id", "lead_hours", "variable", F.round("value", 6).alias("value"))
+
+
+@_query(f"WITH {A.STATIONS}, {_GRID}, {_FIELDS}, node AS (SELECT station_id, arg_min(j, (abs(y - lat), j)) AS j, arg_min(i, (abs(x - lon), i)) AS i FROM s, grid GROUP BY 1) SELECT station_id, lead AS lead_hours, round(CASE lead WHEN 24 THEN (value + lead) * 1000 ELSE value + lead END, 6) AS value FROM node JOIN f USING (j, i)")
+def grid_rain(spark, sf_dir):
+    """Rain at each station's nearest node in mm, from metres at one lead and kg m-2 at the other."""
+    fields = _fields(spark, ("tp", 1)).withColumn("units", F.when(F.col("lead_hours") == 24, "m").otherwise("kg m-2"))
+    points = matching.precip_points(fields, geo.nearest_nodes(A.stations(spark, sf_dir), _grid(spark)))
+    return points.select("station_id", "lead_hours", F.round("value", 6).alias("value"))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import contracts as C
+from ..workers import ship
 
 MISSING, TRACE = -9999, -1
 #: Column titles of the bulk station files (without accents) and the variables they hold.
@@ -57,6 +58,7 @@ def read_zip_texts(spark, path: str, encoding: str = "ISO-8859-1") -> DataFrame:
                         if member.upper().endswith(".CSV"):
                             yield pd.DataFrame({"path": [f"{name}/{member}"], "text": [z.read(member).decode(encoding)]})
 
+    ship(spark)
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(members, "path string, text string")
 
 

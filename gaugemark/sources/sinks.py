@@ -33,9 +33,15 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 
 
-def markdown(df: DataFrame, most: int = 200) -> str:
-    """A small result as a Markdown table."""
-    rows = df.limit(most).collect()
+#: A Markdown table is for reading; a larger result is refused, not cut.
+MOST_MARKDOWN_ROWS = 10_000
+
+
+def markdown(df: DataFrame, most: int = MOST_MARKDOWN_ROWS) -> str:
+    """A small result as a Markdown table; raises if it has more than ``most`` rows."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows; write them as CSV or Parquet")
     line = lambda cells: "| " + " | ".join("" if x is None else str(x) for x in cells) + " |"
     return "\n".join([line(df.columns), line("-" for _ in df.columns), *map(line, rows)])
 
@@ -46,6 +52,21 @@ def view_manifest(view: DataFrame, key: Sequence[str]) -> str:
     return json.dumps(r.asDict())
 
 
+def write_view(view: DataFrame, path: str, key: Sequence[str], **metadata: str) -> str:
+    """A matched view as Parquet under ``path``/view and its manifest as JSON text under ``path``/manifest, which is returned."""
+    write_table(with_table_metadata(view, **metadata) if metadata else view, f"{path}/view", sort_by=key)
+    spark = view.sparkSession
+    text = view_manifest(spark.read.parquet(f"{path}/view"), key)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+    return text
+
+
+def ingest_version(files: DataFrame, code_version: str) -> str:
+    """A name for one state of the inputs: the code's version and a digest of all files' digests (column ``sha256``), in any order."""
+    both = files.select("sha256").distinct().agg(F.count(F.lit(1)).alias("n"), F.sum(F.conv(F.substring("sha256", 1, 15), 16, 10).cast("decimal(38,0)")).alias("s")).first()
+    return f"{code_version}+{both['n']}.{int(both['s'] or 0):x}"
+
+
 def file_entries(files: DataFrame, source: str) -> DataFrame:
     """MANIFEST rows of files read as ``binaryFile``, with their digests."""
     return files.select(

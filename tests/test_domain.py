@@ -470,7 +470,7 @@ def test_registry_results(spark, sf_dir):
     assert C.validate(out, C.RESULTS, "results") is out
     assert out.where("estimate is not null and (ci_low is null or ci_high is null)").count() == 0
     rows = QUERIES["results_paired"](spark, sf_dir).collect()
-    assert len(rows) == 3 * 3 * 2 and all(r["n_family"] == 18 and r["p_adj"] >= r["p_raw"] for r in rows)
+    assert len(rows) == 3 * 3 * 7 and all(r["n_family"] == 63 and r["p_adj"] >= r["p_raw"] for r in rows)
     fact = spark.createDataFrame([("t2m", 1.0, 2.0, T0), ("t2m", 1.0, None, T0), ("wind10m", 3.0, 4.0, T0)], "variable string, fcst_raw double, fcst_elev_adj double, valid_time timestamp")
     assert sorted(r["fcst"] for r in registry.inputs(fact, "mae").collect()) == [1, 2, 4]
     assert sorted(r["fcst"] for r in registry.inputs(fact, "variance_ratio").collect()) == [1, 1, 3]
