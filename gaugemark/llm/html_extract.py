@@ -33,12 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import text_blocks
-from .common import ship
+from .blocks import release, text_blocks
+from .common import own_name, ship
 
-PATH_BINS, WORD_BINS, FIGURES, HIDDEN = 96, 32, 8, 16
+PATH_BINS, WORD_BINS, FIGURES, HIDDEN = 256, 32, 8, 16
 TRAIN_PAGES, EPOCHS, BATCH, RATE, SEED = 1200, 6, 48, 0.01, 11
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES, MOST_CELLS = 2 << 20, 1 << 14
 _UNSEEN = frozenset("script style head title noscript template svg math iframe object select textarea canvas".split())
 _RAW = frozenset("script style noscript iframe textarea title".split())
 _SKIPPED = frozenset("template svg math object select canvas".split())
@@ -47,8 +47,12 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em f
 _VOID = frozenset("area base basefont bgsound br col embed hr img input link meta param source track wbr".split())
 _CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 _ENDS_SKIPPED = _CLOSES_P - {"hr"} | frozenset("body caption center dd details dialog dt figcaption figure hgroup li menu summary tbody td tfoot th thead tr".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: Comments, declarations and tags. Quotes count behind "=" only, and a quote that never closes is a character like others,
+#: so a tag that begins always matches (at the end of the html at the latest) and no part of the html is read twice.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(?:>|\Z)", re.S)
+_NAMES = re.compile(r"""(?<![\w-])(?:class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""", re.I)
+#: Numbers of character references that are beyond Unicode; the decoder would refuse very long ones.
+_BEYOND = re.compile(r"&#(?:0*+[1-9][0-9]{7,}+|[xX]0*+[1-9a-fA-F][0-9a-fA-F]{6,}+);?")
 
 _ANY_SKIPPED = re.compile(rf"<(?:{'|'.join(sorted(_SKIPPED))})\b", re.I)
 _WORD = re.compile(r"\w+|[^\w\s]")
@@ -56,10 +60,12 @@ _PARTS = re.compile(r"[\s_-]+")
 
 
 class Leaf:
-    __slots__ = ("path", "text", "linked")
+    """A block: the bins of its path's marks, how many marks, its text, characters within links."""
 
-    def __init__(self, path: tuple[str, ...], text: str, linked: int):
-        self.path, self.text, self.linked = path, text, linked
+    __slots__ = ("bins", "marks", "text", "linked")
+
+    def __init__(self, bins: tuple[int, ...], marks: int, text: str, linked: int):
+        self.bins, self.marks, self.text, self.linked = bins, marks, text, linked
 
 
 def _after(tag: str, html: str, at: int) -> int:
@@ -90,9 +96,12 @@ def _ends(html: str) -> dict[int, int]:
 
 
 def leaves(html: str) -> list[Leaf]:
-    """The page's text blocks in order: path of ``tag`` and ``tag.name`` marks, text, characters within links."""
+    """The page's text blocks in order. The path of open elements is kept as a count for each bin of its ``tag`` and
+    ``.name`` marks, which opening and closing an element change, so the time does not grow with the depth."""
     out: list[Leaf] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, tuple[int, ...], int]] = []
+    path, depth = [0] * PATH_BINS, 0
+    open_tags: dict[str, int] = {}
     held: list[str] = []
     linked = in_link = unseen = loose = 0
     ends = _ends(html)
@@ -100,15 +109,19 @@ def leaves(html: str) -> list[Leaf]:
     def flush():
         nonlocal linked
         if held:
-            text = " ".join(unescape("".join(held)).split())
+            text = " ".join(unescape(_BEYOND.sub("\ufffd", "".join(held))).split())
             if text:
-                out.append(Leaf(tuple(m for t, marks in stack if t not in _INLINE for m in marks), text, linked))
+                out.append(Leaf(tuple(i for i, n in enumerate(path) if n), depth, text, linked))
             held.clear()
             linked = 0
 
     def pop() -> str:
-        nonlocal in_link, unseen, loose
-        tag = stack.pop()[0]
+        nonlocal in_link, unseen, loose, depth
+        tag, bins, marks = stack.pop()
+        open_tags[tag] -= 1
+        for i in bins:
+            path[i] -= 1
+        depth -= marks
         loose -= tag in _SKIPPED
         in_link -= tag == "a"
         unseen -= tag in _UNSEEN
@@ -134,7 +147,7 @@ def leaves(html: str) -> list[Leaf]:
         if m[1]:
             if tag not in _INLINE:
                 flush()
-            if any(t == tag for t, _ in stack):
+            if open_tags.get(tag):
                 while pop() != tag:
                     pass
             continue
@@ -157,15 +170,23 @@ def leaves(html: str) -> list[Leaf]:
                 pop()
         if tag in _VOID or m[3].endswith("/"):
             continue
-        names = " ".join(x for g in _NAMES.findall(m[3]) for x in g).lower() if m[3] else ""
-        marks = (tag, *(f".{x}" for x in _PARTS.split(names) if x)) if names else (tag,)
         if tag in _RAW or in_head and tag == "noframes":
             at = _after(tag, html, at)
             continue
         if m.start() in ends:
             at = ends[m.start()]
             continue
-        stack.append((tag, marks))
+        bins, marks = (), 0
+        if tag not in _INLINE:
+            names = " ".join(x for g in _NAMES.findall(m[3]) for x in g).lower() if m[3] else ""
+            named = [f".{x}" for x in _PARTS.split(names) if x]
+            marks = 1 + len(named)
+            bins = tuple(_bin(x, PATH_BINS) for x in ([] if tag in ("html", "body") else [tag]) + named)
+            for i in bins:
+                path[i] += 1
+            depth += marks
+        stack.append((tag, bins, marks))
+        open_tags[tag] = open_tags.get(tag, 0) + 1
         in_link += tag == "a"
         unseen += tag in _UNSEEN
         loose += tag in _SKIPPED
@@ -185,14 +206,12 @@ def vectors(blocks: list[Leaf]) -> np.ndarray:
     done = np.cumsum(chars) / max(1.0, float(chars.sum()))
     for i, b in enumerate(blocks):
         row = out[i]
-        for mark in b.path:
-            if mark not in ("html", "body"):
-                row[_bin(mark, PATH_BINS)] = 1.0
+        row[list(b.bins)] = 1.0
         words = [_bin(w, WORD_BINS) for w in _WORD.findall(b.text.lower())]
         if words:
             row[PATH_BINS : PATH_BINS + WORD_BINS] = np.bincount(words, minlength=WORD_BINS) / len(words)
         n = len(b.text)
-        row[-FIGURES:] = (min(1.5, np.log1p(n) / 8), min(1.0, b.linked / n), sum(b.text.count(c) for c in ".,;:!?") / n * 10, i / len(blocks), done[i], min(1.0, len(b.path) / 12), float(b.text[-1] in ".!?"), 1.0)
+        row[-FIGURES:] = (min(1.5, np.log1p(n) / 8), min(1.0, b.linked / n), sum(b.text.count(c) for c in ".,;:!?") / n * 10, i / len(blocks), done[i], min(1.0, b.marks / 12), float(b.text[-1] in ".!?"), 1.0)
     return out
 
 
@@ -268,12 +287,16 @@ class BiLstm:
         """For each page's vectors the probabilities that its blocks are main text."""
         out: list[np.ndarray] = [np.zeros(0, np.float32)] * len(pages)
         order = sorted((i for i, p in enumerate(pages) if len(p)), key=lambda i: len(pages[i]))
-        for a in range(0, len(order), 256):
-            at = order[a : a + 256]
-            x, mask = _padded([pages[i] for i in at])
-            p = self.forward(x, mask)[0]
-            for i, row in zip(at, p, strict=True):
-                out[i] = row[: len(pages[i])]
+        at: list[int] = []
+        for n, i in enumerate(order):
+            at.append(i)
+            longest = len(pages[order[n + 1]]) if n + 1 < len(order) else 0
+            if not longest or (len(at) + 1) * longest > MOST_CELLS:  # of pages x blocks, padding counted
+                x, mask = _padded([pages[j] for j in at])
+                p = self.forward(x, mask)[0]
+                for j, row in zip(at, p, strict=True):
+                    out[j] = row[: len(pages[j])]
+                at = []
         return out
 
 
@@ -312,9 +335,11 @@ class PageMaker:
         letters = "eaionrtslducmpghbfvkéüñ"
         self.words = ["".join(self.r.choices(letters, k=self.r.randint(1, 9))) for _ in range(600)]
         self.own = 0.0  # share of CHROME_WORDS
+        self.signs = False  # whether words of the page carry signs
 
     def word(self) -> str:
-        return self.r.choice(CHROME_WORDS if self.r.random() < self.own else self.words)
+        word = self.r.choice(CHROME_WORDS if self.r.random() < self.own else self.words)
+        return word + self.r.choice("*#%$+/|~=^@") * self.r.randint(1, 3) if self.signs and self.r.random() < 0.8 else word
 
     def sentence(self, low: int = 1, high: int = 14) -> str:
         r = self.r
@@ -409,19 +434,27 @@ class PageMaker:
                 out.append(f"<div>{k}{text}</div>")
             else:
                 out.append(f"<p>{k}{text}</p>")
-            if r.random() < 0.05:
+            if r.random() < 0.08:
                 out.append(self.chrome())
         inner = "".join(out)
+        while r.random() < 0.35:  # containers of the main text, with names that tell or that do not
+            name = r.choice((r.choice(self.words), r.choice(self.words), r.choice("body document text content-area page-content inner container row col bodycontent section".split())))
+            inner = r.choice(("<div class={1}>{0}</div>", "<section id={1}>{0}</section>", "<div id={1}>{0}</div>", "<section>{0}</section>", "<div>{0}</div>", "<div role=main>{0}</div>")).format(inner, name)
         name = r.choice("content post-body entry-content article-body story main-content post text".split())
         return r.choice((f"<article>{inner}</article>", f"<article>{inner}</article>", f"<main>{inner}</main>", f"<main><article class={name}>{inner}</article></main>", f'<div class="{name}">{inner}</div>', f'<div id="{name}"><div>{inner}</div></div>', f"<section class={name}>{inner}</section>"))
 
     def page(self) -> str:
         r = self.r
+        self.signs = r.random() < 0.1
         before = "".join(self.chrome() for _ in range(r.choice((0, 1, 2, 2, 3))))
         after = "".join(self.chrome() for _ in range(r.choice((0, 0, 1, 2, 3))))
         body = before + (self.main() if r.random() < 0.96 else "") + after + (self.footer() if r.random() < 0.8 else "")
-        if r.random() < 0.25:
+        x = r.random()
+        if x < 0.25:
             body = f"<div class=wrapper><div id=page>{body}</div></div>"
+        elif x < 0.37:  # a form around the whole page
+            name = r.choice("aspnetForm form1 main-form theForm page-form f".split())
+            body = r.choice((f"<form method=post action=./x id={name}>{body}</form>", f"<form name=x id={name}><div id=page>{body}</div></form>"))
         html = f"<!DOCTYPE html><html><head><title>{self.few()}</title><style>p{{}}</style><script>x('</p>')</script></head><body>{body}</body></html>"
         return html[: r.randint(len(html) // 2, len(html))] if r.random() < 0.12 else html
 
@@ -470,16 +503,20 @@ def extract(pages: DataFrame, html: str = "html", text: str = "text", n_chars: s
     """``pages`` with the columns ``text`` and ``n_chars`` in place of ``html`` (and of columns of their names)."""
     ship(pages.sparkSession)
     net = pages.sparkSession.sparkContext.broadcast(labeller().w)  # fixed size
-    keep = [c for c in pages.columns if c not in (html, text, n_chars)]
-    only = pages.select(*(F.col(f"`{c}`") for c in keep), html)
+    low = {x.lower() for x in (html, text, n_chars)}
+    keep = [c for c in pages.columns if c.lower() not in low]
+    source = own_name("html", [*keep, text, n_chars])
+    only = pages.select(*(F.col(f"`{c}`") for c in keep), F.col(html).alias(source))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = BiLstm()
         model.w = net.value
-        for table in text_blocks(batches, html, BLOCK_BYTES):
-            texts = extract_pages(table.column(html).to_pylist(), model)
-            out = table.drop_columns([html]).append_column(text, pa.array(texts, pa.string())).append_column(n_chars, pa.array([len(t) for t in texts], pa.int64()))
+        for table in text_blocks(batches, source, BLOCK_BYTES):
+            texts = extract_pages(table.column(source).to_pylist(), model)
+            out = table.drop_columns([source]).append_column(text, pa.array(texts, pa.string())).append_column(n_chars, pa.array([len(t) for t in texts], pa.int64()))
             yield from out.combine_chunks().to_batches()
+            del table, texts, out
+        release()
 
     fields = [only.schema[c] for c in keep]
     return only.mapInArrow(run, T.StructType([*fields, T.StructField(text, T.StringType()), T.StructField(n_chars, T.LongType())]))
