@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
-import zipfile
 from collections.abc import Iterable
-from pathlib import Path
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import workers
+
 #: The white space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 WHITE = r"[\x20\x09-\x0D]+"
 
@@ -22,32 +21,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors' Python workers this package, once for each Spark context.
-
-    Arrow batches are held to 8 MB, so that a worker's memory follows bytes, not rows.
-    """
-    sc = spark.sparkContext
+    """Give the executors' Python workers this package. Arrow batches are held to 8 MB, so that a worker's memory follows bytes, not rows."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
-    if getattr(sc, "_gaugemark_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    to = os.path.join(tempfile.mkdtemp(), "gaugemark.zip")
-    with zipfile.ZipFile(to, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    sc.addPyFile(to)
-    sc._gaugemark_shipped = True
+    workers.ship(spark)
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder of ``spark.checkpoint.dir``.
 
-    The folder is read from the session; only where it is unset (tests, local mode) is one chosen.
+    The folder is read from the session; only in local mode, where it is unset, is one chosen. Spark deletes spent
+    checkpoints where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"/tmp/checkpoints/{uuid4().hex}")
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and sc.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or f"{tempfile.gettempdir()}/checkpoints/{uuid4().hex}")
     return df.checkpoint(eager=True)
 
 
