@@ -63,13 +63,16 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return ranked.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", seed: int = 20240, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """One row per document: id, size, source, source_size, target, copies, taken (= copies * size)."""
+def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", seed: int = 20240, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, row: str | None = None) -> DataFrame:
+    """One row per document: id, size, source, source_size, target, copies, taken (= copies * size).
+
+    ``row`` names a column that tells rows apart and is returned too, as ``row``.
+    """
     # Words are counted as the starts of runs: what is left of each run is one mark.
     size = F.length(F.regexp_replace(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[^\x20\x09-\x0D]+", "\u0001"), WHITE, ""))
     key = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("id").cast("string"), F.lit("")))
     digits = F.col("size").cast("string")
-    base = docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), size.cast("long").alias("size"), F.xxhash64(text).alias("x"))
+    base = docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), size.cast("long").alias("size"), F.xxhash64(text).alias("x"), *([F.col(row).alias("row")] if row else []))
     base = materialise(base.withColumn("h", md5_uint32(key)).withColumn("class", F.length(digits) * 100 + F.rpad(F.substring(digits, 1, 2), 2, "0").cast("int")))
     classes = base.groupBy("source", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
     classes = materialise(classes.withColumn("cells", F.ceil(F.sqrt("n")).cast("long")))
@@ -88,7 +91,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     place = (F.col("start") + F.col("nth")).cast("double")
     copies = F.floor(expected * place + offset) - F.floor(expected * (place - 1) + offset)
     return ranked.withColumn("copies", F.least(copies, F.lit(int(cap))).cast("long")).select(
-        F.col("id").alias(id_col), "size", F.col("source").alias(source), "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
+        F.col("id").alias(id_col), "size", F.col("source").alias(source), "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *(["row"] if row else [])
     )
 
 
