@@ -25,7 +25,7 @@ from .common import materialise
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 DAMPING, TOLERANCE, THRESHOLD = 0.85, 1e-9, 0.5
 STEPS = 10  #: of the SQL form only, which cannot ask whether the walks have settled
-HREF = r"""(?i)\bhref\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
+HREF = r"""(?i)[\s"'/]href\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
 
 
 def _after_scheme(url: Column) -> Column:
@@ -91,10 +91,7 @@ def judge_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url: str
     seeds = materialise(parsed.where("host <> ''").groupBy("host").agg(share("allow").alias("allow"), share("block").alias("block")))
     trust = seeds.select("host", F.col("allow").alias("seed"))
     distrust = seeds.select("host", F.col("block").alias("seed"))
-    if edges.isEmpty():  # without links between hosts the walks end where they begin
-        trust, distrust = (x.select("host", (F.col("seed") * (1 - damping)).alias("mass")) for x in (trust, distrust))
-    else:
-        trust, distrust = walk(trust, edges, tolerance, damping), walk(distrust, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), tolerance, damping)
+    trust, distrust = walk(trust, edges, tolerance, damping), walk(distrust, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), tolerance, damping)
     tagged = trust.select("host", F.col("mass").alias("t"), F.lit(0.0).alias("b")).unionByName(distrust.select("host", F.lit(0.0).alias("t"), F.col("mass").alias("b")))
     bad = tagged.groupBy("host").agg(F.sum("t").alias("t"), F.sum("b").alias("b")).where(F.col("b") > (F.col("t") + F.col("b")) * threshold).select("host", F.lit(True).alias("bad"))
     by_host = F.when(F.col("bad"), F.lit("block")).otherwise(F.lit("allow"))
@@ -116,7 +113,7 @@ p AS (SELECT page_id, html, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{a
       regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 f AS (SELECT *, CASE {fits} END AS fit FROM p),
 e AS (SELECT DISTINCT host AS src, translate(regexp_extract(x, '//([^/?#]*)', 1), '{ascii_uppercase}', '{ascii_lowercase}') AS dst
-      FROM (SELECT host, unnest(regexp_extract_all(coalesce(html, ''), '(?i)\bhref\s*=\s*["'']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"''\s>]+)', 1)) AS x FROM p)),
+      FROM (SELECT host, unnest(regexp_extract_all(coalesce(html, ''), '(?i)[\s"''/]href\s*=\s*["'']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"''\s>]+)', 1)) AS x FROM p)),
 g AS (SELECT * FROM e WHERE src <> dst AND src <> '' AND dst <> ''),
 go AS (SELECT *, count(*) OVER (PARTITION BY src) AS deg FROM g),
 gi AS (SELECT dst AS src, src AS dst, count(*) OVER (PARTITION BY dst) AS deg FROM g),
