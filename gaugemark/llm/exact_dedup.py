@@ -1,6 +1,6 @@
 """Exact dedup by content-defined chunk recipes, in DataFrame operations only.
 
-A text is cut where its own content says so, so equal passages give equal chunks. Each distinct
+A text's bytes are cut where their own content says so, in any script, so equal passages give equal chunks. Each distinct
 chunk text moves once to be verified: grouping by the chunk's text itself shows whether two
 different chunks share a 64-bit hash, and those that do get further identifiers. A document is
 then its recipe, the ordered list of verified identifiers; documents are compared by recipes, and
@@ -19,8 +19,18 @@ from pyspark.sql import Window as W
 
 from .common import WHITE, materialise, own_name
 
-#: A chunk has at least ``MIN_CHARS`` characters, then ends behind the first space and letter of the set, or at ``MAX_CHARS``.
-MIN_CHARS, MAX_CHARS, CUT_AFTER = 512, 8192, "(?<= [a-h])"
+#: A chunk has at least ``MIN_BYTES`` bytes of UTF-8, then ends behind the first pair of bytes that the rule picks, or at ``MAX_BYTES``.
+MIN_BYTES, MAX_BYTES = 512, 8192
+MAX_CHARS = MAX_BYTES
+
+
+def _rest(remainder: int) -> str:
+    """Character class of the bytes that leave ``remainder`` when divided by 8."""
+    return "[" + "".join(f"\\x{b:02x}" for b in range(remainder, 256, 8)) + "]"
+
+
+#: The pairs stand two or three bytes apart, so that they fall on trailing bytes in scripts of two, three and four bytes a character.
+CUT_AFTER = f"(?<={_rest(3)}.{_rest(3)}|{_rest(0)}..{_rest(0)})"
 
 
 def normalised(text: Column) -> Column:
@@ -28,9 +38,14 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), WHITE, " ")
 
 
-def chunks_of(text: Column, min_chars: int = MIN_CHARS, max_chars: int = MAX_CHARS) -> Column:
-    """The content-defined chunks of a text, in order; joined they give the text again."""
-    return F.regexp_extract_all(text, F.lit(rf"(?s).{{{min_chars},{max_chars}}}?{CUT_AFTER}|.{{1,{max_chars}}}"), F.lit(0))
+def chunks_of(text: Column, least: int = MIN_BYTES, most: int = MAX_BYTES) -> Column:
+    """The content-defined chunks of a text, in order, each byte of its UTF-8 as one character; joined they give the text's bytes."""
+    each = F.decode(text.cast("binary"), "ISO-8859-1")
+    return F.regexp_extract_all(each, F.lit(rf"(?s).{{{least},{most}}}?{CUT_AFTER}|.{{1,{most}}}"), F.lit(0))
+
+
+def bytes_of(chunk: Column) -> Column:
+    return F.encode(chunk, "ISO-8859-1")
 
 
 def colliding_chunks(chunks: DataFrame, hashed: Column) -> DataFrame:
@@ -42,7 +57,7 @@ def colliding_chunks(chunks: DataFrame, hashed: Column) -> DataFrame:
     distinct = chunks.groupBy("chunk").agg(F.count(F.lit(1)).alias("n")).select("chunk", hashed.alias("h"))
     shared = materialise(distinct.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))
     if shared.isEmpty():
-        return chunks.sparkSession.createDataFrame([], "chunk string, h long, nth int")
+        return chunks.sparkSession.createDataFrame([], "chunk binary, h long, nth int")
     return materialise(distinct.join(shared, "h", "left_semi").withColumn("nth", F.row_number().over(W.partitionBy("h").orderBy("chunk"))))
 
 
@@ -53,14 +68,14 @@ def recipes(docs: DataFrame, text: str = "text", hashed=F.xxhash64) -> DataFrame
     """
     body = normalised(F.col(text))
     with_chunks = docs.withColumn("chunks", chunks_of(body))
-    collided = colliding_chunks(with_chunks.select(F.explode("chunks").alias("chunk")), hashed(F.col("chunk")))
-    made = with_chunks.withColumn("text_sha256", F.sha2(body.cast("binary"), 256)).withColumn("recipe", F.transform("chunks", lambda c: hashed(c)))
+    collided = colliding_chunks(with_chunks.select(F.explode("chunks").alias("chunk")).select(bytes_of(F.col("chunk")).alias("chunk")), hashed(F.col("chunk")))
+    made = with_chunks.withColumn("text_sha256", F.sha2(body.cast("binary"), 256)).withColumn("recipe", F.transform("chunks", lambda c: hashed(bytes_of(c))))
     if collided.isEmpty():
         return made.drop("chunks")
     # Documents with such a chunk name it by hash and ordinal; the ordinals are appended in order.
     uid = own_name("row_uid", made.columns)
     made = materialise(made.withColumn(uid, F.monotonically_increasing_id()))
-    nth = made.select(uid, F.posexplode("chunks").alias("pos", "chunk")).join(collided.select("chunk", "nth"), "chunk")
+    nth = made.select(uid, F.posexplode("chunks").alias("pos", "chunk")).withColumn("chunk", bytes_of(F.col("chunk"))).join(collided.select("chunk", "nth"), "chunk")
     extra = nth.groupBy(uid).agg(F.array_sort(F.collect_list(F.struct("pos", "nth"))).alias("extra"))
     longs = F.flatten(F.transform(F.col("extra"), lambda x: F.array(x["pos"].cast("long"), x["nth"].cast("long"))))
     mended = F.when(F.col("extra").isNull(), F.col("recipe")).otherwise(F.concat(F.col("recipe"), F.array(F.lit(-1).cast("long")), longs))

@@ -123,3 +123,48 @@ def test_learned_words_are_the_samples_words(spark):
     want = language_id.ContextTrees({k: language_id.Counter(w for _, t, lang in rows if lang == k for w in language_id.words_of(t)) for k in LANGS})
     words = [b"rain", b"wind", "hügel".encode(), b"zzz"]
     assert np.allclose(got.word_bits(words), want.word_bits(words))
+
+
+def test_chunks_meet_again_behind_an_insertion_in_any_script(spark):
+    r = random.Random(6)
+    scripts = {"latin": (97, 122), "cyrillic": (0x430, 0x44F), "chinese": (0x4E00, 0x9FA5), "arabic": (0x627, 0x64A), "emoji": (0x1F600, 0x1F64F)}
+    for low, high in scripts.values():
+        text = "".join(chr(r.randint(low, high)) if r.random() < 0.85 else " " for _ in range(50_000))
+        got = spark.createDataFrame([(text,), ("q" + text,)], "t string").select(exact_dedup.chunks_of(F.col("t")).alias("c")).collect()
+        assert "".join(got[1]["c"]).encode("latin-1").decode() == "q" + text
+        a, b = (set(x["c"]) for x in got)
+        assert len(a) > 20 and len(a & b) > 0.8 * len(a)
+
+
+def test_dedup_of_long_and_repeated_texts(spark):
+    r = random.Random(7)
+    long = "".join(chr(r.randint(0x4E00, 0x9FA5)) for _ in range(60_000))
+    rows = [(3, long, "s"), (1, long, "s"), (1, long, "s"), (2, long[:-1], "s"), (4, "\u00a0 x", "s"), (5, "\u00a0\tx", "s"), (None, long, "s")]
+    got = sorted((str(x["doc_id"]), x["keep_id"], x["group_size"]) for x in exact_dedup.exact_dedup(docs_of(spark, rows)).collect())
+    assert got == [("1", 1, 4), ("1", 1, 4), ("2", 2, 1), ("3", 1, 4), ("4", 4, 2), ("5", 4, 2), ("None", 1, 4)]
+    assert sum(x["kept"] for x in exact_dedup.exact_dedup(docs_of(spark, rows)).collect()) == 3
+
+
+PAGE = "page_id long, url string, html string"
+
+
+def test_links_are_href_attributes(spark):
+    pages = [(1, "http://bad.com/de/x", None), (2, "http://a.net/", '<p data-href="http://bad.com/de/x">no</p>'), (3, "http://b.net/", '<a class=x HREF = "http://bad.com/de/x">yes</a>'), (4, "http://c.net/", "<a\nhref=//bad.com/y>yes")]
+    got = {x["page_id"]: x["verdict"] for x in url_filter.judge_urls(spark.createDataFrame(pages, PAGE)).collect()}
+    assert got == {1: "block", 2: "allow", 3: "block", 4: "block"}
+
+
+def test_urls_very_long_clashing_and_repeated(spark):
+    long = "http://x.org/" + "a/" * 100_000
+    rows = [(1, long, "", 1, 2), (1, long, "", 1, 2), (2, None, None, 1, 2), (3, "x.org/no", "", 1, 2), (4, "http://SUB.Example.org/es/?q", "", 1, 2)]
+    odd = spark.createDataFrame(rows, f"{PAGE}, host int, bad int").selectExpr("*", "3 AS id", "4 AS fit", "5 AS links", "6 AS verdict", "7 AS src", "8 AS mass")
+    got = sorted((x["page_id"], x["host"], len(x["path"]), x["rule"], x["verdict"]) for x in url_filter.judge_urls(odd).collect())
+    assert got == [(1, "x.org", 200_001, "org/", "allow")] * 2 + [(2, "", 0, None, "allow"), (3, "", 0, None, "allow"), (4, "sub.example.org", 4, "example.org/es/", "block")]
+
+
+def test_walk_over_a_hub_that_a_third_of_all_links_reach(spark):
+    """300 hosts link to one hub; it passes distrust back to all of them, in as many steps as the walk needs."""
+    link = lambda *hosts: "".join(f'<a href="http://{h}/">x</a>' for h in hosts)
+    pages = [(0, "http://bad.com/de/x", ""), (1, "http://hub.net/", link("bad.com")), *((i, f"http://h{i}.net/", link("hub.net", f"h{i + 1}.net")) for i in range(2, 302)), (400, "http://clean.net/", link("good.org"))]
+    got = {x["page_id"]: x["verdict"] for x in url_filter.judge_urls(spark.createDataFrame(pages, PAGE)).collect()}
+    assert got == {i: "block" for i in [0, 1, *range(2, 302)]} | {400: "allow"}
