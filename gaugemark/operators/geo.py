@@ -113,24 +113,44 @@ def _excluded(stations: DataFrame, reason, status: str = "excluded") -> DataFram
     return stations.withColumns({"exclusion_reason": F.when(now, reason).otherwise(F.col("exclusion_reason")), "status": F.when(now, F.lit(status)).otherwise(F.col("status"))})
 
 
-def grid_weights(stations: DataFrame, grid: DataFrame) -> DataFrame:
+def _brackets(at: DataFrame, axis: DataFrame, number: str, name: str, value: str) -> DataFrame:
+    """(station_id, value, lower line, upper line) of the axis' interval that holds each value; values beyond the axis give none.
+
+    Lines and values meet by whole degrees, so a station is compared with the lines of its degree only.
+    """
+    order = W.orderBy(name)  # one row for each grid line
+    lines = axis.select(F.col(number).alias("n0"), F.col(name).alias("v0"), F.lead(number).over(order).alias("n1"), F.lead(name).over(order).alias("v1"))
+    lines = lines.withColumn("degree", F.explode(F.sequence(F.floor("v0"), F.floor(F.coalesce("v1", "v0")))))
+    inside = (F.col(value) >= F.col("v0")) & (F.col(value) < F.col("v1")) | (F.col(value) == F.col("v0")) & F.col("v1").isNull()
+    return at.withColumn("degree", F.floor(value)).join(lines, "degree").where(inside).drop("degree")
+
+
+def _axes(grid: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return grid.select("j", "lat").distinct(), grid.select("i", F.pmod("lon", F.lit(360.0)).alias("lon")).distinct()
+
+
+def grid_weights(stations: DataFrame, grid: DataFrame, outside: str = "drop") -> DataFrame:
     """(station_id, j, i, weight): up to four bilinear corners on a regular grid (j, i, lat, lon).
 
-    Latitudes may fall or rise. A corner of weight zero is left out. Points beyond the grid give none.
+    Latitudes may fall or rise. A corner of weight zero is left out. Points beyond the grid give none, or raise
+    with ``outside="raise"``.
     """
-    lats, lons = grid.select("j", "lat").distinct(), grid.select("i", F.pmod("lon", F.lit(360.0)).alias("lon")).distinct()
-    after = lambda axis, number: axis.withColumn("upper", F.lead(axis.columns[1]).over(W.orderBy(axis.columns[1]))).withColumn("k", F.lead(number).over(W.orderBy(axis.columns[1])))  # noqa: E731  one row for each grid line
-    step_lat, step_lon = after(lats, "j"), after(lons, "i")
+    if outside not in ("drop", "raise"):
+        raise ValueError("outside must be drop or raise")
+    lats, lons = _axes(grid)
     at = stations.where("lat is not null and lon is not null").select("station_id", F.col("lat").alias("y"), F.pmod("lon", F.lit(360.0)).alias("x"))
 
-    def ends(axis: DataFrame, number: str, value: str, name: str) -> DataFrame:
-        inside = (F.col(value) >= F.col(name)) & (F.col(value) < F.col("upper")) | (F.col(value) == F.col(name)) & F.col("upper").isNull()
-        share = F.coalesce((F.col(value) - F.col(name)) / (F.col("upper") - F.col(name)), F.lit(0.0))
-        two = F.array(F.struct(F.col(number).alias("at"), (1 - share).alias("w")), F.struct(F.col("k").alias("at"), share.alias("w")))
-        found = at.join(F.broadcast(axis), inside).select("station_id", F.explode(two).alias("e")).where("e.w > 0")
+    def ends(axis: DataFrame, number: str, name: str, value: str) -> DataFrame:
+        share = F.coalesce((F.col(value) - F.col("v0")) / (F.col("v1") - F.col("v0")), F.lit(0.0))
+        two = F.array(F.struct(F.col("n0").alias("at"), (1 - share).alias("w")), F.struct(F.col("n1").alias("at"), share.alias("w")))
+        found = _brackets(at.select("station_id", value), axis, number, name, value).select("station_id", F.explode(two).alias("e")).where("e.w > 0")
         return found.select("station_id", F.col("e.at").alias(number), F.col("e.w").alias(f"w{number}"))
 
-    return ends(step_lat, "j", "y", "lat").join(ends(step_lon, "i", "x", "lon"), "station_id").select("station_id", "j", "i", (F.col("wj") * F.col("wi")).alias("weight"))
+    corners = ends(lats, "j", "lat", "y").join(ends(lons, "i", "lon", "x"), "station_id").select("station_id", "j", "i", (F.col("wj") * F.col("wi")).alias("weight"))
+    if outside == "drop":
+        return corners
+    all_ = at.select("station_id").distinct().join(corners, "station_id", "left")
+    return all_.withColumn("weight", F.when(F.col("weight").isNotNull(), F.col("weight")).otherwise(F.raise_error(F.concat(F.lit("outside the grid: "), F.col("station_id"))).cast("double")))
 
 
 def bilinear(weights: DataFrame, grid: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
@@ -141,8 +161,15 @@ def bilinear(weights: DataFrame, grid: DataFrame, keys: list[str], value: str =
 
 
 def nearest_nodes(stations: DataFrame, grid: DataFrame) -> DataFrame:
-    """(station_id, j, i): on each axis the nearest line, ties to the lower index."""
-    lats, lons = grid.select("j", "lat").distinct(), grid.select("i", F.pmod("lon", F.lit(360.0)).alias("lon")).distinct()
-    at = stations.select("station_id", F.col("lat").alias("y"), F.pmod("lon", F.lit(360.0)).alias("x"))
-    pick = lambda axis, n, d: at.join(F.broadcast(axis), F.lit(True)).groupBy("station_id").agg(F.min_by(n, F.struct(d, F.col(n))).alias(n))  # noqa: E731  bounded by the grid's lines
-    return pick(lats, "j", F.abs(F.col("y") - F.col("lat"))).join(pick(lons, "i", F.abs(F.col("x") - F.col("lon"))), "station_id")
+    """(station_id, j, i): on each axis the nearest line, ties to the lower index; beyond the grid its edge."""
+    lats, lons = _axes(grid)
+    at = stations.where("lat is not null and lon is not null").select("station_id", F.col("lat").alias("y"), F.pmod("lon", F.lit(360.0)).alias("x"))
+
+    def pick(axis: DataFrame, number: str, name: str, value: str) -> DataFrame:
+        ends = axis.agg(F.min(name).alias("low"), F.max(name).alias("high"))  # one row
+        held = at.select("station_id", value).join(F.broadcast(ends)).select("station_id", F.greatest("low", F.least("high", value)).alias(value))
+        away = lambda v, n: F.struct(F.abs(F.col(value) - F.col(v)), F.col(n))
+        second = F.col("n1").isNotNull() & (away("v1", "n1") < away("v0", "n0"))
+        return _brackets(held, axis, number, name, value).select("station_id", F.when(second, F.col("n1")).otherwise(F.col("n0")).alias(number))
+
+    return pick(lats, "j", "lat", "y").join(pick(lons, "i", "lon", "x"), "station_id")

@@ -105,6 +105,31 @@ def qc_flag_counts(spark, sf_dir):
     return C.bit_counts(A.obs_qc(spark, sf_dir))
 
 
+_PLACES = """places AS (SELECT DISTINCT event_type AS station_id, length(event_type) % 2 = 0 AS isd, length(event_type) > 6 AS far FROM events)"""
+
+
+@_query(f"""WITH {A.OBS}, {_PLACES}, a AS (SELECT *, {_LAG} FROM obs {_W}), b AS (SELECT *, sum(CASE WHEN coalesce(pv = value AND pt + INTERVAL 1 HOUR = valid_time, false) THEN 0 ELSE 1 END) OVER w AS run FROM a {_W}),
+c AS (SELECT *, count(*) OVER (PARTITION BY station_id, variable, run) AS len FROM b),
+nb AS (SELECT o.station_id, variable, valid_time, n.value FROM (SELECT x.station_id, y.station_id AS nid FROM places x JOIN places y ON x.station_id <> y.station_id) o JOIN obs n ON n.station_id = o.nid),
+m AS (SELECT station_id, variable, valid_time, median(value) AS med, count(value) AS n FROM nb GROUP BY 1, 2, 3),
+d AS (SELECT nb.station_id, nb.variable, nb.valid_time, any_value(med) AS med, any_value(n) AS n, median(abs(value - med)) AS mad FROM nb JOIN m USING (station_id, variable, valid_time) GROUP BY 1, 2, 3),
+f AS (SELECT c.variable, coalesce(CASE c.variable WHEN 't2m' THEN c.value < 272 OR c.value > 300 WHEN 'wind10m' THEN c.value < 0 OR c.value > 25 ELSE c.value < 0 OR c.value > 80 END, false) AS x1,
+  coalesce(pt + INTERVAL 1 HOUR = c.valid_time AND abs(c.value - pv) > CASE c.variable WHEN 't2m' THEN 12 WHEN 'wind10m' THEN 15 END, false) AS x2,
+  len >= 4 AND c.value IS NOT NULL AND NOT (c.variable = 'wind10m' AND c.value < 3.5) AND NOT (c.variable = 'precip_1h' AND c.value = 0) AS x4,
+  coalesce(d.n >= 3 AND c.variable <> 'precip_1h' AND abs(c.value - med) / (greatest(1.4826 * mad, 1.5) + 1e-9) > 3, false) AS x8, far AS x16, coalesce(isd AND abs(c.value - r.value) <= 0.05, false) AS x32
+  FROM c LEFT JOIN d USING (station_id, variable, valid_time) JOIN places USING (station_id) LEFT JOIN obs r ON r.station_id = 'click' AND r.variable = c.variable AND r.valid_time = c.valid_time)
+SELECT variable, count(*) AS n, count_if(x1)::BIGINT AS range, count_if(x2)::BIGINT AS step, count_if(x4)::BIGINT AS persistence, count_if(x8)::BIGINT AS spatial, count_if(x16)::BIGINT AS metadata, count_if(x32)::BIGINT AS duplicate,
+count_if(NOT (x1 OR x2 OR x4 OR x8 OR x16 OR x32))::BIGINT AS clean FROM f GROUP BY 1""")
+def qc_run(spark, sf_dir):
+    """All checks together: flags of every variable."""
+    names = A.event_stations(spark, sf_dir).select("station_id")
+    size = F.length("station_id")
+    st = names.select("station_id", F.lit(-30.0).alias("lat"), F.lit(-51.0).alias("lon"), F.lit(100.0).alias("elev_station"), F.when(size > 6, 300.0).otherwise(100.0).alias("elev_dem"), F.when(size % 2 == 0, "isd").otherwise("inmet").alias("network"), F.when(size % 2 == 0, "click").alias("cross_ref"))
+    others = F.broadcast(names.withColumnRenamed("station_id", "neighbor_id"))  # the five event types
+    pairs = names.join(others, F.col("station_id") != F.col("neighbor_id"))
+    return C.bit_counts(qc.run_qc(A.obs_hourly(spark, sf_dir), st, pairs, _SPATIAL))
+
+
 @_query("""WITH o AS (SELECT l_orderkey % 1000 AS k, l_linenumber AS line, l_quantity AS value FROM lineitem), d AS (SELECT DISTINCT * FROM o)
 SELECT k::VARCHAR AS station_id, line::VARCHAR AS variable, count(*) AS n_values FROM d GROUP BY 1, 2 HAVING count(*) > 1""")
 def dup_conflicts(spark, sf_dir):
@@ -512,6 +537,27 @@ def source_coverage(spark, sf_dir):
     return gridindex.month_coverage(present, days)
 
 
+@_query("""WITH r AS (SELECT DISTINCT o_custkey % 3 AS k, o_orderdate::DATE AS day FROM orders), f AS (SELECT o_custkey % 3 AS k, o_orderdate::DATE AS day, (o_orderkey % 4 * 6 + 6)::INT AS lead, o_totalprice FROM orders),
+c AS (SELECT k, day, count(DISTINCT lead) AS n, round(sum(o_totalprice), 2) AS b FROM f WHERE lead <= 18 GROUP BY 1, 2), w AS (SELECT r.k, r.day, coalesce(n, 0) AS n, coalesce(b, 0) AS b FROM r LEFT JOIN c USING (k, day))
+SELECT k::VARCHAR AS source, count(*) AS runs, count_if(n = 3)::BIGINT AS complete_runs, round(median(CASE WHEN n = 3 THEN b END), 2) AS median_bytes FROM w GROUP BY 1""")
+def lead_audit(spark, sf_dir):
+    """Runs with all of three leads, and the median size of one."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    present = o.select((F.col("o_custkey") % 3).cast("string").alias("source"), F.to_date("o_orderdate").alias("init_time"), (F.col("o_orderkey") % 4 * 6 + 6).cast("int").alias("lead_hours"), F.col("o_totalprice").alias("bytes"))
+    done = gridindex.lead_completeness(present, present, [6, 12, 18]).withColumn("bytes", F.round("bytes", 2))
+    return gridindex.bytes_by_run(done).withColumn("median_bytes", F.round("median_bytes", 2))
+
+
+@_query(f"""WITH {A.STATIONS} SELECT station_id, (CASE WHEN floor(lat) < 0 THEN 'S' ELSE 'N' END) || lpad(abs(floor(lat))::INT::VARCHAR, 2, '0') || '_W' || lpad(abs(floor(lon))::INT::VARCHAR, 3, '0') AS tile,
+CASE WHEN floor(lat)::INT % 2 = 0 THEN (least(9, floor((floor(lat) + 1 - lat) * 10)) * 10 + least(9, floor((lon - floor(lon)) * 10)))::DOUBLE END AS elev_dem FROM stations""")
+def dem_points(spark, sf_dir):
+    """Terrain height at every station from tiles of 10 x 10 cells; odd tiles lack."""
+    cells = spark.range(10 * 10 * 10 * 10).select((F.col("id") % 10).cast("int").alias("col"), (F.floor(F.col("id") / 10) % 10).cast("int").alias("row"), (F.floor(F.col("id") / 100) % 10).cast("int").alias("a"), F.floor(F.col("id") / 1000).cast("int").alias("b"))
+    south, west = 30 - 2 * F.col("a"), F.col("b") + 46
+    tiles = cells.where("a < 5").select(F.concat(F.lit("S"), F.lpad(south.cast("string"), 2, "0"), F.lit("_W"), F.lpad(west.cast("string"), 3, "0")).alias("tile"), "row", "col", (F.col("row") * 10 + F.col("col")).alias("elevation"))
+    return station_sources.dem_lookup(A.stations(spark, sf_dir), tiles, 10)
+
+
 @_query("""WITH p AS (SELECT ['gfs', 'hres'][(o_custkey % 2 + 1)::INT] AS model, date_trunc('hour', o_orderdate) + INTERVAL (o_custkey % 24) HOUR AS valid_time, ['t2m', 'wind10m', 'precip_24h'][(o_orderkey % 3 + 1)::INT] AS variable, o_totalprice / 1000 AS value FROM orders),
 t AS (SELECT model, (valid_time - INTERVAL 3 HOUR)::DATE AS day, round(min(CASE WHEN variable = 't2m' THEN value END) - 273.15, 1) AS tmin_c, round(max(CASE WHEN variable = 't2m' THEN value END) - 273.15, 1) AS tmax_c, round(max(CASE WHEN variable = 'wind10m' THEN value END), 1) AS wind_max FROM p GROUP BY 1, 2),
 r AS (SELECT model, valid_time::DATE AS day, round(max(value), 1) AS precip_24h FROM p WHERE variable = 'precip_24h' AND hour(valid_time) = 0 GROUP BY 1, 2) SELECT t.*, precip_24h FROM t LEFT JOIN r USING (model, day)""")

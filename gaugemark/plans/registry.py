@@ -87,7 +87,7 @@ def ratio_by_lead(results: DataFrame) -> DataFrame:
 
 def bias_by_percentile(results: DataFrame) -> DataFrame:
     """Figure table: the bias with its interval by bin of the observed percentile, with the bin's middle for the axis."""
-    ends = [F.split("stratum_value", "-")[i].cast("double") for i in (0, 1)]
+    ends = [F.split("stratum_value", "-")[i].try_cast("double") for i in (0, 1)]
     return results.where("metric = 'bias_by_percentile'").select("variable", "model", "lead_hours", F.col("stratum_value").alias("bin"), ((ends[0] + ends[1]) / 2).alias("middle"), "estimate", "ci_low", "ci_high", "n_pairs")
 
 

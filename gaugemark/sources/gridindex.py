@@ -78,12 +78,30 @@ def month_coverage(present: DataFrame, days: DataFrame, runs_per_day: int = 1) -
 
     ``present``: (source, day); ``days``: (day). Expected keys come from the calendar, not from what is there.
     """
-    sources = present.select("source").distinct()
-    expected = days.join(F.broadcast(sources)).select("source", "day")  # bounded: calendar days by sources
+    calendar = days.agg(F.collect_set("day").alias("days"))  # one row, of the calendar's days
+    expected = present.select("source").distinct().join(F.broadcast(calendar)).select("source", F.explode("days").alias("day"))
     got = present.groupBy("source", "day").agg(F.count(F.lit(1)).alias("n"))
     out = expected.join(got, ["source", "day"], "left").groupBy("source", F.date_format("day", "yyyy-MM").alias("month")).agg((F.count(F.lit(1)) * runs_per_day).alias("expected"), F.sum(F.least(F.coalesce("n", F.lit(0)), F.lit(runs_per_day))).alias("present"))
     return out.withColumn("cell", F.when(F.col("present") == 0, "absent").when(F.col("present") < F.col("expected"), "partial").otherwise("complete"))
 
 
+def lead_completeness(present: DataFrame, runs: DataFrame, leads: list[int]) -> DataFrame:
+    """Of every run (source, init_time) the leads that are there and those that lack, its bytes and whether it is complete.
+
+    ``present``: (source, init_time, lead_hours, bytes), a row for each file or range; ``leads`` are the expected ones.
+    """
+    wanted = F.array(*(F.lit(int(x)) for x in leads))
+    got = present.where(F.col("lead_hours").isin(*leads)).groupBy("source", "init_time").agg(F.array_sort(F.collect_set(F.col("lead_hours").cast("int"))).alias("found"), F.sum("bytes").alias("bytes"))
+    out = runs.select("source", "init_time").distinct().join(got, ["source", "init_time"], "left").withColumn("found", F.coalesce("found", F.array().cast("array<int>")))
+    lacks = F.array_except(wanted, "found")
+    return out.select("source", "init_time", F.size("found").alias("n_leads"), lacks.alias("missing"), F.coalesce("bytes", F.lit(0)).alias("bytes"), (F.size(lacks) == 0).alias("complete"))
+
+
+def bytes_by_run(completeness: DataFrame) -> DataFrame:
+    """By source: complete and all runs, median bytes of a complete run."""
+    whole = F.when(F.col("complete"), F.col("bytes"))
+    return completeness.groupBy("source").agg(F.count(F.lit(1)).alias("runs"), F.count_if("complete").alias("complete_runs"), F.median(whole).alias("median_bytes"))
+
+
 def missing_days(present: DataFrame, days: DataFrame, source: str) -> DataFrame:
     return days.join(present.where(F.col("source") == source).select("day").distinct(), "day", "left_anti")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import contracts as C
+from ..functions.geo import tile as dem_tile
 
 #: Words in a station's state that tell that it was closed.
 CLOSED = ("desativ", "encerr", "extint", "fechad")
@@ -76,6 +77,18 @@ def find_station(stations: DataFrame, what: str) -> DataFrame:
     return stations.where((F.col("station_id") == what) | F.upper("name").contains(what.upper()))
 
 
+def dem_lookup(stations: DataFrame, tiles: DataFrame, size: int = 3600) -> DataFrame:
+    """(station_id, tile, elev_dem) from a table of elevation tiles (tile, row, col, elevation) of one degree each.
+
+    Row 0 is a tile's north edge. A point on the south or east edge takes the last row or column; without its tile or
+    cell the elevation is null, never invented.
+    """
+    lat, lon = F.col("lat"), F.col("lon")
+    cell = lambda x: F.least(F.lit(size - 1), F.greatest(F.lit(0), F.floor(x * size))).cast("int")
+    at = stations.where("lat is not null and lon is not null").select("station_id", dem_tile(lat, lon).alias("tile"), cell(F.floor(lat) + 1 - lat).alias("row"), cell(lon - F.floor(lon)).alias("col"))
+    return at.join(tiles.select("tile", "row", "col", F.col("elevation").cast("double").alias("elev_dem")), ["tile", "row", "col"], "left").select("station_id", "tile", "elev_dem")
+
+
 #: Codes of the climate raster.
 KOPPEN = {
     1: "Af", 2: "Am", 3: "Aw", 4: "BWh", 5: "BWk", 6: "BSh", 7: "BSk", 8: "Csa", 9: "Csb", 10: "Csc", 11: "Cwa", 12: "Cwb", 13: "Cwc", 14: "Cfa", 15: "Cfb", 16: "Cfc",
