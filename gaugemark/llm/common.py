@@ -21,8 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors' Python workers this package. Arrow batches are held to 8 MB, so that a worker's memory follows bytes, not rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
+    """Give the executors' Python workers this package. Arrow batches are held to 4 MB, so that a worker's memory follows bytes, not rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)
     workers.ship(spark)
 
 

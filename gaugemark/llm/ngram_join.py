@@ -13,18 +13,19 @@ similarity reaches the threshold; a document's component is the smallest id reac
 3. Shingles are ordered by rising frequency. A class of n shingles can only have a partner if they
    share one of its first p = n - ceil(t n) + 1; as shingles of a single class come first, a class with
    p of them has no partner at all.
-4. The index. A prefix extended by g shingles shares g + 1 with every partner's. Shingles that up to
-   ``FREQUENT`` classes have are indexed singly. Of g + 1 shared frequent ones, two fall into the same of
-   g buckets: so frequent shingles are indexed as combinations of k = 2 within buckets. g is an eighth of
-   a size level; a class indexes its own level and the next, partners have one in common. So combinations
-   stay about as many as the shingles, and every two linked classes share a key of the index.
+4. The index. Shingles of the prefix that up to ``FREQUENT`` classes have are indexed singly: partners whose
+   first common shingle is such a one meet there. All common shingles of other partners are frequent ones, and
+   prefixes extended by g shingles have g + 1 of them in common, two of which fall into the same of g buckets:
+   so the frequent shingles of the extended prefix are indexed as combinations of k = 2 within buckets. g is an
+   eighth of a size level; a class indexes its own level and the next, partners have one in common. So
+   combinations stay about as many as the shingles, and every two linked classes share a key of the index.
 5. Candidates are verified by the exact size of the intersection. First the lists of the index are
    verified against leaders (a few rounds, one leader for each class, first the ones with the fewest
    shingles of their own), so that large groups of near copies become one component by a star of
    links; members of one component need no further pair, and lists within one component go no further.
 6. In the lists that still span components, every class outside a list's largest component is verified
-   against all classes of other components in the list. Pairs whose sizes and places in the order rule a
-   link out are not verified.
+   against all classes of other components in the list. Pairs are not verified whose sizes and places in the
+   order rule a link out, or the parities of their shingles: where these differ, the sets do.
 
 Nothing is capped, sampled or dropped: the leader rounds only save pairs whose link could not change
 a component. Hot lists are joined from plain shuffles, which adaptive execution splits.
@@ -50,7 +51,9 @@ from .blocks import ragged, release, text_blocks, unvarints, varints
 from .common import materialise, partitions, ship
 from .components import components
 
-WORDS, THRESHOLD, FREQUENT, LEADER_ROUNDS = 5, (3, 4), 16, 6
+WORDS, THRESHOLD, FREQUENT, LEADER_ROUNDS = 5, (3, 4), 32, 6
+#: A class's shared shingles as parities of so many bits (whole words of 64).
+PARITY_BITS = 512
 BLOCK_BYTES = 2 << 20
 _NO_ID = -(1 << 63)
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -151,7 +154,9 @@ def _shingled(n: int):
         partition = TaskContext.get().partitionId()
         for nth, table in enumerate(text_blocks(batches, "text", BLOCK_BYTES)):
             ids = np.array([_NO_ID if x is None else x for x in table.column("id").to_pylist()], np.int64)
-            sets = shingle_sets(table.column("text").to_pylist())
+            sets = []
+            for part in text_blocks(table.to_batches(), "text", BLOCK_BYTES // 4):  # the arrays of all bytes' places are large
+                sets += shingle_sets(part.column("text").to_pylist())
             sizes = np.fromiter(map(len, sets), np.int64, len(sets))
             signs, more = _signatures(sets)
             rows = [((partition + nth) % n, _DOCUMENTS, _blob(ids.tobytes(), sizes.tobytes(), signs.tobytes(), more.tobytes()))]
@@ -210,7 +215,8 @@ def _counted(n: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.uint64)
-        tokens, signs, mores, notices = [none], [none], [np.zeros(0, np.uint32)], [none]
+        # A token knows its class by the number of its entry in the tables of signs.
+        tokens, owners, signs, mores, notices, entries = [none], [np.zeros(0, np.int32)], [none], [np.zeros(0, np.uint32)], [none], 0
         for batch in batches:
             passing = []
             for part, kind, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -218,23 +224,28 @@ def _counted(n: int):
                     t, s, m, c = _unblob(data)
                     times = unvarints(c)
                     tokens.append(np.frombuffer(t, np.uint64))
-                    signs.append(np.repeat(np.frombuffer(s, np.uint64), times))
-                    mores.append(np.repeat(np.frombuffer(m, np.uint32), times))
+                    owners.append(np.repeat(np.arange(entries, entries + len(times), dtype=np.int32), times))
+                    signs.append(np.frombuffer(s, np.uint64))
+                    mores.append(np.frombuffer(m, np.uint32))
+                    entries += len(times)
                 elif kind == _NOTICE:
                     notices.append(np.unique(np.frombuffer(data, np.uint64)))
                 else:
                     passing.append((part, kind, data))
             if passing:
                 yield _rows(passing)
-        token, sign, more, noticed = np.concatenate(tokens), np.concatenate(signs), np.concatenate(mores), np.unique(np.concatenate(notices))
-        del tokens, signs, mores, notices
+        token, noticed = np.concatenate(tokens), np.unique(np.concatenate(notices))
+        del tokens, notices
+        owner = np.concatenate(owners)
+        del owners
         order = np.argsort(token)
-        sorted_ = token[order]
-        same = sorted_[1:] == sorted_[:-1]
+        token = token[order]
+        same = token[1:] == token[:-1]
         several = np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(token) else np.zeros(0, bool)
-        at = order[several | np.isin(sorted_, noticed)]
-        token, sign, more = token[at], sign[at], more[at]
-        del order, sorted_, same, several, at
+        keep = several | np.isin(token, noticed)
+        token, owner = token[keep], owner[order[keep]]
+        sign, more = np.concatenate(signs)[owner], np.concatenate(mores)[owner]
+        del order, same, several, keep, owner, signs, mores
         order = np.lexsort((more, sign, token))
         token, sign, more = token[order], sign[order], more[order]
         new = _changes(token, sign, more)
@@ -287,11 +298,10 @@ def index_keys(token: np.ndarray, often: np.ndarray, counts: np.ndarray, sizes:
     found = []
     for step in (0, 1):
         g = buckets_of(level + step, threshold)
-        inside = at < (left + g)[cls]
         # Without buckets (sets so small that partners may share one shingle only) every shingle stands singly.
-        single = np.flatnonzero(inside & (rare | (g[cls] == 0)))
+        single = np.flatnonzero((at < left[cls]) & (rare | (g[cls] == 0)))
         found.append((cls[single], token[single], at[single], np.zeros(len(single), bool)))
-        i = np.flatnonzero(inside & ~rare & (g[cls] > 0))
+        i = np.flatnonzero((at < (left + g)[cls]) & ~rare & (g[cls] > 0))
         bucket = _mixed(token[i]) % np.maximum(g[cls[i]], 1).astype(np.uint64)
         order = np.lexsort((at[i], bucket, cls[i]))
         i, bucket = i[order], bucket[order]
@@ -311,7 +321,14 @@ def index_keys(token: np.ndarray, often: np.ndarray, counts: np.ndarray, sizes:
     return cls[order], key[order], at[order], pair[order]
 
 
-_CLASSES_SQL = "kind int, doc_id long, sign long, more int, n long, tokens array<long>, keys array<long>, at array<int>"
+def parities(token: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each class the parities of its shingles in ``PARITY_BITS`` bins. Where two classes' differ, one has a shingle that the other lacks."""
+    of = np.repeat(np.arange(len(counts)), counts)
+    odd = np.bincount(of * PARITY_BITS + (token % np.uint64(PARITY_BITS)).astype(np.int64), minlength=len(counts) * PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(len(counts), PARITY_BITS), axis=1).view(np.uint64)
+
+
+_CLASSES_SQL = "kind int, doc_id long, sign long, more int, n long, tokens array<long>, keys array<long>, at array<int>, bits array<long>"
 
 
 def _classes(frequent: int, threshold: tuple[int, int]):
@@ -319,8 +336,8 @@ def _classes(frequent: int, threshold: tuple[int, int]):
 
     Documents pass as (doc_id, sign, more, n).
     """
-    names = ["kind", "doc_id", "sign", "more", "n", "tokens", "keys", "at"]
-    types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+    names = ["kind", "doc_id", "sign", "more", "n", "tokens", "keys", "at", "bits"]
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
 
     def made(kind: int, ids: np.ndarray, signs: np.ndarray, mores: np.ndarray, sizes: np.ndarray, *lists: pa.Array) -> pa.RecordBatch:
         lists = lists or [pa.nulls(len(ids), t) for t in types[5:]]
@@ -377,7 +394,7 @@ def _classes(frequent: int, threshold: tuple[int, int]):
             k = cls[at]
             of, key, place, _ = index_keys(token[inside], often[inside], counts[at], sizes[k], frequent, threshold)
             keys = np.bincount(of, minlength=len(at))
-            yield made(_SHARED, ids[k], signs[k], mores[k], sizes[k], listed(token[inside], counts[at], pa.int64()), listed(key, keys, pa.int64()), listed(place, keys, pa.int32()))
+            yield made(_SHARED, ids[k], signs[k], mores[k], sizes[k], listed(token[inside], counts[at], pa.int64()), listed(key, keys, pa.int64()), listed(place, keys, pa.int32()), listed(parities(token[inside], counts[at]).ravel(), np.full(len(at), PARITY_BITS // 64), pa.int64()))
         del token, often, members
         release()
 
@@ -407,6 +424,12 @@ def _fits(threshold: tuple[int, int]):
     return (threshold[0] + threshold[1]) * most >= threshold[0] * (F.col("n") + F.col("nb"))
 
 
+def _parity_fits(threshold: tuple[int, int]):
+    """Whether two classes may link whose parities ``bits`` and ``bitsb`` differ as they do."""
+    differ = sum(F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("bitsb")[i])) for i in range(PARITY_BITS // 64))
+    return (threshold[0] + threshold[1]) * (F.col("s") + F.col("sb") - differ) >= 2 * threshold[0] * (F.col("n") + F.col("nb"))
+
+
 def linked_components(classes: DataFrame, threshold: tuple[int, int] = THRESHOLD, rounds: int = LEADER_ROUNDS) -> DataFrame:
     """(rep, c): the smallest representative that every class which can have partners reaches.
 
@@ -441,9 +464,9 @@ def linked_components(classes: DataFrame, threshold: tuple[int, int] = THRESHOLD
         return component
     parts = live.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
     lists = materialise(parts.groupBy("key").agg(F.max(F.struct("m", "c")).alias("x"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", F.col("x.c").alias("main")))
-    live = materialise(live.join(lists, "key"))
-    other = live.drop("alone", "main").withColumnsRenamed({"rep": "b", "n": "nb", "s": "sb", "at": "atb", "c": "cb"})
-    pairs = live.where("c <> main").join(other, "key").where((F.col("c") != F.col("cb")) & _fits(threshold))
+    live = materialise(live.join(lists, "key").join(classes.select("rep", "bits"), "rep"))
+    other = live.drop("alone", "main").withColumnsRenamed({"rep": "b", "n": "nb", "s": "sb", "at": "atb", "c": "cb", "bits": "bitsb"})
+    pairs = live.where("c <> main").join(other, "key").where((F.col("c") != F.col("cb")) & _fits(threshold) & _parity_fits(threshold))
     pairs = pairs.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
     links = _verified(materialise(pairs), classes, threshold)
     links = materialise(links.join(name("a"), "a").join(name("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
@@ -459,7 +482,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     rows = only.mapInArrow(_shingled(n), _ROW_SQL).repartitionById(n, F.col("part"))
     rows = rows.mapInArrow(_counted(n), _ROW_SQL).repartitionById(n, F.col("part"))
     done = materialise(rows.mapInArrow(_classes(frequent, threshold), _CLASSES_SQL))
-    classes = done.where(F.col("kind") == _SHARED).select(F.col("doc_id").alias("rep"), "n", "tokens", "keys", "at")
+    classes = done.where(F.col("kind") == _SHARED).select(F.col("doc_id").alias("rep"), "n", "tokens", "keys", "at", "bits")
     if classes.isEmpty():
         component = spark.createDataFrame([], "rep long, c long")
     else:
