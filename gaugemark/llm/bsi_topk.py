@@ -8,7 +8,8 @@ out as slices too. The k best rows are then selected from the most significant s
 the rows that are still tied at the boundary are resolved exactly, by the smaller id.
 
 The index is built once, with its slices stored, and blocks stay where they are: chunks of queries are
-sent to every block, each task reads its block and lets the chunks stream past it. Each pair of block and
+sent to every block, each task reads its block and lets chunks stream past it (where blocks are fewer than
+cores, several tasks read one). Each pair of block and
 chunk returns at most k rows a query, and a window takes the k best of them. Block and chunk sizes are
 bounded parameters; the count of blocks grows with the rows.
 
@@ -214,8 +215,12 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding",
     # By place, not by content: rows that repeat an id and a vector spread over the blocks too.
     dealt = rows.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)))
     index = materialise(dealt.groupBy("block").applyInArrow(_indexed(every, chunk_queries), _INDEX))
-    others = index.where("chunk >= 0").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    meeting = index.where("chunk < 0").unionByName(others).repartition(blocks, "block").sortWithinPartitions("block", "chunk")
+    # Few blocks are read by several tasks each, as many as keep the cores busy, and the chunks are dealt to them.
+    lanes = max(1, -(-spark.sparkContext.defaultParallelism // blocks))
+    every_one = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    slices = index.where("chunk < 0").withColumn("lane", every_one(lanes))
+    asked = index.where("chunk >= 0").withColumn("lane", (F.col("home") + F.col("chunk")) % lanes).withColumn("block", every_one(blocks))
+    meeting = slices.unionByName(asked).repartitionById(blocks * lanes, (F.col("block") * lanes + F.col("lane")).cast("int")).sortWithinPartitions("block", "chunk")
     found = meeting.mapInArrow(_searched(k), "home long, place long, query_id long, vec_id long, score long")
     rank = F.row_number().over(W.partitionBy("home", "place").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
