@@ -158,6 +158,10 @@ def decomposition_bootstrap(df: DataFrame, by: Sequence[str], day: str = "day",
     return daily.groupBy(*by).applyInPandas(run, schema)
 
 
+#: Draws of a station that travel in one row; a task that takes medians holds so many values of each station.
+DRAWS_A_ROW = 64
+
+
 def variance_ratio_bootstrap(df: DataFrame, by: Sequence[str], station: str = "station_id", day: str = "day", n_boot: int = 1000, block_len: int | None = None, alpha: float = 0.05, seed: int = 0, starts: str = "random") -> DataFrame:
     """Variance ratio with its interval. A station's days are one matrix product; medians go over stations by draw.
 
@@ -180,31 +184,46 @@ def variance_ratio_bootstrap(df: DataFrame, by: Sequence[str], station: str = "s
     moments = [f(c).alias(f"{n}{c[0]}") for c in ("fcst", "obs") for n, f in (("mean_", F.avg), ("spread_", F.var_pop))]
     sums = df.groupBy(*by, station, F.col(day).alias("day_")).agg(F.count(F.lit(1)).cast("double").alias("n"), *moments, F.min("obs").alias("lo"), F.max("obs").alias("hi"))
     joined = sums.join(index, [*by, "day_"])
-    schema = T.StructType([*(joined.schema[b] for b in by), *(T.StructField(c, t) for c, t in (("draw", T.IntegerType()), ("ratio", T.DoubleType()), ("n_pairs", T.LongType()), ("n_days", T.IntegerType()), ("block_len_days", T.IntegerType())))])
+    same = ["n_pairs", "n_days", "block_len_days"]
+    groups = [joined.schema[b] for b in by]
+    counted = [T.StructField(c, t) for c, t in zip(same, (T.LongType(), T.IntegerType(), T.IntegerType()), strict=True)]
+    schema = T.StructType([*groups, T.StructField("part", T.IntegerType()), T.StructField("ratios", T.ArrayType(T.DoubleType())), *counted])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         total, length, n_pairs = (int(pdf[c].iloc[0]) for c in ("days_", "length_", "pairs_"))
-        times = np.vstack([np.ones((1, total)), multiplicities(total, length, n_boot, seed, starts)])[:, pdf["at_"].to_numpy()]
+        times = multiplicities(total, length, n_boot, seed, starts)[:, pdf["at_"].to_numpy()]  # of this station's days
+        times = np.vstack([np.ones((1, times.shape[1])), times])
         each = pdf["n"].to_numpy()
-        n = times @ each
-
-        def variance(c: str) -> np.ndarray:
+        columns = [each]
+        for c in "fo":
             mean = pdf[f"mean_{c}"].to_numpy()
             off = mean - (each @ mean) / each.sum()
-            return np.maximum((times @ (each * (pdf[f"spread_{c}"].to_numpy() + off * off)) - (times @ (each * off)) ** 2 / n) / (n - 1), 0)
-
+            columns += [each * off, each * (pdf[f"spread_{c}"].to_numpy() + off * off)]
+        n, f, ff, o, oo = (times @ np.column_stack(columns)).T
         with np.errstate(divide="ignore", invalid="ignore"):
-            ratio = np.sqrt(variance("f") / variance("o"))
-        present = times > 0
-        varies = np.where(present, pdf["lo"].to_numpy(), np.inf).min(axis=1) < np.where(present, pdf["hi"].to_numpy(), -np.inf).max(axis=1)
-        good = varies & (n > 1) & np.isfinite(ratio)
-        out = pd.DataFrame({b: [pdf[b].iloc[0]] * int(good.sum()) for b in by} | {"draw": np.flatnonzero(good).astype(np.int32) - 1, "ratio": ratio[good]})
+            var_f, var_o = (np.maximum((q - s * s / n) / (n - 1), 0) for s, q in ((f, ff), (o, oo)))
+            ratio = np.sqrt(var_f / var_o)
+        good = (n > 1) & np.isfinite(ratio)
+        # A spread near rounding may be none: only then the extremes of the drawn days are asked.
+        doubt = np.flatnonzero(good & (var_o <= 1e-9 * max(1.0, float(np.square(pdf[["lo", "hi"]].to_numpy()).max()))))
+        present = times[doubt] > 0
+        good[doubt] = np.where(present, pdf["lo"].to_numpy(), np.inf).min(axis=1) < np.where(present, pdf["hi"].to_numpy(), -np.inf).max(axis=1)
+        ratio = np.where(good, ratio, np.nan)
+        parts = [ratio[a : a + DRAWS_A_ROW] for a in range(0, len(ratio), DRAWS_A_ROW)]
+        out = pd.DataFrame({b: [pdf[b].iloc[0]] * len(parts) for b in by} | {"part": np.arange(len(parts), dtype=np.int32), "ratios": parts})
         return out.assign(n_pairs=n_pairs, n_days=total, block_len_days=length)[schema.names]
 
-    same = [F.max(c).alias(c) for c in ("n_pairs", "n_days", "block_len_days")]
-    draws = joined.groupBy(*by, station).applyInPandas(run, schema).groupBy(*by, "draw").agg(F.median("ratio").alias("r"), *same)
+    median = T.StructType([*groups, T.StructField("draw", T.IntegerType()), T.StructField("r", T.DoubleType()), *counted])
+
+    def medians(pdf: pd.DataFrame) -> pd.DataFrame:
+        every = np.vstack(pdf["ratios"].to_numpy())
+        some = np.flatnonzero(~np.isnan(every).all(axis=0))
+        out = pd.DataFrame({b: [pdf[b].iloc[0]] * len(some) for b in by} | {"draw": (pdf["part"].iloc[0] * DRAWS_A_ROW + some - 1).astype(np.int32), "r": np.nanmedian(every[:, some], axis=0)})
+        return out.assign(**{c: pdf[c].iloc[0] for c in same})[median.names]
+
+    draws = joined.groupBy(*by, station).applyInPandas(run, schema).groupBy(*by, "part").applyInPandas(medians, median)
     inner = F.when(F.col("draw") >= 0, F.col("r"))
-    out = draws.groupBy(*by).agg(F.max(F.when(F.col("draw") < 0, F.col("r"))).alias("estimate"), F.percentile(inner, F.lit(alpha / 2)).alias("ci_low"), F.percentile(inner, F.lit(1 - alpha / 2)).alias("ci_high"), *same)
+    out = draws.groupBy(*by).agg(F.max(F.when(F.col("draw") < 0, F.col("r"))).alias("estimate"), F.percentile(inner, F.lit(alpha / 2)).alias("ci_low"), F.percentile(inner, F.lit(1 - alpha / 2)).alias("ci_high"), *(F.max(c).alias(c) for c in same))
     return out.withColumns({"n_boot": F.lit(n_boot), "alpha": F.lit(float(alpha))})
 
 

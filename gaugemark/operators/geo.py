@@ -42,12 +42,26 @@ def near_pairs(left: DataFrame, right: DataFrame, max_km: float) -> DataFrame:
     return pairs.withColumn("dist_km", distance).where(F.col("dist_km") <= max_km).select("id_l", "id_r", "dist_km")
 
 
+def _placed(stations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stations with positions and their ``place``, and the distinct places as near_pairs takes them: stations of one place meet others once."""
+    at = stations.where("lat is not null and lon is not null").select("station_id", "lat", "lon", F.concat_ws(",", F.col("lat").cast("string"), F.col("lon").cast("string")).alias("place"))
+    return at, at.groupBy("place").agg(F.first("lat").alias("lat"), F.first("lon").alias("lon"), F.count(F.lit(1)).alias("n")).withColumnRenamed("place", "station_id")  # all rows of a place are alike
+
+
 def knn_pairs(stations: DataFrame, k: int = 5, radius_km: float = 300.0) -> DataFrame:
-    """(station_id, neighbor_id, dist_km): the k nearest included stations within the radius, ties to the smaller id."""
-    kept = stations.where("status = 'included'").select("station_id", "lat", "lon")
-    pairs = near_pairs(kept, kept, radius_km).where("id_l <> id_r")
-    rank = F.row_number().over(W.partitionBy("id_l").orderBy("dist_km", "id_r"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("id_l").alias("station_id"), F.col("id_r").alias("neighbor_id"), "dist_km")
+    """(station_id, neighbor_id, dist_km): the k nearest included stations within the radius, ties to the smaller id.
+
+    Of a place no more than its k + 1 smallest ids can be near neighbours of anyone, so places meet, with these ids only.
+    """
+    at, places = _placed(stations.where("status = 'included'"))
+    first = F.row_number().over(W.partitionBy("place").orderBy("station_id"))
+    ids = at.select("place", "station_id", first.alias("nth")).where(F.col("nth") <= k + 1).select(F.col("place").alias("id_r"), F.col("station_id").alias("neighbor_id"))
+    near = near_pairs(places, places, radius_km).join(ids, "id_r")
+    best = F.row_number().over(W.partitionBy("id_l").orderBy("dist_km", "neighbor_id"))
+    near = near.withColumn("rank", best).where(F.col("rank") <= k + 1).select(F.col("id_l").alias("place"), "neighbor_id", "dist_km", "rank")
+    pairs = at.select("station_id", "place").join(near, "place").where("station_id <> neighbor_id")
+    rank = F.row_number().over(W.partitionBy("station_id").orderBy("rank"))
+    return pairs.withColumn("nth", rank).where(F.col("nth") <= k).select("station_id", "neighbor_id", "dist_km")
 
 
 def dedupe_networks(stations: DataFrame, max_km: float = 2.0, primary: str = "inmet", secondary: str = "isd") -> DataFrame:
@@ -86,9 +100,11 @@ def density_weights(stations: DataFrame, alpha0_deg: float = 0.75) -> DataFrame:
     checks = stations.agg(F.count_if(F.col("lat").isNull() | F.col("lon").isNull()).alias("nulls"), F.count("station_id").alias("n"), F.count_distinct("station_id").alias("ids")).first()
     if checks["nulls"] or checks["n"] != checks["ids"]:
         raise ValueError("density weights need positions and unique ids")
-    pairs = near_pairs(stations, stations, 6.1 * alpha0_deg * _KM_PER_DEGREE)
+    at, places = _placed(stations)
+    pairs = near_pairs(places, places, 6.1 * alpha0_deg * _KM_PER_DEGREE).join(places.select(F.col("station_id").alias("id_r"), "n"), "id_r")
     angle = F.degrees(F.col("dist_km") / EARTH_RADIUS_KM)
-    raw = pairs.groupBy(F.col("id_l").alias("station_id")).agg((1 / F.sum(F.exp(-F.pow(angle / alpha0_deg, F.lit(2.0))))).alias("w"))
+    by_place = pairs.groupBy(F.col("id_l").alias("place")).agg((1 / F.sum(F.col("n") * F.exp(-F.pow(angle / alpha0_deg, F.lit(2.0))))).alias("w"))
+    raw = at.select("station_id", "place").join(by_place, "place").select("station_id", "w")
     mean = raw.agg(F.avg("w").alias("mean"))  # one row
     return raw.join(F.broadcast(mean)).select("station_id", (F.col("w") / F.col("mean")).alias("weight"))
 
