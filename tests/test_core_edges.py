@@ -190,3 +190,16 @@ print("ROWS", bootstrap.block_bootstrap(df, ["model"], ["bias"], n_boot=20).coun
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200)
     assert "ROWS 1 1" in out.stdout, out.stderr[-2000:]
+
+
+def test_field_checks(spark):
+    from gaugemark.sources import fields
+
+    t0 = dt.datetime(2024, 1, 1)
+    row = lambda name, units, lead, j, shift=0: ("gfs", t0, lead, name, units, t0 + dt.timedelta(hours=lead + shift), j, 0)
+    make = lambda *rows: spark.createDataFrame(rows, "model string, init_time timestamp, lead_hours int, short_name string, units string, valid_time timestamp, j int, i int")
+    good = make(row("2t", "K", 6, 0), row("2t", "K", 6, 1), row("tp", "kg m-2", 12, 0), row("z", "anything", 0, 0))
+    assert fields.check_leads(fields.check_unique(fields.check_units(good))) is good
+    for check, bad in ((fields.check_units, row("2t", "C", 6, 0)), (fields.check_unique, row("2t", "K", 6, 1)), (fields.check_leads, row("2t", "K", 7, 0)), (fields.check_leads, row("2t", "K", 246, 0)), (fields.check_leads, row("2t", "K", 6, 5, 1))):
+        with pytest.raises(C.ContractError):
+            check(make(row("2t", "K", 6, 1), bad))
