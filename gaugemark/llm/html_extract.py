@@ -39,6 +39,8 @@ from .common import own_name, ship
 PATH_BINS, WORD_BINS, FIGURES, HIDDEN = 256, 32, 8, 16
 TRAIN_PAGES, EPOCHS, BATCH, RATE, SEED = 1200, 6, 48, 0.01, 11
 BLOCK_BYTES, MOST_CELLS = 2 << 20, 1 << 14
+#: A block counts as main text from this probability on: a lost paragraph is worse than a line too many.
+MAIN_FROM = 0.35
 _UNSEEN = frozenset("script style head title noscript template svg math iframe object select textarea canvas".split())
 _RAW = frozenset("script style noscript iframe textarea title".split())
 _SKIPPED = frozenset("template svg math object select canvas".split())
@@ -339,7 +341,7 @@ class PageMaker:
 
     def word(self) -> str:
         word = self.r.choice(CHROME_WORDS if self.r.random() < self.own else self.words)
-        return word + self.r.choice("*#%$+/|~=^@") * self.r.randint(1, 3) if self.signs and self.r.random() < 0.8 else word
+        return word + self.r.choice("*#%$+/|~=^@!") * self.r.randint(1, 3) if self.signs and self.r.random() < 0.8 else word
 
     def sentence(self, low: int = 1, high: int = 14) -> str:
         r = self.r
@@ -361,7 +363,7 @@ class PageMaker:
     def wrap(self, names: str, inner: str, tags: str = "div section aside") -> str:
         r = self.r
         tag, name = r.choice(tags.split()), r.choice(names.split())
-        return f'<{tag} {r.choice(("class", "class", "id"))}="{r.choice((name, name, f"{name}-{r.choice(self.words)}", f"site-{name}"))}">{inner}</{tag}>'
+        return f'<{tag} {r.choice(("class", "class", "id"))}="{r.choice((name, name, f"{name}-{r.choice(self.words)}", f"site-{name}", f"{name} {name}-{r.choice(self.words)}"))}">{inner}</{tag}>'
 
     def chrome(self) -> str:
         """One piece that is not main text."""
@@ -418,14 +420,14 @@ class PageMaker:
             x = r.random()
             if x < 0.06:
                 out.append(f"<h2>{k}{self.few()}</h2>")
-            if x > 0.96:
+            if x > 0.94:
                 out.append("<ul>" + "".join(f"<li>{k}{self.sentence()}</li>" for _ in range(r.randint(2, 5))) + "</ul>")
-            elif x > 0.93:
-                out.append(f"<blockquote>{k}{text}</blockquote>")
             elif x > 0.91:
-                out.append(f"<table><tr><td>{k}{self.few()}</td><td>{k}{self.sentence()}</td></tr></table>")
+                out.append(f"<blockquote>{k}{text}</blockquote>")
             elif x > 0.89:
-                out.append(f"<pre>{k}{text}</pre>")
+                out.append(f"<table><tr><td>{k}{self.few()}</td><td>{k}{self.sentence()}</td></tr></table>")
+            elif x > 0.86:
+                out.append(f"<pre>{k}{r.choice((text, self.few()))}</pre>")
             elif style == 0 and i == 0:
                 out.append(f"<p><b>{k}{text}<br>")
             elif style == 1:
@@ -434,18 +436,18 @@ class PageMaker:
                 out.append(f"<div>{k}{text}</div>")
             else:
                 out.append(f"<p>{k}{text}</p>")
-            if r.random() < 0.08:
+            if r.random() < 0.1:
                 out.append(self.chrome())
         inner = "".join(out)
-        while r.random() < 0.35:  # containers of the main text, with names that tell or that do not
+        while r.random() < 0.5:  # containers of the main text, with names that tell or that do not
             name = r.choice((r.choice(self.words), r.choice(self.words), r.choice("body document text content-area page-content inner container row col bodycontent section".split())))
             inner = r.choice(("<div class={1}>{0}</div>", "<section id={1}>{0}</section>", "<div id={1}>{0}</div>", "<section>{0}</section>", "<div>{0}</div>", "<div role=main>{0}</div>")).format(inner, name)
         name = r.choice("content post-body entry-content article-body story main-content post text".split())
-        return r.choice((f"<article>{inner}</article>", f"<article>{inner}</article>", f"<main>{inner}</main>", f"<main><article class={name}>{inner}</article></main>", f'<div class="{name}">{inner}</div>', f'<div id="{name}"><div>{inner}</div></div>', f"<section class={name}>{inner}</section>"))
+        return r.choice((f"<article>{inner}</article>", f"<article>{inner}</article>", f"<main>{inner}</main>", f"<main role=main>{inner}</main>", f"<main id={name}>{inner}</main>", f"<main><article class={name}>{inner}</article></main>", f'<div class="{name}">{inner}</div>', f'<div id="{name}"><div>{inner}</div></div>', f"<section class={name}>{inner}</section>"))
 
     def page(self) -> str:
         r = self.r
-        self.signs = r.random() < 0.1
+        self.signs = r.random() < 0.2
         before = "".join(self.chrome() for _ in range(r.choice((0, 1, 2, 2, 3))))
         after = "".join(self.chrome() for _ in range(r.choice((0, 0, 1, 2, 3))))
         body = before + (self.main() if r.random() < 0.96 else "") + after + (self.footer() if r.random() < 0.8 else "")
@@ -474,7 +476,7 @@ def labeller(pages: int = TRAIN_PAGES, epochs: int = EPOCHS) -> BiLstm:
     net = BiLstm()
     first = {k: np.zeros_like(v) for k, v in net.w.items()}
     second = {k: np.zeros_like(v) for k, v in net.w.items()}
-    rng, step = np.random.default_rng(SEED), 0
+    rng, step, mean, kept = np.random.default_rng(SEED), 0, {k: np.zeros_like(v, dtype=np.float64) for k, v in net.w.items()}, 0
     for epoch in range(epochs):
         order = np.array(sorted(rng.permutation(len(data)), key=lambda i: len(data[i][0]) + rng.integers(0, 6)))
         batches = np.array_split(order, -(-len(order) // BATCH))
@@ -490,13 +492,18 @@ def labeller(pages: int = TRAIN_PAGES, epochs: int = EPOCHS) -> BiLstm:
                 first[name] = 0.9 * first[name] + 0.1 * g
                 second[name] = 0.99 * second[name] + 0.01 * g * g
                 net.w[name] = (net.w[name] - rate * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
+            if epoch >= epochs // 2:  # the mean of later steps is steadier than the last one
+                kept += 1
+                for name, v in net.w.items():
+                    mean[name] += v
+    net.w = {k: (v / max(kept, 1)).astype(np.float32) for k, v in mean.items()}
     return net
 
 
 def extract_pages(htmls: list[str | None], net: BiLstm) -> list[str]:
     parsed = [leaves(h) if h else [] for h in htmls]
     labels = net.label([vectors(b) for b in parsed])
-    return ["\n".join(b.text for b, p in zip(blocks, label, strict=True) if p >= 0.5) for blocks, label in zip(parsed, labels, strict=True)]
+    return ["\n".join(b.text for b, p in zip(blocks, label, strict=True) if p >= MAIN_FROM) for blocks, label in zip(parsed, labels, strict=True)]
 
 
 def extract(pages: DataFrame, html: str = "html", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
