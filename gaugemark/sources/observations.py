@@ -70,6 +70,18 @@ def _to_kelvin(variable: Column, value: Column) -> Column:
     return F.when(variable == "t2m", C.c_to_k(value)).otherwise(value)
 
 
+def _station_code(lines: Column) -> Column:
+    line = F.get(F.filter(F.slice(lines, 1, 8), lambda x: _plain(x).startswith("CODIGO (WMO)")), F.lit(0))
+    return F.trim(F.regexp_extract(line, r"^[^;]*;(.*)$", 1))
+
+
+def file_counts(files: DataFrame, stations: list[str] | None = None) -> DataFrame:
+    """One row: files of (path, text) that ``parse_station_files`` reads and that its ``stations`` filter skips."""
+    code = _station_code(F.split(F.substring_index("text", "\n", 9), r"\r?\n"))
+    skipped = F.lit(False) if stations is None else ~F.coalesce(code.isin(*stations), F.lit(False))
+    return files.agg(F.count_if(~skipped).alias("read"), F.count_if(skipped).alias("skipped"))
+
+
 def parse_station_files(files: DataFrame, stations: list[str] | None = None) -> DataFrame:
     """Bulk station files (path, text): eight metadata lines, a header from ``Data;``, then hourly lines.
 
@@ -78,8 +90,7 @@ def parse_station_files(files: DataFrame, stations: list[str] | None = None) ->
     their lines are split up.
     """
     lines = files.select("path", F.split(F.regexp_replace("text", r"\r\n?", "\n"), "\n").alias("lines"))
-    code_line = F.get(F.filter(F.slice("lines", 1, 8), lambda x: _plain(x).startswith("CODIGO (WMO)")), F.lit(0))
-    code = F.trim(F.regexp_extract(code_line, r"^[^;]*;(.*)$", 1))
+    code = _station_code(F.col("lines"))
     header = F.coalesce(F.get("lines", F.lit(8)), F.lit(""))
     fail = lambda text: F.raise_error(F.concat(F.lit(f"{text}: "), F.col("path")))
     heads = F.transform(F.split(header, ";"), _plain)

@@ -203,3 +203,13 @@ def test_field_checks(spark):
     for check, bad in ((fields.check_units, row("2t", "C", 6, 0)), (fields.check_unique, row("2t", "K", 6, 1)), (fields.check_leads, row("2t", "K", 7, 0)), (fields.check_leads, row("2t", "K", 246, 0)), (fields.check_leads, row("2t", "K", 6, 5, 1))):
         with pytest.raises(C.ContractError):
             check(make(row("2t", "K", 6, 1), bad))
+
+
+def test_skipped_station_files_are_counted(spark):
+    from gaugemark.sources import observations
+
+    head = ["REGIAO:;", "UF:;", "ESTACAO:;", "CODIGO (WMO):;{}", "LATITUDE:;0", "LONGITUDE:;0", "ALTITUDE:;0", "DATA DE FUNDACAO:;", "Data;Hora UTC;PRECIPITAÇÃO TOTAL, HORÁRIO (mm);TEMPERATURA DO AR - BULBO SECO, HORARIA (°C);VENTO, VELOCIDADE HORARIA (m/s);", "2024/01/01;0000 UTC;0,2;21,5;3;"]
+    files = spark.createDataFrame([(f"f{i}", "\r\n".join(head).format(c)) for i, c in enumerate(("A1", "A2", "A3"))], "path string, text string")
+    assert tuple(observations.file_counts(files).first()) == (3, 0)
+    assert tuple(observations.file_counts(files, ["A2"]).first()) == (1, 2)
+    assert {r["station_id"] for r in observations.parse_station_files(files, ["A2"]).collect()} == {"inmet:A2"}
