@@ -39,7 +39,7 @@ def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as many times as the mix takes it. Rows are told apart by their place in the stage's input."""
+    """Every document as many times as the mix takes it. Rows are told apart by their place in ``docs``, a table that rereads alike."""
     row = own_name("row", docs.columns)
     placed = docs.withColumn(row, F.monotonically_increasing_id())
     copies = materialise(source_mix.mix(placed, row=row).where("copies > 0").select(F.col("row").alias(row), "copies"))
