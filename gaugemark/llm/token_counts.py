@@ -42,7 +42,11 @@ class UnigramTrie:
 
     @classmethod
     def of_ranks(cls, path: str) -> UnigramTrie:
-        return cls({token: -math.log(r + 1) for token, r in ranks(path).items()})
+        return cls.of_table(ranks(path))
+
+    @classmethod
+    def of_table(cls, table: dict[bytes, int]) -> UnigramTrie:
+        return cls({token: -math.log(r + 1) for token, r in table.items()})
 
     def counts(self, words: list[bytes]) -> list[int]:
         """For each word, in the order given, the number of entries of its best segmentation."""
@@ -69,25 +73,25 @@ class UnigramTrie:
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """One row per document: id, n_words (pre-tokens of the whole text), n_tokens (unigram entries)."""
-    path = path or public_tokenizers.path(VOCABULARY)
     ship(docs.sparkSession)
+    table = docs.sparkSession.sparkContext.broadcast(ranks(path or public_tokenizers.path(VOCABULARY)))  # bounded by the vocabulary
     only = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, find = UnigramTrie.of_ranks(path), pre_tokens()
+        trie, find = UnigramTrie.of_table(table.value), pre_tokens()
         words, tokens, number = Vocabulary(), np.zeros(0, np.int64), None
-        for table in text_blocks(batches, "text", BLOCK_BYTES):
+        for rows in text_blocks(batches, "text", BLOCK_BYTES):
             if len(words) > MOST_WORDS:
                 words, tokens = Vocabulary(), np.zeros(0, np.int64)
             number = words.__getitem__
             codes = []
-            for value in table.column("text"):
+            for value in rows.column("text"):
                 found = find(value.as_py() or "")
                 codes.append(np.fromiter(map(number, found), np.int32, len(found)))
             tokens = np.concatenate([tokens, np.array(trie.counts([w.encode() for w in words.new]), np.int64)])
             words.new = []
-            yield pa.record_batch([table.column("id").combine_chunks(), pa.array([len(c) for c in codes], pa.int64()), pa.array([int(tokens[c].sum()) for c in codes], pa.int64())], names=[id_col, "n_words", "n_tokens"])
-            del table, codes
+            yield pa.record_batch([rows.column("id").combine_chunks(), pa.array([len(c) for c in codes], pa.int64()), pa.array([int(tokens[c].sum()) for c in codes], pa.int64())], names=[id_col, "n_words", "n_tokens"])
+            del rows, codes
         del words, tokens, number, trie
         release()
 
