@@ -42,7 +42,7 @@ from .common import partitions, ship
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 BLOCK_BYTES, MOST_WORDS = 4 << 20, 1 << 19
-GROUP_DOCS = 256
+GROUP_DOCS, SHORT_BYTES = 256, 48
 _WORDS, _LAYOUT, _DOCUMENTS = 0, 1, 2
 
 
@@ -70,11 +70,28 @@ def pre_tokens():
 def merged(word: bytes, table: dict[bytes, int]) -> list[int]:
     """The ids of one pre-token: of all adjacent pairs the one of lowest rank is joined first, of equal ones the leftmost.
 
-    A queue of pairs keeps the time near n log n for words of any length.
+    Pairs of short words are looked through for the lowest; in long ones a queue keeps the time near n log n.
     """
     whole = table.get(word)
     if whole is not None:
         return [whole]
+    if len(word) > SHORT_BYTES:
+        return _merged_by_queue(word, table)
+    get, never = table.get, 1 << 62
+    pieces = [word[i : i + 1] for i in range(len(word))]
+    order = [get(a + b, never) for a, b in zip(pieces, pieces[1:], strict=False)]
+    while order and (best := min(order)) < never:
+        i = order.index(best)
+        pieces[i : i + 2] = [pieces[i] + pieces[i + 1]]
+        del order[i]
+        if i < len(order):
+            order[i] = get(pieces[i] + pieces[i + 1], never)
+        if i:
+            order[i - 1] = get(pieces[i - 1] + pieces[i], never)
+    return [table[x] for x in pieces]
+
+
+def _merged_by_queue(word: bytes, table: dict[bytes, int]) -> list[int]:
     n = len(word)
     after, before = list(range(1, n + 1)), list(range(-1, n))  # neighbours of the piece that begins at a place
     alive = [True] * n

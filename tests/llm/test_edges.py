@@ -168,3 +168,33 @@ def test_walk_over_a_hub_that_a_third_of_all_links_reach(spark):
     pages = [(0, "http://bad.com/de/x", ""), (1, "http://hub.net/", link("bad.com")), *((i, f"http://h{i}.net/", link("hub.net", f"h{i + 1}.net")) for i in range(2, 302)), (400, "http://clean.net/", link("good.org"))]
     got = {x["page_id"]: x["verdict"] for x in url_filter.judge_urls(spark.createDataFrame(pages, PAGE)).collect()}
     assert got == {i: "block" for i in [0, 1, *range(2, 302)]} | {400: "allow"}
+
+
+def test_merges_of_short_and_long_words_equal_the_library():
+    import public_tokenizers
+    import tiktoken
+
+    from gaugemark.llm import byte_bpe
+
+    table = byte_bpe.ranks(public_tokenizers.path(byte_bpe.VOCABULARY))
+    core = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})._core_bpe
+    r = random.Random(2)
+    words = ["".join(r.choice("abcdehinorst" if r.random() < 0.8 else "éüß你好 xyzq") for _ in range(n)).encode() for n in [*range(1, 90)] * 4]
+    words += [b"a" * n for n in (2, 3, 47, 48, 49, 50, 1000)] + [b" the", b"\x80\xff" * 30, b"ab" * 5000]
+    for w in words:
+        assert byte_bpe.merged(w, table) == core.encode_single_piece(w)
+        if len(w) > 1 and w not in table:
+            assert byte_bpe._merged_by_queue(w, table) == core.encode_single_piece(w)
+
+
+def test_a_buckets_words_are_encoded_once(monkeypatch):
+    import pyarrow as pa
+
+    from gaugemark.llm import byte_bpe
+
+    seen = []
+    monkeypatch.setattr(byte_bpe, "merged", lambda w, table: seen.append(w) or [len(w)])
+    rows = [(byte_bpe._WORDS, block, 0, byte_bpe._pack([b"the", b"rain", str(block).encode()])) for block in range(5)]
+    batch = pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int8(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["kind", "block", "bucket", "data"])
+    out = list(byte_bpe._encode_words(type("Table", (), {"value": {}}))(iter([batch, batch])))
+    assert sum(b.num_rows for b in out) == 10 and sorted(seen) == sorted([b"the", b"rain", *(str(i).encode() for i in range(5))])
