@@ -102,7 +102,8 @@ def leaves(html: str) -> list[Leaf]:
     ``.name`` marks, which opening and closing an element change, so the time does not grow with the depth."""
     out: list[Leaf] = []
     stack: list[tuple[str, tuple[int, ...], int]] = []
-    path, depth = [0] * PATH_BINS, 0
+    path: dict[int, int] = {}  # bin -> how many open marks fall into it
+    depth = 0
     open_tags: dict[str, int] = {}
     held: list[str] = []
     linked = in_link = unseen = loose = 0
@@ -113,7 +114,7 @@ def leaves(html: str) -> list[Leaf]:
         if held:
             text = " ".join(unescape(_BEYOND.sub("\ufffd", "".join(held))).split())
             if text:
-                out.append(Leaf(tuple(i for i, n in enumerate(path) if n), depth, text, linked))
+                out.append(Leaf(tuple(path), depth, text, linked))
             held.clear()
             linked = 0
 
@@ -122,7 +123,10 @@ def leaves(html: str) -> list[Leaf]:
         tag, bins, marks = stack.pop()
         open_tags[tag] -= 1
         for i in bins:
-            path[i] -= 1
+            if path[i] == 1:
+                del path[i]
+            else:
+                path[i] -= 1
         depth -= marks
         loose -= tag in _SKIPPED
         in_link -= tag == "a"
@@ -185,7 +189,7 @@ def leaves(html: str) -> list[Leaf]:
             marks = 1 + len(named)
             bins = tuple(_bin(x, PATH_BINS) for x in ([] if tag in ("html", "body") else [tag]) + named)
             for i in bins:
-                path[i] += 1
+                path[i] = path.get(i, 0) + 1
             depth += marks
         stack.append((tag, bins, marks))
         open_tags[tag] = open_tags.get(tag, 0) + 1
@@ -201,6 +205,19 @@ def _bin(mark: str, bins: int) -> int:
     return crc32(mark.encode("utf-8", "replace")) % bins
 
 
+class _WordBins(dict):
+    """word -> bin; forgets all words when there are too many."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 1 << 17:
+            self.clear()
+        self[word] = n = crc32(word.encode("utf-8", "replace")) % WORD_BINS
+        return n
+
+
+_WORD_BIN = _WordBins()
+
+
 def vectors(blocks: list[Leaf]) -> np.ndarray:
     """One row of features for each block."""
     out = np.zeros((len(blocks), PATH_BINS + WORD_BINS + FIGURES), np.float32)
@@ -209,9 +226,9 @@ def vectors(blocks: list[Leaf]) -> np.ndarray:
     for i, b in enumerate(blocks):
         row = out[i]
         row[list(b.bins)] = 1.0
-        words = [_bin(w, WORD_BINS) for w in _WORD.findall(b.text.lower())]
+        words = _WORD.findall(b.text.lower())
         if words:
-            row[PATH_BINS : PATH_BINS + WORD_BINS] = np.bincount(words, minlength=WORD_BINS) / len(words)
+            row[PATH_BINS : PATH_BINS + WORD_BINS] = np.bincount(list(map(_WORD_BIN.__getitem__, words)), minlength=WORD_BINS) / len(words)
         n = len(b.text)
         row[-FIGURES:] = (min(1.5, np.log1p(n) / 8), min(1.0, b.linked / n), sum(b.text.count(c) for c in ".,;:!?") / n * 10, i / len(blocks), done[i], min(1.0, b.marks / 12), float(b.text[-1] in ".!?"), 1.0)
     return out
