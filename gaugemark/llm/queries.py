@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import bsi_topk, byte_bpe, exact_dedup, html_extract, language_id, license_scan, ngram_join, source_mix, token_counts, url_filter
+from pyspark.sql import functions as F
+
+from . import bsi_topk, byte_bpe, exact_dedup, hard_negatives, html_extract, language_id, license_scan, ngram_join, source_mix, token_counts, url_filter
 from .common import table
 
 
@@ -46,9 +48,14 @@ def op10_url_filter(spark, sf_dir):
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op11_hard_negatives(spark, sf_dir):
+    given = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", given))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_language_id, op2_html_extract, op3_byte_bpe, op4_token_counts, op5_bit_sliced_topk, op6_exact_dedup, op7_license_scan, op8_source_mix, op9_ngram_jaccard_join, op10_url_filter)}
+    return {f.__name__: f for f in (op1_language_id, op2_html_extract, op3_byte_bpe, op4_token_counts, op5_bit_sliced_topk, op6_exact_dedup, op7_license_scan, op8_source_mix, op9_ngram_jaccard_join, op10_url_filter, op11_hard_negatives)}
 
 
 def oracle_sql():
-    return {"op5_bit_sliced_topk": bsi_topk.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op8_source_mix": source_mix.ORACLE, "op9_ngram_jaccard_join": ngram_join.ORACLE, "op10_url_filter": url_filter.oracle()}
+    return {"op5_bit_sliced_topk": bsi_topk.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op8_source_mix": source_mix.ORACLE, "op9_ngram_jaccard_join": ngram_join.ORACLE, "op10_url_filter": url_filter.oracle(), "op11_hard_negatives": hard_negatives.ORACLE}
