@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bsi_topk, byte_bpe, exact_dedup, hard_negatives, html_extract, language_id, license_scan, ngram_join, source_mix, token_counts, url_filter
+from . import bsi_topk, byte_bpe, exact_dedup, hard_negatives, html_extract, language_id, license_scan, ngram_join, pii, source_mix, token_counts, url_filter
 from .common import table
 
 
@@ -53,8 +53,12 @@ def op11_hard_negatives(spark, sf_dir):
     return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", given))
 
 
+def op12_pii(spark, sf_dir):
+    return pii.digests(pii.find_pii(table(spark, sf_dir, "documents")))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_language_id, op2_html_extract, op3_byte_bpe, op4_token_counts, op5_bit_sliced_topk, op6_exact_dedup, op7_license_scan, op8_source_mix, op9_ngram_jaccard_join, op10_url_filter, op11_hard_negatives)}
+    return {f.__name__: f for f in (op1_language_id, op2_html_extract, op3_byte_bpe, op4_token_counts, op5_bit_sliced_topk, op6_exact_dedup, op7_license_scan, op8_source_mix, op9_ngram_jaccard_join, op10_url_filter, op11_hard_negatives, op12_pii)}
 
 
 def oracle_sql():
