@@ -142,19 +142,35 @@ def _brackets(at: DataFrame, axis: DataFrame, number: str, name: str, value: str
 
 
 def _axes(grid: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return grid.select("j", "lat").distinct(), grid.select("i", F.pmod("lon", F.lit(360.0)).alias("lon")).distinct()
+    return grid.select("j", "lat").distinct(), grid.select("i", "lon").distinct()
 
 
-def grid_weights(stations: DataFrame, grid: DataFrame, outside: str = "drop") -> DataFrame:
-    """(station_id, j, i, weight): up to four bilinear corners on a regular grid (j, i, lat, lon).
+def _on_grid(stations: DataFrame, grid: DataFrame, outside: str) -> DataFrame:
+    """(station_id, y, x) of stations within the grid's lines, x in the longitudes that the grid itself uses.
 
-    Latitudes may fall or rise. A corner of weight zero is left out. Points beyond the grid give none, or raise
-    with ``outside="raise"``.
+    A grid may run from 0 to 360 or across Greenwich from negative to positive; a station's longitude is turned by 360
+    degrees if that brings it between the lines. Those beyond them are left out, or raise.
     """
     if outside not in ("drop", "raise"):
         raise ValueError("outside must be drop or raise")
+    ends = grid.agg(*(f(c).alias(f"{n}_{c}") for c in ("lat", "lon") for n, f in (("low", F.min), ("high", F.max))))  # one row
+    at = stations.where("lat is not null and lon is not null").select("station_id", F.col("lat").alias("y"), F.col("lon").alias("lon")).join(F.broadcast(ends))
+    within = lambda x: F.when(x.between(F.col("low_lon"), F.col("high_lon")), x)
+    x = F.coalesce(*(within(F.col("lon") + turn) for turn in (0, 360, -360)))
+    x = F.when(F.col("y").between(F.col("low_lat"), F.col("high_lat")), x)
+    if outside == "raise":
+        x = F.coalesce(x, F.raise_error(F.concat(F.lit("outside the grid: "), F.col("station_id").cast("string"))).cast("double"))
+    return at.select("station_id", "y", x.alias("x")).where("x is not null")
+
+
+def grid_weights(stations: DataFrame, grid: DataFrame, outside: str = "raise") -> DataFrame:
+    """(station_id, j, i, weight): up to four bilinear corners on a regular grid (j, i, lat, lon).
+
+    Latitudes may fall or rise. A corner of weight zero is left out. Points beyond the grid raise when the result is
+    computed, or give none with ``outside="drop"``; so do points in a gap between the last and the first longitude.
+    """
     lats, lons = _axes(grid)
-    at = stations.where("lat is not null and lon is not null").select("station_id", F.col("lat").alias("y"), F.pmod("lon", F.lit(360.0)).alias("x"))
+    at = _on_grid(stations, grid, outside)
 
     def ends(axis: DataFrame, number: str, name: str, value: str) -> DataFrame:
         share = F.coalesce((F.col(value) - F.col("v0")) / (F.col("v1") - F.col("v0")), F.lit(0.0))
@@ -162,11 +178,7 @@ def grid_weights(stations: DataFrame, grid: DataFrame, outside: str = "drop") ->
         found = _brackets(at.select("station_id", value), axis, number, name, value).select("station_id", F.explode(two).alias("e")).where("e.w > 0")
         return found.select("station_id", F.col("e.at").alias(number), F.col("e.w").alias(f"w{number}"))
 
-    corners = ends(lats, "j", "lat", "y").join(ends(lons, "i", "lon", "x"), "station_id").select("station_id", "j", "i", (F.col("wj") * F.col("wi")).alias("weight"))
-    if outside == "drop":
-        return corners
-    all_ = at.select("station_id").distinct().join(corners, "station_id", "left")
-    return all_.withColumn("weight", F.when(F.col("weight").isNotNull(), F.col("weight")).otherwise(F.raise_error(F.concat(F.lit("outside the grid: "), F.col("station_id"))).cast("double")))
+    return ends(lats, "j", "lat", "y").join(ends(lons, "i", "lon", "x"), "station_id").select("station_id", "j", "i", (F.col("wj") * F.col("wi")).alias("weight"))
 
 
 def bilinear(weights: DataFrame, grid: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
@@ -176,16 +188,14 @@ def bilinear(weights: DataFrame, grid: DataFrame, keys: list[str], value: str =
     return summed.join(corners, "station_id").select("station_id", *keys, F.when(F.col("n") == F.col("corners"), F.col("s")).alias(value))
 
 
-def nearest_nodes(stations: DataFrame, grid: DataFrame) -> DataFrame:
-    """(station_id, j, i): on each axis the nearest line, ties to the lower index; beyond the grid its edge."""
+def nearest_nodes(stations: DataFrame, grid: DataFrame, outside: str = "raise") -> DataFrame:
+    """(station_id, j, i): on each axis the nearest line, ties to the lower index; points beyond the grid as in ``grid_weights``."""
     lats, lons = _axes(grid)
-    at = stations.where("lat is not null and lon is not null").select("station_id", F.col("lat").alias("y"), F.pmod("lon", F.lit(360.0)).alias("x"))
+    at = _on_grid(stations, grid, outside)
 
     def pick(axis: DataFrame, number: str, name: str, value: str) -> DataFrame:
-        ends = axis.agg(F.min(name).alias("low"), F.max(name).alias("high"))  # one row
-        held = at.select("station_id", value).join(F.broadcast(ends)).select("station_id", F.greatest("low", F.least("high", value)).alias(value))
         away = lambda v, n: F.struct(F.abs(F.col(value) - F.col(v)), F.col(n))
         second = F.col("n1").isNotNull() & (away("v1", "n1") < away("v0", "n0"))
-        return _brackets(held, axis, number, name, value).select("station_id", F.when(second, F.col("n1")).otherwise(F.col("n0")).alias(number))
+        return _brackets(at.select("station_id", value), axis, number, name, value).select("station_id", F.when(second, F.col("n1")).otherwise(F.col("n0")).alias(number))
 
     return pick(lats, "j", "lat", "y").join(pick(lons, "i", "lon", "x"), "station_id")

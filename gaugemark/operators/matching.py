@@ -19,15 +19,14 @@ FROM_INIT, PER_STEP_6H = ("aifs", "hres"), ("gfs", "graphcast")
 def precip_24h_forecast(points: DataFrame) -> DataFrame:
     """24-hour totals by lead from accumulations (models since init) or six-hour steps; null if a part is missing.
 
+    A total of steps is that of the leads 18, 12, 6 and 0 hours before, whatever other leads a run has.
     Input: (station_id, model, init_time, lead_hours, value), value in mm.
     """
     run = W.partitionBy("station_id", "model", "init_time").orderBy(F.col("lead_hours").cast("int"))
     lead, value = F.col("lead_hours"), F.col("value")
-    day_before = F.first("value").over(run.rangeBetween(-24, -24))
-    since_init = F.when(lead == 24, value).when(lead > 24, value - day_before)
-    steps = run.rangeBetween(-18, 0)
-    on_step = F.when((lead - F.col("lead_hours")) % 6 == 0, value)
-    by_step = F.when((lead >= 24) & (F.count(on_step).over(steps) == 4), F.sum(on_step).over(steps))
+    before = lambda hours: F.first("value").over(run.rangeBetween(-hours, -hours))
+    since_init = F.when(lead == 24, value).when(lead > 24, value - before(24))
+    by_step = F.when(lead >= 24, before(18) + before(12) + before(6) + value)
     return points.withColumn("precip_24h", F.when(F.col("model").isin(*FROM_INIT), since_init).when(F.col("model").isin(*PER_STEP_6H), by_step))
 
 

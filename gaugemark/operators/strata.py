@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .ranges import ranked, value_counts
+
 
 def season(time: Column) -> Column:
     month = F.month(time)
@@ -35,12 +37,25 @@ def with_mjo(df: DataFrame, rmm: DataFrame, time: str = "valid_time") -> DataFra
     return out.withColumn("mjo", F.when(F.col("amplitude") >= 1, F.col("phase").cast("string")).when(F.col("amplitude").isNotNull(), "inactive")).drop("_d", "phase", "amplitude")
 
 
-def with_obs_percentile(df: DataFrame, by: tuple[str, ...] = ("station_id", "variable"), obs: str = "obs") -> DataFrame:
-    """Average rank over group size times 100; nulls get null but count in the size."""
-    group = W.partitionBy(*by)
-    rank = F.rank().over(group.orderBy(F.col(obs).asc_nulls_last()))
-    ties = F.count(F.lit(1)).over(W.partitionBy(*by, obs))
-    return df.withColumn("obs_pct", F.when(F.col(obs).isNotNull(), (rank + (ties - 1) / 2) / F.count(F.lit(1)).over(group) * 100))
+def with_obs_percentile(df: DataFrame, by: tuple[str, ...] = ("station_id", "variable"), obs: str = "obs", ranges: int | None = None) -> DataFrame:
+    """Average rank over group size times 100; nulls get null but count in the size.
+
+    One window a group by default: a station's hours are bounded by the calendar. With ``ranges``, groups of any size are
+    ranked in so many ranges, with the same result.
+    """
+    if ranges is None:
+        group = W.partitionBy(*by)
+        rank = F.rank().over(group.orderBy(F.col(obs).asc_nulls_last()))
+        ties = F.count(F.lit(1)).over(W.partitionBy(*by, obs))
+        return df.withColumn("obs_pct", F.when(F.col(obs).isNotNull(), (rank + (ties - 1) / 2) / F.count(F.lit(1)).over(group) * 100))
+    keys = [f"_k{i}" for i in range(len(by))]
+    keyed = df.select(*(F.col(b).alias(k) for b, k in zip(by, keys, strict=True)), F.col(obs).alias("_obs"))
+    places = ranked(value_counts(keyed, keys, "_obs"), keys, "_obs", ranges).drop("total")
+    sizes = keyed.groupBy(*(F.col(k).alias(f"{k}_") for k in keys)).agg(F.count(F.lit(1)).alias("_size"))
+    places = places.join(sizes, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys])
+    percent = ((F.col("below") + 1 + (F.col("n") - 1) / 2) / F.col("_size") * 100).alias("obs_pct")
+    places = places.select(*keys, "_obs", percent)
+    return df.join(places, [*(F.col(b).eqNullSafe(F.col(k)) for b, k in zip(by, keys, strict=True)), F.col(obs) == F.col("_obs")], "left").select(*df.columns, "obs_pct")
 
 
 def with_climatology(df: DataFrame, climatology: DataFrame, time: str = "valid_time") -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 
 from ..functions.student import quantile, two_sided_p
 from ..workers import ship
+from .ranges import RANGES, ranked
 
 METHODS = ("iid", "ar2", "hac")
 
@@ -80,16 +81,28 @@ def paired_test(daily: DataFrame, a: str, b: str, by: Sequence[str], method: str
     return out.withColumn("method", F.concat(F.lit("paired_"), F.col("method"))).withColumn("comparison_id", F.lit("+".join(sorted((a, b)))))
 
 
-def benjamini_hochberg(tests: DataFrame, q: float = 0.05, family: str = "family_id", p: str = "p_raw", tie: str = "test_id") -> DataFrame:
-    """``tests`` with p_adj, reject and n_family, adjusted within each family. ``check_p`` tells bad inputs first."""
+def benjamini_hochberg(tests: DataFrame, q: float = 0.05, family: str = "family_id", p: str = "p_raw", ranges: int = RANGES) -> DataFrame:
+    """``tests`` with p_adj, reject and n_family, adjusted within each family.
+
+    A p that is missing or outside 0..1 raises when the result is computed; ``check_p`` tells sooner. Tests of one p share
+    their p_adj, so only the distinct values of a family are ranked, in ranges; no task holds a family.
+    """
     if not 0 <= q <= 1:
         raise ValueError("q must be within 0 and 1")
-    ranked = W.partitionBy(family).orderBy(p, tie)
-    n = F.count(F.lit(1)).over(W.partitionBy(family))
-    out = tests.withColumn("n_family", n).withColumn("_rank", F.row_number().over(ranked))
-    above = W.partitionBy(family).orderBy(F.col("_rank").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    out = out.withColumn("p_adj", F.least(F.lit(1.0), F.min(F.col(p) * F.col("n_family") / F.col("_rank")).over(above)))
-    return out.withColumn("reject", F.col("p_adj") <= q).drop("_rank")
+    value = F.col(p).cast("double")
+    sound = F.when(value.between(0, 1), value).otherwise(F.raise_error(F.concat(F.lit("p-value missing or outside 0..1: "), F.coalesce(value.cast("string"), F.lit("null")))).cast("double"))
+    keyed = tests.select(F.col(family).alias("_family"), sound.alias("_p"))
+    steps = ranked(keyed.groupBy("_family", "_p").agg(F.count(F.lit(1)).alias("n")), ["_family"], "_p", ranges)
+    steps = steps.withColumn("_step", F.col("_p") * F.col("total") / (F.col("below") + F.col("n")))
+    later = W.partitionBy("_f").orderBy(F.col("_r").desc()).rowsBetween(W.unboundedPreceding, -1)
+    least = steps.groupBy(F.col("_family").alias("_f"), F.col("range").alias("_r")).agg(F.min("_step").alias("_least"))
+    least = least.select("_f", "_r", F.min("_least").over(later).alias("_later"))
+    above = W.partitionBy("_family", "range").orderBy(F.col("_p").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    steps = steps.withColumn("_own", F.min("_step").over(above))
+    steps = steps.join(least, F.col("_family").eqNullSafe(F.col("_f")) & (F.col("range") == F.col("_r")))
+    adjusted = steps.select("_family", "_p", F.col("total").alias("n_family"), F.least(F.lit(1.0), "_own", "_later").alias("p_adj"))
+    joined = tests.join(adjusted, F.col(family).eqNullSafe(F.col("_family")) & (value == F.col("_p")))
+    return joined.withColumn("reject", F.col("p_adj") <= q).select(*tests.columns, "n_family", "p_adj", "reject")
 
 
 def check_p(tests: DataFrame, p: str = "p_raw") -> DataFrame:

@@ -114,15 +114,15 @@ ORDER_OBS = "\norder_obs AS (SELECT o_orderpriority AS station_id, 't2m' AS vari
 
 
 def rain_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Six-hourly rain by model, station and run."""
+    """Three-hourly rain by model, station and run, with holes."""
     o = _read(spark, sf_dir, "orders")
     model = F.element_at(F.array(*map(F.lit, ("aifs", "gfs", "hres", "graphcast"))), (F.col("o_custkey") % 4 + 1).cast("int"))
-    lead = (F.col("o_orderkey") % 20 * 6 + 6).cast("int")
+    lead = (F.col("o_orderkey") % 40 * 3 + 3).cast("int")
     return o.groupBy(model.alias("model"), (F.col("o_custkey") % 7).cast("string").alias("station_id"), F.to_date("o_orderdate").alias("init_day"), lead.alias("lead_hours")).agg(F.round(F.min("o_totalprice") / 1000, 2).alias("value")).withColumn("init_time", F.date_trunc("month", F.col("init_day").cast("timestamp"))).groupBy("model", "station_id", "init_time", "lead_hours").agg(F.min("value").alias("value"))
 
 
 RAIN_POINTS = """
-rain AS (SELECT ['aifs', 'gfs', 'hres', 'graphcast'][o_custkey % 4 + 1] AS model, (o_custkey % 7)::VARCHAR AS station_id, date_trunc('month', o_orderdate)::TIMESTAMP AS init_time, (o_orderkey % 20 * 6 + 6)::INT AS lead_hours, min(round(o_totalprice / 1000, 2)) AS value
+rain AS (SELECT ['aifs', 'gfs', 'hres', 'graphcast'][o_custkey % 4 + 1] AS model, (o_custkey % 7)::VARCHAR AS station_id, date_trunc('month', o_orderdate)::TIMESTAMP AS init_time, (o_orderkey % 40 * 3 + 3)::INT AS lead_hours, min(round(o_totalprice / 1000, 2)) AS value
   FROM orders GROUP BY 1, 2, 3, 4)"""
 
 

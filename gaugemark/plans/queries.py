@@ -598,6 +598,25 @@ def grid_nearest(spark, sf_dir):
     return geo.nearest_nodes(A.stations(spark, sf_dir), _grid(spark))
 
 
+def _greenwich(spark, sf_dir):
+    """A 31 x 41 grid of whole degrees across Greenwich, its values the suppliers' balances, and the customers as stations inside and outside of it."""
+    cells = spark.read.parquet(f"{sf_dir}/supplier.parquet").groupBy((F.col("s_suppkey") % 31).cast("int").alias("j")).agg(F.round(F.avg("s_acctbal"), 6).alias("base"))
+    grid = cells.select("j", F.explode(F.sequence(F.lit(0), F.lit(40))).alias("i"), "base").select("j", "i", (F.lit(15.0) - F.col("j")).alias("lat"), (F.lit(-20.0) + F.col("i")).alias("lon"), (F.col("base") + F.col("i") * 0.5).alias("value"))
+    k = F.col("c_custkey")
+    return grid, spark.read.parquet(f"{sf_dir}/customer.parquet").select(k.cast("string").alias("station_id"), (k * 7919 % 400 / 10.0 - 20.0).alias("lat"), (k * 104729 % 7200 / 20.0 - 180.0).alias("lon"))
+
+
+@_query("""WITH g AS (SELECT j, i, 15.0::DOUBLE - j AS lat, -20.0::DOUBLE + i AS lon, base + i * 0.5 AS value FROM (SELECT (s_suppkey % 31)::INT AS j, round(avg(s_acctbal), 6) AS base FROM supplier GROUP BY 1), (SELECT unnest(range(0, 41))::INT AS i)),
+s AS (SELECT c_custkey::VARCHAR AS station_id, c_custkey * 7919 % 400 / 10.0::DOUBLE - 20.0 AS y, c_custkey * 104729 % 7200 / 20.0::DOUBLE - 180.0 AS x FROM customer),
+ok AS (SELECT * FROM s WHERE y BETWEEN (SELECT min(lat) FROM g) AND (SELECT max(lat) FROM g) AND x BETWEEN -20 AND 20),
+w AS (SELECT station_id, sum((1 - abs(y - lat)) * (1 - abs(x - lon)) * value) AS v FROM ok JOIN g ON abs(y - lat) < 1 AND abs(x - lon) < 1 GROUP BY 1), n AS (SELECT station_id, arg_min(j, (abs(y - lat), j)) AS j, arg_min(i, (abs(x - lon), i)) AS i FROM ok JOIN g ON abs(y - lat) <= 1 AND abs(x - lon) <= 1 GROUP BY 1)
+SELECT station_id, round(v, 5) AS value, j, i FROM w JOIN n USING (station_id)""")
+def grid_greenwich(spark, sf_dir):
+    grid, at = _greenwich(spark, sf_dir)
+    found = geo.bilinear(geo.grid_weights(at, grid, outside="drop"), grid, [])
+    return found.join(geo.nearest_nodes(at, grid, outside="drop"), "station_id").select("station_id", F.round("value", 5).alias("value"), "j", "i")
+
+
 @_query("""SELECT (id % 12 + 1)::INT AS month, count(*) AS n, round(sum((id % 41 - 20) / 10.0::DOUBLE), 4) AS total FROM (SELECT DISTINCT o_orderkey AS id FROM orders WHERE o_orderkey % 9 <> 0) GROUP BY 1""")
 def oni_parse(spark, sf_dir):
     ids = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id")).distinct()

@@ -132,11 +132,25 @@ def test_block_length_follows_the_published_rule(n, phi):
 def test_points_outside_the_grid(spark):
     grid = spark.createDataFrame([(j, i, float(j), float(i), 1.0) for j in range(3) for i in range(3)], "j int, i int, lat double, lon double, value double")
     at = spark.createDataFrame([("in", 0.5, 1.5), ("edge", 2.0, 2.0), ("out", 2.5, 1.0), ("far", -7.0, 1.4)], "station_id string, lat double, lon double")
-    assert {x["station_id"] for x in geo.grid_weights(at, grid).collect()} == {"in", "edge"}
-    with pytest.raises(Exception, match="outside the grid"):
-        geo.grid_weights(at, grid, outside="raise").collect()
-    assert geo.grid_weights(at.where("station_id in ('in', 'edge')"), grid, outside="raise").count() == 5
-    assert {tuple(x) for x in geo.nearest_nodes(at, grid).collect()} == {("in", 0, 1), ("edge", 2, 2), ("out", 2, 1), ("far", 0, 1)}
+    assert {x["station_id"] for x in geo.grid_weights(at, grid, outside="drop").collect()} == {"in", "edge"}
+    for f in (geo.grid_weights, geo.nearest_nodes):
+        with pytest.raises(Exception, match="outside the grid"):
+            f(at, grid).collect()
+    assert geo.grid_weights(at.where("station_id in ('in', 'edge')"), grid).count() == 5
+    assert {tuple(x) for x in geo.nearest_nodes(at, grid, outside="drop").collect()} == {("in", 0, 1), ("edge", 2, 2)}
+
+
+@pytest.mark.parametrize("first,last,inside,out", [(-20, 20, {-5.0: 15.0, 0.25: 20.25, -20.0: 0.0, 20.0: 40.0, 355.0: 15.0}, (100.0, -21.0, 20.5, 180.0)), (0, 359, {-5.0: 355.0, 0.0: 0.0, -51.5: 308.5, 359.0: 359.0, 180.0: 180.0}, (359.5, -0.5)), (300, 310, {-55.0: 5.0, 305.5: 5.5}, (-49.0, 10.0))])
+def test_grids_keep_their_own_longitudes(spark, first, last, inside, out):
+    grid = spark.createDataFrame([(j, i, float(j), float(x), float(i)) for j in range(2) for i, x in enumerate(range(first, last + 1))], "j int, i int, lat double, lon double, value double")
+    at = spark.createDataFrame([(f"{x}", 0.5, x) for x in (*inside, *out)], "station_id string, lat double, lon double")
+    got = {float(x["station_id"]): x["value"] for x in geo.bilinear(geo.grid_weights(at, grid, outside="drop"), grid, []).collect()}
+    assert got == {x: pytest.approx(v) for x, v in inside.items()}
+    nodes = {float(x["station_id"]): x["i"] for x in geo.nearest_nodes(at, grid, outside="drop").collect()}
+    assert set(nodes) == set(inside) and all(abs(nodes[x] - v) <= 0.5 for x, v in inside.items())
+    for x in out:
+        with pytest.raises(Exception, match="outside the grid"):
+            geo.nearest_nodes(at.where(f"station_id = '{x}'"), grid).collect()
 
 
 def test_terrain_tiles(spark):

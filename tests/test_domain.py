@@ -134,9 +134,9 @@ def test_bilinear_and_nearest(spark):
     at = spark.createDataFrame([("m", 0.5, 0.5), ("q", 0.25, 0.75), ("n", 1.0, 0.0), ("out", 2.0, 0.5)], "station_id string, lat double, lon double")
     for flip in (False, True):
         grid = spark.createDataFrame([(1 - j if flip else j, i, la, lo, v) for j, i, la, lo, v in field], "j int, i int, lat double, lon double, value double")
-        got = {x["station_id"]: x["value"] for x in geo.bilinear(geo.grid_weights(at, grid), grid, []).collect()}
+        got = {x["station_id"]: x["value"] for x in geo.bilinear(geo.grid_weights(at, grid, outside="drop"), grid, []).collect()}
         assert got == {"m": 2.5, "q": 2.25, "n": 3.0}
-    assert {(x["station_id"], x["j"], x["i"]) for x in geo.nearest_nodes(at, grid).collect()} >= {("m", 0, 0), ("n", 0, 0)}
+    assert {(x["station_id"], x["j"], x["i"]) for x in geo.nearest_nodes(at, grid, outside="drop").collect()} >= {("m", 0, 0), ("n", 0, 0)}
 
 
 # -- matching
@@ -151,6 +151,9 @@ def test_rain_accumulation(spark):
     assert run("hres", {24: 12.3, 48: 20.3}) == {24: 12.3, 48: pytest.approx(8.0)}
     assert run("gfs", {30: 1.0, 36: 2.0, 42: 0.5, 48: 1.5})[48] == 5.0
     assert run("gfs", {30: 1.0, 42: 0.5, 48: 1.5})[48] is None and run("hres", {48: 2.0})[48] is None
+    every_three = {k: 10.0 if k % 6 else 1.0 for k in range(3, 28, 3)} | {24: 57.0}
+    assert run("gfs", every_three)[24] == 1.0 * 3 + 57.0 and run("gfs", every_three)[27] == 40.0
+    assert run("graphcast", {k: 5.0 for k in (9, 15, 21, 24)})[24] is None and run("gfs", {k: 5.0 for k in (9, 15, 21, 27)})[27] == 20.0
     assert run("aifs", {24: 5.0, 48: 4.8})[48] == pytest.approx(-0.2) and run("hres", {18: 1.0})[18] is None
 
 
@@ -275,6 +278,9 @@ def test_false_discovery(spark):
 
     assert adjust([0.005, 0.01, 0.03, 0.04]) == pytest.approx([0.02, 0.02, 0.04, 0.04])
     assert adjust([0.01, 0.02, 0.021]) == pytest.approx([0.021] * 3)
+    for bad in (None, 1.5, math.nan, -0.1):
+        with pytest.raises(Exception, match="missing or outside"):
+            adjust([0.01, bad, 0.04])
     with pytest.raises(ValueError):
         tests.check_p(spark.createDataFrame([(1.5,)], "p_raw double"))
 
