@@ -128,6 +128,27 @@ def all_comparisons(models: Sequence[str]) -> list[tuple[str, ...]]:
     return [*combinations(models, 2), *([tuple(models)] if len(models) > 2 else [])]
 
 
+def matched_views(fact: DataFrame, models: Sequence[str], mask: int | None = None, key: Sequence[str] = KEY) -> DataFrame:
+    """``matched_view`` of every comparison of ``models`` at once, as one table: one scan, one shuffle, whatever their number.
+
+    A window gathers for each key the bits of the models that have it; a row goes to every comparison that its model
+    takes part in and whose models all are there. A key holds a row for each model, so windows are small.
+    """
+    models = sorted(set(models))
+    if len(models) > 62:
+        raise ValueError("at most 62 models fit a mask")
+    bits = {m: 1 << i for i, m in enumerate(models)}
+    clean = F.col("qc_flags") == 0 if mask is None else C.is_clean(F.col("qc_flags"), mask)
+    bit = F.lit(0).cast("long")
+    for m, b in bits.items():
+        bit = F.when(F.col("model") == m, F.lit(b).cast("long")).otherwise(bit)
+    there = F.bit_or("_bit").over(W.partitionBy(*key))
+    views = F.array(*(F.struct(F.lit(comparison_id(c)).alias("id"), F.lit(sum(bits[m] for m in c)).cast("long").alias("bits")) for c in all_comparisons(models)))
+    fits = F.filter(views, lambda v: (v["bits"].bitwiseAND(F.col("_there")) == v["bits"]) & (v["bits"].bitwiseAND(F.col("_bit")) != 0))
+    valid = fact.where(F.col("model").isin(*models) & clean).withColumn("_bit", bit).withColumn("_there", there)
+    return valid.withColumn("_view", F.explode(fits)).select(F.col("_view.id").alias("comparison_id"), *fact.columns)
+
+
 def instantaneous_points(grid: DataFrame, weights: DataFrame) -> DataFrame:
     """t2m and wind10m at stations: wind speed at the nodes first, then bilinear.
 

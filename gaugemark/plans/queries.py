@@ -224,6 +224,12 @@ def matched_view(spark, sf_dir):
     return matching.matched_view(A.monthly_pairs(spark, sf_dir), ["R", "A", "N"], 1).select("comparison_id", "model", "station_id", _ts(), "fcst", "obs")
 
 
+@_query(f"""WITH {A.MONTHLY}, v AS (SELECT *, list(model) OVER (PARTITION BY valid_time, station_id, variable) AS there FROM monthly WHERE qc_flags & 1 = 0), c(comparison_id) AS (VALUES ('A+N'), ('A+R'), ('N+R'), ('A+N+R'))
+SELECT comparison_id, model, station_id, {_SQL_TS}, fcst, obs FROM v JOIN c ON list_has_all(there, string_split(comparison_id, '+')) AND list_contains(string_split(comparison_id, '+'), model)""")
+def matched_views(spark, sf_dir):
+    return matching.matched_views(A.monthly_pairs(spark, sf_dir), ["R", "A", "N"], 1).select("comparison_id", "model", "station_id", _ts(), "fcst", "obs")
+
+
 @_query(f"WITH {A.PAIRS} SELECT model, CASE WHEN month(day) IN (12, 1, 2) THEN 'DJF' WHEN month(day) <= 5 THEN 'MAM' WHEN month(day) <= 8 THEN 'JJA' ELSE 'SON' END AS season, count(*) AS n FROM pairs GROUP BY 1, 2")
 def season(spark, sf_dir):
     return strata.with_season(A.pairs(spark, sf_dir)).groupBy("model", "season").agg(F.count(F.lit(1)).alias("n"))

@@ -1,6 +1,6 @@
 """Checks of gridded forecast fields, however they were decoded: units, time axis, fields that stand twice.
 
-Decoding (GRIB, HDF5) is out of scope; fields come as tables (short_name, units, lead_hours, init_time, valid_time, j, i, value).
+Fields come from ``grib`` and ``runs``, or as tables (short_name, units, lead_hours, init_time, valid_time, j, i, value).
 """
 
 from __future__ import annotations

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -67,6 +68,11 @@ def ingest_version(files: DataFrame, code_version: str) -> str:
     return f"{code_version}+{both['n']}.{int(both['s'] or 0):x}"
 
 
+def config_hash(config: Mapping) -> str:
+    """Eight hexadecimal digits that tell configurations apart, whatever the order of their keys."""
+    return hashlib.sha256(json.dumps(config, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()[:8]
+
+
 def file_entries(files: DataFrame, source: str) -> DataFrame:
     """MANIFEST rows of files read as ``binaryFile``, with their digests."""
     return files.select(
@@ -75,6 +81,20 @@ def file_entries(files: DataFrame, source: str) -> DataFrame:
     )
 
 
+def text_entries(texts: DataFrame, text: str, source: str, name: Column) -> DataFrame:
+    """MANIFEST rows of texts that stand in a table, with the digests of their bytes; null and empty texts have status ``empty``.
+
+    ``name`` is what stands for a url; a text without one is named by its digest. No time of fetching is known.
+    """
+    none = lambda t: F.lit(None).cast(t)
+    body = F.coalesce(F.col(text), F.lit("")).cast("binary")
+    digest = F.sha2(body, 256)
+    return texts.select(
+        F.coalesce(name, F.concat(F.lit("sha256:"), digest)).alias("url"), none("string").alias("local_path"), digest.alias("sha256"), F.octet_length(body).cast("long").alias("bytes"), F.col(source).cast("string").alias("source"),
+        none("string").alias("model"), none("timestamp").alias("init_time"), none("timestamp").alias("downloaded_at"), F.when(F.octet_length(body) == 0, "empty").otherwise("fetched").alias("status"),
+    )
+
+
 def append_manifest(old: DataFrame, new: DataFrame) -> DataFrame:
     """One row for each url, the newest."""
     both = C.validate(old, C.MANIFEST, "manifest").unionByName(C.validate(new, C.MANIFEST, "manifest"))

@@ -1,0 +1,100 @@
+"""A small GRIB2 writer for tests: simple and complex packing (with differences and missing values), floats, bitmaps."""
+
+import struct
+
+import numpy as np
+
+NAMED = {"2t": (0, 0, 0, 103, 2), "10u": (0, 2, 2, 103, 10), "10v": (0, 2, 3, 103, 10), "tp": (0, 1, 8, 1, 0), "tp_m": (0, 1, 193, 1, 0), "orog": (0, 3, 5, 1, 0), "odd": (2, 7, 9, 105, 3)}
+
+
+def sign(n, octets):
+    return ((1 << (8 * octets - 1)) * (n < 0) | abs(n)).to_bytes(octets, "big")
+
+
+def bits_of(numbers, widths):
+    text = "".join(format(int(x), f"0{w}b") if w else "" for x, w in zip(numbers, widths, strict=True))
+    text += "0" * (-len(text) % 8)
+    return int(text, 2).to_bytes(len(text) // 8, "big") if text else b""
+
+
+def section(number, body):
+    return struct.pack(">IB", len(body) + 5, number) + body
+
+
+def grid(lats, lons, mode):
+    d = lambda a: sign(round(float(a) * 1e6), 4)
+    body = bytes(1) + struct.pack(">I", len(lats) * len(lons)) + bytes(2) + struct.pack(">H", 0) + b"\6" + bytes(15)
+    body += struct.pack(">II", len(lons), len(lats)) + struct.pack(">I", 0) + b"\xff" * 4 + d(lats[0]) + d(lons[0]) + b"\x30" + d(lats[-1]) + d(lons[-1]) + bytes(8) + bytes([mode])
+    return section(3, body)
+
+
+def product(name, lead, step, unit=1, ensemble=False):
+    _, category, number, surface, level = NAMED[name]
+    template = (11 if ensemble else 8) if step else (1 if ensemble else 0)
+    body = struct.pack(">HHBB", 0, template, category, number) + bytes(3) + bytes(3) + bytes([unit]) + sign(lead - step if step else lead, 4)
+    body += bytes([surface, 0]) + struct.pack(">I", level) + b"\xff" + bytes(5) + (bytes(3) if ensemble else b"")
+    if step:
+        body += bytes(7) + b"\1" + bytes(4) + bytes([1, 2, unit]) + struct.pack(">I", step) + bytes(5)
+    return section(4, body)
+
+
+def simple(values, decimal=2, binary=0):
+    scaled = np.round(np.asarray(values) * 10.0**decimal / 2.0**binary).astype(int)
+    low = int(scaled.min())
+    bits = int(scaled.max() - low).bit_length()
+    head = struct.pack(">IH", len(values), 0) + struct.pack(">f", low * 2.0**binary) + sign(binary, 2) + sign(decimal, 2) + bytes([bits, 0])
+    return head, bits_of(scaled - low, [bits] * len(values))
+
+
+def complex_(values, decimal=2, order=0, missing=0, group=7):
+    """Groups of ``group`` values; NaN is the primary missing value and, with ``missing`` 2, infinity the secondary one."""
+    values = np.asarray(values, float)
+    there = np.isfinite(values)
+    whole = np.round(values[there] * 10.0**decimal).astype(int)
+    offset = int(whole.min(initial=0))
+    whole -= offset
+    heads = b""
+    if order:
+        rest = np.diff(whole, n=order)
+        least = int(rest.min(initial=0))
+        heads = b"".join(sign(int(x), 4) for x in [*whole[:order], least])
+        whole = np.concatenate([np.zeros(order, int), rest - least])
+    out, it = [], iter(whole)
+    for v in values:
+        out.append(next(it) if np.isfinite(v) else -1 if np.isnan(v) else -2)
+    parts = [out[a : a + group] for a in range(0, len(out), group)]
+    bits = max(1, max((int(x).bit_length() for x in out if x >= 0), default=0) + 1)
+    bases, widths, packed, packed_widths = [], [], [], []
+    for p in parts:
+        real = [x for x in p if x >= 0]
+        base = min(real, default=0)
+        width = int(max(real, default=0) - base + (missing if len(real) < len(p) else 0)).bit_length()
+        if not real and len(set(p)) == 1:
+            base, width = (1 << bits) + p[0], 0
+        elif len(real) < len(p):
+            width = max(width, 2)
+        bases.append(base)
+        widths.append(width)
+        packed += [x - base if x >= 0 else (1 << width) + x for x in p] if width else [0] * len(p)
+        packed_widths += [width] * len(p)
+    width_bits, lengths = max(widths).bit_length(), [len(p) for p in parts]
+    head = struct.pack(">IH", len(values), 3 if order else 2) + struct.pack(">f", float(offset)) + sign(0, 2) + sign(decimal, 2) + bytes([bits, 0, 1, missing]) + bytes(8)
+    head += struct.pack(">IBBIBIB", len(parts), 0, width_bits, group - 1, 1, lengths[-1], 1) + (bytes([order, 4]) if order else b"")
+    data = heads + bits_of(bases, [bits] * len(parts)) + bits_of(widths, [width_bits] * len(parts)) + bits_of([min(1, n - group + 1) if n >= group - 1 else 0 for n in lengths], [1] * len(parts))
+    return head, data + bits_of(packed, packed_widths)
+
+
+def floats(values, precision=1):
+    return struct.pack(">IHB", len(values), 4, precision), np.asarray(values).astype(">f4" if precision == 1 else ">f8").tobytes()
+
+
+def field(name, lead, rep, lats, lons, mode=0, step=0, mask=None, same_mask=False, with_grid=True, **options):
+    head, data = rep
+    bitmap = b"\xfe" if same_mask else b"\xff" if mask is None else b"\0" + np.packbits(np.asarray(mask).astype(np.uint8)).tobytes()
+    return (grid(lats, lons, mode) if with_grid else b"") + product(name, lead, step, **options) + section(5, head) + section(6, bitmap) + section(7, data)
+
+
+def message(*fields, init=(2024, 3, 1, 12), discipline=0):
+    ident = section(1, struct.pack(">HHBBB", 7, 0, 2, 1, 1) + struct.pack(">HBBBBB", *init, 0, 0) + bytes(2))
+    body = ident + b"".join(fields) + b"7777"
+    return b"GRIB" + bytes(2) + bytes([discipline, 2]) + struct.pack(">Q", len(body) + 16) + body

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gaugemark.functions import contracts as C
 from gaugemark.functions import student
-from gaugemark.operators import bootstrap, geo, qc, strata
+from gaugemark.operators import bootstrap, geo, matching, qc, strata
 from gaugemark.plans import adapters as A
 from gaugemark.plans import registry
 from gaugemark.sources import gridindex, sinks, stations
@@ -227,3 +227,16 @@ def test_skipped_station_files_are_counted(spark):
     assert tuple(observations.file_counts(files).first()) == (3, 0)
     assert tuple(observations.file_counts(files, ["A2"]).first()) == (1, 2)
     assert {r["station_id"] for r in observations.parse_station_files(files, ["A2"]).collect()} == {"inmet:A2"}
+
+
+def test_all_comparisons_at_once_are_those_of_each(spark):
+    r = np.random.default_rng(3)
+    at = lambda k: dt.datetime(2024, 1, 1 + k % 5)
+    rows = [(m, f"s{k}", "t2m", at(k), at(k), float(r.normal()), int(r.choice([0, 0, 0, 0, 0, 1, 2]))) for k in range(90) for m in "abcd" if r.random() < 0.8]
+    fact = spark.createDataFrame(rows, "model string, station_id string, variable string, init_time timestamp, valid_time timestamp, obs double, qc_flags int")
+    for mask in (None, 1):
+        got = sorted(map(tuple, matching.matched_views(fact, "abcd", mask).collect()))
+        want = sorted(tuple(x) for c in matching.all_comparisons("abcd") for x in matching.matched_view(fact, c, mask).collect())
+        assert got == want and len({x[0] for x in got}) == 7
+    plan = matching.matched_views(fact, "abcd")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
