@@ -239,6 +239,8 @@ class GribReader(DataSourceReader):
         return planned(listed(self.paths, "*.gr*b*"), messages)
 
     def read(self, piece: Piece) -> Iterator[pa.RecordBatch]:
+        if piece is None:  # no messages
+            return
         with opened(piece.path) as f:
             message = read_at(f, piece.offset, piece.length)
         for nth, field in enumerate(decoded(message, self.values)):
