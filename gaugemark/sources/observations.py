@@ -6,16 +6,12 @@ value came out. ``emitted`` keeps those, ``drop_counts`` counts the others, so r
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import contracts as C
 from ..workers import ship
+from .zips import ZipSource
 
 MISSING, TRACE = -9999, -1
 #: Column titles of the bulk station files (without accents) and the variables they hold.
@@ -47,19 +43,12 @@ def read_texts(spark, path: str, encoding: str = "ISO-8859-1") -> DataFrame:
     return files.select("path", F.decode("content", encoding).alias("text"))
 
 
-def read_zip_texts(spark, path: str, encoding: str = "ISO-8859-1") -> DataFrame:
-    """(path, text) of the CSV members of zip files; each archive is opened in one task."""
-
-    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, content in zip(batch["path"], batch["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for member in z.namelist():
-                        if member.upper().endswith(".CSV"):
-                            yield pd.DataFrame({"path": [f"{name}/{member}"], "text": [z.read(member).decode(encoding)]})
-
+def read_zip_texts(spark, path: str, encoding: str = "ISO-8859-1", stations: list[str] | None = None) -> DataFrame:
+    """(path, text) of the CSV members of zip files, a task for each; see ``zips``. Of members of other stations than ``stations`` only the head is read."""
     ship(spark)
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(members, "path string, text string")
+    spark.dataSource.register(ZipSource)
+    options = {} if stations is None else {"stations": ",".join(stations)}
+    return spark.read.format("zip_texts").options(encoding=encoding, **options).load(path)
 
 
 def _plain(x: Column) -> Column:
