@@ -207,17 +207,19 @@ class LicenseAutomaton:
             return (b - a) / total, a, b - 1
         found.sort()
         best: list[tuple[int, int]] = []  # covered words, first word
-        oldest = 0
-        for i, (a, b, c, d) in enumerate(found):
-            while found[oldest][0] < a - 2 * total - MOST_GAP:
-                oldest += 1
+        near: list[tuple[int, int, int, int, int]] = []  # end, first and last place, coverage and first word of matches that may be followed
+        at = -1
+        for a, b, c, d in found:
+            if a > at:  # a gap only grows: what is too far behind once is so for good
+                at, near = a, [x for x in near if x[0] >= a - MOST_GAP]
             top, start = 0, a
-            for j in range(oldest, i):
-                _, b2, _, d2 = found[j]
-                cut = max(0, b2 - a, d2 - c)  # overlapping words count once
-                if cut < b - a and a - b2 <= MOST_GAP and c >= found[j][2] and c - d2 <= 4 * MOST_GAP and best[j][0] - cut > top:
-                    top, start = best[j][0] - cut, best[j][1]
+            for b2, c2, d2, covered, first in near:
+                if c2 <= c and c - d2 <= 4 * MOST_GAP:
+                    cut = max(0, b2 - a, d2 - c)  # overlapping words count once
+                    if cut < b - a and covered - cut > top:
+                        top, start = covered - cut, first
             best.append((top + b - a, start))
+            near.append((b, c, d, top + b - a, start))
         i = max(range(len(best)), key=lambda i: (best[i][0], -i))
         return min(1.0, best[i][0] / total), best[i][1], found[i][1] - 1
 
