@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
@@ -81,6 +82,24 @@ def paired_test(daily: DataFrame, a: str, b: str, by: Sequence[str], method: str
     return out.withColumn("method", F.concat(F.lit("paired_"), F.col("method"))).withColumn("comparison_id", F.lit("+".join(sorted((a, b)))))
 
 
+def daily_matrix(view: DataFrame, models: Sequence[str], scores: Mapping[str, Callable[[Column], Column]], by: Sequence[str], day: str = "day") -> DataFrame:
+    """(by, day, models): for each day an array with each model's mean scores as a struct, in the order of ``models``; null where it has none.
+
+    ``scores``: name -> function of the error. One scan and two aggregates, whatever the number of models, pairs and scores.
+    """
+    e = F.col("fcst") - F.col("obs")
+    daily = view.where(F.col("model").isin(*models)).groupBy(*by, day, "model").agg(*(F.avg(f(e)).alias(n) for n, f in scores.items()))
+    row = F.struct(*scores)
+    return daily.groupBy(*by, day).agg(F.array(*(F.max(F.when(F.col("model") == m, row)) for m in models)).alias("models"))
+
+
+def paired_differences(matrix: DataFrame, models: Sequence[str], names: Sequence[str], by: Sequence[str], day: str = "day") -> DataFrame:
+    """(by, metric, a, b, day, error): the daily series of every two models' differences in every score, over the days that both have."""
+    place = {m: F.lit(i) for i, m in enumerate(models)}
+    each = [F.struct(F.lit(n).alias("metric"), F.lit(a).alias("a"), F.lit(b).alias("b"), (F.col("models")[place[a]][n] - F.col("models")[place[b]][n]).alias("error")) for n in names for a, b in combinations(models, 2)]
+    return matrix.select(*by, day, F.explode(F.array(*each)).alias("x")).where("x.error is not null").select(*by, "x.metric", "x.a", "x.b", day, "x.error")
+
+
 def benjamini_hochberg(tests: DataFrame, q: float = 0.05, family: str = "family_id", p: str = "p_raw", ranges: int = RANGES) -> DataFrame:
     """``tests`` with p_adj, reject and n_family, adjusted within each family.
 

@@ -638,9 +638,24 @@ def results_table(spark, sf_dir):
     return registry.metric_rows(df, ["mae", "bias"], "test", ["season"], n_boot=N_BOOT)
 
 
-@_query()
+#: The two-sided p of a t at the angle th, by its finite series over lists.
+_P_OF_ANGLE = "CASE WHEN dof % 2 = 0 THEN 1 - sin(th) * list_sum([exp(lgamma(j + 0.5) - lgamma(0.5) - lgamma(j + 1)) * pow(cos(th), 2 * j) for j in range(0, dof // 2)]) ELSE 1 - 2 / pi() * (th + sin(th) * coalesce(list_sum([exp(lgamma(j + 1) + lgamma(1.5) - lgamma(j + 1.5)) * pow(cos(th), 2 * j + 1) for j in range(0, (dof - 1) // 2)]), 0)) END"
+_PAIRED = f"""WITH RECURSIVE {A.PAIRS}, d AS (SELECT model, lead_hours, day, avg(abs(fcst - obs)) AS mae, avg((fcst - obs) * (fcst - obs)) AS rmse, avg(fcst - obs) AS bias FROM pairs GROUP BY 1, 2, 3),
+l AS (SELECT model, lead_hours, day, unnest(['mae', 'rmse', 'bias']) AS metric, unnest([mae, rmse, bias]) AS s FROM d),
+daily AS (SELECT a.metric || '|' || a.model || '-' || b.model || '|' || a.lead_hours AS model, a.day, a.s - b.s AS error FROM l a JOIN l b USING (metric, lead_hours, day) WHERE a.model < b.model), {_MOMENTS}, {_HAC},
+tested AS (SELECT m.model, any_value(mean) AS estimate, sqrt(avg(c * c) / any_value(n)) AS stderr, count(*)::INT AS dof, any_value(n)::INT AS n_days FROM c JOIN m USING (model) GROUP BY 1),
+b(dof, low, high, k) AS (SELECT DISTINCT dof, 0.0::DOUBLE, 700.0::DOUBLE, 0 FROM tested UNION ALL SELECT dof, CASE WHEN p > 0.05 THEN mid ELSE low END, CASE WHEN p > 0.05 THEN high ELSE mid END, k + 1
+  FROM (SELECT *, {_P_OF_ANGLE} AS p FROM (SELECT *, (low + high) / 2 AS mid, atan((low + high) / 2 / sqrt(dof)) AS th FROM b WHERE k < 60))),
+p AS (SELECT *, {_P_OF_ANGLE} AS p FROM (SELECT tested.*, low AS t, atan(abs(estimate / stderr) / sqrt(tested.dof)) AS th FROM tested JOIN b ON b.dof = tested.dof AND k = 60)),
+r AS (SELECT *, row_number() OVER (ORDER BY p, model) AS nth, count(*) OVER () AS n FROM p), a AS (SELECT *, least(1.0, min(p * n / nth) OVER (ORDER BY nth DESC)) AS p_adj FROM r)
+SELECT string_split(model, '|')[1] AS metric, replace(string_split(model, '|')[2], '-', '+') AS comparison_id, string_split(model, '|')[2] AS model, 't2m' AS variable, string_split(model, '|')[3]::SMALLINT AS lead_hours, 'global' AS stratum_type, 'all' AS stratum_value,
+round(estimate, 6) AS estimate, round(estimate - t * stderr, 6) AS ci_low, round(estimate + t * stderr, 6) AS ci_high, 0.05::DOUBLE AS alpha, NULL::BIGINT AS n_pairs, NULL::INT AS n_stations, n_days, NULL::SMALLINT AS block_len_days, NULL::INT AS n_boot, round(p, 6) AS p_raw, round(p_adj, 6) AS p_adj, 'headline' AS family_id, n::INT AS n_family, '{registry.VERSION}' AS registry_version, 'test' AS ingest_version FROM a"""
+
+
+@_query(_PAIRED)
 def results_paired(spark, sf_dir):
-    return registry.paired_rows(A.pairs(spark, sf_dir), ["A", "N", "R"], "test")
+    out = registry.paired_rows(A.pairs(spark, sf_dir), ["A", "N", "R"], "test")
+    return out.withColumns({c: F.round(c, 6) for c in ("estimate", "ci_low", "ci_high", "p_raw", "p_adj")})
 
 
 # Parsers: the tables as text in the sources' forms, parsed back, against the tables.

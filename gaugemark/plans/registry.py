@@ -97,18 +97,13 @@ def paired_rows(view: DataFrame, models: Sequence[str], ingest_version: str, fam
     The daily series are means over the stations; a positive estimate says that the first model in the pair
     has the higher score.
     """
-    e = F.col("fcst") - F.col("obs")
-    parts = []
-    for metric in FAMILIES[family]:
-        daily = view.groupBy("model", "variable", "lead_hours", "day").agg(F.avg(_DAILY[metric](e)).alias("error"))
-        for a, b in (c for c in matching.all_comparisons(models) if len(c) == 2):
-            out = tests.paired_test(daily, a, b, ["variable", "lead_hours"], method)
-            parts.append(out.withColumns({"metric": F.lit(metric), "model": F.lit(f"{a}-{b}"), "stratum_type": F.lit("global"), "stratum_value": F.lit("all"), "family_id": F.lit(family)}))
-    together = parts[0]
-    for p in parts[1:]:
-        together = together.unionByName(p)
-    together = together.withColumn("test_id", F.concat_ws("|", "metric", "model", "variable", F.col("lead_hours").cast("string")))
-    return _results(tests.benjamini_hochberg(together, DEFAULTS["q"]), ingest_version, alpha=DEFAULTS["alpha"])
+    models, names, by = sorted(set(models)), FAMILIES[family], ["variable", "lead_hours"]
+    matching.comparison_id(models)
+    matrix = tests.daily_matrix(view, models, {n: _DAILY[n] for n in names}, by)
+    series = tests.paired_differences(matrix, models, names, by)
+    out = tests.ttest_by(series, [*by, "metric", "a", "b"], method)
+    fixed = {"method": F.concat(F.lit("paired_"), F.col("method")), "comparison_id": F.concat_ws("+", "a", "b"), "model": F.concat_ws("-", "a", "b"), "stratum_type": F.lit("global"), "stratum_value": F.lit("all"), "family_id": F.lit(family)}
+    return _results(tests.benjamini_hochberg(out.withColumns(fixed), DEFAULTS["q"]), ingest_version, alpha=DEFAULTS["alpha"])
 
 
 def inputs(fact: DataFrame, metric: str) -> DataFrame:

@@ -240,3 +240,28 @@ def test_all_comparisons_at_once_are_those_of_each(spark):
         assert got == want and len({x[0] for x in got}) == 7
     plan = matching.matched_views(fact, "abcd")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_paired_rows_of_a_view_are_those_of_each_pair(spark):
+    """The daily matrix gives the tests that pairs give one by one, from one scan."""
+    from gaugemark.operators import tests
+
+    r = np.random.default_rng(8)
+    rows = [(m, f"s{k}", "t2m", 24, DAY + dt.timedelta(days=i), float(r.normal(b, 1)), 0.0) for i in range(30) for m, b in (("a", 0.0), ("b", 0.5), ("c", 0.1)) for k in range(2) if (m, i) not in (("a", 3), ("c", 7))]
+    view = spark.createDataFrame(rows, PAIRS)
+    got = {(x["metric"], x["model"]): x for x in registry.paired_rows(view, ["c", "a", "b"], "v").collect()}
+    assert len(got) == 9 and {x["n_family"] for x in got.values()} == {9}
+    for metric, f in (("mae", F.abs), ("rmse", lambda e: e * e), ("bias", lambda e: e)):
+        daily = view.groupBy("model", "variable", "lead_hours", "day").agg(F.avg(f(F.col("fcst") - F.col("obs"))).alias("error"))
+        for a, b in (("a", "b"), ("a", "c"), ("b", "c")):
+            want, have = tests.paired_test(daily, a, b, ["variable", "lead_hours"]).first(), got[metric, f"{a}-{b}"]
+            assert (have["comparison_id"], have["n_days"]) == (want["comparison_id"], want["n_days"])
+            assert [have[c] for c in ("estimate", "ci_low", "ci_high", "p_raw")] == pytest.approx([want[c] for c in ("estimate", "ci_low", "ci_high", "p_raw")])
+    assert got["mae", "a-c"]["n_days"] == 28
+
+
+def test_paired_rows_scan_their_view_once(spark, sf_dir):
+    plan = registry.paired_rows(A.pairs(spark, sf_dir), ["A", "N", "R"], "v")._jdf.queryExecution().executedPlan().toString()
+    assert len({line.split("Location")[0] for line in plan.splitlines() if "FileScan parquet" in line}) >= 1
+    tests_of = plan.count("FlatMapGroupsInPandas")
+    assert plan.count("FileScan parquet") == tests_of  # every branch that ranks the tests repeats the one scan, and exchanges are reused
