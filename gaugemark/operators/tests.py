@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 
 from ..functions.student import quantile, two_sided_p
 from ..workers import ship
-from .ranges import RANGES, ranked
+from .ranges import ranked
 
 METHODS = ("iid", "ar2", "hac")
 
@@ -100,18 +100,26 @@ def paired_differences(matrix: DataFrame, models: Sequence[str], names: Sequence
     return matrix.select(*by, day, F.explode(F.array(*each)).alias("x")).where("x.error is not null").select(*by, "x.metric", "x.a", "x.b", day, "x.error")
 
 
-def benjamini_hochberg(tests: DataFrame, q: float = 0.05, family: str = "family_id", p: str = "p_raw", ranges: int = RANGES) -> DataFrame:
+def benjamini_hochberg(tests: DataFrame, q: float = 0.05, family: str = "family_id", p: str = "p_raw", ranges: int | None = None) -> DataFrame:
     """``tests`` with p_adj, reject and n_family, adjusted within each family.
 
     A p that is missing or outside 0..1 raises when the result is computed; ``check_p`` tells sooner. Tests of one p share
-    their p_adj, so only the distinct values of a family are ranked, in ranges; no task holds a family.
+    their p_adj, so only the distinct values of a family are ranked: in one window by default, as the tests of a registry
+    are few; with ``ranges`` in so many ranges, for families of any size, which no task holds then. Both give the same.
     """
     if not 0 <= q <= 1:
         raise ValueError("q must be within 0 and 1")
     value = F.col(p).cast("double")
     sound = F.when(value.between(0, 1), value).otherwise(F.raise_error(F.concat(F.lit("p-value missing or outside 0..1: "), F.coalesce(value.cast("string"), F.lit("null")))).cast("double"))
     keyed = tests.select(F.col(family).alias("_family"), sound.alias("_p"))
-    steps = ranked(keyed.groupBy("_family", "_p").agg(F.count(F.lit(1)).alias("n")), ["_family"], "_p", ranges)
+    counts = keyed.groupBy("_family", "_p").agg(F.count(F.lit(1)).alias("n"))
+    if ranges is None:
+        order = W.partitionBy("_family").orderBy("_p").rowsBetween(W.unboundedPreceding, W.currentRow)
+        falling = W.partitionBy("_family").orderBy(F.col("_p").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
+        ready = counts.withColumns({"_upto": F.sum("n").over(order), "n_family": F.sum("n").over(W.partitionBy("_family"))})
+        ready = ready.withColumn("p_adj", F.least(F.lit(1.0), F.min(F.col("_p") * F.col("n_family") / F.col("_upto")).over(falling)))
+        return _with_adjusted(tests, ready.select("_family", "_p", "n_family", "p_adj"), q, family, value)
+    steps = ranked(counts, ["_family"], "_p", ranges)
     steps = steps.withColumn("_step", F.col("_p") * F.col("total") / (F.col("below") + F.col("n")))
     later = W.partitionBy("_f").orderBy(F.col("_r").desc()).rowsBetween(W.unboundedPreceding, -1)
     least = steps.groupBy(F.col("_family").alias("_f"), F.col("range").alias("_r")).agg(F.min("_step").alias("_least"))
@@ -120,6 +128,10 @@ def benjamini_hochberg(tests: DataFrame, q: float = 0.05, family: str = "family_
     steps = steps.withColumn("_own", F.min("_step").over(above))
     steps = steps.join(least, F.col("_family").eqNullSafe(F.col("_f")) & (F.col("range") == F.col("_r")))
     adjusted = steps.select("_family", "_p", F.col("total").alias("n_family"), F.least(F.lit(1.0), "_own", "_later").alias("p_adj"))
+    return _with_adjusted(tests, adjusted, q, family, value)
+
+
+def _with_adjusted(tests: DataFrame, adjusted: DataFrame, q: float, family: str, value: Column) -> DataFrame:
     joined = tests.join(adjusted, F.col(family).eqNullSafe(F.col("_family")) & (value == F.col("_p")))
     return joined.withColumn("reject", F.col("p_adj") <= q).select(*tests.columns, "n_family", "p_adj", "reject")
 
