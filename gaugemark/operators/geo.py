@@ -7,6 +7,7 @@ and the neighbouring cells and joined by cell, so no cross join is made and far
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ def near_pairs(left: DataFrame, right: DataFrame, max_km: float) -> DataFrame:
     rows = int(180 / height) + 2
 
     def columns_in(band):  # how many longitude cells a band has
-        edge = F.least(F.lit(89.0), F.greatest(F.abs(band * height - 90), F.abs((band + 1) * height - 90)) + height)
+        edge = F.least(F.lit(90.0), F.greatest(F.abs(band * height - 90), F.abs((band + 1) * height - 90)) + height)
         return F.greatest(F.lit(1), F.floor(F.lit(360.0) * F.cos(F.radians(edge)) / height).cast("int"))
 
     band = lambda lat: F.floor((lat + 90) / height).cast("int")
@@ -48,15 +49,40 @@ def _placed(stations: DataFrame) -> tuple[DataFrame, DataFrame]:
     return at, at.groupBy("place").agg(F.first("lat").alias("lat"), F.first("lon").alias("lon"), F.count(F.lit(1)).alias("n")).withColumnRenamed("place", "station_id")  # all rows of a place are alike
 
 
-def knn_pairs(stations: DataFrame, k: int = 5, radius_km: float = 300.0) -> DataFrame:
+def _search_radius(places: DataFrame, k: int, radius_km: float, levels: int) -> DataFrame:
+    """``places`` with ``level``: a cell of the level's radius across, around the place, holds k other stations, so no near neighbour is farther.
+
+    Level 0 is the whole radius, each next one a quarter of it; the finest that suffices is taken.
+    """
+    side = [radius_km / 4**l / math.sqrt(2) * 0.999 / _KM_PER_DEGREE for l in range(levels)]  # in degrees of latitude
+
+    def cell_of(l: int):
+        band = F.floor((F.col("lat") + 90) / side[l])
+        equatorward = F.least(F.abs(band * side[l] - 90), F.abs((band + 1) * side[l] - 90))
+        wide = F.lit(side[l]) / F.greatest(F.cos(F.radians(equatorward)), F.lit(1e-6))  # where a band is widest
+        return F.struct(F.lit(l).alias("level"), band.alias("b"), F.floor(F.pmod("lon", F.lit(360.0)) / wide).alias("c"))
+
+    fine = [cell_of(l) for l in range(1, levels)]
+    if not fine:
+        return places.withColumn("level", F.lit(0))
+    dealt = places.select("station_id", "n", F.explode(F.array(*fine)).alias("x")).select("station_id", "n", "x.*")
+    full = dealt.groupBy("level", "b", "c").agg(F.sum("n").alias("m")).where(F.col("m") > k).select("level", "b", "c")
+    best = dealt.join(full, ["level", "b", "c"]).groupBy("station_id").agg(F.max("level").alias("level"))
+    return places.join(best, "station_id", "left").withColumn("level", F.coalesce("level", F.lit(0)))
+
+
+def knn_pairs(stations: DataFrame, k: int = 5, radius_km: float = 300.0, levels: int = 4) -> DataFrame:
     """(station_id, neighbor_id, dist_km): the k nearest included stations within the radius, ties to the smaller id.
 
-    Of a place no more than its k + 1 smallest ids can be near neighbours of anyone, so places meet, with these ids only.
+    Of a place no more than its k + 1 smallest ids can be near neighbours of anyone, so places meet, with these ids only. Where
+    stations stand close, a place looks no farther than a small cell that holds enough of them; the result is the same.
     """
     at, places = _placed(stations.where("status = 'included'"))
     first = F.row_number().over(W.partitionBy("place").orderBy("station_id"))
     ids = at.select("place", "station_id", first.alias("nth")).where(F.col("nth") <= k + 1).select(F.col("place").alias("id_r"), F.col("station_id").alias("neighbor_id"))
-    near = near_pairs(places, places, radius_km).join(ids, "id_r")
+    looking = _search_radius(places, k, radius_km, levels)
+    found = reduce(DataFrame.unionByName, (near_pairs(looking.where(F.col("level") == l), places, radius_km / 4**l) for l in range(levels)))
+    near = found.join(ids, "id_r")
     best = F.row_number().over(W.partitionBy("id_l").orderBy("dist_km", "neighbor_id"))
     near = near.withColumn("rank", best).where(F.col("rank") <= k + 1).select(F.col("id_l").alias("place"), "neighbor_id", "dist_km", "rank")
     pairs = at.select("station_id", "place").join(near, "place").where("station_id <> neighbor_id")
