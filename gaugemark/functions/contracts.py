@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,6 +66,22 @@ def reconcile(stage: str, rows_in: int, rows_out: int, dropped: Mapping[str, int
     return {"stage": stage, "rows_in": rows_in, "rows_out": rows_out, "dropped": dict(dropped)}
 
 
+def watched(tagged: DataFrame, reasons: Sequence[str], reason: str = "drop_reason") -> tuple[DataFrame, Observation]:
+    """``tagged`` and an observation of its rows by drop reason, filled by the job that first uses the result: no second scan.
+
+    Take ``reconciled`` after that job. A reason that is not named makes the counts differ, which raises there.
+    """
+    seen = Observation()
+    counts = (F.count_if(F.col(reason) == r).alias(r) for r in reasons)
+    return tagged.observe(seen, F.count(F.lit(1)).alias("rows_in"), F.count_if(F.col(reason).isNull()).alias("rows_out"), *counts), seen
+
+
+def reconciled(stage: str, seen: Observation) -> dict:
+    """``reconcile`` of what an observation of ``watched`` has counted."""
+    counts = dict(seen.get)
+    return reconcile(stage, counts.pop("rows_in"), counts.pop("rows_out"), counts)
+
+
 def describe(flags: Column) -> Column:
     """Names of the set bits, lowest first; null or negative flags raise when evaluated."""
     names = F.array(*(F.when(flags.bitwiseAND(bit) != 0, F.lit(name)) for name, bit in BITS.items()))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -13,6 +13,7 @@ from ..functions import contracts as C
 from ..functions.geo import RES, cell
 
 LAPSE_K_PER_M, WIND_ONSET_M, WIND_PER_M, WIND_MOST = 0.0065, 100.0, 0.002, 3.0
+DROPS = ("obs_missing_or_incomplete", "delta_z_exceeded")
 FROM_INIT, PER_STEP_6H = ("aifs", "hres"), ("gfs", "graphcast")
 
 
@@ -85,8 +86,18 @@ def tagged_pairs(points: DataFrame, obs_qc: DataFrame, stations: DataFrame, max_
 
 
 def build_fact(points: DataFrame, obs_qc: DataFrame, stations: DataFrame, ingest_version: str, floors: DataFrame | None = None, max_delta_z_m: float = 500.0, min_clean_hours: int = 22) -> DataFrame:
-    """The pairs that stay, in the FACT contract. Drops: ``drop_counts`` over the same ``tagged_pairs``."""
-    kept = tagged_pairs(points, obs_qc, stations, max_delta_z_m, min_clean_hours).where("drop_reason is null")
+    """The pairs that stay, in the FACT contract. Drops: ``drop_counts`` over the same ``tagged_pairs``, or ``build_fact_watched``."""
+    return _fact_of(tagged_pairs(points, obs_qc, stations, max_delta_z_m, min_clean_hours), stations, ingest_version, floors)
+
+
+def build_fact_watched(points: DataFrame, obs_qc: DataFrame, stations: DataFrame, ingest_version: str, floors: DataFrame | None = None, max_delta_z_m: float = 500.0, min_clean_hours: int = 22) -> tuple[DataFrame, Observation]:
+    """``build_fact`` and an observation of its drops, filled by the job that writes the fact; then ``contracts.reconciled("fact", seen)``."""
+    tagged, seen = C.watched(tagged_pairs(points, obs_qc, stations, max_delta_z_m, min_clean_hours), DROPS)
+    return _fact_of(tagged, stations, ingest_version, floors), seen
+
+
+def _fact_of(tagged: DataFrame, stations: DataFrame, ingest_version: str, floors: DataFrame | None) -> DataFrame:
+    kept = tagged.where("drop_reason is null")
     kept = kept.withColumn("fcst_elev_adj", elevation_adjusted(F.col("variable"), F.col("value"), F.col("delta_z")))
     kept = attach_floor(kept, floors, stations) if floors is not None else kept.withColumn("repr_floor", F.lit(None).cast("double"))
     kept = kept.withColumnRenamed("value", "fcst_raw").withColumn("ingest_version", F.lit(ingest_version))
@@ -95,8 +106,7 @@ def build_fact(points: DataFrame, obs_qc: DataFrame, stations: DataFrame, ingest
 
 def drop_counts(tagged: DataFrame) -> DataFrame:
     """One row: n_in, n_out and the count of each reason, from one aggregate."""
-    reasons = ("obs_missing_or_incomplete", "delta_z_exceeded")
-    return tagged.agg(F.count(F.lit(1)).alias("n_in"), F.count_if(F.col("drop_reason").isNull()).alias("n_out"), *(F.count_if(F.col("drop_reason") == r).alias(r) for r in reasons))
+    return tagged.agg(F.count(F.lit(1)).alias("n_in"), F.count_if(F.col("drop_reason").isNull()).alias("n_out"), *(F.count_if(F.col("drop_reason") == r).alias(r) for r in DROPS))
 
 
 def check_fact(tagged: DataFrame) -> dict:

@@ -52,17 +52,15 @@ def digests(pairs: DataFrame, version: str) -> DataFrame:
     return pairs.groupBy("month").agg(F.count(F.lit(1)).alias("rows_in"), F.sum(row).cast("string").alias("digest")).withColumn("version", F.lit(version)).select(LEDGER.names)
 
 
-def scores(pairs: DataFrame, config: dict, seen: Observation) -> DataFrame:
-    """SCORES of all comparisons; ``seen`` gets the count of each drop reason from the very job that uses the result."""
+def scores(pairs: DataFrame, config: dict) -> tuple[DataFrame, Observation]:
+    """SCORES of all comparisons, and an observation that gets the count of each drop reason from the very job that uses them."""
     models, mask = sorted(set(config["models"])), config.get("mask", C.ALL_BITS)
     clean = F.coalesce(C.is_clean(F.col("qc_flags"), mask), F.lit(False))
     reason = F.when(~F.coalesce(F.col("model").isin(*models), F.lit(False)), "other_model").when(F.col("fcst").isNull() | F.col("obs").isNull(), "value_missing").when(~clean, "flagged")
-    tagged = pairs.withColumn("drop_reason", reason)
-    counts = [F.count_if(F.col("drop_reason") == r).alias(r) for r in ("other_model", "value_missing", "flagged")]
-    tagged = tagged.observe(seen, F.count(F.lit(1)).alias("rows_in"), F.count_if(F.col("drop_reason").isNull()).alias("rows_out"), *counts)
+    tagged, seen = C.watched(pairs.withColumn("drop_reason", reason), ("other_model", "value_missing", "flagged"))
     matched = matching.matched_views(tagged.where("drop_reason is null"), models, mask, ("valid_time", "station_id", "variable", "lead_hours"))
     by = ["month", "comparison_id", "model", "variable", "lead_hours", "day"]
-    return metrics.error_stats(matched.withColumn("day", F.to_date("valid_time")), by).select(SCORES.names)
+    return metrics.error_stats(matched.withColumn("day", F.to_date("valid_time")), by).select(SCORES.names), seen
 
 
 def within(months: list[str]):
@@ -90,11 +88,10 @@ def run(spark: SparkSession, pairs: str, out: str, config: dict) -> dict:
     common.said(JOB, read=pairs, version=version, pending=months, without_time=without_time)
     if not pending:
         return {"months": [], "rows_in": 0, "rows_out": 0, "dropped": {}, "without_time": without_time}
-    seen = Observation()
+    made, seen = scores(rows.where(within(months)), config)
     marks = spark.createDataFrame([(m, 0) for m in months], "month string, n_pairs long").select(*(F.col(f.name) if f.name in ("month", "n_pairs") else F.lit(None).cast(f.dataType).alias(f.name) for f in SCORES))
-    write_months(scores(rows.where(within(months)), config, seen).unionByName(marks), f"{out}/scores")
-    counts = dict(seen.get)
-    record = C.reconcile(JOB, counts.pop("rows_in"), counts.pop("rows_out"), counts)
+    write_months(made.unionByName(marks), f"{out}/scores")
+    record = C.reconciled(JOB, seen)
     if record["rows_in"] != sum(r["rows_in"] for r in pending):
         raise C.ReconciliationError(f"{JOB}: the input changed while it was read: {sum(r['rows_in'] for r in pending)} rows digested, {record['rows_in']} scored")
     write_months(spark.createDataFrame([tuple(r[n] for n in LEDGER.names) for r in pending], LEDGER), f"{out}/ledger")

@@ -109,10 +109,8 @@ def test_inputs_without_rows_or_columns(spark, tmp_path):
 
 
 def test_one_scan_and_one_shuffle_serve_all_comparisons(spark, sf_dir):
-    from pyspark.sql import Observation
-
     rows = monthly_scores.read_pairs(spark, f"{sf_dir}/lineitem.parquet", common.default_config(monthly_scores.__file__)["columns"])
-    plan = monthly_scores.scores(rows.where(monthly_scores.within(["1995-01", "1995-02"])), common.default_config(monthly_scores.__file__), Observation())._jdf.queryExecution()
+    plan = monthly_scores.scores(rows.where(monthly_scores.within(["1995-01", "1995-02"])), common.default_config(monthly_scores.__file__))[0]._jdf.queryExecution()
     text = plan.executedPlan().toString()
     assert text.count("FileScan parquet") == 1 and text.count("Join") == 0 and text.count("Exchange hashpartitioning") == 2  # keys, then sums
     assert "PushedFilters: [" in text and "GreaterThanOrEqual(l_shipdate" in text

@@ -265,3 +265,17 @@ def test_paired_rows_scan_their_view_once(spark, sf_dir):
     assert len({line.split("Location")[0] for line in plan.splitlines() if "FileScan parquet" in line}) >= 1
     tests_of = plan.count("FlatMapGroupsInPandas")
     assert plan.count("FileScan parquet") == tests_of  # every branch that ranks the tests repeats the one scan, and exchanges are reused
+
+
+def test_a_fact_is_reconciled_by_the_job_that_writes_it(spark, sf_dir, tmp_path):
+    args = A.forecast_points(spark, sf_dir), A.obs_qc(spark, sf_dir), A.event_stations(spark, sf_dir)
+    fact, seen = matching.build_fact_watched(*args, "1", min_clean_hours=12)
+    fact.write.parquet(f"{tmp_path}/fact")
+    record = C.reconciled("fact", seen)
+    assert record == matching.check_fact(matching.tagged_pairs(*args, min_clean_hours=12)) and all(record["dropped"].values())
+    assert record["rows_out"] == spark.read.parquet(f"{tmp_path}/fact").count() == matching.build_fact(*args, "1", min_clean_hours=12).count()
+    tagged = spark.createDataFrame([("other",), (None,)], "drop_reason string")
+    odd, seen = C.watched(tagged, ["known"])
+    odd.count()
+    with pytest.raises(C.ReconciliationError):
+        C.reconciled("odd", seen)

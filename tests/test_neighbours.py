@@ -53,7 +53,7 @@ def test_close_stations_do_not_meet_all(spark):
     places = geo._placed(df)[1]
     looking = geo._search_radius(places, 5, 300.0, 4)
     levels = {x["level"]: x["count"] for x in looking.groupBy("level").count().collect()}
-    assert set(levels) == {3, 2} and levels[3] > 0.95 * n
+    assert set(levels) <= {1, 2, 3} and levels[3] > 0.95 * n
     met = sum(geo.near_pairs(looking.where(F.col("level") == l), places, 300.0 / 4**l).count() for l in levels)
     assert met < 0.02 * n * n
     assert geo.knn_pairs(df).count() == 5 * n
