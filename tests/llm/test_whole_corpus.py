@@ -91,3 +91,15 @@ def test_chrome_and_main_text_have_words_of_their_own():
         for b in html_extract.leaves(maker.page()):
             (main if maker.MARK in b.text else other).update(w.strip(",.!?" + maker.MARK).lower() for w in b.text.split())
     assert other & own and not main & (own - set(maker.words))
+
+
+def test_walk_of_a_cycle_takes_few_checkpoints(spark, monkeypatch):
+    """Three hosts in a cycle: masses of the closed formula, from a dozen blocks of steps."""
+    made = []
+    monkeypatch.setattr(url_filter, "materialise", lambda df, real=url_filter.materialise: made.append(1) or real(df))
+    seeds = spark.createDataFrame([("trust", "a", 1.0), ("distrust", "a", 0.0)], "kind string, host string, seed double")
+    edges = spark.createDataFrame([("trust", "a", "b"), ("trust", "b", "c"), ("trust", "c", "a")], "kind string, src string, dst string")
+    got = {(r["kind"], r["host"]): r["mass"] for r in url_filter.walk(seeds, edges).collect()}
+    first = 0.15 / (1 - 0.85**3)
+    assert got == {("trust", h): pytest.approx(first * 0.85**n, rel=1e-6) for n, h in enumerate("abc")}
+    assert len(made) <= 15
