@@ -11,10 +11,10 @@ Words are runs of letters: ASCII letters in lower case and all bytes from 0x80 o
 words, each with the blank behind it, and contexts begin at the blank before a word. The language with the shortest code wins (ties: the smaller name), and the
 score is its share of 2 ** -length over all languages.
 
-Training takes a bounded sample: of each label's training rows the ``per_language`` with the smallest
-digest of id and text, in whole; of their distinct words the ``MOST_LEARNED`` most frequent ones of each
-label, and the ``MOST_LABELS`` labels with most rows. Words are counted in Spark; only counts reach the
-driver. All else covers whole texts of all rows.
+Training takes a bounded sample of rows: of each label's training rows those with the smallest digest of id and text, in
+whole, ``per_language`` of each, or an equal share of ``MOST_ROWS`` where there are more labels than that allows, one
+at least. All labels and all words of these rows are learned. Words are counted in Spark; only counts reach the driver. All else
+covers whole texts of all rows.
 
 Defined cases: a text that is null, empty or without a letter (a character of Unicode's letter classes)
 gives ``und`` with score 0; without any labelled training row every text does; rows with null labels are
@@ -38,7 +38,7 @@ from .blocks import Vocabulary, release, text_blocks
 from .common import ship
 
 ORDER, PER_LANGUAGE, UNDETERMINED = 4, 1000, "und"
-MOST_LEARNED, MOST_LABELS = 200_000, 500
+MOST_ROWS = 16_000
 BLOCK_BYTES, MOST_WORDS = 2 << 20, 1 << 18
 _LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
@@ -217,17 +217,16 @@ def _sample(labelled: DataFrame, counts: dict[str, int], per_language: int) -> D
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", per_language: int = PER_LANGUAGE) -> ContextTrees:
-    """Context trees of the labels of ``docs`` from at most ``per_language`` whole rows of each."""
+    """Context trees of all labels of ``docs`` from at most ``per_language`` whole rows of each, ``MOST_ROWS`` in all (or one each)."""
     ship(docs.sparkSession)
     labelled = docs.select(F.col(id_col).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
-    most = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(MOST_LABELS)
-    counts = {r["lang"]: r["n"] for r in most.collect()}
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").collect()}  # a row a label
+    per_language = max(1, min(per_language, MOST_ROWS // max(1, len(counts))))
     words: dict[str, Counter] = {k: Counter() for k in counts}
 
     def learn(sample: DataFrame) -> set[str]:
         found = sample.mapInArrow(_word_counts, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-        nth = F.row_number().over(W.partitionBy("lang").orderBy(F.col("n").desc(), "word"))
-        rows = found.withColumn("nth", nth).where(F.col("nth") <= MOST_LEARNED).drop("nth").toArrow()
+        rows = found.toArrow()
         for k, w, n in zip(*(rows.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True):
             words[k][w] = n
         return {k for k, v in words.items() if v}

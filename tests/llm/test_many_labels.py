@@ -1,0 +1,27 @@
+"""No label and no word is left out, however many labels there are; the rows that are learned from are bounded."""
+
+import random
+
+from gaugemark.llm import language_id
+from gaugemark.llm.common import table
+
+
+def test_no_label_is_dropped_and_rows_are_bounded(spark, monkeypatch):
+    r = random.Random(6)
+    stems = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4)) for _ in range(520)]
+    rows = [(n * 10 + k, " ".join(stems[n] + r.choice("xyz") for _ in range(5)), f"l{n:03d}") for n in range(520) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    monkeypatch.setattr(language_id, "MOST_ROWS", 1040)
+    taken = []
+    monkeypatch.setattr(language_id, "_sample", lambda labelled, counts, n, real=language_id._sample: taken.append(n) or real(labelled, counts, n))
+    trees = language_id.train(docs)
+    assert len(trees.languages) == 520 and taken[0] == 2
+    got = language_id.identify(docs.where("doc_id % 10 = 0"), trees).select("lang", "lang_pred").collect()
+    assert sum(a == b for a, b in got) >= 510
+
+
+def test_bounds_do_not_touch_a_few_languages(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    few = language_id.train(docs)
+    assert few.languages == sorted({x["lang"] for x in docs.select("lang").distinct().collect()} - {None})
+    assert len(few.languages) * language_id.PER_LANGUAGE <= language_id.MOST_ROWS
