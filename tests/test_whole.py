@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gaugemark.functions import student
 from gaugemark.plans import adapters as A
+from gaugemark.plans import registry
 from gaugemark.plans.queries import ORACLES, QUERIES
 from gaugemark.sources import gridindex
 
@@ -50,6 +51,7 @@ def test_paired_results_cover_every_lead(spark):
     rows = QUERIES["results_paired"](spark, SF).collect()
     want = {(m, f"{a}-{b}", 24 * k) for m in ("mae", "rmse", "bias") for a, b in ("AN", "AR", "NR") for k in range(1, 8)}
     assert {(r["metric"], r["model"], r["lead_hours"]) for r in rows} == want and len(rows) == len(want) and all(r["n_family"] == len(want) for r in rows)
+    rows = registry.paired_rows(A.pairs(spark, SF), ["A", "N", "R"], "test").collect()  # the query rounds
     ranked, p_adj = sorted(rows, key=lambda r: r["p_raw"]), 1.0
     for k in range(len(ranked), 0, -1):
         p_adj = min(p_adj, ranked[k - 1]["p_raw"] * len(ranked) / k)
@@ -60,7 +62,7 @@ def test_all_events_and_orders_count(spark, duck):
     days = equals_sql(spark, duck, "source_coverage")
     assert sum(r[3] for r in days) == duck.sql("SELECT count(*) FROM (SELECT DISTINCT event_type, ts::DATE FROM events WHERE ts >= '2023-12-15' AND ts < '2024-02-01')").fetchall()[0][0]  # columns by name: cell, expected, month, present
     rain = equals_sql(spark, duck, "precip24_fcst")
-    assert {r[1] for r in rain} == set(range(6, 126, 6))  # every lead, also those of orders divisible by five
+    assert {r[1] for r in rain} == set(range(3, 123, 3))  # every lead, also those of orders divisible by five
 
 
 def test_gaps_of_days(spark):
@@ -72,12 +74,12 @@ def test_gaps_of_days(spark):
 
 
 def test_holes_in_leads(spark, tmp_path):
-    """Orders 0..19 of one station and run, without the one of lead 60."""
-    rows = ", ".join(f"({k}, {28 + model}, {1000.0 * (k + 1)}, TIMESTAMP '2024-01-05')" for k in range(20) if k != 9 for model in (0, 1))
+    """Orders 0..39 of one station and run, a lead every three hours, without the one of lead 60."""
+    rows = ", ".join(f"({k}, {28 + model}, {1000.0 * (k + 1)}, TIMESTAMP '2024-01-05')" for k in range(40) if k != 19 for model in (0, 1))
     duckdb.sql(f"COPY (SELECT * FROM (VALUES {rows}) t(o_orderkey, o_custkey, o_totalprice, o_orderdate)) TO '{tmp_path}/orders.parquet'")
     got = {(r["model"], r["lead_hours"]): r["precip_24h"] for r in QUERIES["precip24_fcst"](spark, str(tmp_path)).collect()}
-    leads = [k for k in range(6, 126, 6) if k != 60]
-    step = {k: k / 6 for k in leads}  # the value at each lead
+    leads = [k for k in range(3, 123, 3) if k != 60]
+    step = {k: k / 3 for k in leads}  # the value at each lead
     want = {("aifs", k): (None if k < 24 or k - 24 == 60 else step[k] - (step[k - 24] if k > 24 else 0)) for k in leads}
     want |= {("gfs", k): (None if k < 24 or 60 in range(k - 18, k + 1, 6) else sum(step[x] for x in range(k - 18, k + 1, 6))) for k in leads}
     assert got == want
