@@ -4,9 +4,10 @@
    distinct pre-tokens by falling frequency; a document becomes the sequence of these numbers, one
    for each position. One exchange sends the block's distinct words to the buckets of their hashes
    and its documents to the block's own partition.
-2. All blocks' copies of a word meet in one bucket, where it is encoded once. Buckets grow in number
-   with the input, so a bucket's words stay few; beyond ``MOST_WORDS`` of them, which is a guard of the
-   memory only, they are forgotten and encoded anew.
+2. All blocks' copies of a word meet in one bucket, where it is encoded once. The buckets' number follows
+   the bytes of the input, not its splits, and is bounded, so that a block sends a few thousand rows of
+   words at most however many partitions there are. Beyond ``MOST_WORDS`` words of a bucket, which is a
+   guard of the memory only, they are forgotten and encoded anew.
 3. The ids go back to their blocks in a second exchange and meet the documents, which wait in the first
    one (it is read twice, not computed twice): positions move once. Documents are put together again.
 Decoding looks ids up in the token-byte table, whose size the vocabulary bounds.
@@ -43,6 +44,8 @@ from .common import partitions, ship
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 BLOCK_BYTES, MOST_WORDS = 4 << 20, 1 << 19
 GROUP_DOCS, SHORT_BYTES = 256, 48
+#: A bucket of words for so many bytes of input, within these numbers. A block of 4 MB has some 40,000 distinct words.
+BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 64 << 20, 256, 2048
 _WORDS, _LAYOUT, _DOCUMENTS = 0, 1, 2
 
 
@@ -133,6 +136,16 @@ def _unpack(data: bytes) -> list[bytes]:
     return [data[a:b] for a, b in zip([4 + n, *ends], ends, strict=False)]
 
 
+def word_buckets(size: int) -> int:
+    """Buckets of words for an input of ``size`` bytes."""
+    return min(max(size // BUCKET_BYTES, LEAST_BUCKETS), MOST_BUCKETS)
+
+
+def _size(df: DataFrame) -> int:
+    """Catalyst's estimate of the bytes of ``df``; very large where it knows nothing, as behind a checkpoint."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def _split(buckets: int, id_type: pa.DataType):
     """Documents -> rows of words by bucket, and by block its layout and its documents, a few in a row."""
     schema = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("kind", pa.int8()), ("bucket", pa.int32()), ("ids", pa.list_(id_type)), ("data", pa.binary())])
@@ -276,7 +289,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: st
     id_type = only.schema["id"].dataType
     arrow_id = to_arrow_type(id_type)
     schema = T.StructType([T.StructField(x, t) for x, t in (("part", T.LongType()), ("block", T.LongType()), ("kind", T.ByteType()), ("bucket", T.IntegerType()), ("ids", T.ArrayType(id_type)), ("data", T.BinaryType()))])
-    rows = only.mapInArrow(_split(2 * n, arrow_id), schema).repartition(n, "part")
+    rows = only.mapInArrow(_split(word_buckets(_size(docs)), arrow_id), schema).repartition(n, "part")
     words = rows.mapInArrow(_encode_words(table), "block long, bucket int, data binary").repartition(n, "block")
     out = T.StructType([T.StructField(id_col, id_type), T.StructField("ids", T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.BinaryType())] if decoded else [])])
     return words.groupBy("block").cogroup(rows.groupBy("part")).applyInArrow(_reassembled(arrow_id, id_col, table, decoded), out)
