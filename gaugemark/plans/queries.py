@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import contracts as C
 from ..operators import bootstrap, geo, matching, metrics, qc, strata, tests
 from ..operators.ranges import RANGES
-from ..sources import gridindex, indices, observations, stations as station_sources
+from ..sources import gridindex, indices, observations, sinks, stations as station_sources
 from . import adapters as A
 from . import registry
 
@@ -807,3 +808,102 @@ def grid_rain(spark, sf_dir):
     fields = _fields(spark, ("tp", 1)).withColumn("units", F.when(F.col("lead_hours") == 24, "m").otherwise("kg m-2"))
     points = matching.precip_points(fields, geo.nearest_nodes(A.stations(spark, sf_dir), _grid(spark)))
     return points.select("station_id", "lead_hours", F.round("value", 6).alias("value"))
+
+
+@_query(f"""WITH {A.MONTHLY}, {_MATCHED} SELECT model, count(*) AS n, round(sum(fcst), 4) AS fcst, count(*) AS n_csv, round(sum(obs), 4) AS obs, (SELECT count(*) FROM matched) AS n_rows, (SELECT count(*) FROM k) AS n_keys, 'test' AS ingest_version FROM matched GROUP BY 1""")
+def stored_view(spark, sf_dir):
+    """A matched view as Parquet with a manifest and metadata, and as CSV; both are read back."""
+    path = sinks.new_folder(spark, "stored_view")
+    view = matching.matched_view(A.monthly_pairs(spark, sf_dir), ["R", "A", "N"], 1)
+    manifest = json.loads(sinks.write_view(view, path, ["valid_time", "station_id", "variable"], ingest_version="test"))
+    back = spark.read.parquet(f"{path}/view")
+    sinks.write_csv(back.select("model", "obs"), f"{path}/csv")
+    lines = spark.read.csv(f"{path}/csv", header=True, schema="model string, obs double").groupBy("model").agg(F.count(F.lit(1)).alias("n_csv"), F.round(F.sum("obs"), 4).alias("obs"))
+    sums = back.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("fcst"), 4).alias("fcst"))
+    told = {"n_rows": F.lit(manifest["rows"]), "n_keys": F.lit(manifest["keys"]), "ingest_version": F.lit(back.schema["obs"].metadata["ingest_version"])}
+    return sums.join(lines, "model").withColumns(told)
+
+
+@_query(f"WITH {A.PAIRS} SELECT strftime(day, '%Y-%m') AS month, count(*) AS n, count(DISTINCT station_id) AS n_stations, round(sum(obs), 4) AS obs FROM pairs GROUP BY 1")
+def stored_months(spark, sf_dir):
+    """Pairs written by month, sorted by station within files, and read back by their partitions."""
+    path = sinks.new_folder(spark, "stored_months")
+    sinks.write_table(A.pairs(spark, sf_dir).withColumn("month", F.date_format("day", "yyyy-MM")), path, ["month"], ["station_id"])
+    back = spark.read.option("basePath", path).schema("station_id string, obs double, month string").parquet(path)
+    return back.groupBy("month").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("station_id").alias("n_stations"), F.round(F.sum("obs"), 4).alias("obs"))
+
+
+@_query("""WITH e AS (SELECT o_custkey AS k, o_orderdate AS t, sum(o_orderkey)::BIGINT AS bytes, max(o_orderstatus) AS s FROM orders GROUP BY 1, 2), n AS (SELECT k, arg_max(bytes, t) AS bytes, arg_max(s, t) AS s FROM e GROUP BY 1)
+SELECT 'orders/' || c_custkey AS url, bytes, CASE s WHEN 'F' THEN 'fetched' WHEN 'O' THEN 'failed' WHEN 'P' THEN 'pruned' END AS status, coalesce(s = 'O', true) AS pending FROM customer LEFT JOIN n ON k = c_custkey""")
+def manifest_append(spark, sf_dir):
+    """A manifest of older files takes newer ones; what is then still to fetch."""
+    o, wanted = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer"))
+    status = F.element_at(F.create_map(*map(F.lit, ("F", "fetched", "O", "failed", "P", "pruned"))), F.max("o_orderstatus"))
+    made = o.groupBy(F.concat(F.lit("orders/"), F.col("o_custkey")).alias("url"), F.col("o_orderdate").cast("timestamp").alias("downloaded_at")).agg(F.sum("o_orderkey").alias("bytes"), status.alias("status"))
+    entries = made.select(*((F.col(f.name) if f.name in made.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in C.MANIFEST))
+    late = F.year("downloaded_at") >= 1996
+    manifest = sinks.append_manifest(entries.where(~late), entries.where(late))
+    urls = wanted.select(F.concat(F.lit("orders/"), F.col("c_custkey")).alias("url"))
+    pending = sinks.to_fetch(urls, manifest).withColumn("pending", F.lit(True))
+    return urls.join(manifest.select("url", "bytes", "status"), "url", "left").join(pending, "url", "left").withColumn("pending", F.coalesce("pending", F.lit(False)))
+
+
+@_query("""WITH f AS (SELECT (l_orderkey * 7 + l_linenumber) % 64 AS f FROM lineitem) SELECT concat_ws(',', CASE WHEN f & 1 > 0 THEN 'RANGE' END, CASE WHEN f & 2 > 0 THEN 'STEP' END, CASE WHEN f & 4 > 0 THEN 'PERSISTENCE' END, CASE WHEN f & 8 > 0 THEN 'SPATIAL' END, CASE WHEN f & 16 > 0 THEN 'METADATA' END, CASE WHEN f & 32 > 0 THEN 'DUPLICATE' END) AS names,
+f & 3 = 0 AS clean, count(*) AS n FROM f GROUP BY 1, 2""")
+def flag_names(spark, sf_dir):
+    """Rows by the names of their QC bits, and whether range and step find them clean."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(((F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 64).cast("int").alias("f"))
+    return rows.groupBy(F.array_join(C.describe(F.col("f")), ",").alias("names"), C.is_clean(F.col("f"), C.RANGE | C.STEP).alias("clean")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query(f"""WITH {A.STATIONS}, c AS (SELECT CASE WHEN status <> 'included' THEN 'none' WHEN NOT (lat BETWEEN -29 AND -27 AND lon BETWEEN -54 AND -51) THEN 'outside_bbox' WHEN network = 'isd' THEN 'out_of_scope' WHEN abs(elev_station - elev_dem) > 80 THEN 'elev_diff_gt_80m' ELSE 'none' END AS cause, status FROM stations)
+SELECT CASE cause WHEN 'none' THEN status WHEN 'elev_diff_gt_80m' THEN 'review' ELSE 'excluded' END AS status, nullif(cause, 'none') AS reason, count(*) AS n FROM c GROUP BY 1, 2""")
+def station_status(spark, sf_dir):
+    """Stations by status and folded reason after the box, a network that is out of scope, and the terrain check."""
+    boxed = geo.clip_bbox(A.stations(spark, sf_dir), (-29.0, -27.0), (-54.0, -51.0))
+    return station_sources.status_counts(geo.review_elevation(geo.exclude_network(boxed, "isd", "out_of_scope:isd"), 80.0))
+
+
+@_query(f"WITH {A.STATIONS} SELECT station_id, name, status FROM stations WHERE station_id = '17' OR contains(upper(name), '17')")
+def station_search(spark, sf_dir):
+    return station_sources.find_station(A.stations(spark, sf_dir), "17").select("station_id", "name", "status")
+
+
+@_query(f"WITH {A.ORDER_OBS} SELECT station_id, count(*) AS n, min(valid_time)::DATE AS first_day, max(valid_time)::DATE AS last_day, round(avg(value), 6) AS value FROM order_obs WHERE valid_time::DATE BETWEEN '1995-03-01' AND '1996-02-29' GROUP BY 1")
+def obs_window(spark, sf_dir):
+    clipped = observations.clip_window(A.order_obs(spark, sf_dir), "1995-03-01", "1996-02-29")
+    return clipped.groupBy("station_id").agg(F.count(F.lit(1)).alias("n"), F.to_date(F.min("valid_time")).alias("first_day"), F.to_date(F.max("valid_time")).alias("last_day"), F.round(F.avg("value"), 6).alias("value"))
+
+
+@_query(f"WITH {A.FORECASTS} SELECT model, variable, valid_time::DATE AS day, count(*) AS n, round(avg(CASE variable WHEN 't2m' THEN coalesce({_ADJUSTED}, value) ELSE value END), 6) AS fcst FROM tagged WHERE drop_reason IS NULL GROUP BY 1, 2, 3")
+def fcst_input(spark, sf_dir):
+    """The forecast that errors are made of, adjusted for temperature only, by day."""
+    fact = matching.build_fact(A.forecast_points(spark, sf_dir), A.obs_qc(spark, sf_dir), A.event_stations(spark, sf_dir), "test", min_clean_hours=12)
+    return metrics.forecast_column(fact).groupBy("model", "variable", "day").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("fcst"), 6).alias("fcst"))
+
+
+@_query(f"""WITH r AS (SELECT o_orderkey AS k, date_trunc('day', o_orderdate) + to_hours(6 * (o_orderkey % 4)) AS init, (o_orderkey % 40 * 3)::INT AS lead FROM orders) SELECT k, '{gridindex.GFS_BASE}/gfs.' || strftime(init, '%Y%m%d/%H') || '/atmos/gfs.t' || strftime(init, '%H') || 'z.pgrb2.0p25.f' || lpad(lead::VARCHAR, 3, '0') AS gfs,
+'{gridindex.ECMWF_BASE}/' || strftime(init, '%Y%m%d/%H') || 'z/ifs/0p25/oper/' || strftime(init, '%Y%m%d%H') || '0000-' || lead || 'h-oper-fc.grib2' AS hres, 'bytes=' || k || '-' || CASE WHEN k % 7 > 0 THEN (2 * k + 9)::VARCHAR ELSE '' END AS bytes FROM r""")
+def run_urls(spark, sf_dir):
+    """Addresses of runs and leads, with byte ranges, the last of a file open."""
+    k, lead = F.col("k"), F.col("lead")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"), (F.date_trunc("day", F.col("o_orderdate").cast("timestamp")) + F.make_dt_interval(hours=(F.col("o_orderkey") % 4 * 6).cast("int"))).alias("init"), (F.col("o_orderkey") % 40 * 3).cast("int").alias("lead"))
+    return o.select("k", gridindex.gfs_url(F.col("init"), lead).alias("gfs"), gridindex.ecmwf_url(F.col("init"), lead, "hres").alias("hres"), gridindex.http_range(k, F.when(k % 7 > 0, 2 * k + 10)).alias("bytes"))
+
+
+#: The automatic block length: autocovariances, the first lag from which five in a row are small, the flat-top sums.
+_BLOCKS = """e AS (SELECT model, lead_hours, day, avg(fcst - obs) AS x FROM pairs GROUP BY 1, 2, 3),
+c AS (SELECT model, lead_hours, x - avg(x) OVER g AS x, row_number() OVER (PARTITION BY model, lead_hours ORDER BY day) AS t, count(*) OVER g AS n, max(x) OVER g > min(x) OVER g AS varies FROM e WINDOW g AS (PARTITION BY model, lead_hours)),
+z AS (SELECT model, lead_hours, any_value(n) AS n, any_value(varies) AS varies, ceil(sqrt(any_value(n)))::BIGINT + 5 AS far FROM c GROUP BY 1, 2),
+v AS (SELECT a.model, a.lead_hours, b.t - a.t AS k, sum(a.x * b.x) / any_value(z.n) AS cov FROM c a JOIN c b USING (model, lead_hours) JOIN z USING (model, lead_hours) WHERE b.t BETWEEN a.t AND a.t + 2 * far GROUP BY 1, 2, 3),
+s AS (SELECT v.*, abs(cov) <= 2 * sqrt(log10(n) / n) * (first_value(cov) OVER (PARTITION BY model, lead_hours ORDER BY k)) AS small, n, far FROM v JOIN z USING (model, lead_hours)),
+w AS (SELECT *, bool_and(small) OVER r AND count(*) OVER r = 5 AS quiet FROM s WHERE k > 0 WINDOW r AS (PARTITION BY model, lead_hours ORDER BY k ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+o AS (SELECT model, lead_hours, n, varies, least(2 * coalesce(min(k - 1) FILTER (quiet AND k - 1 <= w.far), any_value(z.far)), n - 1) AS b FROM z LEFT JOIN w USING (model, lead_hours, n) GROUP BY 1, 2, 3, 4),
+f AS (SELECT model, lead_hours, n, varies, b, sum(CASE WHEN k > 0 THEN 2 ELSE 1 END * least(1, 2 - 2 * k / b) * cov) FILTER (k <= b) AS spectrum, sum(2 * k * least(1, 2 - 2 * k / b) * cov) FILTER (k <= b) AS curve FROM o LEFT JOIN v USING (model, lead_hours) GROUP BY 1, 2, 3, 4, 5),
+l AS (SELECT model, lead_hours, n, CASE WHEN n < 4 OR NOT varies OR b = 0 OR spectrum = 0 THEN 1 ELSE least(greatest(cbrt(2 * n * curve * curve / (4 / 3 * spectrum * spectrum)), 1), ceil(least(3 * sqrt(n), n / 3))) END AS best FROM f)"""
+
+
+@_query(f"WITH {A.PAIRS}, {_BLOCKS} SELECT model, lead_hours, n::INT AS n_days, least(n, greatest(ceil(best), 2), 30)::INT AS block_len_days FROM l")
+def block_lengths(spark, sf_dir):
+    """Automatic lengths of the bootstrap's blocks."""
+    return bootstrap.block_bootstrap(A.pairs(spark, sf_dir), ["model", "lead_hours"], ["bias"], n_boot=N_BOOT).select("model", "lead_hours", "n_days", "block_len_days")

@@ -6,15 +6,15 @@ import argparse
 import json
 import logging
 import sys
-import tempfile
 from collections.abc import Callable, Mapping
 from pathlib import Path
-from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
+from gaugemark.sources.sinks import new_folder  # noqa: F401  jobs take it from here
+
 log = logging.getLogger("jobs")
 
 
@@ -43,16 +43,6 @@ def read_if_there(spark: SparkSession, path: str, schema: T.StructType) -> DataF
         return spark.createDataFrame([], schema)
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A folder of a new name under ``spark.checkpoint.dir``; only in local mode, where that is unset, under the temporary folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.gettempdir()
-    return f"{shared.rstrip('/')}/{name}-{uuid4().hex}"
-
-
 def command_line(job: str, module: str, inputs: Mapping[str, str], run: Callable) -> None:
     """Parse paths and configuration, run the job in a session of its own, stop it. ``inputs``: option -> help."""
     parser = argparse.ArgumentParser(prog=f"python -m jobs.{job}")
