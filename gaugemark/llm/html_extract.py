@@ -12,7 +12,8 @@ or cut-off markup. It never sees the tables. Its size and its training are fixed
 worker's memory is bounded by a batch of pages.
 
 Defined cases: null or empty html gives the empty text; scripts, styles, markup comments, the head and
-other unseen elements are never text; unclosed and stray tags are tolerated; a head ends before the
+other unseen elements are never text, nor are elements below the body with the attribute ``hidden`` or a style
+of their own that hides them; unclosed and stray tags are tolerated; a head ends before the
 first text or element that cannot stand in one; an svg, math, select, object, canvas or template
 without its end tag ends with its parent or before the next block; a page without main blocks gives
 the empty text; very long pages are read in whole; repeated rows are separate.
@@ -60,6 +61,20 @@ _ANY_SKIPPED = re.compile(rf"<(?:{'|'.join(sorted(_SKIPPED))})\b", re.I)
 _WORD = re.compile(r"\w+|[^\w\s]")
 _PARTS = re.compile(r"[\s_-]+")
 
+_VALUE = re.compile(r"=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+)")
+_STYLE = re.compile(r"""(?<![\w-])style\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++))""")
+_HIDES = re.compile(r"(?<![\w-])(?:display\s*+:\s*+none|visibility\s*+:\s*+hidden)\b")
+
+
+def _hidden(attributes: str) -> bool:
+    """Whether a tag's attributes hide its element: ``hidden``, or display or visibility in its style."""
+    low = attributes.lower()
+    if "hidden" not in low and "none" not in low:
+        return False
+    if any(_HIDES.search(x) for m in _STYLE.finditer(low) for x in m.groups() if x):
+        return True
+    return "hidden" in _VALUE.sub("= ", low).replace("hidden=", "hidden ").rstrip("/").split()
+
 
 class Leaf:
     """A block: the bins of its path's marks, how many marks, its text, characters within links."""
@@ -101,7 +116,7 @@ def leaves(html: str) -> list[Leaf]:
     """The page's text blocks in order. The path of open elements is kept as a count for each bin of its ``tag`` and
     ``.name`` marks, which opening and closing an element change, so the time does not grow with the depth."""
     out: list[Leaf] = []
-    stack: list[tuple[str, tuple[int, ...], int]] = []
+    stack: list[tuple[str, tuple[int, ...], int, bool]] = []
     path: dict[int, int] = {}  # bin -> how many open marks fall into it
     depth = 0
     open_tags: dict[str, int] = {}
@@ -120,7 +135,7 @@ def leaves(html: str) -> list[Leaf]:
 
     def pop() -> str:
         nonlocal in_link, unseen, loose, depth
-        tag, bins, marks = stack.pop()
+        tag, bins, marks, hides = stack.pop()
         open_tags[tag] -= 1
         for i in bins:
             if path[i] == 1:
@@ -130,7 +145,7 @@ def leaves(html: str) -> list[Leaf]:
         depth -= marks
         loose -= tag in _SKIPPED
         in_link -= tag == "a"
-        unseen -= tag in _UNSEEN
+        unseen -= hides
         return tag
 
     at, end = 0, len(html)
@@ -191,10 +206,11 @@ def leaves(html: str) -> list[Leaf]:
             for i in bins:
                 path[i] = path.get(i, 0) + 1
             depth += marks
-        stack.append((tag, bins, marks))
+        hides = tag in _UNSEEN or bool(m[3]) and tag not in ("html", "body") and _hidden(m[3])
+        stack.append((tag, bins, marks, hides))
         open_tags[tag] = open_tags.get(tag, 0) + 1
         in_link += tag == "a"
-        unseen += tag in _UNSEEN
+        unseen += hides
         loose += tag in _SKIPPED
     flush()
     return out
