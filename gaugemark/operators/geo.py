@@ -49,10 +49,11 @@ def _placed(stations: DataFrame) -> tuple[DataFrame, DataFrame]:
     return at, at.groupBy("place").agg(F.first("lat").alias("lat"), F.first("lon").alias("lon"), F.count(F.lit(1)).alias("n")).withColumnRenamed("place", "station_id")  # all rows of a place are alike
 
 
-def _search_radius(places: DataFrame, k: int, radius_km: float, levels: int) -> DataFrame:
+def _search_radius(places: DataFrame, k: int, radius_km: float, levels: int, among: DataFrame | None = None) -> DataFrame:
     """``places`` with ``level``: a cell of the level's radius across, around the place, holds k other stations, so no near neighbour is farther.
 
-    Level 0 is the whole radius, each next one a quarter of it; the finest that suffices is taken.
+    Level 0 is the whole radius, each next one a quarter of it; the finest that suffices is taken. With ``among``, places of
+    other stations, the cell holds k of theirs.
     """
     side = [radius_km / 4**l / math.sqrt(2) * 0.999 / _KM_PER_DEGREE for l in range(levels)]  # in degrees of latitude
 
@@ -65,12 +66,18 @@ def _search_radius(places: DataFrame, k: int, radius_km: float, levels: int) ->
     fine = [cell_of(l) for l in range(1, levels)]
     if not fine:
         return places.withColumn("level", F.lit(0))
-    dealt = places.select("station_id", "n", F.explode(F.array(*fine)).alias("x")).select("station_id", "n", "x.*")
-    full = dealt.groupBy("level", "b", "c").agg(F.sum("n").alias("m")).where(F.col("m") > k).select("level", "b", "c")
-    best = dealt.join(full, ["level", "b", "c"]).groupBy("station_id").agg(F.max("level").alias("level"))
+    deal = lambda at: at.select("station_id", "n", F.explode(F.array(*fine)).alias("x")).select("station_id", "n", "x.*")
+    least = k + 1 if among is None else k  # a place's own station does not count
+    full = deal(places if among is None else among).groupBy("level", "b", "c").agg(F.sum("n").alias("m")).where(F.col("m") >= least).select("level", "b", "c")
+    best = deal(places).join(full, ["level", "b", "c"]).groupBy("station_id").agg(F.max("level").alias("level"))
     return places.join(best, "station_id", "left").withColumn("level", F.coalesce("level", F.lit(0)))
 
 
+def _levels_met(looking: DataFrame, places: DataFrame, radius_km: float, levels: int) -> DataFrame:
+    """``near_pairs`` of every place with those within its level's radius."""
+    return reduce(DataFrame.unionByName, (near_pairs(looking.where(F.col("level") == l), places, radius_km / 4**l) for l in range(levels)))
+
+
 def knn_pairs(stations: DataFrame, k: int = 5, radius_km: float = 300.0, levels: int = 4) -> DataFrame:
     """(station_id, neighbor_id, dist_km): the k nearest included stations within the radius, ties to the smaller id.
 
@@ -81,8 +88,7 @@ def knn_pairs(stations: DataFrame, k: int = 5, radius_km: float = 300.0, levels:
     first = F.row_number().over(W.partitionBy("place").orderBy("station_id"))
     ids = at.select("place", "station_id", first.alias("nth")).where(F.col("nth") <= k + 1).select(F.col("place").alias("id_r"), F.col("station_id").alias("neighbor_id"))
     looking = _search_radius(places, k, radius_km, levels)
-    found = reduce(DataFrame.unionByName, (near_pairs(looking.where(F.col("level") == l), places, radius_km / 4**l) for l in range(levels)))
-    near = found.join(ids, "id_r")
+    near = _levels_met(looking, places, radius_km, levels).join(ids, "id_r")
     best = F.row_number().over(W.partitionBy("id_l").orderBy("dist_km", "neighbor_id"))
     near = near.withColumn("rank", best).where(F.col("rank") <= k + 1).select(F.col("id_l").alias("place"), "neighbor_id", "dist_km", "rank")
     pairs = at.select("station_id", "place").join(near, "place").where("station_id <> neighbor_id")
@@ -90,13 +96,23 @@ def knn_pairs(stations: DataFrame, k: int = 5, radius_km: float = 300.0, levels:
     return pairs.withColumn("nth", rank).where(F.col("nth") <= k).select("station_id", "neighbor_id", "dist_km")
 
 
+def _nearest_other(of: DataFrame, among: DataFrame, max_km: float, name: str, levels: int = 3) -> DataFrame:
+    """(station_id, ``name``): of the stations ``among`` the nearest within ``max_km``, ties to the smaller id.
+
+    Stations of one place have the same nearest one and a place answers with its smallest id, so places meet, not stations.
+    """
+    (at, places), (others, other_places) = _placed(of), _placed(among)
+    first = others.groupBy(F.col("place").alias("id_r")).agg(F.min("station_id").alias("other"))
+    met = _levels_met(_search_radius(places, 1, max_km, levels, other_places), other_places, max_km, levels)
+    best = met.join(first, "id_r").groupBy(F.col("id_l").alias("place")).agg(F.min(F.struct("dist_km", "other")).alias("x"))
+    return at.join(best, "place").groupBy("station_id").agg(F.min("x").alias("x")).select("station_id", F.col("x.other").alias(name))
+
+
 def dedupe_networks(stations: DataFrame, max_km: float = 2.0, primary: str = "inmet", secondary: str = "isd") -> DataFrame:
     """Of included stations of two networks within ``max_km``: the secondary one is excluded, each refers to its nearest."""
     kept = stations.where("status = 'included'")
-    of = lambda name: kept.where(F.col("network") == name).select("station_id", "lat", "lon")
-    pairs = near_pairs(of(secondary), of(primary), max_km)
-    dup = pairs.groupBy(F.col("id_l").alias("station_id")).agg(F.min(F.struct("dist_km", "id_r")).alias("x")).select("station_id", F.col("x.id_r").alias("_dup"))
-    ref = pairs.groupBy(F.col("id_r").alias("station_id")).agg(F.min(F.struct("dist_km", "id_l")).alias("x")).select("station_id", F.col("x.id_l").alias("_ref"))
+    first, second = (kept.where(F.col("network") == name) for name in (primary, secondary))
+    dup, ref = _nearest_other(second, first, max_km, "_dup"), _nearest_other(first, second, max_km, "_ref")
     out = stations.join(dup, "station_id", "left").join(ref, "station_id", "left")
     is_dup = F.col("_dup").isNotNull()
     return out.withColumns({
