@@ -8,12 +8,13 @@ and draws by a matrix product. Rows are never gathered.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -158,70 +159,128 @@ def decomposition_bootstrap(df: DataFrame, by: Sequence[str], day: str = "day",
     return daily.groupBy(*by).applyInPandas(run, schema)
 
 
-#: Draws of a station that travel in one row; a task that takes medians holds so many values of each station.
-DRAWS_A_ROW = 64
+#: Draws and stations whose ratios travel in one row; a task that takes medians holds so many draws of every station.
+DRAWS_A_ROW, STATIONS_A_ROW = 16, 256
+
+
+@lru_cache(maxsize=2)  # stations of a group follow each other
+def _times_by_day(n: int, length: int, n_boot: int, seed: int, starts: str) -> np.ndarray:
+    """(days, 1 + draws): ``multiplicities`` by day, each day's in one stretch of memory, after a column of the days as they are."""
+    out = np.ones((n, n_boot + 1))
+    out[:, 1:] = multiplicities.__wrapped__(n, length, n_boot, seed, starts).T
+    return out
+
+
+def _starts(table: pa.Table, keys: Sequence[str]) -> np.ndarray:
+    """Where each run of rows with the same keys begins."""
+    new = np.zeros(table.num_rows, bool)
+    new[0] = True
+    for c in keys:
+        codes = table[c].combine_chunks().dictionary_encode("encode").indices.to_numpy()
+        new[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(new)
+
+
+def _day_moments(table: pa.Table, first: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+    """((mean, population variance) of fcst and of obs, smallest obs, largest obs) of each day; nulls do not count."""
+    moments, rows = [], np.diff(first, append=table.num_rows)
+    for c in ("fcst", "obs"):
+        x, valid = table[c].to_numpy(), table[c].is_valid().to_numpy()
+        with np.errstate(divide="ignore", invalid="ignore"):
+            n = np.add.reduceat(valid.astype(float), first)
+            mean = np.add.reduceat(np.where(valid, x, 0.0), first) / n
+            off = np.where(valid, x - np.repeat(mean, rows), 0.0)
+            moments.append((mean, np.add.reduceat(off * off, first) / n))
+    return moments, np.fmin.reduceat(x, first), np.fmax.reduceat(x, first)
+
+
+def _station_ratios(times: np.ndarray, at: np.ndarray, n: np.ndarray, moments: Sequence[tuple[np.ndarray, np.ndarray]], lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """std(fcst) / std(obs) of one station by column of ``times``, NaN where its observations are constant; inputs by day."""
+    times, columns = times[at], [n]
+    for mean, spread in moments:
+        off = mean - (n @ mean) / n.sum()
+        columns += [n * off, n * (spread + off * off)]
+    n, f, ff, o, oo = np.vstack(columns) @ times
+    with np.errstate(divide="ignore", invalid="ignore"):
+        var_f, var_o = (np.maximum((q - s * s / n) / (n - 1), 0) for s, q in ((f, ff), (o, oo)))
+        ratio = np.sqrt(var_f / var_o)
+    good = (n > 1) & np.isfinite(ratio)
+    # A spread near rounding may be none: only then the extremes of the drawn days are asked.
+    doubt = np.flatnonzero(good & (var_o <= 1e-9 * max(1.0, float(np.square([lo, hi]).max()))))
+    if len(doubt):
+        present = times[:, doubt] > 0
+        good[doubt] = np.where(present, lo[:, None], np.inf).min(axis=0) < np.where(present, hi[:, None], -np.inf).max(axis=0)
+    return np.where(good, ratio, np.nan)
 
 
 def variance_ratio_bootstrap(df: DataFrame, by: Sequence[str], station: str = "station_id", day: str = "day", n_boot: int = 1000, block_len: int | None = None, alpha: float = 0.05, seed: int = 0, starts: str = "random") -> DataFrame:
     """Variance ratio with its interval. A station's days are one matrix product; medians go over stations by draw.
 
     A station is left out of a draw in which its observations are constant, told by their extremes. Days are
-    numbered once for each group (the calendar bounds them); a station's sums are centred after they are collected,
-    so rows are read and shuffled once.
+    numbered once for each group (the calendar bounds them, so their numbers are broadcast); rows are shuffled and
+    sorted once, by station, and summed by day in blocks of stations. A station's sums are centred after they are collected.
     """
     _check(df, day, n_boot, block_len, alpha)
     e = F.col("fcst") - F.col("obs")
     daily = df.groupBy(*by, F.col(day).alias("day_")).agg(F.avg(e).alias("error_"), F.count(F.lit(1)).alias("rows_"))
-    numbered = T.StructType([*(daily.schema[b] for b in by), daily.schema["day_"], *(T.StructField(c, T.IntegerType()) for c in ("at_", "days_", "length_")), T.StructField("pairs_", T.LongType())])
+    numbered = T.StructType([*(daily.schema[b] for b in by), daily.schema["day_"], *(T.StructField(c, T.IntegerType()) for c in ("at_", "n_days", "block_len_days")), T.StructField("n_pairs", T.LongType())])
 
     def number(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("day_")
         n = len(pdf)
         length = min(n, block_len or clamped_block_length(pdf["error_"].to_numpy(float)))
-        return pdf.assign(at_=np.arange(n, dtype=np.int32), days_=n, length_=length, pairs_=int(pdf["rows_"].sum()))[numbered.names]
+        return pdf.assign(at_=np.arange(n, dtype=np.int32), n_days=n, block_len_days=length, n_pairs=int(pdf["rows_"].sum()))[numbered.names]
 
-    index = daily.groupBy(*by).applyInPandas(number, numbered)
-    moments = [f(c).alias(f"{n}{c[0]}") for c in ("fcst", "obs") for n, f in (("mean_", F.avg), ("spread_", F.var_pop))]
-    sums = df.groupBy(*by, station, F.col(day).alias("day_")).agg(F.count(F.lit(1)).cast("double").alias("n"), *moments, F.min("obs").alias("lo"), F.max("obs").alias("hi"))
-    joined = sums.join(index, [*by, "day_"])
+    index = F.broadcast(daily.groupBy(*by).applyInPandas(number, numbered))  # one row for each day of a group
     same = ["n_pairs", "n_days", "block_len_days"]
-    groups = [joined.schema[b] for b in by]
-    counted = [T.StructField(c, t) for c, t in zip(same, (T.LongType(), T.IntegerType(), T.IntegerType()), strict=True)]
-    schema = T.StructType([*groups, T.StructField("part", T.IntegerType()), T.StructField("ratios", T.ArrayType(T.DoubleType())), *counted])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        total, length, n_pairs = (int(pdf[c].iloc[0]) for c in ("days_", "length_", "pairs_"))
-        times = multiplicities(total, length, n_boot, seed, starts)[:, pdf["at_"].to_numpy()]  # of this station's days
-        times = np.vstack([np.ones((1, times.shape[1])), times])
-        each = pdf["n"].to_numpy()
-        columns = [each]
-        for c in "fo":
-            mean = pdf[f"mean_{c}"].to_numpy()
-            off = mean - (each @ mean) / each.sum()
-            columns += [each * off, each * (pdf[f"spread_{c}"].to_numpy() + off * off)]
-        n, f, ff, o, oo = (times @ np.column_stack(columns)).T
-        with np.errstate(divide="ignore", invalid="ignore"):
-            var_f, var_o = (np.maximum((q - s * s / n) / (n - 1), 0) for s, q in ((f, ff), (o, oo)))
-            ratio = np.sqrt(var_f / var_o)
-        good = (n > 1) & np.isfinite(ratio)
-        # A spread near rounding may be none: only then the extremes of the drawn days are asked.
-        doubt = np.flatnonzero(good & (var_o <= 1e-9 * max(1.0, float(np.square(pdf[["lo", "hi"]].to_numpy()).max()))))
-        present = times[doubt] > 0
-        good[doubt] = np.where(present, pdf["lo"].to_numpy(), np.inf).min(axis=1) < np.where(present, pdf["hi"].to_numpy(), -np.inf).max(axis=1)
-        ratio = np.where(good, ratio, np.nan)
-        parts = [ratio[a : a + DRAWS_A_ROW] for a in range(0, len(ratio), DRAWS_A_ROW)]
-        out = pd.DataFrame({b: [pdf[b].iloc[0]] * len(parts) for b in by} | {"part": np.arange(len(parts), dtype=np.int32), "ratios": parts})
-        return out.assign(n_pairs=n_pairs, n_days=total, block_len_days=length)[schema.names]
+    rows = df.select(*by, station, F.col(day).alias("day_"), F.col("fcst").cast("double").alias("fcst"), F.col("obs").cast("double").alias("obs"))
+    dealt = rows.repartition(*by, station).join(index, [*by, "day_"]).select(*by, *same, station, "at_", "fcst", "obs").sortWithinPartitions(*by, station, "at_")
+    groups, counted = [dealt.schema[b] for b in by], [dealt.schema[c] for c in same]
+    schema = T.StructType([*groups, *counted, T.StructField("part", T.IntegerType()), T.StructField("ratios", T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None  # rows of the last station, which may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            last = int(_starts(table, [*by, station])[-1])
+            yield from ratios_of(table.slice(0, last))
+            rest = table.slice(last)
+        if rest is not None:
+            yield from ratios_of(rest)
+
+    def ratios_of(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Ratios by draw of whole stations, their rows sorted by group, station and day."""
+        if not table.num_rows:
+            return
+        table = table.combine_chunks()
+        first = _starts(table, [*by, station, "at_"])  # of each day
+        at, each = table["at_"].to_numpy()[first], np.diff(first, append=table.num_rows).astype(float)
+        moments, lo, hi = _day_moments(table, first)
+        ends = np.append(np.searchsorted(first, _starts(table, [*by, station])), len(first))  # stations, in days
+        group = np.append(np.searchsorted(first[ends[:-1]], _starts(table, by)), len(ends) - 1)  # groups, in stations
+        for begin, end in zip(group[:-1], group[1:], strict=True):
+            head = table.slice(int(first[ends[begin]]), 1)
+            times = _times_by_day(head["n_days"][0].as_py(), head["block_len_days"][0].as_py(), n_boot, seed, starts)
+            for k in range(begin, end, STATIONS_A_ROW):
+                days = [slice(ends[i], ends[i + 1]) for i in range(k, min(k + STATIONS_A_ROW, end))]
+                ratios = np.array([_station_ratios(times, at[d], each[d], [(m[d], v[d]) for m, v in moments], lo[d], hi[d]) for d in days])
+                parts = [ratios[:, a : a + DRAWS_A_ROW].ravel() for a in range(0, n_boot + 1, DRAWS_A_ROW)]
+                same_head = head.select([*by, *same]).take(pa.array(np.zeros(len(parts), np.int32))).combine_chunks()
+                out = [c.chunk(0) for c in same_head.columns]
+                yield pa.RecordBatch.from_arrays([*out, pa.array(np.arange(len(parts), dtype=np.int32)), pa.array(parts, pa.list_(pa.float64()))], names=schema.names)
 
     median = T.StructType([*groups, T.StructField("draw", T.IntegerType()), T.StructField("r", T.DoubleType()), *counted])
 
     def medians(pdf: pd.DataFrame) -> pd.DataFrame:
-        every = np.vstack(pdf["ratios"].to_numpy())
+        first = int(pdf["part"].iloc[0]) * DRAWS_A_ROW
+        every = np.concatenate(pdf["ratios"].to_numpy()).reshape(-1, min(DRAWS_A_ROW, n_boot + 1 - first))
         some = np.flatnonzero(~np.isnan(every).all(axis=0))
-        out = pd.DataFrame({b: [pdf[b].iloc[0]] * len(some) for b in by} | {"draw": (pdf["part"].iloc[0] * DRAWS_A_ROW + some - 1).astype(np.int32), "r": np.nanmedian(every[:, some], axis=0)})
+        out = pd.DataFrame({b: [pdf[b].iloc[0]] * len(some) for b in by} | {"draw": (first + some - 1).astype(np.int32), "r": np.array([np.nanmedian(every[:, k]) for k in some])})
         return out.assign(**{c: pdf[c].iloc[0] for c in same})[median.names]
 
-    draws = joined.groupBy(*by, station).applyInPandas(run, schema).groupBy(*by, "part").applyInPandas(medians, median)
+    draws = dealt.mapInArrow(run, schema).groupBy(*by, "part").applyInPandas(medians, median)
     inner = F.when(F.col("draw") >= 0, F.col("r"))
     out = draws.groupBy(*by).agg(F.max(F.when(F.col("draw") < 0, F.col("r"))).alias("estimate"), F.percentile(inner, F.lit(alpha / 2)).alias("ci_low"), F.percentile(inner, F.lit(1 - alpha / 2)).alias("ci_high"), *(F.max(c).alias(c) for c in same))
     return out.withColumns({"n_boot": F.lit(n_boot), "alpha": F.lit(float(alpha))})
