@@ -44,10 +44,9 @@ def with_obs_percentile(df: DataFrame, by: tuple[str, ...] = ("station_id", "var
     ranked in so many ranges, with the same result.
     """
     if ranges is None:
-        group = W.partitionBy(*by)
-        rank = F.rank().over(group.orderBy(F.col(obs).asc_nulls_last()))
-        ties = F.count(F.lit(1)).over(W.partitionBy(*by, obs))
-        return df.withColumn("obs_pct", F.when(F.col(obs).isNotNull(), (rank + (ties - 1) / 2) / F.count(F.lit(1)).over(group) * 100))
+        order = W.partitionBy(*by).orderBy(F.col(obs).asc_nulls_last())  # one order for all, so that rows are sorted once
+        upto, size = F.count(F.lit(1)).over(order), F.count(F.lit(1)).over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+        return df.withColumn("obs_pct", F.when(F.col(obs).isNotNull(), (F.rank().over(order) + upto) / 2 / size * 100))
     keys = [f"_k{i}" for i in range(len(by))]
     keyed = df.select(*(F.col(b).alias(k) for b, k in zip(by, keys, strict=True)), F.col(obs).alias("_obs"))
     places = ranked(value_counts(keyed, keys, "_obs"), keys, "_obs", ranges).drop("total")
